@@ -39,10 +39,12 @@ CACHE_WORDS = 1_000_000
 class WordEncoder:
     """Ids of words by a tokenizer file, remembered by word hash in sorted arrays."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, before: str = "", plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
+        self.before = before
         self.clear()
 
     def clear(self) -> None:
@@ -66,7 +68,7 @@ class WordEncoder:
         order = new[np.argsort(hashes[new])]
         order = order[np.concatenate(([True], hashes[order[1:]] != hashes[order[:-1]]))]
         raw = block.data.tobytes()
-        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[order].tolist(), ends[order].tolist(), strict=True)]
+        texts = [self.before + raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[order].tolist(), ends[order].tolist(), strict=True)]
         ids = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint16, int(counts.sum()))
@@ -96,13 +98,15 @@ class WordEncoder:
         return ids, offsets
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def encoder(path: str, before: str = "", plain: bool = False) -> WordEncoder:
+    """One encoder for each tokenizer and use in a Python worker."""
+    key = (path, before, plain)
+    if key not in _encoders:
+        _encoders[key] = WordEncoder(*key)
+    return _encoders[key]
 
 
 def balance(lengths: np.ndarray, capacity: int) -> list[tuple[int, int, int, int]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cost_packing, curriculum_mix, embedding_dedup, jaccard_join, line_chunks, radix_dedup, robust_outliers
+from . import attention_lm, byte_cnn, cost_packing, curriculum_mix, embedding_dedup, jaccard_join, line_chunks, radix_dedup, robust_outliers
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -17,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.text_scores(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op3_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_classes(table(spark, sf_dir, "embeddings"))
 
@@ -45,5 +53,5 @@ def op10_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost_packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
-QUERIES = {f.__name__: f for f in (op3_pca_tiles, op4_radix_windows, op5_line_chunks, op6_robust_outliers, op8_ngram_jaccard, op9_curriculum_mix, op10_cost_packing)}
+QUERIES = {f.__name__: f for f in (op1_byte_cnn, op2_attention_lm, op3_pca_tiles, op4_radix_windows, op5_line_chunks, op6_robust_outliers, op8_ngram_jaccard, op9_curriculum_mix, op10_cost_packing)}
 ORACLES = {"op9_curriculum_mix": curriculum_mix.ORACLE_SQL}
