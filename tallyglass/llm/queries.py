@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attention_lm, byte_cnn, cost_packing, curriculum_mix, embedding_dedup, jaccard_join, line_chunks, radix_dedup, robust_outliers
+from . import attention_lm, byte_cnn, cost_packing, curriculum_mix, embedding_dedup, html_layout, jaccard_join, line_chunks, radix_dedup, robust_outliers
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -41,6 +41,10 @@ def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_outliers.quality_outliers(table(spark, sf_dir, "documents"))
 
 
+def op7_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.visible_text(table(spark, sf_dir, "pages"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -53,5 +57,5 @@ def op10_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost_packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_cnn, op2_attention_lm, op3_pca_tiles, op4_radix_windows, op5_line_chunks, op6_robust_outliers, op8_ngram_jaccard, op9_curriculum_mix, op10_cost_packing)}
+QUERIES = {f.__name__: f for f in (op1_byte_cnn, op2_attention_lm, op3_pca_tiles, op4_radix_windows, op5_line_chunks, op6_robust_outliers, op7_html_layout, op8_ngram_jaccard, op9_curriculum_mix, op10_cost_packing)}
 ORACLES = {"op9_curriculum_mix": curriculum_mix.ORACLE_SQL}
