@@ -6,7 +6,8 @@
 3. Of a set of s shingles at least o = ceil(t * s) lie in any partner, so two partners share at least L of
    their first s - o + L shingles. Each document picks the L of least estimated cost (entries plus
    prefix frequencies over L squared): a prefix of rare shingles stays short, one that meets frequent shingles grows
-   and asks for correspondingly more matches. For a pair, min(L) of the two must be shared.
+   and asks for correspondingly more matches. For a pair, min(L) of the two must be shared, and as many
+   as the pair's own overlap needs beyond the longer of the two suffixes.
 4. Postings with two or more documents give first one candidate for each document: the posting's lowest
    id. Verified links already join most near copies. Then every remaining pair of documents in different
    components that shares enough prefix shingles is verified. Pairs inside one component add nothing to
@@ -224,16 +225,19 @@ def _cross_pairs(entries: DataFrame, percent: int, buckets: int) -> DataFrame:
 
     def meet(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["fp", "size"], kind="stable")
-        fp, ids, comp, size, need = (frame[c].to_numpy() for c in ("fp", "id", "comp", "size", "need"))
+        fp, ids, comp, size, need = (frame[c].to_numpy().astype(np.int64) for c in ("fp", "id", "comp", "size", "need"))
+        rest = -(-size * percent // 100) - need  # shingles behind the prefix
         edges = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1], [True])))
         out = []
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            stop = lo + np.searchsorted(size[lo:hi].astype(np.int64) * percent, 100 * size[lo:hi].astype(np.int64), side="right")
+            stop = lo + np.searchsorted(size[lo:hi] * percent, 100 * size[lo:hi], side="right")
             for i in range(lo, hi - 1):  # partners up to size * 100 / percent
                 j = np.arange(i + 1, stop[i - lo])
                 j = j[comp[j] != comp[i]]
                 if len(j):
-                    out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.minimum(need[i], need[j])]))
+                    overlap = -(-(size[i] + size[j]) * percent // (100 + percent))
+                    asked = np.maximum(np.minimum(need[i], need[j]), overlap - np.maximum(rest[i], rest[j]))
+                    out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), asked]))
         a, b, m = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
         return pd.DataFrame({"a": a, "b": b, "need": m})
 
