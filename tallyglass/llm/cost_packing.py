@@ -16,6 +16,7 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -34,12 +35,14 @@ GROUP_BYTES = 2 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 SEQUENCES = 1 << 20  # more than any group has
 CACHE_WORDS = 1_000_000
+JOINED = 500
 
 
 class WordEncoder:
     """Ids of words by a tokenizer file, remembered by word hash in sorted arrays."""
 
     def __init__(self, path: str, before: str = "", plain: bool = False):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker on every core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -58,37 +61,49 @@ class WordEncoder:
         at[at == len(self.keys)] = 0
         return at, (self.keys[at] == hashes if len(self.keys) else np.zeros(len(hashes), bool))
 
-    def learn(self, block: Block, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    def learn(self, block: Block, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Remember the ids of a block's new words; the place of every word in the sorted arrays."""
         if len(self.keys) > CACHE_WORDS:
             self.clear()
-        _, known = self.places(hashes)
+        at, known = self.places(hashes)
         new = np.flatnonzero(~known)
         if not len(new):
-            return
+            return at
         order = new[np.argsort(hashes[new])]
         order = order[np.concatenate(([True], hashes[order[1:]] != hashes[order[:-1]]))]
         raw = block.data.tobytes()
         texts = [self.before + raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[order].tolist(), ends[order].tolist(), strict=True)]
-        ids = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint16, int(counts.sum()))
-        at = np.searchsorted(self.keys, hashes[order])
+        flat, counts = self._encoded(texts)
+        into = np.searchsorted(self.keys, hashes[order])
         begin = len(self.flat) + np.cumsum(counts) - counts
-        self.keys = np.insert(self.keys, at, hashes[order])
-        self.starts = np.insert(self.starts, at, begin)
-        self.counts = np.insert(self.counts, at, counts)
+        at = at + np.searchsorted(into, at, side="right")
+        self.keys = np.insert(self.keys, into, hashes[order])
+        self.starts = np.insert(self.starts, into, begin)
+        self.counts = np.insert(self.counts, into, counts)
         self.flat = np.concatenate([self.flat, flat])
+        at[new] = np.searchsorted(self.keys, hashes[new])
+        return at
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and the number of ids of each word; words go to the tokenizer many at a time."""
+        between = "" if self.before else " "
+        flat, counts = [], []
+        for i in range(0, len(texts), JOINED):
+            part = texts[i : i + JOINED]
+            got = self.tokenizer.encode(between.join(part), add_special_tokens=False)
+            lengths = np.fromiter(map(len, part), np.int64, len(part)) + len(between)
+            begin = np.cumsum(lengths) - lengths
+            first = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids))
+            counts.append(np.bincount(np.searchsorted(begin, first, side="right") - 1, minlength=len(part)))
+            flat.append(np.array(got.ids, np.uint16))
+        return np.concatenate(flat), np.concatenate(counts)
 
     def encode(self, block: Block, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block's documents, each closed by `end`, and the offsets of the documents."""
         starts, ends, owner = block.words()
         hashes = span_hash(block.prefix_hash(), starts, ends)
-        self.learn(block, hashes, starts, ends)
-        if len(hashes):
-            at, _ = self.places(hashes)
-            counts, begin = self.counts[at], self.starts[at]
-        else:
-            counts = begin = np.zeros(0, np.int64)
+        at = self.learn(block, hashes, starts, ends)
+        counts, begin = self.counts[at], self.starts[at]
         sums = np.zeros(len(counts) + 1, np.int64)
         np.cumsum(counts, out=sums[1:])
         ids = self.flat[np.arange(sums[-1]) + np.repeat(begin - sums[:-1], counts)]
