@@ -48,7 +48,7 @@ def order_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), price.alias("price")))).alias("items"),
     )
     orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("cust"), F.year("o_orderdate").alias("year"),
+        F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("cust"), (F.year("o_orderdate") + 20).alias("year"),
         F.col("o_totalprice").cast(MONEY).alias("budget"), "o_orderstatus", "o_orderpriority",
     )
     return orders.join(lines, "k")
@@ -178,7 +178,7 @@ SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INTEGER) AS idx,
 FROM lineitem)"""
 
 ORDERS_SQL = """o AS (
-SELECT o_orderkey AS k, o_custkey AS cust, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(o_totalprice AS DECIMAL(18,2)) AS budget,
+SELECT o_orderkey AS k, o_custkey AS cust, CAST(year(o_orderdate) + 20 AS INTEGER) AS year, CAST(o_totalprice AS DECIMAL(18,2)) AS budget,
   o_orderstatus, o_orderpriority, s, odd, CAST(s - odd AS DECIMAL(18,2)) AS rest, n,
   CAST((o_orderkey % 5) * 10 AS DECIMAL(18,2)) AS alloc, CAST((o_orderkey % 3) * 20 AS DECIMAL(18,2)) AS carry
 FROM orders JOIN (SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS s,
