@@ -41,13 +41,12 @@ JOINED = 500
 class WordEncoder:
     """Ids of words by a tokenizer file, remembered by word hash in sorted arrays."""
 
-    def __init__(self, path: str, before: str = "", plain: bool = False):
+    def __init__(self, path: str, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker on every core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
-        self.before = before
         self.clear()
 
     def clear(self) -> None:
@@ -72,7 +71,7 @@ class WordEncoder:
         order = new[np.argsort(hashes[new])]
         order = order[np.concatenate(([True], hashes[order[1:]] != hashes[order[:-1]]))]
         raw = block.data.tobytes()
-        texts = [self.before + raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[order].tolist(), ends[order].tolist(), strict=True)]
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[order].tolist(), ends[order].tolist(), strict=True)]
         flat, counts = self._encoded(texts)
         into = np.searchsorted(self.keys, hashes[order])
         begin = len(self.flat) + np.cumsum(counts) - counts
@@ -86,20 +85,22 @@ class WordEncoder:
 
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the number of ids of each word; words go to the tokenizer many at a time."""
-        between = "" if self.before else " "
         flat, counts = [], []
         for i in range(0, len(texts), JOINED):
             part = texts[i : i + JOINED]
-            got = self.tokenizer.encode(between.join(part), add_special_tokens=False)
-            lengths = np.fromiter(map(len, part), np.int64, len(part)) + len(between)
-            begin = np.cumsum(lengths) - lengths
+            got = self.tokenizer.encode("\n".join(part), add_special_tokens=False)
+            lengths = np.fromiter(map(len, part), np.int64, len(part))
+            begin = np.cumsum(lengths + 1) - lengths - 1
             first = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids))
-            counts.append(np.bincount(np.searchsorted(begin, first, side="right") - 1, minlength=len(part)))
-            flat.append(np.array(got.ids, np.uint16))
+            owner = np.searchsorted(begin, first, side="right") - 1
+            inside = first < (begin + lengths)[owner]  # the newlines between words may have ids of their own
+            counts.append(np.bincount(owner[inside], minlength=len(part)))
+            flat.append(np.array(got.ids, np.uint16)[inside])
         return np.concatenate(flat), np.concatenate(counts)
 
-    def encode(self, block: Block, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a block's documents, each closed by `end`, and the offsets of the documents."""
+    def encode(self, block: Block, end: int, mark: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a block's documents, each closed by `end`, and the offsets of the documents.
+        With `mark`, it is added to the first id of every word (and ids are 32 bits wide)."""
         starts, ends, owner = block.words()
         hashes = span_hash(block.prefix_hash(), starts, ends)
         at = self.learn(block, hashes, starts, ends)
@@ -108,7 +109,10 @@ class WordEncoder:
         np.cumsum(counts, out=sums[1:])
         ids = self.flat[np.arange(sums[-1]) + np.repeat(begin - sums[:-1], counts)]
         doc_ends = sums[np.searchsorted(owner, np.arange(block.n), side="right")]
-        ids = np.insert(ids, doc_ends, np.uint16(end))
+        if mark:
+            ids = ids.astype(np.uint32)
+            ids[sums[:-1][counts > 0]] += np.uint32(mark)
+        ids = np.insert(ids, doc_ends, ids.dtype.type(end))
         offsets = np.concatenate(([0], doc_ends + np.arange(1, block.n + 1)))
         return ids, offsets
 
@@ -116,9 +120,9 @@ class WordEncoder:
 _encoders: dict[tuple, WordEncoder] = {}
 
 
-def encoder(path: str, before: str = "", plain: bool = False) -> WordEncoder:
+def encoder(path: str, plain: bool = False) -> WordEncoder:
     """One encoder for each tokenizer and use in a Python worker."""
-    key = (path, before, plain)
+    key = (path, plain)
     if key not in _encoders:
         _encoders[key] = WordEncoder(*key)
     return _encoders[key]
