@@ -221,7 +221,8 @@ def _postings(index: DataFrame, percent: int) -> DataFrame:
 
 
 def _cross_pairs(entries: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """Pairs of one posting's documents from different components, where enough postings are shared."""
+    """Pairs of one posting's documents from different components, where enough postings are shared.
+    A bucket of postings hands on one packed list of partners for each document."""
 
     def meet(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["fp", "size"], kind="stable")
@@ -238,13 +239,34 @@ def _cross_pairs(entries: DataFrame, percent: int, buckets: int) -> DataFrame:
                     overlap = -(-(size[i] + size[j]) * percent // (100 + percent))
                     asked = np.maximum(np.minimum(need[i], need[j]), overlap - np.maximum(rest[i], rest[j]))
                     out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), asked]))
-        a, b, m = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
-        return pd.DataFrame({"a": a, "b": b, "need": m})
+        a, b, asked = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+        a, b, shared, asked = _tallied(a, b, np.ones(len(a), np.int64), asked)
+        edges = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1], [True]))) if len(a) else np.zeros(1, np.int64)
+        rows = [(int(a[lo]), hi - lo, packed(b[lo:hi]), packed(shared[lo:hi]), packed(asked[lo:hi])) for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        return pd.DataFrame(rows, columns=["a", "n", "bs", "shared", "asked"])
+
+    def settle(key, frame: pd.DataFrame) -> pd.DataFrame:
+        a = np.repeat(frame["a"].to_numpy(), frame["n"].to_numpy())
+        b, shared, asked = (np.concatenate([unpacked(d, n, np.int64) for d, n in zip(frame[c], frame["n"], strict=True)]) for c in ("bs", "shared", "asked"))
+        a, b, shared, asked = _tallied(a, b, shared, asked)
+        enough = shared >= asked
+        return pd.DataFrame({"a": a[enough], "b": b[enough]})
 
     mixed = entries.groupBy("fp").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("fp")
     left = entries.join(mixed, "fp").withColumn("bucket", F.pmod(F.xxhash64("fp"), F.lit(buckets)))
-    pairs = left.groupBy("bucket").applyInPandas(meet, "a long, b long, need int")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b")
+    lists = left.groupBy("bucket").applyInPandas(meet, "a long, n long, bs binary, shared binary, asked binary")
+    dealt = lists.withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInPandas(settle, "a long, b long")
+
+
+def _tallied(a: np.ndarray, b: np.ndarray, shared: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct pairs with their shared postings added up."""
+    order = np.lexsort((b, a))
+    a, b, shared, asked = a[order], b[order], shared[order], asked[order]
+    if not len(a):
+        return a, b, shared, asked
+    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    return a[first], b[first], np.add.reduceat(shared, first), np.maximum.reduceat(asked, first)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
