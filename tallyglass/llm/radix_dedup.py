@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut
-from .words import STEP, Block, blocks, mix, packed, repeated, span_hash, unpacked
+from .words import STEP, Block, blocks, mix, packed, powers, repeated, span_hash, unpacked
 
 WIDTH = 200
 ANCHOR = 40
@@ -40,6 +40,7 @@ DIGIT = 50
 HOT = 1 << 16
 BUCKET_ANCHORS = 1 << 19
 BUCKET_CONTEXTS = 10_000
+SLICE_WINDOWS = 1_000_000
 FEW_KEYS = 1_000_000
 
 
@@ -182,15 +183,27 @@ def _contexts(texts: DataFrame, buckets: int, width: int) -> DataFrame:
     return texts.mapInArrow(deal, "bucket long, n long, bytes long, h binary, k1 binary, k2 binary, shift binary, lo binary, more binary, body binary")
 
 
-def window_passes(keys: np.ndarray, sums: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """Indexes of the windows whose group survives all digits, most significant first."""
+def relative_sums(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Running polynomial sums in which every context counts its own places from 0."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    values = powers(int(places.max()) + 1 if len(places) else 1)[places]
+    values *= data.astype(np.uint64) + np.uint64(1)
+    np.cumsum(values, out=sums[1:])
+    return sums
+
+
+def window_passes(keys: np.ndarray, sums: np.ndarray, starts: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    """Indexes of the windows whose group survives all digits, most significant first. A window starts at
+    `starts` in the bytes and at `places` in its context."""
     alive = np.flatnonzero(repeated(keys))
     keys = keys[alive]
+    inverse = powers(width + 1 + (int(places.max()) if len(places) else 0), inverse=True)
     for digit in range(0, width, DIGIT):
         if not len(alive):
             break
         a = starts[alive] + digit
-        keys = mix(keys * STEP + span_hash(sums, a, a + min(DIGIT, width - digit)))
+        body = (sums[a + min(DIGIT, width - digit)] - sums[a]) * inverse[places[alive] + digit]
+        keys = mix(keys * STEP + mix(body))
         again = repeated(keys)
         alive, keys = alive[again], keys[again]
     return alive
@@ -211,21 +224,28 @@ def _sorted_windows(contexts: DataFrame, width: int) -> DataFrame:
         lo = 0
         while lo < len(edges) - 1:  # whole anchors at a time, a few million windows together
             hi = lo + 1
-            while hi < len(edges) - 1 and sizes[by_anchor[edges[lo] : edges[hi + 1]]].sum() < 2_000_000:
+            while hi < len(edges) - 1 and sizes[by_anchor[edges[lo] : edges[hi + 1]]].sum() < SLICE_WINDOWS:
                 hi += 1
             part = by_anchor[edges[lo] : edges[hi]]
             lo = hi
-            count = cols["more"][part] + 1
-            which = np.repeat(np.arange(len(part)), count)
-            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             local_sizes = sizes[part]
             local_begin = np.cumsum(local_sizes) - local_sizes
             data = np.frombuffer(b"".join(body[b : b + s] for b, s in zip(begin[part].tolist(), local_sizes.tolist(), strict=True)), np.uint8)
-            sums = Block(0, data, np.array([0, len(data)])).prefix_hash()
-            keys = mix(cols["h"][part][which] + (cols["shift"][part][which] - step).astype(np.uint64))
-            alive = window_passes(keys, sums, local_begin[which] + step, width)
-            alive.sort()
-            w, p = which[alive], cols["lo"][part][which[alive]] + step[alive]
+            sums = relative_sums(data, np.arange(len(data)) - np.repeat(local_begin, local_sizes))
+            h, shift, more = cols["h"][part], cols["shift"][part], cols["more"][part]
+            found = []
+            slices = 1 + int((more + 1).sum()) // SLICE_WINDOWS
+            for s in range(slices):  # windows at different offsets from their anchor never meet
+                step0 = (shift - s) % slices
+                count = np.maximum((more - step0) // slices + 1, 0)
+                which = np.repeat(np.arange(len(part)), count)
+                step = step0[which] + slices * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+                keys = mix(h[which] + (shift[which] - step).astype(np.uint64))
+                alive = window_passes(keys, sums, local_begin[which] + step, step, width)
+                found.append(np.stack([which[alive], step[alive]]))
+            w, step = np.concatenate(found, axis=1)
+            by_place = np.lexsort((step, w))
+            w, p = w[by_place], cols["lo"][part][w[by_place]] + step[by_place]
             if not len(w):
                 continue
             new = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (p[1:] != p[:-1] + 1))))

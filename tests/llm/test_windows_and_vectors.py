@@ -35,6 +35,46 @@ def test_windows_equal_brute_force(which, hot, request, monkeypatch):
     assert got == window_brute(rows)
 
 
+def test_window_passes_in_slices():
+    """Slices by offset find what one pass over all windows finds."""
+    import pandas as pd
+
+    from tallyglass.llm.words import packed
+
+    rng = np.random.default_rng(3)
+    body, cols = b"", {c: [] for c in ("h", "k1", "k2", "shift", "lo", "more")}
+    common = bytes(rng.integers(97, 100, 360).astype(np.uint8))
+    for i in range(40):
+        text = bytearray(common)
+        if i % 2:
+            text[rng.integers(0, 360)] = 65
+        more = int(rng.integers(0, 161))
+        shift = int(rng.integers(0, more + 1))
+        start = 100 - shift if shift <= 100 else 0
+        piece = bytes(text)[start : start + more + 200]
+        more = len(piece) - 200
+        body += piece
+        for c, v in (("h", 1 + i % 3), ("k1", i), ("k2", 0), ("shift", 100 - start), ("lo", 0), ("more", more)):
+            cols[c].append(v)
+    row = {"bucket": 0, "n": 40, "bytes": len(body), "body": __import__("pyarrow").compress(body, codec="zstd", asbytes=True)}
+    row |= {c: packed(np.array(v, np.uint64 if c == "h" else np.int64)) for c, v in cols.items()}
+
+    class Grouped:
+        def groupBy(self, *_):
+            return self
+
+        def applyInPandas(self, f, _):
+            return sorted(map(tuple, f((0,), pd.DataFrame([row])).to_numpy().tolist()))
+
+    whole = radix_dedup._sorted_windows(Grouped(), 200)
+    radix_dedup.SLICE_WINDOWS, kept = 300, radix_dedup.SLICE_WINDOWS
+    try:
+        assert radix_dedup._sorted_windows(Grouped(), 200) == whole
+    finally:
+        radix_dedup.SLICE_WINDOWS = kept
+    assert whole
+
+
 def test_windows_of_random_repeats(spark):
     rng = np.random.default_rng(5)
     words = [f"s{i}" for i in range(50)]
