@@ -18,28 +18,28 @@ def a12(spark, sf):
 
 def job_stages(logs):
     """Count, total and mean of each job's stages."""
-    return logs.groupBy("job_id", "stage").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("duration_ms"), 4).alias("total_ms"), F.round(F.avg("duration_ms"), 4).alias("mean_ms"))
+    return logs.groupBy("job_id", "stage").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("duration_ms").cast("decimal(18,2)")).cast("double").alias("total_ms"), (F.sum(F.col("duration_ms").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).alias("mean_ms"))
 
 
 def logs_of(events):
     return events.select(F.col("user_id").alias("job_id"), F.col("event_type").alias("stage"), F.col("value").alias("duration_ms"), "ts")
 
 
-@query("a13_job_profile", "SELECT user_id AS job_id, event_type AS stage, count(*) AS n, round(sum(value), 4) AS total_ms, round(avg(value), 4) AS mean_ms FROM events GROUP BY ALL")
+@query("a13_job_profile", "SELECT user_id AS job_id, event_type AS stage, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_ms, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean_ms FROM events GROUP BY ALL")
 def a13(spark, sf):
     return job_stages(logs_of(table(spark, sf, "events")))
 
 
-@query("a14_system_overview", """WITH m AS (SELECT max(ts) AS t FROM events), e AS (SELECT * FROM events, m WHERE ts >= t - INTERVAL 72 HOUR), j AS (SELECT user_id, sum(value) AS d, count(*) FILTER (event_type = 'error') AS errs FROM e GROUP BY 1)
-SELECT count(*) AS jobs, count(*) FILTER (errs = 0) AS completed, count(*) FILTER (errs > 0) AS failed, CAST(count(*) FILTER (errs = 0) AS DOUBLE) / count(*) AS success_rate, round(avg(d), 4) AS mean_ms FROM j""")
+@query("a14_system_overview", """WITH m AS (SELECT max(ts) AS t FROM events), e AS (SELECT * FROM events, m WHERE ts >= t - INTERVAL 72 HOUR), j AS (SELECT user_id, sum(CAST(value AS DECIMAL(18,2))) AS d, count(*) FILTER (event_type = 'error') AS errs FROM e GROUP BY 1)
+SELECT count(*) AS jobs, count(*) FILTER (errs = 0) AS completed, count(*) FILTER (errs > 0) AS failed, CAST(count(*) FILTER (errs = 0) AS DOUBLE) / count(*) AS success_rate, CAST(sum(d) AS DOUBLE) / count(*) AS mean_ms FROM j""")
 def a14(spark, sf):
     """Jobs of the last 72 hours: per job first, then over jobs; `now` is the log's last entry."""
     e = logs_of(table(spark, sf, "events"))
     last = e.agg(F.max("ts").alias("t"))
     recent = e.join(F.broadcast(last)).where(F.col("ts") >= F.col("t") - F.expr("interval 72 hours"))
-    jobs = recent.groupBy("job_id").agg(F.sum("duration_ms").alias("d"), F.count_if(F.col("stage") == "error").alias("errs"))
+    jobs = recent.groupBy("job_id").agg(F.sum(F.col("duration_ms").cast("decimal(18,2)")).alias("d"), F.count_if(F.col("stage") == "error").alias("errs"))
     n = F.count(F.lit(1))
-    return jobs.agg(n.alias("jobs"), F.count_if(F.col("errs") == 0).alias("completed"), F.count_if(F.col("errs") > 0).alias("failed"), (F.count_if(F.col("errs") == 0) / n).alias("success_rate"), F.round(F.avg("d"), 4).alias("mean_ms"))
+    return jobs.agg(n.alias("jobs"), F.count_if(F.col("errs") == 0).alias("completed"), F.count_if(F.col("errs") > 0).alias("failed"), (F.count_if(F.col("errs") == 0) / n).alias("success_rate"), (F.sum("d").cast("double") / n).alias("mean_ms"))
 
 
 def _marked(spark, sf):

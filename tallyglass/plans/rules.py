@@ -211,12 +211,17 @@ def v103(spark, sf):
     return x.select("doc_id", F.explode(F.filter(items, lambda i: i.isNotNull())).alias("item"))
 
 
-@query("v104_expense_vs_text", VALUES_SQL + f"""SELECT k AS doc_id, item FROM (SELECT *, unnest([CASE WHEN {off_sql('s', 'n1')} THEN '本年支出合计' END, CASE WHEN {off_sql('odd', 'n4')} THEN '基本支出' END, CASE WHEN {off_sql('rest', 'n5')} THEN '项目支出' END]) AS item
+@query("v104_expense_vs_text", VALUES_SQL + f"""SELECT k AS doc_id, item FROM (SELECT *, unnest([CASE WHEN {off_sql('s', 'n1')} THEN '本年支出合计' END, CASE WHEN {off_sql('odd', 'n4')} THEN '基本支出' END, CASE WHEN {off_sql('rest', 'n5')} THEN '项目支出' END,
+CASE WHEN abs(round({_D('odd')} / {_D('s')} * 100, 2) - CAST(CAST(pct AS DECIMAL(8,2)) AS DOUBLE)) > 1.0 THEN '基本支出占比' END,
+CASE WHEN abs(round({_D('rest')} / {_D('s')} * 100, 2) - CAST(CAST(pct AS DECIMAL(8,2)) AS DOUBLE)) > 1.0 THEN '项目支出占比' END]) AS item
 FROM fd WHERE table_name = '支出决算表' AND ix = 2) WHERE item IS NOT NULL""")
 def v104(spark, sf):
     x = _both(spark, sf, "支出决算表").where("year_total is not null and basic is not null and project is not null")
     said = [("本年支出合计", "year_total", ["支出决算情况说明", "本年支出合计", "合计"]), ("基本支出", "basic", ["基本支出"]), ("项目支出", "project", ["项目支出"])]
-    items = F.array(*[F.when(_differs(F.col(c), near_number("prose", keys)), F.lit(name)) for name, c, keys in said])
+    sums = [F.when(_differs(F.col(c), near_number("prose", keys)), F.lit(name)) for name, c, keys in said]
+    share = lambda c: F.round(F.col(c) / F.col("year_total") * 100, 2).cast("double")
+    off = [F.when(F.abs(share(c) - near_percent("prose", [name, "占比", "比重"])) > 1.0, F.lit(name + "占比")) for name, c, _ in said[1:]]
+    items = F.array(*sums, *off)
     return x.select("doc_id", F.explode(F.filter(items, lambda i: i.isNotNull())).alias("item"))
 
 
@@ -270,3 +275,25 @@ def v109(spark, sf):
     said = pages.groupBy("doc_id").agg(F.bool_or(F.col("text").rlike("空表|无相关收支|不存在|无此项|本表无数据|无数据")).alias("said"))
     x = first.join(peak, ["doc_id", "page_no"]).join(said, "doc_id")
     return x.where("coalesce(peak, 0) < 1e-9 and not said").select("doc_id", "table_name")
+
+
+@query("j6_anchor_cells", VALUES_SQL + "SELECT k AS doc_id, table_name, page_no, CAST(2 * [5, 3, 4, 2, 4, 3, 3, 2, 2][CAST(ix AS INTEGER) + 1] AS BIGINT) AS n_cells FROM fd")
+def j6(spark, sf):
+    """A table's first anchor page, that page's largest table, its cells."""
+    d = C.disclosures(spark, sf)
+    first = A.first_pages(A.anchors(C.disclosure_pages(d))).select("doc_id", "table_name", "page_no")
+    cells = C.cells(C.disclosure_tables(d))
+    met = first.join(T.largest_table(cells).select(*T.TABLE), ["doc_id", "page_no"]).join(cells, T.TABLE)
+    return met.groupBy("doc_id", "table_name", "page_no").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+@query("j7_table_vs_text", VALUES_SQL + f"""SELECT k AS doc_id, item, in_table, in_text FROM (SELECT k, unnest(['收入', '拨款']) AS item, unnest([{_D('s')}, {_D('odd')}]) AS in_table, unnest([{_D('n1')}, {_D('n2')}]) AS in_text
+FROM fd WHERE table_name = '收入决算表' AND ix = 1) WHERE abs(in_table - in_text) > greatest(1.0, in_table * 0.001, in_text * 0.001)""")
+def j7(spark, sf):
+    """Table values and prose values joined by document and item, outside the tolerance."""
+    x = _both(spark, sf, "收入决算表")
+    item = lambda name, value: F.struct(F.lit(name).alias("item"), value.cast("double").alias("value"))
+    in_table = x.select("doc_id", F.explode(F.array(item("收入", F.col("income")), item("拨款", F.col("grant")))).alias("t")).select("doc_id", "t.item", F.col("t.value").alias("in_table"))
+    in_text = x.select("doc_id", F.explode(F.array(item("收入", near_number("prose", ["本年收入合计"])), item("拨款", near_number("prose", ["财政拨款收入"])))).alias("t")).select("doc_id", "t.item", F.col("t.value").alias("in_text"))
+    met = in_table.join(in_text, ["doc_id", "item"]).where("in_table is not null and in_text is not null")
+    return met.where(~close(F.col("in_table"), F.col("in_text")))

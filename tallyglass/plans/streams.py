@@ -15,13 +15,13 @@ def _stream(spark, sf, name):
     return spark.readStream.schema(schema).parquet(f"{sf}/[{name[0]}]{name[1:]}.parquet")
 
 
-@query("x1_log_windows", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type AS stage, count(*) AS n, round(sum(value), 4) AS total_ms FROM events GROUP BY ALL")
+@query("x1_log_windows", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type AS stage, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_ms FROM events GROUP BY ALL")
 def x1(spark, sf):
-    logs = _stream(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("stage"), F.col("value").alias("duration_ms"))
+    logs = _stream(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("stage"), F.col("value").cast("decimal(18,2)").alias("duration_ms"))
     out = drained(overview(logs), "complete")
     last = F.max("epoch").over(Window.partitionBy("start", "stage"))
     latest = out.withColumn("last", last).where("epoch = last")
-    return latest.select("start", "stage", "n", F.round("total_ms", 4).alias("total_ms"))
+    return latest.select("start", "stage", "n", F.col("total_ms").cast("double").alias("total_ms"))
 
 
 @query("x2_arriving_pages", "SELECT doc_id, '增加增加' AS found FROM documents WHERE doc_id % 6 = 0")
