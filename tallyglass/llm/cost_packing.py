@@ -101,6 +101,10 @@ class WordEncoder:
     def encode(self, block: Block, end: int, mark: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block's documents, each closed by `end`, and the offsets of the documents.
         With `mark`, it is added to the first id of every word (and ids are 32 bits wide)."""
+        return self.encode_words(block, end, mark)[:2]
+
+    def encode_words(self, block: Block, end: int, mark: int = 0) -> tuple[np.ndarray, ...]:
+        """What `encode` returns, and the hash and document of every word."""
         starts, ends, owner = block.words()
         hashes = span_hash(block.prefix_hash(), starts, ends)
         at = self.learn(block, hashes, starts, ends)
@@ -114,7 +118,7 @@ class WordEncoder:
             ids[sums[:-1][counts > 0]] += np.uint32(mark)
         ids = np.insert(ids, doc_ends, ids.dtype.type(end))
         offsets = np.concatenate(([0], doc_ends + np.arange(1, block.n + 1)))
-        return ids, offsets
+        return ids, offsets, hashes, owner
 
 
 _encoders: dict[tuple, WordEncoder] = {}
