@@ -5,10 +5,16 @@ wherever its low bits vanish (or after `MAX_LINES`), so boundaries move with the
 line shifts nothing behind the next boundary. Multi-line chunks that occur more than once in the corpus
 lose every occurrence but the first (lowest doc_id, then position), after comparing bytes with the first.
 
+A passage of few lines seldom is a whole chunk, so there is a finer level (`runs=True`, what the query and
+the pipeline use): chunks of two lines that start at every line. A run of two or more lines repeats an
+earlier one exactly if all its two-line chunks do, so the later copies of every repeated run go, from its
+first line to its last. A line's first occurrence in the corpus is never part of a later copy and stays.
+
 Only hashes are shuffled to find repeats; texts travel for repeated chunks alone, and every many-to-one
 join meets one row per hash, so a chunk found in a third of the documents is no hot group.
 
-Defined results: null text counts as empty and has no chunks; single-line chunks stay; rows repeating
+Defined results: null text counts as empty and has no chunks; single-line chunks stay (with runs: a line
+repeated without a neighbour; of one line repeated in a row two stay); blank lines are lines; rows repeating
 both doc_id and text are one document and treated alike; a document that loses all lines has empty text
 (`drop_repeated_lines` drops it); an empty table gives no rows; other columns are carried untouched.
 """
@@ -61,6 +67,25 @@ def block_chunks(block: Block) -> tuple[np.ndarray, ...]:
     return owner[firsts], a, b, lasts - firsts + 1, span_hash(sums, a, b)
 
 
+def block_pairs(block: Block) -> tuple[np.ndarray, ...]:
+    """(document, start of the first line, start of the second, end, hash) of every two neighbouring lines."""
+    starts, ends = block.lines()
+    owner = block.owner(starts)
+    at = np.flatnonzero(owner[1:] == owner[:-1])
+    a, b = starts[at], ends[at + 1]
+    return owner[at], a, starts[at + 1], b, span_hash(block.prefix_hash(), a, b)
+
+
+def block_units(block: Block, runs: bool) -> tuple[np.ndarray, ...]:
+    """(document, start, lines, whether it may go) of what is kept or removed as one."""
+    if runs:
+        starts, _ = block.lines()
+        one = np.ones(len(starts), np.int64)
+        return block.owner(starts), starts, one, one > 0
+    owner, a, _, lines, _ = block_chunks(block)
+    return owner, a, lines, lines > 1
+
+
 KEY = ["tg_id", "tg_text_hash"]
 
 
@@ -69,21 +94,26 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("tg_id"), F.xxhash64(text).alias("tg_text_hash"), text.alias("tg_text"))
 
 
-def chunks(docs: DataFrame, with_text: bool) -> DataFrame:
-    """tg_id, tg_text_hash, tg_start, tg_hash (and tg_chunk) of every multi-line chunk."""
+def chunks(docs: DataFrame, with_text: bool, runs: bool = False) -> DataFrame:
+    """tg_id, tg_text_hash, tg_start, tg_next, tg_hash (and tg_chunk) of every multi-line chunk, or of every
+    two-line one; tg_next is where the second line of two starts."""
     rows = _keyed(docs)
-    fields = [rows.schema["tg_id"], rows.schema["tg_text_hash"], T.StructField("tg_start", T.LongType()), T.StructField("tg_hash", T.LongType())]
+    fields = [rows.schema["tg_id"], rows.schema["tg_text_hash"], *[T.StructField(c, T.LongType()) for c in ("tg_start", "tg_next", "tg_hash")]]
     schema = T.StructType(fields + [T.StructField("tg_chunk", T.BinaryType())] * with_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("tg_text")):
-                owner, a, b, lines, keys = block_chunks(block)
-                many = lines > 1
-                owner, a, b, keys = owner[many], a[many], b[many], keys[many]
+                if runs:
+                    owner, a, second, b, keys = block_pairs(block)
+                else:
+                    owner, a, b, lines, keys = block_chunks(block)
+                    many = lines > 1
+                    owner, a, b, keys = owner[many], a[many], b[many], keys[many]
+                    second = a
                 part = batch.slice(block.first, block.n)
                 columns = [part.column(c).take(pa.array(owner)) for c in KEY]
-                columns += [pa.array(a - block.offsets[owner]), pa.array(keys.view(np.int64))]
+                columns += [pa.array(a - block.offsets[owner]), pa.array(second - block.offsets[owner]), pa.array(keys.view(np.int64))]
                 if with_text:
                     raw = block.data.tobytes()
                     columns.append(pa.array([raw[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], pa.binary()))
@@ -92,24 +122,30 @@ def chunks(docs: DataFrame, with_text: bool) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(tg_id, tg_text_hash, tg_starts): where chunks to be removed start, for each affected document."""
+def repeated_chunks(docs: DataFrame, runs: bool = False) -> DataFrame:
+    """(tg_id, tg_text_hash, tg_starts): where chunks (lines) to be removed start, for each affected document."""
     order = F.struct("tg_id", "tg_start", "tg_text_hash")
-    hashes = chunks(docs, False).groupBy("tg_hash").agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
+    hashes = chunks(docs, False, runs).groupBy("tg_hash").agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
     twice = cut(hashes.where(~F.col("lo").eqNullSafe(F.col("hi"))).select("tg_hash", F.col("lo").alias("tg_first")))
     few = twice.count() <= 200_000
-    found = chunks(docs, True).join(F.broadcast(twice) if few else twice, "tg_hash")
+    found = chunks(docs, True, runs).join(F.broadcast(twice) if few else twice, "tg_hash")
     found = cut(found)
     first = found.where(order.eqNullSafe(F.col("tg_first"))).groupBy("tg_hash").agg(F.first("tg_chunk").alias("tg_bytes"))
     later = found.where(~order.eqNullSafe(F.col("tg_first"))).join(first, "tg_hash")
     later = later.where(F.col("tg_chunk") == F.col("tg_bytes"))
+    if runs:
+        # a line three times in a row: the second two overlap the first two and lose their last line alone
+        step = F.col("tg_next") - F.col("tg_start")
+        over = F.struct("tg_id", (F.col("tg_start") - step).alias("tg_start"), "tg_text_hash").eqNullSafe(F.col("tg_first"))
+        lines = F.when(over, F.array("tg_next")).otherwise(F.array("tg_start", "tg_next"))
+        later = later.select(*KEY, F.explode(lines).alias("tg_start"))
     return later.groupBy(*KEY).agg(F.collect_set("tg_start").alias("tg_starts"))
 
 
-def strip_lines(docs: DataFrame, columns: list[str]) -> DataFrame:
+def strip_lines(docs: DataFrame, columns: list[str], runs: bool = False) -> DataFrame:
     """The given columns of docs, the stripped text, and counts of lines and of removed lines."""
     keyed = docs.select(*columns, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tg_text_hash"), F.col("doc_id").alias("tg_id"), F.col("text").cast("string").alias("tg_text"))
-    gone = cut(repeated_chunks(docs))
+    gone = cut(repeated_chunks(docs, runs))
     on = [keyed[c].eqNullSafe(gone[c]) for c in KEY]
     gone_side = F.broadcast(gone) if gone.count() <= 50_000 else gone
     met = keyed.join(gone_side, on, "left").select(*columns, "tg_text", "tg_starts")
@@ -120,7 +156,7 @@ def strip_lines(docs: DataFrame, columns: list[str]) -> DataFrame:
         for batch in batches:
             drops = batch.column("tg_starts").to_pylist()
             for block in blocks(batch.column("tg_text")):
-                owner, a, b, lines, _ = block_chunks(block)
+                owner, a, lines, free = block_units(block, runs)
                 n_lines = np.bincount(owner, lines, block.n).astype(np.int64)
                 raw = block.data.tobytes()
                 kept, removed = [], np.zeros(block.n, np.int64)
@@ -135,7 +171,7 @@ def strip_lines(docs: DataFrame, columns: list[str]) -> DataFrame:
                     parts = []
                     for k in range(bounds[i], bounds[i + 1]):
                         stop = int(a[k + 1]) if k + 1 < bounds[i + 1] else e
-                        if int(a[k]) - o in drop and lines[k] > 1:
+                        if int(a[k]) - o in drop and free[k]:
                             removed[i] += lines[k]
                         else:
                             parts.append(raw[int(a[k]) : stop])
@@ -148,9 +184,9 @@ def strip_lines(docs: DataFrame, columns: list[str]) -> DataFrame:
     return met.mapInArrow(run, schema)
 
 
-def line_report(docs: DataFrame) -> DataFrame:
+def line_report(docs: DataFrame, runs: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed_lines, n_kept_bytes and the SHA-256 of what is left, for every row."""
-    out = strip_lines(docs, ["doc_id"])
+    out = strip_lines(docs, ["doc_id"], runs)
     return out.select(
         "doc_id",
         F.col("tg_lines").alias("n_lines"),
@@ -160,9 +196,9 @@ def line_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, runs: bool = True) -> DataFrame:
     """docs with stripped texts and n_chars to match; documents that lost every line go."""
-    out = strip_lines(docs, docs.columns).where("tg_removed = 0 or tg_removed < tg_lines")
+    out = strip_lines(docs, docs.columns, runs).where("tg_removed = 0 or tg_removed < tg_lines")
     changed = F.col("tg_removed") > 0
     new = {"text": F.when(changed, F.col("tg_kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:

@@ -34,7 +34,7 @@ def op4_radix_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_chunks.line_report(table(spark, sf_dir, "documents"))
+    return line_chunks.line_report(table(spark, sf_dir, "documents"), runs=True)
 
 
 def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import re
 import zlib
 from collections import defaultdict
@@ -223,6 +224,49 @@ def test_line_chunks_equal_brute_force(which, request):
     assert {r.doc_id: r.n_removed_lines for r in out.itertuples() if r.n_removed_lines} == dict(removed)
 
 
+def run_brute(rows):
+    """What is left when every later copy of a run of two or more lines goes, with the number of lines gone."""
+    seen, left = {}, {}
+    for doc_id, text in sorted(rows, key=lambda r: r[0]):
+        lines = (text or "").split("\n")
+        if lines[-1] == "":
+            lines.pop()
+        gone = set()
+        for i, pair in enumerate(zip(lines, lines[1:])):
+            first = seen.setdefault(pair, (doc_id, i))
+            if first == (doc_id, i - 1):
+                gone.add(i + 1)
+            elif first != (doc_id, i):
+                gone |= {i, i + 1}
+        whole = [x + "\n" for x in lines]
+        if whole and not (text or "").endswith("\n"):
+            whole[-1] = lines[-1]
+        left[doc_id] = (len(gone), "".join(x for i, x in enumerate(whole) if i not in gone))
+    return left
+
+
+@pytest.mark.parametrize("which", ["documents", "odd"])
+def test_line_runs_equal_brute_force(which, request):
+    docs = request.getfixturevalue(which).dropDuplicates(["doc_id"])
+    expected = run_brute([(r.doc_id, r.text) for r in docs.collect()])
+    out = line_chunks.line_report(docs, runs=True).toPandas()
+    got = {r.doc_id: (r.n_removed_lines, r.kept_sha256) for r in out.itertuples()}
+    assert got == {d: (n, hashlib.sha256(t.encode()).hexdigest()) for d, (n, t) in expected.items()}
+
+
+@pytest.mark.parametrize("size", [2, 3, 4, 8, 20])
+def test_line_runs_find_planted_passages_whole(size, spark):
+    passage = [f"passage {size} line {i}" for i in range(size)]
+    rows = [(d, "\n".join([f"own {d} {i}" for i in range(5 + d)] + passage + [f"end {d} {i}" for i in range(9)])) for d in range(8)]
+    rows.append((8, "x\nx\nx\nx\ny"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = line_chunks.line_report(docs, runs=True).toPandas().set_index("doc_id").n_removed_lines
+    assert out.sort_index().tolist() == [0] + [size] * 7 + [2]
+    kept = {r.doc_id: r.text for r in line_chunks.drop_repeated_lines(docs).collect()}
+    assert [passage[0] in kept[d] or passage[-1] in kept[d] for d in range(8)] == [True] + [False] * 7
+    assert kept[8] == "x\nx\ny"
+
+
 def test_line_chunks_survive_shift(odd):
     out = line_chunks.line_report(odd).toPandas().set_index("doc_id")
     assert out.n_removed_lines[11] > 10
