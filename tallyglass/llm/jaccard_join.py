@@ -1,6 +1,6 @@
 """Similarity join on sets of word n-grams: adaptive multi-match prefix filtering, exact verification.
 
-1. Documents with equal shingle sets form a class; only its lowest doc_id goes on.
+1. Documents with equal shingle sets form a class, numbered on its own; the row of its lowest doc_id goes on.
 2. Shingle frequencies over all classes, counted in hash buckets whose number follows the corpus; the
    `FREQUENT` most frequent (a bounded table) go last in the global order, all others keep hash order.
 3. Of a set of s shingles at least o = ceil(t * s) lie in any partner, so two partners share at least L of
@@ -16,8 +16,10 @@
 
 Defined results: lower-cased A-Z; fewer words than n: the whole sequence is the one shingle; null, empty
 or blank text: empty set, linked with nothing; repeated rows and equal sets share a component; an id with
-several texts has the links of each of them; an empty
-table gives no rows; other columns are ignored.
+several texts has the links of each of them; a null id links like any other, and its component is null only
+where no document of the component has an id; an empty table gives no rows; other columns are ignored.
+`one_of_each` keeps one row of every component of texts (here a shared id is no link): that of the lowest
+doc_id, null last. Empty sets are linked with nothing: of rows repeating id and text one stays, with null ids all.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .shared import cut
@@ -77,11 +80,12 @@ def shingle_sets(block: Block, n: int = N) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
 def set_keys(texts: DataFrame) -> DataFrame:
-    """id, n (set size) and two hashes of the whole set, for every row."""
+    """id, h (hash of the text), n (set size) and two hashes of the whole set, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,10 +95,10 @@ def set_keys(texts: DataFrame) -> DataFrame:
                 np.cumsum(grams, out=sums[0, 1:])
                 np.cumsum(mix(grams + STEP), out=sums[1, 1:])
                 keys = sums[:, offsets[1:]] - sums[:, offsets[:-1]]
-                ids = batch.column("id").slice(block.first, block.n)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(offsets)), *(pa.array(k.view(np.int64)) for k in keys)], names=["id", "n", "k1", "k2"])
+                part = [batch.column(c).slice(block.first, block.n) for c in ("id", "h")]
+                yield pa.RecordBatch.from_arrays([*part, pa.array(np.diff(offsets)), *(pa.array(k.view(np.int64)) for k in keys)], names=["id", "h", "n", "k1", "k2"])
 
-    return texts.mapInArrow(run, "id long, n long, k1 long, k2 long")
+    return texts.mapInArrow(run, "id long, h long, n long, k1 long, k2 long")
 
 
 def _frequencies(texts: DataFrame, buckets: int) -> DataFrame:
@@ -297,45 +301,91 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+SET = ["k1", "k2", "n"]
+
+
+def _sets(keys: DataFrame) -> DataFrame:
+    """One row for each set that isn't empty: its number `node`, lowest id, and the row that stands for it
+    (rep: blank, id, h, rows repeating both)."""
+    rows = keys.where("n > 0").groupBy("id", "h", *SET).agg(F.count(F.lit(1)).alias("rows"))
+    rep = F.min(F.struct(F.col("id").isNull().alias("blank"), "id", "h", "rows")).alias("rep")
+    return cut(rows.groupBy(*SET).agg(rep, F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()))
+
+
+def _links(texts: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Verified links (a, b) between the nodes of `sets`, enough to join all that are linked; None without sets."""
+    total = sets.agg(F.sum("n").alias("s"), F.count(F.lit(1)).alias("c"), F.max("rep.rows").alias("r")).first()
+    if not total.s:
+        return None
+    buckets = max(1, -(-total.s // BUCKET_SHINGLES))
+    reps = sets.select("node", F.col("rep.id").alias("rid"), F.col("rep.h").alias("rh"), F.col("rep.rows").alias("rows"))
+    reps = F.broadcast(reps) if total.c <= 1_000_000 else reps
+    met = texts.join(reps, F.col("id").eqNullSafe(F.col("rid")) & (F.col("h") == F.col("rh"))).select(F.col("node").alias("id"), "text", "rows")
+    mine = met.select("id", "text")
+    if total.r > 1:
+        again = met.where("rows > 1").groupBy("id").agg(F.first("text").alias("text"))
+        mine = met.where("rows = 1").select("id", "text").union(cut(again))
+    top = _frequencies(mine, buckets).orderBy(F.desc("n"), "fp").limit(FREQUENT).toArrow()
+    fp = top.column("fp").to_numpy().view(np.uint64)
+    order = np.argsort(fp)
+    frequent = (fp[order], top.column("n").to_numpy()[order])
+    entries = cut(_postings(_index(mine, frequent, buckets, percent), percent))
+    ids = entries.select("id").distinct()
+    ids = cut(ids)
+    ids = F.broadcast(ids) if ids.count() <= 2_000_000 else ids
+    wanted = cut(mine.join(ids, "id", "left_semi"))
+    like = f"size * {percent} <= 100 * low_size and low_size * {percent} <= 100 * size"
+    stars = entries.where("id <> low").where(like).select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+    links = cut(verify(stars, wanted, percent))
+    comp = components(links, "a", "b")
+    placed = entries.join(comp, entries.id == comp.node, "left").select("fp", "id", "size", "need", F.coalesce("component", "id").alias("comp"))
+    more = verify(_cross_pairs(placed, percent, 4 * buckets), wanted, percent)
+    return links.union(cut(more))
+
+
+def _classed(sets: DataFrame, links: DataFrame | None) -> DataFrame:
+    """sets with `class`, the number of their component."""
+    if links is None:
+        return sets.withColumn("class", F.col("node"))
+    comp = cut(components(links, "a", "b")).withColumnRenamed("node", "placed")
+    return sets.join(comp, sets.node == comp.placed, "left").select(*sets.columns, F.coalesce("component", "node").alias("class"))
+
+
 def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (lowest doc_id reachable by links) for every row of docs."""
     texts = _texts(docs)
     keys = cut(set_keys(texts))
-    exact = keys.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"))
-    exact = cut(exact)
-    total = exact.agg(F.sum("n").alias("s"), F.count(F.lit(1)).alias("c")).first()
-    reps = exact.select(F.col("rep").alias("id"), F.col("n"))
-    links = None
-    if total.s:
-        buckets = max(1, -(-total.s // BUCKET_SHINGLES))
-        mine = texts.join(F.broadcast(reps) if total.c <= 2_000_000 else reps, "id", "left_semi")
-        top = _frequencies(mine, buckets).orderBy(F.desc("n"), "fp").limit(FREQUENT).toArrow()
-        fp = top.column("fp").to_numpy().view(np.uint64)
-        order = np.argsort(fp)
-        frequent = (fp[order], top.column("n").to_numpy()[order])
-        entries = cut(_postings(_index(mine, frequent, buckets, percent), percent))
-        ids = entries.select("id").distinct()
-        ids = cut(ids)
-        ids = F.broadcast(ids) if ids.count() <= 2_000_000 else ids
-        wanted = cut(mine.join(ids, "id", "left_semi"))
-        like = f"size * {percent} <= 100 * low_size and low_size * {percent} <= 100 * size"
-        stars = entries.where("id <> low").where(like).select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-        links = cut(verify(stars, wanted, percent))
-        comp = components(links, "a", "b")
-        placed = entries.join(comp, entries.id == comp.node, "left").select("fp", "id", "size", "need", F.coalesce("component", "id").alias("comp"))
-        more = verify(_cross_pairs(placed, percent, 4 * buckets), wanted, percent)
-        links = links.union(cut(more))
-        comp = cut(components(links, "a", "b"))
-    else:
-        comp = reps.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
-    met = exact.join(comp, exact.rep == comp.node, "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("top"))
-    out = keys.join(met, ["k1", "k2", "n"], "left")
+    sets = _sets(keys)
+    links = _links(texts, sets, percent)
+    if links is not None:  # an id with several texts joins them
+        several = keys.where("n > 0 and id is not null").groupBy("id").agg(F.min(F.struct(*SET)).alias("s0"), F.max(F.struct(*SET)).alias("s1")).where("s0 <> s1")
+        several = cut(keys.where("n > 0").join(several.select("id"), "id", "left_semi").select("id", *SET).distinct())
+        numbered = cut(several.join(sets.select(*SET, "node"), SET).select("id", "node"))
+        least = numbered.groupBy("id").agg(F.min("node").alias("a"))
+        links = links.union(numbered.join(least, "id").where("a <> node").select("a", F.col("node").alias("b")))
+    classed = cut(_classed(sets, links))
+    top = classed.groupBy("class").agg(F.min("id").alias("top"))
+    out = keys.join(classed.join(top, "class").select(*SET, "top"), SET, "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("top", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose doc_id is the lowest of its near-duplicate component."""
-    classes = near_duplicate_classes(docs, percent).where("doc_id = component_id").select(F.col("doc_id").alias("tg_keep")).distinct()
-    kept = cut(classes)
-    kept = F.broadcast(kept) if kept.count() <= 2_000_000 else kept
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("tg_keep")), "left_semi")
+    """One row of docs for each near-duplicate component: that of the lowest doc_id."""
+    texts = _texts(docs)
+    keys = cut(set_keys(texts))
+    sets = _sets(keys)
+    best = _classed(sets, _links(texts, sets, percent)).groupBy("class").agg(F.min("rep").alias("rep")).select("rep.id", "rep.h", "rep.rows")
+    # of empty sets those with null ids stay all, so they count as met once
+    empty = keys.where("n = 0").groupBy("id", "h").agg(F.count(F.lit(1)).alias("rows"))
+    empty = empty.withColumn("rows", F.when(F.col("id").isNull(), F.lit(1)).otherwise(F.col("rows")))
+    kept = cut(best.union(empty).select(F.col("id").alias("tg_id"), F.col("h").alias("tg_h"), F.col("rows").alias("tg_rows")))
+    size = kept.agg(F.count(F.lit(1)).alias("c"), F.max("tg_rows").alias("r")).first()
+    kept = F.broadcast(kept) if size.c <= 1_000_000 else kept
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("tg_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("tg_h"))
+    once = docs.join(kept.where("tg_rows = 1"), on, "left_semi")
+    if (size.r or 1) == 1:
+        return once
+    again = docs.join(kept.where("tg_rows > 1"), on)
+    plain = [c for c in docs.columns if not isinstance(docs.schema[c].dataType, T.MapType)]
+    one = again.groupBy("tg_id", "tg_h").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("tg_row"))
+    return once.union(one.select(*[F.col("tg_row")[c].alias(c) for c in docs.columns]))

@@ -70,6 +70,39 @@ def test_one_of_each(odd):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6, 7, 8, 10]
 
 
+def test_one_of_each_null_ids_and_repeated_rows(spark):
+    body, other, third = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    near = " ".join([*body.split()[:59], "end"])
+    rows = [
+        (None, "only here and nowhere else at all", "x"),
+        (None, "", "x"),
+        (None, " ", "x"),
+        (None, near, "x"),
+        (3, body, "x"),
+        (3, body, "x"),
+        (3, other, "x"),  # another text of the same id
+        (5, body, "x"),
+        (7, "", "x"),
+        (7, "", "x"),
+        (None, third, "x"),
+        (None, third, "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more string")
+    got = jaccard_join.one_of_each(docs).collect()
+    expected = [rows[i] for i in (0, 1, 2, 4, 6, 8, 10)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
+
+
+def test_jaccard_join_links_through_null_ids_and_shared_ids(spark):
+    words = [f"w{i}" for i in range(100)]
+    change = lambda n: " ".join([*(f"v{i}" for i in range(n)), *words[n:]])
+    other = " ".join(f"o{i}" for i in range(50))
+    rows = [(4, change(0)), (None, change(8)), (9, change(16)), (9, other), (12, other), (None, "alone in all this table")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.component_id) for r in jaccard_join.near_duplicate_classes(docs).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(4, 4), (None, 4), (9, 4), (9, 4), (12, 4), (None, None)]))
+
+
 def base_counts(text):
     text = text or ""
     words = WORD.findall(text)
