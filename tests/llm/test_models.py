@@ -2,8 +2,10 @@ import math
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -41,6 +43,37 @@ def test_lm_empty(nothing):
     assert attention_lm.text_scores(nothing, LM_FILE).count() == 0
 
 
+@pytest.mark.parametrize("apart", [False, True])
+def test_lm_learns_every_training_symbol(apart, documents, monkeypatch):
+    monkeypatch.setattr(attention_lm, "STEPS", 1)
+    monkeypatch.setattr(attention_lm, "PIECE", 10 * attention_net.SCORED)
+    rows = documents.selectExpr("doc_id as row", "doc_id % 3 <> 0 as training", "text")
+    gathered = attention_lm.gather(rows, LM_FILE, 1).cache()
+    all_rows = gathered.where("kind = 3").toPandas()
+    symbols = lambda f: attention_lm.decoded(pa.array(f["a"], pa.binary()), f["n"].to_numpy())
+    whole = {r: symbols(f).tolist() for r, f in all_rows.groupby("bucket")}
+    assert set(whole) == {r.row for r in rows.where("training").collect()}
+    parts = attention_lm.dealt(gathered, 3, apart).toPandas()
+    assert parts.n.max() <= attention_lm.PIECE and parts.shard.nunique() == 3
+    assert parts.turn.nunique() == (len(attention_lm.ROUNDS) if apart else 0)
+    assert {r: symbols(f.sort_values("place")).tolist() for r, f in parts.groupby("row")} == whole
+
+    met = []
+    plain = attention_net.gradients
+
+    def watched(w, ids, targets, live):
+        met.append(targets[live])
+        return plain(w, ids, targets, live)
+
+    monkeypatch.setattr(attention_net, "gradients", watched)
+    slots = np.minimum(np.arange(attention_lm.SYMBOLS), attention_net.RARE)
+    w = attention_net.start_weights(np.ones(attention_net.SLOTS), 1.0)
+    mine = parts[parts.shard == 0]
+    attention_lm._step(0, 0.01, SimpleNamespace(value=w), slots)((0,), mine)
+    seen, due = (np.bincount(v, minlength=attention_net.RARE + 1) for v in (np.concatenate(met), slots[symbols(mine)]))
+    assert (seen >= due).all() and seen.sum() <= due.sum() + attention_lm.BATCH * attention_net.SCORED
+
+
 def small_net(seed=0):
     rng = np.random.default_rng(seed)
     w = attention_net.start_weights(rng.integers(1, 100, attention_net.SLOTS), 3.0)
