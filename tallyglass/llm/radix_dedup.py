@@ -9,9 +9,14 @@ are exactly the repeated windows.
    an anchor, so about one position in eighty travels instead of all. Anchors that occur once leave.
 2. For anchors that repeat, the bytes of their windows travel to the anchor's bucket, where the windows
    are sorted by (anchor, offset) and then by `DIGIT`-byte digits.
-3. Anchors found more than `HOT` times are dealt window by window instead: Spark counts window hashes with
-   map-side combine and joins back, so no group of copies is collected in a task.
-Texts that are equal as a whole are one document here; a text with copies is repeated all over.
+3. Anchors found more than `HOT` times don't meet in one place: their windows take all digits at once, as
+   one hash.
+Anchors and hot windows are counted alike: a task packs what it found in lots, a lot sends each different
+hash once with its count to the hash's bucket, the bucket answers every lot with one byte a hash, and the
+places of repeated ones are read off inside the lot (windows as merged runs). So a string found in a third
+of all texts adds one entry a lot, however often it occurs in it.
+Texts that are equal as a whole are one document here; a text with copies is repeated all over, so it is
+compared with others but sends no runs.
 
 Digits are compared by 64-bit hash.
 
@@ -23,6 +28,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +43,15 @@ from .words import STEP, Block, blocks, mix, packed, powers, repeated, span_hash
 WIDTH = 200
 ANCHOR = 40
 DIGIT = 50
-HOT = 1 << 16
+HOT = 1 << 14
 BUCKET_ANCHORS = 1 << 19
 BUCKET_CONTEXTS = 10_000
 SLICE_WINDOWS = 1_000_000
-FEW_KEYS = 1_000_000
+LOT_ANCHORS = 400_000
+LOT_WINDOWS = 1_000_000
+FEW_KEYS = 250_000
+#: Low bits that hold a place; the same for all texts, so that near ties break alike everywhere.
+PLACE_BITS = np.uint64(31)
 
 
 def anchors(block: Block, width: int = WIDTH) -> tuple[np.ndarray, ...]:
@@ -53,8 +63,7 @@ def anchors(block: Block, width: int = WIDTH) -> tuple[np.ndarray, ...]:
     sums = block.prefix_hash()
     starts = np.arange(n - ANCHOR + 1)
     hashes = span_hash(sums, starts, starts + ANCHOR)
-    bits = np.uint64(max(1, int(n).bit_length()))
-    least = (hashes >> bits << bits) | starts.astype(np.uint64)
+    least = (hashes >> PLACE_BITS << PLACE_BITS) | starts.astype(np.uint64)
     span, have = width - ANCHOR + 1, 1
     while have * 2 <= span:
         least = np.minimum(least[:-have], least[have:])
@@ -69,7 +78,7 @@ def anchors(block: Block, width: int = WIDTH) -> tuple[np.ndarray, ...]:
     if not windows:
         return none, none, none.astype(np.uint64), none, none
     windows = np.concatenate(windows)
-    at = (least[windows] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    at = (least[windows] & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
     new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     last = windows[np.append(new[1:], len(windows)) - 1]
     at = at[new]
@@ -77,62 +86,140 @@ def anchors(block: Block, width: int = WIDTH) -> tuple[np.ndarray, ...]:
 
 
 KEY = ["k1", "k2"]
+LOT = "lot long, bucket long, n long, m long, keys binary, counts binary, texts binary, places binary"
+#: Bucket number of the row that lists a lot's texts.
+OWN = -1
 
 
 def _ints(batch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
 
 
-def _repeated_anchors(texts: DataFrame, buckets: int, width: int) -> DataFrame:
-    """(k1, k2, at, n): anchors found at least twice, with the number of times."""
+def _lot(found: list[tuple], k1: np.ndarray, k2: np.ndarray, lone: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One lot of (hash, text, place) as rows: each bucket's different hashes with their counts and, in the
+    same order, texts and places; and one row (OWN) with the keys of the texts."""
+    h, text, place = (np.concatenate(c) for c in zip(*found, strict=True))
+    where = (h % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((h, where))  # stable: places of a hash stay in order
+    h, text, place = h[order], text[order], place[order]
+    bounds = np.searchsorted(where[order], np.arange(buckets + 1))
+    number = uuid.uuid4().int >> 65
+    rows = [(number, OWN, len(k1), 0, packed(k1), packed(k2), packed(lone), b"")]
+    for b in np.flatnonzero(np.diff(bounds)).tolist():
+        s = slice(bounds[b], bounds[b + 1])
+        edges = np.flatnonzero(np.concatenate(([True], h[s][1:] != h[s][:-1], [True])))
+        keys, counts = h[s][edges[:-1]], np.diff(edges)
+        rows.append((number, b, len(keys), int(edges[-1]), packed(np.diff(keys, prepend=np.uint64(0))), packed(counts), packed(text[s]), packed(place[s])))
+    kinds = [pa.int64()] * 4 + [pa.binary()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in LOT.split(", ")])
+
+
+class _Lots:
+    """Collects what a task finds and hands it on in lots."""
+
+    def __init__(self, buckets: int, most: int):
+        self.buckets, self.most = buckets, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.found, self.keys, self.size, self.texts = [], [], 0, 0
+
+    def add(self, h: np.ndarray, doc: np.ndarray, place: np.ndarray, k1: np.ndarray, k2: np.ndarray, lone: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(h):
+            self.found.append((h, (doc + self.texts).astype(np.int32), place.astype(np.int32)))
+            self.keys.append((k1, k2, lone))
+            self.texts += len(k1)
+            self.size += len(h)
+        if self.size > self.most:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.found:
+            yield _lot(self.found, *(np.concatenate(c) for c in zip(*self.keys, strict=True)), self.buckets)
+        self.clear()
+
+
+def _answers(lots: DataFrame) -> DataFrame:
+    """(lot, bucket, answer): one byte for each hash a lot sent: 0 found once in all, 1 repeated, 2 hot."""
+
+    def count(key, frame: pd.DataFrame) -> pd.DataFrame:
+        sizes = frame["n"].to_numpy()
+        h = np.concatenate([np.cumsum(unpacked(d, n, np.uint64)) for d, n in zip(frame["keys"], sizes, strict=True)])
+        c = np.concatenate([unpacked(d, n, np.int64) for d, n in zip(frame["counts"], sizes, strict=True)])
+        order = np.argsort(h)
+        new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
+        group = np.cumsum(new) - 1
+        total = np.zeros(len(h), np.int64)
+        total[order] = np.bincount(group, c[order]).astype(np.int64)[group]
+        says = (total > 1).astype(np.uint8) + (total > HOT)
+        ends = np.cumsum(sizes)
+        return pd.DataFrame({"lot": frame["lot"], "bucket": key[0], "answer": [packed(says[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]})
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+    sent = lots.where(F.col("bucket") != OWN).select("lot", "bucket", "n", "keys", "counts")
+    return sent.groupBy("bucket").applyInPandas(count, "lot long, bucket long, answer binary")
 
-        def flush():
-            h, k1, k2, at = (np.concatenate(c) for c in zip(*held, strict=True))
-            held.clear()
-            where = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((h, where))
-            bounds = np.searchsorted(where[order], np.arange(buckets + 1))
-            h, k1, k2, at = h[order], k1[order], k2[order], at[order]
-            rows = []
-            for b in np.flatnonzero(np.diff(bounds)):
-                s = slice(bounds[b], bounds[b + 1])
-                rows.append((int(b), int(s.stop - s.start), packed(np.diff(h[s], prepend=np.uint64(0))), packed(k1[s]), packed(k2[s]), packed(at[s])))
-            kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "n", "h", "k1", "k2", "at"])
 
+def _told(lots: DataFrame) -> DataFrame:
+    """lot, bucket, and the texts, places and answers of every find of a repeated hash; OWN rows as they are."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                says = np.repeat(unpacked(r["answer"], r["n"], np.uint8), unpacked(r["counts"], r["n"], np.int64))
+                on = says > 0
+                text, place = (unpacked(r[c], r["m"], np.int32)[on] for c in ("texts", "places"))
+                if len(text):
+                    out.append((r["lot"], r["bucket"], len(text), packed(text), packed(place), packed(says[on])))
+            if out:
+                kinds = [pa.int64()] * 3 + [pa.binary()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["lot", "bucket", "n", "a", "b", "c"])
+
+    kept = lots.select("lot", "bucket", "n", "m", "counts", "texts", "places").join(_answers(lots), ["lot", "bucket"])
+    finds = kept.mapInArrow(tell, "lot long, bucket long, n long, a binary, b binary, c binary")
+    own = lots.where(F.col("bucket") == OWN).select("lot", "bucket", "n", F.col("keys").alias("a"), F.col("counts").alias("b"), F.col("texts").alias("c"))
+    return finds.union(own)
+
+
+def _of_lot(frame: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """k1, k2, lone of a lot's texts, then text, place and answer of its repeated finds."""
+    own = frame[frame["bucket"] == OWN].iloc[0]
+    keys = [unpacked(own[c], own["n"], k) for c, k in (("a", np.int64), ("b", np.int64), ("c", bool))]
+    rest = frame[frame["bucket"] != OWN]
+    read = lambda c, k: np.concatenate([np.zeros(0, k), *(unpacked(d, n, k) for d, n in zip(rest[c], rest["n"], strict=True))])
+    return (*keys, read("a", np.int32), read("b", np.int32), read("c", np.uint8))
+
+
+def _repeated_anchors(texts: DataFrame, buckets: int, width: int) -> DataFrame:
+    """(k1, k2, ats, hot): the anchors of each text that are found at least twice, hot ones apart."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lots = _Lots(buckets, LOT_ANCHORS)
         for batch in batches:
-            k1, k2 = _ints(batch, "k1"), _ints(batch, "k2")
+            k1, k2, lone = _ints(batch, "k1"), _ints(batch, "k2"), _ints(batch, "lone")
             for block in blocks(batch.column("text")):
                 doc, at, h, _, _ = anchors(block, width)
-                if len(at):
-                    held.append((h, k1[block.first + doc], k2[block.first + doc], at - block.offsets[doc]))
-                if sum(len(x[0]) for x in held) > 400_000:
-                    yield flush()
-        if held:
-            yield flush()
+                mine = slice(block.first, block.first + block.n)
+                yield from lots.add(h, doc, at - block.offsets[doc], k1[mine], k2[mine], lone[mine])
+        yield from lots.rest()
 
-    def gather(key, frame: pd.DataFrame) -> pd.DataFrame:
-        h = np.concatenate([np.cumsum(unpacked(d, n, np.uint64)) for d, n in zip(frame["h"], frame["n"], strict=True)])
-        k1, k2, at = (np.concatenate([unpacked(d, n, np.int64) for d, n in zip(frame[c], frame["n"], strict=True)]) for c in ("k1", "k2", "at"))
-        order = np.argsort(h)
-        new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
-        group = np.cumsum(new) - 1
-        counts = np.bincount(group)[group]
-        keep = counts > 1
-        order = order[keep]
-        return pd.DataFrame({"k1": k1[order], "k2": k2[order], "at": at[order], "n": counts[keep]})
+    def lists(key, frame: pd.DataFrame) -> pd.DataFrame:
+        k1, k2, _, text, place, says = _of_lot(frame)
+        order = np.lexsort((place, says, text))
+        text, place, says = text[order], place[order], says[order]
+        edges = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (says[1:] != says[:-1]), [True]))) if len(text) else np.zeros(1, np.int64)
+        first = edges[:-1]
+        ats = [place[a:b].astype(np.int64) for a, b in zip(first.tolist(), edges[1:].tolist(), strict=True)]
+        return pd.DataFrame({"k1": k1[text[first]], "k2": k2[text[first]], "hot": says[first] == 2, "ats": ats})
 
-    dealt = texts.mapInArrow(deal, "bucket long, n long, h binary, k1 binary, k2 binary, at binary")
-    return dealt.groupBy("bucket").applyInPandas(gather, "k1 long, k2 long, at long, n long")
+    lots = cut(texts.mapInArrow(deal, LOT))
+    return _told(lots).groupBy("lot").applyInPandas(lists, "k1 long, k2 long, hot boolean, ats array<long>")
 
 
 def _selected(batches: Iterator[pa.RecordBatch], width: int):
     """Blocks with the anchors that are listed in the batch's `ats` column."""
     for batch in batches:
-        k1, k2 = _ints(batch, "k1"), _ints(batch, "k2")
+        k1, k2, lone = _ints(batch, "k1"), _ints(batch, "k2"), _ints(batch, "lone")
         lists = batch.column("ats")
         sizes = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False))
         ends = np.cumsum(sizes)
@@ -143,7 +230,7 @@ def _selected(batches: Iterator[pa.RecordBatch], width: int):
             mine = values[ends[i] - sizes[i] : ends[j - 1]]
             owner = np.repeat(np.arange(block.n), sizes[i:j])
             wanted = np.isin(at, mine + block.offsets[owner])
-            yield block, k1[i:j], k2[i:j], doc[wanted], at[wanted], h[wanted], lo[wanted], hi[wanted]
+            yield block, k1[i:j], k2[i:j], lone[i:j], doc[wanted], at[wanted], h[wanted], lo[wanted], hi[wanted]
 
 
 def _contexts(texts: DataFrame, buckets: int, width: int) -> DataFrame:
@@ -154,7 +241,7 @@ def _contexts(texts: DataFrame, buckets: int, width: int) -> DataFrame:
         size = 0
 
         def flush():
-            h, k1, k2, at, lo, hi, start = (np.concatenate([x[c] for x in held]) for c in range(7))
+            h, k1, k2, lone, at, lo, hi, start = (np.concatenate([x[c] for x in held]) for c in range(8))
             which = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
             where = (h % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(where, kind="stable")
@@ -162,17 +249,17 @@ def _contexts(texts: DataFrame, buckets: int, width: int) -> DataFrame:
             rows = []
             for b in np.flatnonzero(np.diff(bounds)):
                 s = order[bounds[b] : bounds[b + 1]]
-                body = b"".join(held[which[i]][7][start[i] : start[i] + hi[i] - lo[i] + width] for i in s)
-                rows.append((int(b), len(s), len(body), *(packed(c[s]) for c in (h, k1, k2, at - lo, lo, hi - lo)), pa.compress(body, codec="zstd", asbytes=True)))
+                body = b"".join(held[which[i]][8][start[i] : start[i] + hi[i] - lo[i] + width] for i in s)
+                rows.append((int(b), len(s), len(body), *(packed(c[s]) for c in (h, k1, k2, lone, at - lo, lo, hi - lo)), pa.compress(body, codec="zstd", asbytes=True)))
             held.clear()
-            kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 7)
-            names = ["bucket", "n", "bytes", "h", "k1", "k2", "shift", "lo", "more", "body"]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 8)
+            names = ["bucket", "n", "bytes", "h", "k1", "k2", "lone", "shift", "lo", "more", "body"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-        for block, k1, k2, doc, at, h, lo, hi in _selected(batches, width):
+        for block, k1, k2, lone, doc, at, h, lo, hi in _selected(batches, width):
             if len(at):
                 base = block.offsets[doc]
-                held.append((h, k1[doc], k2[doc], at - base, lo - base, hi - base, lo, block.data.tobytes()))
+                held.append((h, k1[doc], k2[doc], lone[doc], at - base, lo - base, hi - base, lo, block.data.tobytes()))
                 size += int((hi - lo + width).sum())
             if size > 12_000_000:
                 size = 0
@@ -180,7 +267,7 @@ def _contexts(texts: DataFrame, buckets: int, width: int) -> DataFrame:
         if held:
             yield flush()
 
-    return texts.mapInArrow(deal, "bucket long, n long, bytes long, h binary, k1 binary, k2 binary, shift binary, lo binary, more binary, body binary")
+    return texts.mapInArrow(deal, "bucket long, n long, bytes long, h binary, k1 binary, k2 binary, lone binary, shift binary, lo binary, more binary, body binary")
 
 
 def relative_sums(data: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -213,7 +300,8 @@ def _sorted_windows(contexts: DataFrame, width: int) -> DataFrame:
     """(k1, k2, a, b): byte runs covered by repeated windows, from the contexts of each bucket."""
 
     def order(key, frame: pd.DataFrame) -> pd.DataFrame:
-        cols = {c: np.concatenate([unpacked(d, n, np.uint64 if c == "h" else np.int64) for d, n in zip(frame[c], frame["n"], strict=True)]) for c in ("h", "k1", "k2", "shift", "lo", "more")}
+        kinds = {"h": np.uint64, "lone": bool}
+        cols = {c: np.concatenate([unpacked(d, n, kinds.get(c, np.int64)) for d, n in zip(frame[c], frame["n"], strict=True)]) for c in ("h", "k1", "k2", "lone", "shift", "lo", "more")}
         body = b"".join(pa.decompress(d, n, codec="zstd", asbytes=True) for d, n in zip(frame["body"], frame["bytes"], strict=True))
         out = []
         sizes = cols["more"] + width
@@ -244,6 +332,8 @@ def _sorted_windows(contexts: DataFrame, width: int) -> DataFrame:
                 alive = window_passes(keys, sums, local_begin[which] + step, step, width)
                 found.append(np.stack([which[alive], step[alive]]))
             w, step = np.concatenate(found, axis=1)
+            lone = cols["lone"][part][w]
+            w, step = w[lone], step[lone]
             by_place = np.lexsort((step, w))
             w, p = w[by_place], cols["lo"][part][w[by_place]] + step[by_place]
             if not len(w):
@@ -257,25 +347,35 @@ def _sorted_windows(contexts: DataFrame, width: int) -> DataFrame:
     return contexts.groupBy("bucket").applyInPandas(order, "k1 long, k2 long, a long, b long")
 
 
-def _counted_windows(texts: DataFrame, width: int) -> DataFrame:
-    """The same for hot anchors: window hashes counted and joined by Spark."""
+def _hot_windows(texts: DataFrame, buckets: int, width: int) -> DataFrame:
+    """The same around hot anchors: window hashes counted lot by lot, repeated windows merged to runs."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, k1, k2, doc, _, _, lo, hi in _selected(batches, width):
+        lots = _Lots(buckets, LOT_WINDOWS)
+        for block, k1, k2, lone, doc, _, _, lo, hi in _selected(batches, width):
             count = hi - lo + 1
             p = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             which = np.repeat(doc, count)
-            h = span_hash(block.prefix_hash(), p, p + width).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, k1[which], k2[which], p - block.offsets[which])], names=["h", "k1", "k2", "a"])
+            h = span_hash(block.prefix_hash(), p, p + width)
+            yield from lots.add(h, which, p - block.offsets[which], k1, k2, lone)
+        yield from lots.rest()
+
+    def runs(key, frame: pd.DataFrame) -> pd.DataFrame:
+        k1, k2, lone, text, place, _ = _of_lot(frame)
+        text, place = text[lone[text]], place[lone[text]].astype(np.int64)
+        order = np.lexsort((place, text))
+        text, place = text[order], place[order]
+        new = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1)))) if len(text) else np.zeros(0, np.int64)
+        last = np.append(new[1:], len(text))[: len(new)] - 1
+        return pd.DataFrame({"k1": k1[text[new]], "k2": k2[text[new]], "a": place[new], "b": place[last] + width})
 
-    windows = texts.mapInArrow(deal, "h long, k1 long, k2 long, a long")
-    twice = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    return windows.join(twice, "h").select("k1", "k2", "a", (F.col("a") + width).alias("b"))
+    lots = cut(texts.mapInArrow(deal, LOT))
+    return _told(lots).groupBy("lot").applyInPandas(runs, "k1 long, k2 long, a long, b long")
 
 
 def _with_lists(texts: DataFrame, found: DataFrame) -> DataFrame:
-    lists = found.groupBy(*KEY).agg(F.collect_list("at").alias("ats"))
-    return _only(texts, found.select(*KEY).distinct()).join(lists, KEY)
+    found = found.select(*KEY, "ats").dropDuplicates(KEY)  # rows repeating id and text have equal lists
+    return _only(texts, found.select(*KEY)).join(found, KEY)
 
 
 def _only(texts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -325,18 +425,19 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     row = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     keys = cut(base.select("doc_id", row.alias("row"), *KEY, "n", F.sha2("text", 256).alias("sha")))
     classes = cut(keys.groupBy(*KEY, "n").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row")))
-    copies = cut(keys.join(classes.where("copies > 1").select(*KEY, F.col("row").alias("first")), KEY).where("row <> first").select("row", *KEY))
-    copies = F.broadcast(copies) if copies.count() <= FEW_KEYS else copies
-    texts = base.where(F.col("n") >= width).withColumn("row", row).join(copies, ["row", *KEY], "left_anti").select(*KEY, "text")
+    copied = classes.where("copies > 1").select(*KEY, F.col("row").alias("first"))
+    copied = F.broadcast(copied) if copied.count() <= FEW_KEYS else copied
+    texts = base.where(F.col("n") >= width).withColumn("row", row).join(copied, KEY, "left").where("first is null or row = first")
+    texts = texts.select(*KEY, F.col("first").isNull().alias("lone"), "text")
     total = classes.where(F.col("n") >= width).agg(F.sum("n")).first()[0] or 0
     found = cut(_repeated_anchors(texts, max(1, -(-total // (BUCKET_ANCHORS * 80))), width))
-    many = found.where(F.col("n") <= HOT)
-    spans = _sorted_windows(_contexts(_with_lists(texts, many), max(1, -(-many.count() // BUCKET_CONTEXTS)), width), width)
-    hot = found.where(F.col("n") > HOT)
-    if hot.limit(1).count():
-        spans = spans.union(_counted_windows(_with_lists(texts, hot), width))
-    single = classes.where("copies = 1").select(*KEY)
-    spans = cut(spans.join(single, KEY, "left_semi"))
+    many = found.groupBy("hot").agg(F.sum(F.size("ats")).alias("n")).collect()
+    many = {r.hot: r.n for r in many}
+    spans = _sorted_windows(_contexts(_with_lists(texts, found.where("not hot")), max(1, -(-many.get(False, 0) // BUCKET_CONTEXTS)), width), width)
+    if many.get(True):
+        windows = many[True] * (width - ANCHOR) // 2
+        spans = spans.union(_hot_windows(_with_lists(texts, found.where("hot")), max(1, -(-windows // LOT_WINDOWS)), width))
+    spans = cut(spans)
     stripped = strip(_only(texts, spans.select(*KEY).distinct()), spans).drop("kept")
     stripped = cut(stripped)
     met = keys.join(classes.select(*KEY, "copies"), KEY).join(stripped, KEY, "left")

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tallyglass.llm import embedding_dedup, radix_dedup
+from tallyglass.llm.words import Block
 
 
 def window_brute(rows, width=200):
@@ -42,7 +43,7 @@ def test_window_passes_in_slices():
     from tallyglass.llm.words import packed
 
     rng = np.random.default_rng(3)
-    body, cols = b"", {c: [] for c in ("h", "k1", "k2", "shift", "lo", "more")}
+    body, cols = b"", {c: [] for c in ("h", "k1", "k2", "lone", "shift", "lo", "more")}
     common = bytes(rng.integers(97, 100, 360).astype(np.uint8))
     for i in range(40):
         text = bytearray(common)
@@ -54,10 +55,11 @@ def test_window_passes_in_slices():
         piece = bytes(text)[start : start + more + 200]
         more = len(piece) - 200
         body += piece
-        for c, v in (("h", 1 + i % 3), ("k1", i), ("k2", 0), ("shift", 100 - start), ("lo", 0), ("more", more)):
+        for c, v in (("h", 1 + i % 3), ("k1", i), ("k2", 0), ("lone", i % 5 > 0), ("shift", 100 - start), ("lo", 0), ("more", more)):
             cols[c].append(v)
     row = {"bucket": 0, "n": 40, "bytes": len(body), "body": __import__("pyarrow").compress(body, codec="zstd", asbytes=True)}
-    row |= {c: packed(np.array(v, np.uint64 if c == "h" else np.int64)) for c, v in cols.items()}
+    kinds = {"h": np.uint64, "lone": bool}
+    row |= {c: packed(np.array(v, kinds.get(c, np.int64))) for c, v in cols.items()}
 
     class Grouped:
         def groupBy(self, *_):
@@ -84,6 +86,40 @@ def test_windows_of_random_repeats(spark):
     assert got == window_brute(rows)
 
 
+def test_hot_windows_are_runs(spark, monkeypatch):
+    """A large group of near copies with a passage of one word repeated: one run a stretch, not one row a window."""
+    monkeypatch.setattr(radix_dedup, "HOT", 2)
+    monkeypatch.setattr(radix_dedup, "LOT_WINDOWS", 5000)
+    common = " ".join(f"c{i}" for i in range(120))
+    rows = [(i, f"{common} own {i} {'x' * (i % 7)}" + " same" * 100 + f" {i}") for i in range(60)]
+    texts = spark.createDataFrame([(i, 0, i % 10 > 0, t) for i, t in rows], "k1 long, k2 long, lone boolean, text string")
+    found = radix_dedup._repeated_anchors(texts, 3, 200).where("hot")
+    spans = radix_dedup._hot_windows(radix_dedup._with_lists(texts, found), 5, 200).toPandas()
+    assert set(spans.k1) == {i for i in range(60) if i % 10}
+    assert len(spans) <= 4 * 60 and (spans.b - spans.a >= 200).all()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in radix_dedup.repeated_windows(docs).collect()) == window_brute(rows)
+
+
+def test_anchors_do_not_depend_on_the_block():
+    rng = np.random.default_rng(8)
+    text = rng.integers(97, 123, 3000).astype(np.uint8)
+    other = rng.integers(97, 123, 900_000).astype(np.uint8)
+    small = radix_dedup.anchors(Block(0, text, np.array([0, 3000])))
+    large = radix_dedup.anchors(Block(0, np.concatenate([text, other]), np.array([0, 3000, 903_000])))
+    mine = large[0] == 0
+    for x, y in zip(small, large, strict=True):
+        assert (x == y[mine]).all()
+
+
+def test_windows_null_ids_and_string_ids(spark):
+    same = " ".join(f"n{i}" for i in range(90))
+    rows = [(None, same + " end"), (None, same + " end"), (None, "begin " + same), ("a", same), ("b", "short"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted(map(repr, (tuple(r) for r in radix_dedup.repeated_windows(docs).collect())))
+    assert got == sorted(map(repr, ((rows[i][0], *w[1:]) for i, w in enumerate(window_brute(list(enumerate(t for _, t in rows)))))))
+
+
 def test_windows_empty(nothing):
     assert radix_dedup.repeated_windows(nothing).count() == 0
 
