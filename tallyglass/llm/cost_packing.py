@@ -60,28 +60,26 @@ class WordEncoder:
         at[at == len(self.keys)] = 0
         return at, (self.keys[at] == hashes if len(self.keys) else np.zeros(len(hashes), bool))
 
-    def learn(self, block: Block, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Remember the ids of a block's new words; the place of every word in the sorted arrays."""
+    def learn(self, block: Block, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Remember the ids of a block's new words. Returns the different words (hashes), which of them each
+        word is, and their places in the sorted arrays."""
         if len(self.keys) > CACHE_WORDS:
             self.clear()
-        at, known = self.places(hashes)
+        words, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        at, known = self.places(words)
         new = np.flatnonzero(~known)
         if not len(new):
-            return at
-        order = new[np.argsort(hashes[new])]
-        order = order[np.concatenate(([True], hashes[order[1:]] != hashes[order[:-1]]))]
+            return words, which, at
         raw = block.data.tobytes()
-        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[order].tolist(), ends[order].tolist(), strict=True)]
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
         flat, counts = self._encoded(texts)
-        into = np.searchsorted(self.keys, hashes[order])
+        into = np.searchsorted(self.keys, words[new])
         begin = len(self.flat) + np.cumsum(counts) - counts
-        at = at + np.searchsorted(into, at, side="right")
-        self.keys = np.insert(self.keys, into, hashes[order])
+        self.keys = np.insert(self.keys, into, words[new])
         self.starts = np.insert(self.starts, into, begin)
         self.counts = np.insert(self.counts, into, counts)
         self.flat = np.concatenate([self.flat, flat])
-        at[new] = np.searchsorted(self.keys, hashes[new])
-        return at
+        return words, which, self.places(words)[0]
 
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the number of ids of each word; words go to the tokenizer many at a time."""
@@ -104,10 +102,10 @@ class WordEncoder:
         return self.encode_words(block, end, mark)[:2]
 
     def encode_words(self, block: Block, end: int, mark: int = 0) -> tuple[np.ndarray, ...]:
-        """What `encode` returns, and the hash and document of every word."""
+        """What `encode` returns, the hashes of the different words, and of every word which one it is and its document."""
         starts, ends, owner = block.words()
-        hashes = span_hash(block.prefix_hash(), starts, ends)
-        at = self.learn(block, hashes, starts, ends)
+        words, which, places = self.learn(block, span_hash(block.prefix_hash(), starts, ends), starts, ends)
+        at = places[which]
         counts, begin = self.counts[at], self.starts[at]
         sums = np.zeros(len(counts) + 1, np.int64)
         np.cumsum(counts, out=sums[1:])
@@ -118,7 +116,7 @@ class WordEncoder:
             ids[sums[:-1][counts > 0]] += np.uint32(mark)
         ids = np.insert(ids, doc_ends, ids.dtype.type(end))
         offsets = np.concatenate(([0], doc_ends + np.arange(1, block.n + 1)))
-        return ids, offsets, hashes, owner
+        return ids, offsets, words, which, owner
 
 
 _encoders: dict[tuple, WordEncoder] = {}

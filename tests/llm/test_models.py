@@ -47,7 +47,7 @@ def test_lm_empty(nothing):
 def test_lm_learns_every_training_symbol(apart, documents, monkeypatch):
     monkeypatch.setattr(attention_lm, "STEPS", 1)
     monkeypatch.setattr(attention_lm, "PIECE", 10 * attention_net.SCORED)
-    rows = documents.selectExpr("doc_id as row", "doc_id % 3 <> 0 as training", "text")
+    rows = documents.selectExpr("doc_id as row", "doc_id", "doc_id % 3 <> 0 as training", "text")
     gathered = attention_lm.gather(rows, LM_FILE, 1).cache()
     all_rows = gathered.where("kind = 3").toPandas()
     symbols = lambda f: attention_lm.decoded(pa.array(f["a"], pa.binary()), f["n"].to_numpy())
@@ -61,24 +61,96 @@ def test_lm_learns_every_training_symbol(apart, documents, monkeypatch):
     met = []
     plain = attention_net.gradients
 
-    def watched(w, ids, targets, live):
+    def watched(w, ids, targets, live, into):
         met.append(targets[live])
-        return plain(w, ids, targets, live)
+        return plain(w, ids, targets, live, into)
 
     monkeypatch.setattr(attention_net, "gradients", watched)
     slots = np.minimum(np.arange(attention_lm.SYMBOLS), attention_net.RARE)
-    w = attention_net.start_weights(np.ones(attention_net.SLOTS), 1.0)
+    w = attention_net.start_weights(np.ones(attention_net.SLOTS), 1.0, 1.0)
     mine = parts[parts.shard == 0]
     attention_lm._step(0, 0.01, SimpleNamespace(value=w), slots)((0,), mine)
     seen, due = (np.bincount(v, minlength=attention_net.RARE + 1) for v in (np.concatenate(met), slots[symbols(mine)]))
     assert (seen >= due).all() and seen.sum() <= due.sum() + attention_lm.BATCH * attention_net.SCORED
 
 
+def plain_score(w, symbols, slots, inner):
+    """log10 probability of a document's symbols, position by position, in double precision."""
+    w = {k: v.astype(float) for k, v in w.items()}
+    seq = [attention_net.START] * (attention_net.CONTEXT + 1) + [int(slots[s]) for s in symbols]
+    total = 0.0
+    for i, symbol in enumerate(symbols):
+        begin = i - i % attention_net.SCORED  # first scored place of the window, which reads CONTEXT symbols before
+        seen = seq[begin : i + attention_net.CONTEXT + 1]
+        x = np.array([w["in"][s] + w["place"][k] for k, s in enumerate(seen)])
+        e = (x @ w["k"]) @ (x[-1] @ w["q"]) / math.sqrt(attention_net.WIDTH)
+        a = np.exp(e - e.max())
+        h = x[-1] + (a / a.sum()) @ (x @ w["v"]) @ w["o"]
+        z = h + np.maximum(h @ w["up"] + w["up_bias"], 0) @ w["down"]
+        slot = int(slots[symbol])
+        logits = z @ w["class"] + w["class_bias"]
+        group = slot // attention_net.MEMBERS if slot < attention_net.SLOTS else attention_net.CLASSES + slot - attention_net.SLOTS
+        total += logits[group] - np.log(np.exp(logits).sum())
+        if slot < attention_net.SLOTS:
+            logits = z @ w["member"][group] + w["member_bias"][group]
+            total += logits[slot % attention_net.MEMBERS] - np.log(np.exp(logits).sum())
+        else:
+            total += inner[symbol] * math.log(10)
+    return total / math.log(10)
+
+
+def test_lm_score_equals_plain_scores(documents, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(attention_lm, "STEPS", 6)
+    got, fit = {}, attention_lm.fit
+    monkeypatch.setattr(attention_lm, "fit", lambda pieces, slots, w: got.update(slots=slots, w=fit(pieces, slots, w)) or got["w"])
+    out = attention_lm.text_scores(documents, LM_FILE).toPandas().set_index("doc_id").score
+    w, slots = attention_net.views(got["w"]), got["slots"]
+    tokenizer = Tokenizer.from_file(LM_FILE)
+    tokenizer.encode_special_tokens = True
+    texts = documents.select("doc_id", "text").toPandas().set_index("doc_id").text
+    coded, counts = {}, np.zeros(attention_lm.SYMBOLS)
+    for doc_id, text in texts.items():
+        ids = []
+        for word in WORD.findall(lower(text)):
+            first, *rest = tokenizer.encode(word, add_special_tokens=False).ids
+            ids += [first + attention_lm.IDS, *rest]
+        coded[doc_id] = [*ids, attention_lm.END]
+        if zlib.crc32(str(doc_id).encode()) % 10:
+            np.add.at(counts, coded[doc_id], 1)
+    inner = np.zeros(attention_lm.SYMBOLS)
+    for kind in (attention_net.RARE, attention_net.RARE_INSIDE):
+        mine = slots == kind
+        inner[mine] = np.log10((counts[mine] + attention_lm.INNER) / (counts[mine] + attention_lm.INNER).sum())
+    short = [d for d in sorted(coded) if len(coded[d]) < 400][:25]
+    assert any(len(coded[d]) > attention_net.SCORED for d in short)
+    for d in short:
+        assert out[d] == pytest.approx(plain_score(w, coded[d], slots, inner), rel=2e-4, abs=1e-3)
+
+
+def test_lm_beats_the_base_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = attention_lm.text_scores(docs, LM_FILE).toPandas()
+    held = out[out.held_out]
+    assert held.score.sum() / held.n_tokens.sum() > held.base_score.sum() / held.n_tokens.sum() + 0.05
+    assert ((held.score - held.base_score) / held.n_tokens).mean() > 0.02
+
+
+def test_lm_keeps_null_and_string_ids(spark, monkeypatch):
+    monkeypatch.setattr(attention_lm, "STEPS", 2)
+    rows = [(None, "one two three"), (None, None), ("a", "one two"), ("b", "one"), ("b", "one")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3, "text")
+    out = attention_lm.text_scores(docs, LM_FILE)
+    assert dict(out.dtypes)["doc_id"] == "string"
+    assert sorted((r.doc_id or "-", r.n_tokens) for r in out.collect()) == [("-", 1), ("-", 4), ("a", 3), ("b", 2), ("b", 2)]
+
+
 def small_net(seed=0):
     rng = np.random.default_rng(seed)
-    w = attention_net.start_weights(rng.integers(1, 100, attention_net.SLOTS), 3.0)
-    ids = rng.integers(0, attention_net.SLOTS + 2, (3, attention_net.WINDOW))
-    y = rng.integers(0, attention_net.SLOTS + 1, (3, attention_net.SCORED))
+    w = attention_net.views(attention_net.start_weights(rng.integers(1, 100, attention_net.SLOTS), 3.0, 2.0))
+    ids = rng.integers(0, attention_net.SLOTS + 3, (3, attention_net.WINDOW))
+    y = rng.integers(0, attention_net.SLOTS + 2, (3, attention_net.SCORED))
     return w, ids, y, rng
 
 
@@ -96,8 +168,8 @@ def test_attention_gradients():
 
 def test_attention_probabilities_sum_to_one_and_look_back_only():
     w, ids, y, _ = small_net(1)
-    s = attention_net.scorer(w)
-    every = np.arange(attention_net.SLOTS + 1)
+    s = attention_net.tables(w)
+    every = np.arange(attention_net.SLOTS + 2)
     for place in (0, attention_net.SCORED - 1):
         total = 0.0
         for target in every:
@@ -127,9 +199,9 @@ def test_windows_score_every_id_once():
 def test_training_helps():
     ids = np.tile(np.array([3, 7, 11, 19, 5]), 4000)
     x, y, live, _ = attention_net.windows(ids, np.array([0, len(ids)]))
-    w = attention_net.start_weights(np.ones(attention_net.SLOTS), 1.0)
+    w = attention_net.start_weights(np.ones(attention_net.SLOTS), 1.0, 1.0)
     trained, loss = attention_net.train(w, x, y, live, 150, 16, 0.02, 0)
-    assert loss < 1.5 < attention_net.gradients(w, x[:50], y[:50], live[:50])[1]
+    assert loss < 1.5 < attention_net.gradients(attention_net.views(w), x[:50], y[:50], live[:50])[1]
 
 
 def test_cnn_covers_every_byte():
