@@ -61,9 +61,9 @@ def test_lm_learns_every_training_symbol(apart, documents, monkeypatch):
     met = []
     plain = attention_net.gradients
 
-    def watched(w, ids, targets, live, into):
+    def watched(w, ids, targets, live, *more):
         met.append(targets[live])
-        return plain(w, ids, targets, live, into)
+        return plain(w, ids, targets, live, *more)
 
     monkeypatch.setattr(attention_net, "gradients", watched)
     slots = np.minimum(np.arange(attention_lm.SYMBOLS), attention_net.RARE)
