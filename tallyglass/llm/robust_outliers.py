@@ -1,15 +1,16 @@
 """Quality rules by robust multivariate outliers (minimum covariance determinant).
 
 Each text becomes a vector of transformed statistics. For every (lang, source) group the minimum
-covariance determinant estimate is found by concentration steps: start from medians and quartile ranges,
-keep the `support` share of the group's rows with the smallest distances, re-estimate mean and covariance
-from their sums, repeat. A document is rejected when its Mahalanobis distance is beyond `cutoff` or when
-the base rules fail. Every step is a grouped aggregate over all rows with map-side combine, so a source
-holding a third of the corpus is one group of partial sums, never one task's rows.
+covariance determinant estimate is found by concentration steps from three starts: keep the `support` share
+of the group's rows with the smallest distances, re-estimate mean and covariance from their sums, repeat;
+of the three results the one of least determinant stays. A document is rejected when its Mahalanobis distance
+is beyond `cutoff` or when the base rules fail. Every step is a grouped aggregate over all rows with map-side
+combine, so a source holding a third of the corpus is one group of partial sums, never one task's rows.
 
 Defined results: null or empty text has no words and fails the base rules; null lang or source form
 groups of their own; repeated rows are judged alike; a group with fewer than `min_group` rows takes the
-estimate of all rows together; an empty table gives no rows; other columns are carried untouched.
+estimate of all rows together; an empty table gives no rows; other columns are carried untouched, whatever
+their names; ids take no part.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +31,8 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 FEATURES = ["word_length", "symbols", "dup_lines", "repeats", "upper", "marks", "digits"]
 #: Least standard deviation of each feature: below it, differences don't count as unusual.
 FLOORS = [0.15, 0.35, 0.50, 0.45, 0.30, 0.30, 0.70]
+#: Bins of a unit of log distance.
+BINS = 200
 WINDOW = 8
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -139,26 +142,30 @@ def _distance() -> Column:
 
 
 def _inverses(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From sums of z and of products to mean and inverse covariance, floored on the diagonal."""
+    """From sums of z and of products to mean, inverse covariance (floored on the diagonal) and determinant."""
     for batch in rows:
         frame = batch.to_pydict()
-        means, inverses = [], []
+        means, inverses, sizes = [], [], []
         for n, s, p in zip(frame["n"], frame["sums"], frame["products"], strict=True):
             mean = np.array(s) / n
             cov = np.zeros((D, D))
             for value, (i, j) in zip(p, PAIRS, strict=True):
                 cov[i, j] = cov[j, i] = value / n - mean[i] * mean[j]
-            inverse = np.linalg.inv(cov + np.diag(np.square(FLOORS)))
+            cov += np.diag(np.square(FLOORS))
+            inverse = np.linalg.inv(cov)
             means.append(mean.tolist())
             inverses.append([float(inverse[i, j]) for i, j in PAIRS])
-        names = ["tg_lang", "tg_source", "tg_mean", "tg_inverse"]
-        kinds = [pa.string(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64())]
-        columns = [frame["tg_lang"], frame["tg_source"], means, inverses]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            sizes.append(float(np.linalg.slogdet(cov)[1]))
+        kinds = [pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]
+        columns = [pa.array(c, k) for c, k in zip([means, inverses, sizes], kinds, strict=True)]
+        keys = [batch.column(batch.schema.names.index(c)) for c in MODELS]
+        yield pa.RecordBatch.from_arrays([*keys, *columns], names=[*MODELS, "tg_mean", "tg_inverse", "tg_logdet"])
 
 
-GROUP = ["tg_lang", "tg_source"]
-MODEL = "tg_lang string, tg_source string, tg_mean array<double>, tg_inverse array<double>"
+#: tg_own: a group of (lang, source) with an estimate of its own; false: all rows together.
+GROUP = ["tg_lang", "tg_source", "tg_own"]
+MODELS = [*GROUP, "tg_start"]
+MODEL = "tg_lang string, tg_source string, tg_own boolean, tg_start int, tg_mean array<double>, tg_inverse array<double>, tg_logdet double"
 
 
 def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
@@ -166,62 +173,81 @@ def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def _joined(z: DataFrame, model: DataFrame) -> DataFrame:
-    on = [z[c].eqNullSafe(model[c]) for c in GROUP]
-    return z.join(small(model), on).drop(*[model[c] for c in GROUP])
+def _joined(z: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
+    on = [z[c].eqNullSafe(model[c]) for c in keys]
+    return z.join(small(model), on).drop(*[model[c] for c in keys])
 
 
-def fit(stats: DataFrame, steps: int = 3, support: float = 0.75, min_group: int = 60) -> DataFrame:
-    """Mean, inverse covariance and scale of every (lang, source) group, by concentration steps."""
-    sizes = stats.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("size"))
-    big = cut(sizes.withColumn("big", F.col("size") >= min_group))
-    keyed = stats.join(small(big), [stats[c].eqNullSafe(big[c]) for c in GROUP])
-    z = cut(
-        keyed.select(
-            *[F.when(F.col("big"), stats[c]).otherwise(F.lit("*")).alias(c) for c in GROUP],
-            "tg_z",
-        )
-    )
-    quartiles = z.groupBy(*GROUP).agg(
-        *[F.percentile_approx(F.col("tg_z")[i], [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i in range(D)]
+def _quantile(near: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """keys and tg_limit: the upper end of the bin of `d` in which the share is reached. Bins are fixed, so
+    the limit is the same however rows are partitioned, and a group of any size is a few thousand counts."""
+    bins = near.groupBy(*keys, F.floor(F.log(F.col("d") + 1e-9) * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    group = Window.partitionBy(*keys)
+    run = bins.withColumns({"below": F.sum("c").over(group.orderBy("bin")), "all": F.sum("c").over(group)})
+    reached = run.where(F.col("below") >= F.ceil(F.col("all") * F.lit(share)))
+    return reached.groupBy(*keys).agg(F.exp((F.min("bin") + 1) / F.lit(float(BINS))).alias("tg_limit"))
+
+
+def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*[F.sum(F.col("tg_z")[i]) for i in range(D)]).alias("sums"),
+        F.array(*[F.sum(F.col("tg_z")[i] * F.col("tg_z")[j]) for i, j in PAIRS]).alias("products"),
     )
+
+
+def _starts(z: DataFrame) -> DataFrame:
+    """Three first estimates of every group: medians with quartile ranges, the plain mean and covariance of all
+    rows, and medians with the covariance of the half of the rows next to them."""
+    quartiles = z.groupBy(*GROUP).agg(*[F.percentile_approx(F.col("tg_z")[i], [0.25, 0.5, 0.75], 10_000).alias(f"q{i}") for i in range(D)])
     spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[i])) for i in range(D)]
-    model = cut(
+    first = cut(
         quartiles.select(
             *GROUP,
+            F.lit(0).alias("tg_start"),
             F.array(*[F.col(f"q{i}")[1] for i in range(D)]).alias("tg_mean"),
             F.array(*[1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i, j in PAIRS]).alias("tg_inverse"),
+            F.lit(0.0).alias("tg_logdet"),
         )
     )
-    for step in range(steps + 1):
-        near = _joined(z, model).withColumn("d", _distance())
-        last = step == steps
-        limits = near.groupBy(*GROUP).agg(F.percentile_approx("d", 0.5 if last else support, 2000).alias("tg_limit"))
-        limits = cut(limits)
-        if last:
-            scale = F.greatest(F.col("tg_limit") / chi_square(D, 0.0), F.lit(0.05)).alias("tg_scale")
-            wide = model.join(limits, [model[c].eqNullSafe(limits[c]) for c in GROUP])
-            final = cut(wide.select(*[model[c] for c in GROUP], "tg_mean", "tg_inverse", scale))
-            break
-        core = _joined(near, limits).where("d <= tg_limit")
-        sums = core.groupBy(*GROUP).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.array(*[F.sum(F.col("tg_z")[i]) for i in range(D)]).alias("sums"),
-            F.array(*[F.sum(F.col("tg_z")[i] * F.col("tg_z")[j]) for i, j in PAIRS]).alias("products"),
-        )
-        model = cut(sums.mapInArrow(_inverses, MODEL))
-    pooled = final.select([F.col(c).alias(f"f_{c}") for c in final.columns])
-    key = [F.when(F.col("big"), F.col(c)).otherwise(F.lit("*")) for c in GROUP]
-    met = big.join(small(pooled), [k.eqNullSafe(F.col(f"f_{c}")) for k, c in zip(key, GROUP, strict=True)])
-    return cut(met.select(*GROUP, *[F.col(f"f_{c}").alias(c) for c in ("tg_mean", "tg_inverse", "tg_scale")]))
-
-
-def judge(counted: DataFrame, model: DataFrame, cutoff: float) -> DataFrame:
-    """Adds tg_failed, tg_distance and tg_kept."""
+    near = _joined(z, first, GROUP).withColumn("d", _distance())
+    half = _joined(near, cut(_quantile(near, GROUP, 0.5)), GROUP).where("d <= tg_limit")
+    sums = _moments(z, GROUP).withColumn("tg_start", F.lit(1)).unionByName(_moments(half, GROUP).withColumn("tg_start", F.lit(2)))
+    return cut(first.unionByName(sums.mapInArrow(_inverses, MODEL)))
+
+
+def fit(stats: DataFrame, steps: int = 3, support: float = 0.75, min_group: int = 60) -> tuple[DataFrame, DataFrame]:
+    """The (lang, source) groups with an estimate of their own, and mean, inverse covariance and scale of every
+    group and of all rows together: of the starts, the estimate of least determinant after its steps."""
+    sizes = stats.groupBy(*GROUP[:2]).agg(F.count(F.lit(1)).alias("size"))
+    big = cut(sizes.where(F.col("size") >= min_group).select(*GROUP[:2], F.lit(True).alias("tg_own")))
+    every = stats.select(*[F.lit(None).cast("string").alias(c) for c in GROUP[:2]], F.lit(False).alias("tg_own"), "tg_z")
+    z = cut(_joined(stats, big, GROUP[:2]).select(*GROUP, "tg_z").union(every))
+    model = _starts(z)
+    for _ in range(steps):
+        near = _joined(z, model, GROUP).withColumn("d", _distance())
+        core = _joined(near, cut(_quantile(near, MODELS, support)), MODELS).where("d <= tg_limit")
+        model = cut(_moments(core, MODELS).mapInArrow(_inverses, MODEL))
+    best = F.min_by(F.struct("tg_mean", "tg_inverse"), F.struct("tg_logdet", "tg_start")).alias("best")
+    model = cut(model.groupBy(*GROUP).agg(best).select(*GROUP, "best.*"))
+    near = _joined(z, model, GROUP).withColumn("d", _distance())
+    scale = F.greatest(F.col("tg_limit") / chi_square(D, 0.0), F.lit(0.05)).alias("tg_scale")
+    limits = cut(_quantile(near, GROUP, 0.5).select(*GROUP, scale))
+    return big, cut(_joined(model, limits, GROUP))
+
+
+def judge(counted: DataFrame, fitted: tuple[DataFrame, DataFrame], cutoff: float) -> DataFrame:
+    """Adds tg_failed, tg_distance and tg_kept; rows of small groups are held against all rows together."""
+    big, model = fitted
     failed = (F.col("tg_n_words") < MIN_WORDS) | (
         100 * F.col("tg_n_repeat_words") > REPEAT_PERCENT * F.col("tg_n_words")
     )
-    met = _joined(counted, model)
+    side = small(big)
+    met = counted.join(side, [counted[c].eqNullSafe(side[c]) for c in GROUP[:2]], "left").drop(*[side[c] for c in GROUP[:2]])
+    own = F.coalesce("tg_own", F.lit(False))
+    met = met.withColumns({"tg_own": own, **{f"{c}_key": F.when(own, F.col(c)) for c in GROUP[:2]}})
+    keyed = model.withColumnsRenamed({c: f"{c}_key" for c in GROUP[:2]})
+    met = _joined(met, keyed, [f"{c}_key" for c in GROUP[:2]] + ["tg_own"])
     met = met.withColumn("tg_failed", failed).withColumn("tg_distance", F.sqrt(_distance() / F.col("tg_scale")))
     return met.withColumn("tg_kept", ~F.col("tg_failed") & (F.col("tg_distance") <= cutoff))
 
@@ -231,9 +257,9 @@ CUTOFF = 8.0
 
 def quality_outliers(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, the base counts, base_failed, distance and kept for every document."""
-    keyed = docs.withColumns({"tg_lang": F.col("lang").cast("string"), "tg_source": F.col("source").cast("string")})
-    counted = cut(with_counts(keyed, ["doc_id", *GROUP]))
-    judged = judge(counted, fit(counted.select(*GROUP, "tg_z")), cutoff)
+    keyed = docs.select("doc_id", "text", *[F.col(c).cast("string").alias(f"tg_{c}") for c in ("lang", "source")])
+    counted = cut(with_counts(keyed, ["doc_id", *GROUP[:2]]))
+    judged = judge(counted, fit(counted.select(*GROUP[:2], "tg_z")), cutoff)
     return judged.select(
         "doc_id",
         *[F.col(f"tg_{c}").alias(c) for c in COUNTS[:5]],
@@ -245,7 +271,8 @@ def quality_outliers(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
 
 def keep_quality(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of docs that pass, with their columns; texts are read again instead of being stored."""
-    keyed = docs.withColumns({"tg_lang": F.col("lang").cast("string"), "tg_source": F.col("source").cast("string")})
-    stats = cut(with_counts(keyed, GROUP).select(*GROUP, "tg_z"))
-    judged = judge(with_counts(keyed, [*docs.columns, *GROUP]), fit(stats), cutoff)
-    return judged.where("tg_kept").select(*docs.columns)
+    groups = [F.col(c).cast("string").alias(f"tg_{c}") for c in ("lang", "source")]
+    keyed = docs.select("text", F.struct(*docs.columns).alias("tg_row"), *groups)
+    stats = cut(with_counts(keyed, GROUP[:2]).select(*GROUP[:2], "tg_z"))
+    judged = judge(with_counts(keyed, ["tg_row", *GROUP[:2]]), fit(stats), cutoff)
+    return judged.where("tg_kept").select("tg_row.*")
