@@ -16,7 +16,7 @@
 
 Defined results: lower-cased A-Z; fewer words than n: the whole sequence is the one shingle; null, empty
 or blank text: empty set, linked with nothing; repeated rows and equal sets share a component; an id with
-several texts has the links of each of them; a null id links like any other, and its component is null only
+several texts has the links of each of them; ids keep their type, and the lowest is the least of that type; a null id links like any other, and its component is null only
 where no document of the component has an id; an empty table gives no rows; other columns are ignored.
 `one_of_each` keeps one row of every component of texts (here a shared id is no link): that of the lowest
 doc_id, null last. Empty sets are linked with nothing: of rows repeating id and text one stays, with null ids all.
@@ -43,7 +43,12 @@ FREQUENT = 1 << 18
 LEAST_FREQUENT = 8
 MOST_MATCHES = 8
 BUCKET_SHINGLES = 1 << 20
+#: Tables of up to this many short rows are broadcast.
+FEW_ROWS = 400_000
 FINGERPRINT_BITS = 44
+#: A posting of more documents is met in tiles of this many by this many.
+POSTING_BLOCK = 1 << 14
+PAIRS_TOGETHER = 2_000_000
 
 
 def shingle_sets(block: Block, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +86,7 @@ def shingle_sets(block: Block, n: int = N) -> tuple[np.ndarray, np.ndarray]:
 
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
 def set_keys(texts: DataFrame) -> DataFrame:
@@ -98,7 +103,8 @@ def set_keys(texts: DataFrame) -> DataFrame:
                 part = [batch.column(c).slice(block.first, block.n) for c in ("id", "h")]
                 yield pa.RecordBatch.from_arrays([*part, pa.array(np.diff(offsets)), *(pa.array(k.view(np.int64)) for k in keys)], names=["id", "h", "n", "k1", "k2"])
 
-    return texts.mapInArrow(run, "id long, h long, n long, k1 long, k2 long")
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"id {kind}, h long, n long, k1 long, k2 long")
 
 
 def _frequencies(texts: DataFrame, buckets: int) -> DataFrame:
@@ -226,25 +232,32 @@ def _postings(index: DataFrame, percent: int) -> DataFrame:
 
 def _cross_pairs(entries: DataFrame, percent: int, buckets: int) -> DataFrame:
     """Pairs of one posting's documents from different components, where enough postings are shared.
-    A bucket of postings hands on one packed list of partners for each document."""
+    A bucket of postings hands on one packed list of partners for each document. Long postings are dealt in
+    tiles (block, block), so that no task meets one alone."""
 
     def meet(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["fp", "size"], kind="stable")
-        fp, ids, comp, size, need = (frame[c].to_numpy().astype(np.int64) for c in ("fp", "id", "comp", "size", "need"))
+        frame = frame.sort_values(["fp", "x", "y", "comp", "size", "id"], kind="stable")
+        fp, x, y, part, ids, comp, size, need = (frame[c].to_numpy().astype(np.int64) for c in ("fp", "x", "y", "part", "id", "comp", "size", "need"))
         rest = -(-size * percent // 100) - need  # shingles behind the prefix
-        edges = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1], [True])))
-        out = []
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            stop = lo + np.searchsorted(size[lo:hi] * percent, 100 * size[lo:hi], side="right")
-            for i in range(lo, hi - 1):  # partners up to size * 100 / percent
-                j = np.arange(i + 1, stop[i - lo])
-                j = j[comp[j] != comp[i]]
-                if len(j):
-                    overlap = -(-(size[i] + size[j]) * percent // (100 + percent))
-                    asked = np.maximum(np.minimum(need[i], need[j]), overlap - np.maximum(rest[i], rest[j]))
-                    out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), asked]))
-        a, b, asked = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
-        a, b, shared, asked = _tallied(a, b, np.ones(len(a), np.int64), asked)
+        tile = np.concatenate(([True], (fp[1:] != fp[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+        ends = np.append(np.flatnonzero(tile)[1:], len(fp))[np.cumsum(tile) - 1]
+        block = tile | np.concatenate(([True], comp[1:] != comp[:-1]))
+        after = np.append(np.flatnonzero(block)[1:], len(fp))[np.cumsum(block) - 1]
+        partners = ends - after  # a row meets the rows of its tile behind its own component
+        out, lo = [np.zeros((4, 0), np.int64)], 0
+        sums = np.cumsum(partners)
+        while lo < len(fp):
+            hi = max(lo + 1, int(np.searchsorted(sums, (sums[lo - 1] if lo else 0) + PAIRS_TOGETHER, side="right")))
+            count = partners[lo:hi]
+            i = np.repeat(np.arange(lo, hi), count)
+            j = after[i] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            lo = hi
+            like = (size[i] * percent <= 100 * size[j]) & (size[j] * percent <= 100 * size[i]) & ((x[i] == y[i]) | (part[i] != part[j]))
+            i, j = i[like], j[like]
+            overlap = -(-(size[i] + size[j]) * percent // (100 + percent))
+            asked = np.maximum(np.minimum(need[i], need[j]), overlap - np.maximum(rest[i], rest[j]))
+            out.append(np.stack(_tallied(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.ones(len(i), np.int64), asked)))
+        a, b, shared, asked = _tallied(*np.concatenate(out, axis=1))
         edges = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1], [True]))) if len(a) else np.zeros(1, np.int64)
         rows = [(int(a[lo]), hi - lo, packed(b[lo:hi]), packed(shared[lo:hi]), packed(asked[lo:hi])) for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
         return pd.DataFrame(rows, columns=["a", "n", "bs", "shared", "asked"])
@@ -256,8 +269,12 @@ def _cross_pairs(entries: DataFrame, percent: int, buckets: int) -> DataFrame:
         enough = shared >= asked
         return pd.DataFrame({"a": a[enough], "b": b[enough]})
 
-    mixed = entries.groupBy("fp").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("fp")
-    left = entries.join(mixed, "fp").withColumn("bucket", F.pmod(F.xxhash64("fp"), F.lit(buckets)))
+    mixed = entries.groupBy("fp").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("rows")).where("c0 <> c1")
+    parts = F.ceil(F.col("rows") / POSTING_BLOCK).cast("long")
+    left = entries.join(mixed.select("fp", parts.alias("parts")), "fp").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    left = left.withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")})
+    left = left.withColumn("bucket", F.pmod(F.xxhash64("fp", "x", "y"), F.lit(buckets)))
     lists = left.groupBy("bucket").applyInPandas(meet, "a long, n long, bs binary, shared binary, asked binary")
     dealt = lists.withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets)))
     return dealt.groupBy("bucket").applyInPandas(settle, "a long, b long")
@@ -319,7 +336,7 @@ def _links(texts: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
         return None
     buckets = max(1, -(-total.s // BUCKET_SHINGLES))
     reps = sets.select("node", F.col("rep.id").alias("rid"), F.col("rep.h").alias("rh"), F.col("rep.rows").alias("rows"))
-    reps = F.broadcast(reps) if total.c <= 1_000_000 else reps
+    reps = F.broadcast(reps) if total.c <= FEW_ROWS else reps
     met = texts.join(reps, F.col("id").eqNullSafe(F.col("rid")) & (F.col("h") == F.col("rh"))).select(F.col("node").alias("id"), "text", "rows")
     mine = met.select("id", "text")
     if total.r > 1:
@@ -332,7 +349,7 @@ def _links(texts: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     entries = cut(_postings(_index(mine, frequent, buckets, percent), percent))
     ids = entries.select("id").distinct()
     ids = cut(ids)
-    ids = F.broadcast(ids) if ids.count() <= 2_000_000 else ids
+    ids = F.broadcast(ids) if ids.count() <= 4 * FEW_ROWS else ids
     wanted = cut(mine.join(ids, "id", "left_semi"))
     like = f"size * {percent} <= 100 * low_size and low_size * {percent} <= 100 * size"
     stars = entries.where("id <> low").where(like).select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
@@ -380,12 +397,14 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     empty = empty.withColumn("rows", F.when(F.col("id").isNull(), F.lit(1)).otherwise(F.col("rows")))
     kept = cut(best.union(empty).select(F.col("id").alias("tg_id"), F.col("h").alias("tg_h"), F.col("rows").alias("tg_rows")))
     size = kept.agg(F.count(F.lit(1)).alias("c"), F.max("tg_rows").alias("r")).first()
-    kept = F.broadcast(kept) if size.c <= 1_000_000 else kept
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("tg_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("tg_h"))
-    once = docs.join(kept.where("tg_rows = 1"), on, "left_semi")
+    kept = F.broadcast(kept) if size.c <= FEW_ROWS else kept
+    plain = [c for c in docs.columns if not isinstance(docs.schema[c].dataType, T.MapType)]
+    text = F.xxhash64(F.col("text").cast("string"))
+    rows = docs.select(F.struct(*docs.columns).alias("tg_row"), F.col("doc_id").alias("tg_doc"), text.alias("tg_text"), F.xxhash64(*plain).alias("tg_order"))
+    on = F.col("tg_doc").eqNullSafe(F.col("tg_id")) & (F.col("tg_text") == F.col("tg_h"))
+    once = rows.join(kept.where("tg_rows = 1"), on, "left_semi").select("tg_row.*")
     if (size.r or 1) == 1:
         return once
-    again = docs.join(kept.where("tg_rows > 1"), on)
-    plain = [c for c in docs.columns if not isinstance(docs.schema[c].dataType, T.MapType)]
-    one = again.groupBy("tg_id", "tg_h").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("tg_row"))
-    return once.union(one.select(*[F.col("tg_row")[c].alias(c) for c in docs.columns]))
+    again = rows.join(kept.where("tg_rows > 1"), on)
+    one = again.groupBy("tg_id", "tg_h").agg(F.min_by("tg_row", "tg_order").alias("tg_row"))
+    return once.union(one.select("tg_row.*"))
