@@ -8,9 +8,12 @@ sequence and its rest is dealt again, so a group pads less than one sequence. Id
 as unsigned 16-bit arrays. Texts are encoded word by word through a bounded cache of word ids: the
 tokenizer splits at white space, so this gives the ids of the whole text.
 
-Defined results: null or empty text is the single id END; repeated rows are packed each; documents longer
-than a sequence fill whole sequences and their rest is packed like a short one; an empty table gives no
-rows; other columns are ignored.
+Rows are dealt by the hash of doc_id and text. Rows repeating both more than `REPEATS` times would meet in
+one group, so they are counted with map-side combine and dealt out anew by their number.
+
+Defined results: null or empty text is the single id END; a null doc_id is packed like any other and stays
+null; repeated rows are packed each; documents longer than a sequence fill whole sequences and their rest is
+packed like a short one; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +24,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import cut
 from .words import Block, blocks, span_hash
 
 LENGTH = 4096
@@ -35,6 +39,7 @@ GROUP_BYTES = 2 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 SEQUENCES = 1 << 20  # more than any group has
 CACHE_WORDS = 1_000_000
+REPEATS = 256
 JOINED = 500
 
 
@@ -158,8 +163,17 @@ def balance(lengths: np.ndarray, capacity: int) -> list[tuple[int, int, int, int
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = LENGTH, end: int = END) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     kind = docs.schema["doc_id"].dataType
-    total = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    groups = max(1, -(-((total.b or 0) + 64 * total.n) // GROUP_BYTES))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("tg_text")).withColumn("tg_hash", F.xxhash64("doc_id", "tg_text"))
+    sizes = cut(rows.groupBy("tg_hash").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("tg_text")).alias("b")))
+    total = sizes.agg(F.sum("b").alias("b"), F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    groups = max(1, -(-((total.b or 0) + 64 * (total.n or 0)) // GROUP_BYTES))
+    rows = rows.withColumn("tg_copy", F.lit(0))
+    if (total.most or 0) > REPEATS:  # fewer than one row in REPEATS is on this list
+        often = cut(sizes.where(F.col("n") > REPEATS).select("tg_hash"))
+        often = F.broadcast(often) if often.count() <= 100_000 else often
+        again = rows.join(often, "tg_hash", "left_semi").groupBy("doc_id", "tg_text", "tg_hash").agg(F.count(F.lit(1)).alias("n"))
+        again = again.withColumn("tg_copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select(*rows.columns)
+        rows = rows.join(often, "tg_hash", "left_anti").select(*rows.columns).union(again)
     dealt = T.StructType([T.StructField("doc_id", kind), T.StructField("tg_group", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,20 +186,22 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = LENGTH, end: int
                 packed = pa.Array.from_buffers(pa.binary(), block.n, [None, pa.py_buffer((offsets * 2).astype(np.int32).tobytes()), raw])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tg_group"), packed], names=dealt.names)
 
-    group = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(groups)).cast("long")
-    rows = docs.select("doc_id", group.alias("tg_group"), F.col("text").cast("string").alias("tg_text")).mapInArrow(encode, dealt)
+    group = F.pmod(F.xxhash64("tg_hash", "tg_copy"), F.lit(groups)).cast("long")
+    rows = rows.select("doc_id", group.alias("tg_group"), "tg_text").mapInArrow(encode, dealt)
     schema = T.StructType([T.StructField("doc_id", kind)] + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
-    def balanced(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("doc_id", kind="stable", ignore_index=True)
-        lengths = frame["ids"].map(len).to_numpy() // 2
+    def balanced(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table.select(["doc_id", "ids"]), [("doc_id", "ascending"), ("ids", "ascending")]))
+        texts = table.column("ids").to_pylist()
+        lengths = np.array([len(x) // 2 for x in texts])
         pieces = sorted(balance(lengths, capacity), key=lambda x: x[3])
         used: dict[int, int] = {}
         out = []
         for doc, start, size, to in pieces:
-            ids = np.frombuffer(frame["ids"].iat[doc], np.uint16)[start : start + size].astype("<u4")
-            out.append((frame["doc_id"].iat[doc], start, size, zlib.crc32(ids.tobytes()), lengths[doc], key[0] * SEQUENCES + to, used.get(to, 0)))
+            ids = np.frombuffer(texts[doc], np.uint16)[start : start + size].astype("<u4")
+            out.append((start, size, zlib.crc32(ids.tobytes()), int(lengths[doc]), key[0].as_py() * SEQUENCES + to, used.get(to, 0)))
             used[to] = used.get(to, 0) + size
-        return pd.DataFrame(out, columns=schema.names)
+        ids = table.column("doc_id").take(pa.array([p[0] for p in pieces]))
+        return pa.table([ids, *(pa.array(c, pa.int64()) for c in zip(*out, strict=True))], names=schema.names)
 
-    return rows.groupBy("tg_group").applyInPandas(balanced, schema)
+    return rows.groupBy("tg_group").applyInArrow(balanced, schema)
