@@ -29,13 +29,32 @@ WEIGHTS = [5, 2, 1]
 SLOPES = [0.5, 0.0, -0.5]
 CAP = 3
 BUCKET_ROWS = 4096
+SOURCE_ROWS = 100_000
+FEW_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def running(df: DataFrame, rows: int, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with the sums over all rows before each in the given order: range partitions of about `SOURCE_ROWS`
+    rows, sums of partitions, and a window inside each, so that no task sorts all sources."""
+    parts = max(1, -(-rows // SOURCE_ROWS))
+    placed = cut(df.repartitionByRange(parts, *order).withColumn("tg_part", F.spark_partition_id()))
+    total = placed.groupBy("tg_part").agg(*[F.sum(v).alias(f"tg_of_{k}") for k, v in sums.items()])
+    earlier = Window.orderBy("tg_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = total.select("tg_part", *[F.coalesce(F.sum(f"tg_of_{k}").over(earlier), F.lit(0)).alias(f"tg_to_{k}") for k in sums])
+    inside = Window.partitionBy("tg_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    met = placed.join(F.broadcast(starts) if parts <= 100_000 else starts, "tg_part")
+    met = met.withColumns({k: F.col(f"tg_to_{k}") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for k, v in sums.items()})
+    return met.drop("tg_part", *[f"tg_to_{k}" for k in sums])
+
+
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """From (tg_source, tg_size, tg_rows) to source_size, target and slope; one row per source."""
-    order = Window.orderBy(F.col("tg_source").asc_nulls_last())
-    place = F.row_number().over(order) - 1
+    """From (tg_source, tg_size) to source_size, target and slope; one row per source."""
+    sizes = cut(sizes)
+    known = sizes.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("tg_size").cast("decimal(20,0)")).alias("total")).first()
+    by_name = [F.col("tg_source").asc_nulls_last()]
+    sizes = running(sizes, known.n, by_name, {"tg_place": F.lit(1)})
+    place = F.col("tg_place")
     cycle = lambda values: F.element_at(F.array(*map(F.lit, values)), (place % len(values) + 1).cast("int"))
     wide = sizes.select(
         "tg_source",
@@ -43,20 +62,14 @@ def source_targets(sizes: DataFrame) -> DataFrame:
         cycle(WEIGHTS).cast("decimal(4,0)").alias("w"),
         cycle(SLOPES).alias("tg_slope"),
     )
-    by_ratio = Window.orderBy(F.col("s") / F.col("w"), F.col("tg_source").asc_nulls_last())
-    everything = Window.partitionBy()
-    wide = wide.withColumns(
-        {
-            "total": F.sum("s").over(everything),
-            "before": F.coalesce(F.sum(F.col("s") * CAP).over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-            "rest": F.sum("w").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)),
-        }
-    )
-    wide = wide.withColumn("capped", F.col("s") * CAP * F.col("rest") <= (F.col("total") - F.col("before")) * F.col("w"))
-    free = F.when(~F.col("capped"), F.struct(F.col("before"), F.col("rest")))
-    wide = wide.withColumn("level", F.min(free).over(everything))
+    wide = running(wide, known.n, [F.col("s") / F.col("w"), *by_name], {"before": F.col("s") * CAP, "passed": F.col("w")})
+    whole = wide.agg(F.sum("w").alias("w")).first().w
+    wide = cut(wide.withColumn("rest", F.lit(whole) - F.col("passed")))
+    total = F.lit(known.total)
+    wide = wide.withColumn("capped", F.col("s") * CAP * F.col("rest") <= (total - F.col("before")) * F.col("w"))
+    level = wide.where(~F.col("capped")).agg(F.min(F.struct("before", "rest")).alias("level")).first().level
     num = lambda c: F.col(c).cast("double")
-    shared = num("w") * (num("total") - num("level.before")) / num("level.rest")
+    shared = num("w") * (total.cast("double") - float(level.before)) / float(level.rest) if level else F.lit(None).cast("double")
     return wide.select(
         "tg_source",
         F.col("s").cast("long").alias("tg_source_size"),
@@ -89,7 +102,9 @@ def mixed(docs: DataFrame, carry: Column) -> DataFrame:
     targets = source_targets(sums.groupBy("tg_source").agg(F.sum("tg_sum").alias("tg_size")))
     in_source = Window.partitionBy("tg_source").orderBy("tg_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("tg_start", F.coalesce(F.sum("tg_sum").over(in_source), F.lit(0)))
-    plan = starts.join(targets.hint("broadcast"), starts.tg_source.eqNullSafe(targets.tg_source)).drop(targets.tg_source)
+    targets = cut(targets)
+    targets = F.broadcast(targets) if targets.count() <= FEW_SOURCES else targets
+    plan = starts.join(targets, starts.tg_source.eqNullSafe(targets.tg_source)).drop(targets.tg_source)
     plan = cut(plan.drop("tg_sum"))
     plan = F.broadcast(plan) if plan.count() <= 100_000 else plan
     left = base.withColumn("tg_bucket", bucket)
