@@ -10,9 +10,11 @@ cosine of the original vectors in double precision.
 
 Equal vectors of a label are compared once, as a class with a count. A tile returns link counts and a
 spanning forest of its links, never all pairs. All pairs of blocks in reach are compared, so the work of
-a label whose first coordinate separates nothing is quadratic in its different vectors.
+a label whose first coordinate separates nothing is quadratic in its different vectors; a vector is sent once
+for each block in reach of its own, which is why blocks are large and tiles are read a few rows at a time.
 
-Defined results: null label, null or zero vector, null or non-finite components: no links, own component;
+Defined results: null label, null or zero vector, null or non-finite components: no links, own component
+(other vectors link at any length, from subnormal to the largest);
 vectors of different length are not compared; repeated rows are separate vectors (a repeated vec_id is
 one node of components); an empty table gives no rows; other columns are ignored.
 """
@@ -31,7 +33,8 @@ from .components import components
 from .shared import cut
 
 THRESHOLD = 0.93
-TILE = 1024
+TILE = 4096
+ROWS = 256
 CELLS = 512
 LEAD = 16
 
@@ -81,34 +84,32 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([nodes[moved], nodes[root[moved]]])
 
 
-def compare(frame: pd.DataFrame, dim: int, threshold: float) -> pd.DataFrame:
+def scaled_rows(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two (no rounding), so that squares of tiny and huge vectors stay in range."""
+    _, exponent = np.frexp(np.abs(x).max(axis=1))
+    return np.ldexp(x, -exponent[:, None])
+
+
+def compare(frame: pd.DataFrame, dim: int, threshold: float, axes: np.ndarray) -> pd.DataFrame:
     """Links of one tile: rows (id, links, -1) with counts and (id, 0, root) for the forest."""
     left, right = frame[frame.side == 0], frame[frame.side == 1]
     same = not len(right)
     if same:
         right = left
-    read = lambda f, c: np.frombuffer(b"".join(f[c]), np.float64).reshape(-1, dim)
-    p, q = read(left, "turned"), read(right, "turned")
+    read = lambda f: scaled_rows(np.frombuffer(b"".join(f["vector"]), np.float64).reshape(-1, dim))
+    x = read(left)
+    y = x if same else read(right)
+    nx, ny = (np.sqrt(np.einsum("ij,ij->i", m, m)) for m in (x, y))
+    p = (x / nx[:, None]) @ axes
+    q = p if same else (y / ny[:, None]) @ axes
     suffix = lambda m: np.sqrt(np.maximum(np.cumsum((m * m)[:, ::-1], axis=1)[:, ::-1], 0))
     ps, qs = suffix(p), suffix(q)
     lead = min(LEAD, dim)
-    bound = p[:, :lead] @ q[:, :lead].T
-    if lead < dim:
-        reach = bound + np.outer(ps[:, lead], qs[:, lead])
-    else:
-        reach = bound
-    i, j = np.nonzero(reach >= threshold - 1e-9)
-    if same:
-        i, j = i[i < j], j[i < j]
     out = []
     weight = [left["n"].to_numpy(), right["n"].to_numpy()]
     ids = [left["id"].to_numpy(), right["id"].to_numpy()]
     links = [np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)]
-    x, y = read(left, "vector"), read(right, "vector")
-    nx, ny = np.sqrt(np.einsum("ij,ij->i", x, x)), np.sqrt(np.einsum("ij,ij->i", y, y))
-    for s in range(0, len(i), 200_000):
-        a, b = i[s : s + 200_000], j[s : s + 200_000]
-        value = bound[a, b]
+    for a, b, value in _leading(p, q, ps, qs, lead, threshold, same):
         for at in range(lead, dim, LEAD):
             to = min(dim, at + LEAD)
             value = value + np.einsum("ij,ij->i", p[a, at:to], q[b, at:to])
@@ -130,13 +131,25 @@ def compare(frame: pd.DataFrame, dim: int, threshold: float) -> pd.DataFrame:
     return pd.concat([*counted, pd.DataFrame({"id": edges[0], "links": 0, "root": edges[1]})], ignore_index=True)
 
 
+def _leading(p: np.ndarray, q: np.ndarray, ps: np.ndarray, qs: np.ndarray, lead: int, threshold: float, same: bool) -> Iterator[tuple]:
+    """Pairs whose leading coordinates leave the threshold in reach, with their products so far, a few rows at a time."""
+    for s in range(0, len(p), ROWS):
+        bound = p[s : s + ROWS, :lead] @ q[:, :lead].T
+        reach = bound + np.outer(ps[s : s + ROWS, lead], qs[:, lead]) if lead < p.shape[1] else bound
+        a, b = np.nonzero(reach >= threshold - 1e-9)
+        if same:
+            a, b = a[a + s < b], b[a + s < b]
+        for k in range(0, len(a), 200_000):
+            i, j = a[k : k + 200_000], b[k : k + 200_000]
+            yield i + s, j, bound[i, j]
+
+
 def embedding_classes(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row."""
     e = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), e.alias("e"))
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))
     bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    fit = F.coalesce(F.col("label").isNotNull() & ~bad & (norm > 0) & (norm < float("inf")), F.lit(False))
+    fit = F.coalesce(F.col("label").isNotNull() & ~bad & F.exists("e", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("ok", fit)
     classes = rows.where("ok").groupBy("label", "e").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"))
 
@@ -146,6 +159,7 @@ def embedding_classes(vectors: DataFrame, threshold: float = THRESHOLD, tile: in
             for v in batch.column("e"):
                 v = np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64) + 0.0  # one zero
                 raw.append(v.tobytes())
+                v = scaled_rows(v[None, :])[0]
                 scaled.append((v / np.sqrt((v * v).sum())).tobytes())
                 dims.append(len(v))
             arrays = [pa.array(dims, pa.int32()), pa.array(raw, pa.binary()), pa.array(scaled, pa.binary())]
@@ -157,14 +171,13 @@ def embedding_classes(vectors: DataFrame, threshold: float = THRESHOLD, tile: in
 
     def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            turned, cell = [], []
+            cell = []
             for dim, u in zip(frame["dim"], frame["unit"], strict=True):
-                t = np.frombuffer(u, np.float64) @ axes.value[dim]
-                turned.append(t.tobytes())
-                cell.append(int(np.clip((t[0] + 1) / 2 * CELLS, 0, CELLS - 1)))
-            yield frame.drop(columns="unit").assign(turned=turned, cell=cell)
+                t = np.frombuffer(u, np.float64) @ axes.value[dim][:, 0]
+                cell.append(int(np.clip((t + 1) / 2 * CELLS, 0, CELLS - 1)))
+            yield frame.drop(columns="unit").assign(cell=cell)
 
-    turned = cut(base.mapInPandas(turn, f"label {label}, id long, n long, dim int, vector binary, turned binary, cell int"))
+    turned = cut(base.mapInPandas(turn, f"label {label}, id long, n long, dim int, vector binary, cell int"))
     group = ["label", "dim"]
     counts = turned.groupBy(*group, "cell").agg(F.count(F.lit(1)).alias("size"))
     order = Window.partitionBy(*group).orderBy("cell")
@@ -184,10 +197,11 @@ def embedding_classes(vectors: DataFrame, threshold: float = THRESHOLD, tile: in
     placed = turned.join(cells, [*group, "cell"]).withColumn("part", part)
     placed = placed.withColumn("block", F.concat_ws(".", F.col("first"), F.when(F.col("part") > 0, F.concat_ws("_", "cell", "part"))))
     slots = tiles.select(*group, F.col("a").alias("block"), F.lit(0).alias("side"), "tile").union(tiles.where("a <> b").select(*group, F.col("b").alias("block"), F.lit(1).alias("side"), "tile"))
-    dealt = placed.join(slots, [*group, "block"]).select("tile", "side", "dim", "id", "n", "vector", "turned")
+    dealt = placed.join(slots, [*group, "block"]).select("tile", "side", "dim", "id", "n", "vector")
 
     def meet(key, frame: pd.DataFrame) -> pd.DataFrame:
-        return compare(frame, int(frame["dim"].iat[0]), threshold)
+        dim = int(frame["dim"].iat[0])
+        return compare(frame, dim, threshold, axes.value[dim])
 
     found = cut(dealt.groupBy("tile").applyInPandas(meet, "id long, links long, root long"))
     comp = components(found.where("root >= 0").select("id", "root"), "id", "root")
