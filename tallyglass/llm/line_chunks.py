@@ -10,13 +10,14 @@ the pipeline use): chunks of two lines that start at every line. A run of two or
 earlier one exactly if all its two-line chunks do, so the later copies of every repeated run go, from its
 first line to its last. A line's first occurrence in the corpus is never part of a later copy and stays.
 
-Only hashes are shuffled to find repeats; texts travel for repeated chunks alone, and every many-to-one
-join meets one row per hash, so a chunk found in a third of the documents is no hot group.
+Only hashes are shuffled to find repeats; texts travel for repeated chunks alone. The later copies meet the
+first one's bytes in a join with one row per hash, whose hot side adaptive execution splits.
 
 Defined results: null text counts as empty and has no chunks; single-line chunks stay (with runs: a line
 repeated without a neighbour; of one line repeated in a row two stay); blank lines are lines; rows repeating
 both doc_id and text are one document and treated alike; a document that loses all lines has empty text
-(`drop_repeated_lines` drops it); an empty table gives no rows; other columns are carried untouched.
+(`drop_repeated_lines` drops it); an empty table gives no rows; other columns are carried untouched, whatever
+their names; null ids are an id like any other.
 """
 
 from __future__ import annotations
@@ -130,7 +131,8 @@ def repeated_chunks(docs: DataFrame, runs: bool = False) -> DataFrame:
     few = twice.count() <= 200_000
     found = chunks(docs, True, runs).join(F.broadcast(twice) if few else twice, "tg_hash")
     found = cut(found)
-    first = found.where(order.eqNullSafe(F.col("tg_first"))).groupBy("tg_hash").agg(F.first("tg_chunk").alias("tg_bytes"))
+    # written, so that the join meets plain exchanges, of which adaptive execution splits a hot one
+    first = cut(found.where(order.eqNullSafe(F.col("tg_first"))).groupBy("tg_hash").agg(F.first("tg_chunk").alias("tg_bytes")))
     later = found.where(~order.eqNullSafe(F.col("tg_first"))).join(first, "tg_hash")
     later = later.where(F.col("tg_chunk") == F.col("tg_bytes"))
     if runs:
@@ -198,9 +200,11 @@ def line_report(docs: DataFrame, runs: bool = False) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame, runs: bool = True) -> DataFrame:
     """docs with stripped texts and n_chars to match; documents that lost every line go."""
-    out = strip_lines(docs, docs.columns, runs).where("tg_removed = 0 or tg_removed < tg_lines")
+    row = docs.select("doc_id", "text", F.struct(*docs.columns).alias("tg_row"))
+    out = strip_lines(row, ["tg_row"], runs).where("tg_removed = 0 or tg_removed < tg_lines")
     changed = F.col("tg_removed") > 0
-    new = {"text": F.when(changed, F.col("tg_kept")).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("tg_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumns(new).select(*docs.columns)
+    fields = {c: F.col("tg_row")[c] for c in docs.columns}
+    fields["text"] = F.when(changed, F.col("tg_kept")).otherwise(fields["text"])
+    if "n_chars" in fields:
+        fields["n_chars"] = F.when(changed, F.length("tg_kept").cast(docs.schema["n_chars"].dataType)).otherwise(fields["n_chars"])
+    return out.select(*[v.alias(c) for c, v in fields.items()])

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -7,6 +8,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tallyglass.llm import cost_packing, curriculum_mix, jaccard_join, line_chunks, queries, robust_outliers
 
@@ -33,7 +35,7 @@ def jaccard_classes(rows):
     for k, (_, s) in enumerate(sets):
         for g in s:
             where[g].append(k)
-    pairs = {(v[0], x) for v in where.values() for x in v[1:]} | {(a, b) for v in where.values() if len(v) < 400 for i, a in enumerate(v) for b in v[i + 1 :]}
+    pairs = {(v[0], x) for v in where.values() for x in v[1:]} | {(a, b) for v in where.values() for i, a in enumerate(v) for b in v[i + 1 :]}
     for a, b in pairs:
         x, y = sets[a][1], sets[b][1]
         both = len(x & y)
@@ -64,6 +66,17 @@ def test_jaccard_join_group_of_near_copies(spark):
     assert got == jaccard_classes(rows)
 
 
+def test_jaccard_join_long_postings_in_tiles(spark, monkeypatch):
+    """Different documents around one shared passage: long postings with many components, met in tiles."""
+    monkeypatch.setattr(jaccard_join, "POSTING_BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "PAIRS_TOGETHER", 50)
+    shared = [f"s{i}" for i in range(60)]
+    rows = [(f"d{i:03}", " ".join([*shared, *(f"u{i // 2}_{k}" for k in range(18 + i % 5))])) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted(tuple(r) for r in jaccard_join.near_duplicate_classes(docs).collect())
+    assert got == jaccard_classes(rows)
+
+
 def test_one_of_each(odd):
     kept = jaccard_join.one_of_each(odd)
     assert kept.columns == odd.columns
@@ -131,36 +144,93 @@ def test_outlier_base_counts(which, request):
         assert not (r.base_failed and r.kept)
 
 
-def test_outlier_verdict_equals_brute_force(documents):
-    docs = documents.withColumn("source", documents.lang)
-    out = robust_outliers.quality_outliers(docs).toPandas().set_index("doc_id")
-    frame = docs.select("doc_id", "text", "lang", "source").toPandas()
-    z = []
-    for text in frame.text:
-        from tallyglass.llm.words import blocks
-        import pyarrow as pa
-
-        block = next(blocks(pa.array([text], pa.string())))
-        z.append(robust_outliers.features(robust_outliers.block_counts(block))[0])
-    z = np.array(z)
-    d = robust_outliers.D
-    for _, group in frame.groupby(["lang", "source"]):
-        if len(group) < 60:
-            continue
-        x = z[group.index]
-        low, mid, high = (np.sort(x, axis=0)[max(0, int(np.ceil(q * len(x))) - 1)] for q in (0.25, 0.5, 0.75))
-        inverse = np.diag(1 / np.maximum((high - low) / 1.349, robust_outliers.FLOORS) ** 2)
-        mean = mid
-        for step in range(4):
-            dist = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
-            if step == 3:
-                break
-            core = x[dist <= np.sort(dist)[int(np.ceil(0.75 * len(x))) - 1]]
-            mean = core.mean(0)
-            inverse = np.linalg.inv(np.cov(core.T, bias=True) + np.diag(np.square(robust_outliers.FLOORS)))
-        median = np.sort(dist)[int(np.ceil(0.5 * len(x))) - 1]
-        expected = np.sqrt(dist / max(median / robust_outliers.chi_square(d, 0.0), 0.05))
-        np.testing.assert_allclose(out.loc[group.doc_id, "distance"], expected, rtol=1e-6)
+def plain_features(text):
+    text = text or ""
+    n_words, chars, symbols, dup, repeats = base_counts(text)
+    words, chars = max(n_words, 1), max(chars, 1)
+    count = lambda pattern: len(re.findall(pattern, text))
+    marks = sum(text.count(c) for c in "!?.,;:\"'()[]{}-_+=/\\@^~`")
+    return [
+        math.log(chars / words),
+        math.log1p(20 * symbols / words),
+        math.sqrt(min(12 * dup / words, 1)),
+        math.sqrt(repeats / words),
+        math.log1p(10 * count("[A-Z]") / chars),
+        math.log1p(5 * marks / words),
+        math.log1p(20 * count("[0-9]") / chars),
+    ]
+
+
+def plain_distances(z, groups, min_group):
+    """Distances by a plain minimum covariance determinant: three starts, three steps, the least determinant."""
+    d, floors = z.shape[1], np.diag(np.square(robust_outliers.FLOORS))
+    rank = lambda v, share: np.sort(v)[max(0, math.ceil(share * len(v)) - 1)]
+
+    def limit(dist, share):
+        return np.exp((np.floor(np.log(rank(dist, share) + 1e-9) * robust_outliers.BINS) + 1) / robust_outliers.BINS)
+
+    def far(x, mean, inverse):
+        return np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
+
+    def estimate(x):
+        cov = np.cov(x.T, bias=True) + floors
+        return x.mean(0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+
+    def model(x):
+        low, mid, high = (np.array([rank(c, q) for c in x.T]) for q in (0.25, 0.5, 0.75))
+        first = mid, np.diag(1 / np.maximum((high - low) / 1.349, robust_outliers.FLOORS) ** 2)
+        near = far(x, *first)
+        starts = [first, estimate(x)[:2], estimate(x[near <= limit(near, 0.5)])[:2]]
+        found = []
+        for mean, inverse in starts:
+            for _ in range(3):
+                dist = far(x, mean, inverse)
+                mean, inverse, det = estimate(x[dist <= limit(dist, 0.75)])
+            found.append((det, len(found), mean, inverse))
+        _, _, mean, inverse = min(found, key=lambda f: f[:2])
+        return mean, inverse, max(limit(far(x, mean, inverse), 0.5) / robust_outliers.chi_square(d, 0.0), 0.05)
+
+    every, out = model(z), np.zeros(len(z))
+    for g in set(groups):
+        mine = np.array([k == g for k in groups])
+        mean, inverse, scale = model(z[mine]) if mine.sum() >= min_group else every
+        out[mine] = np.sqrt(far(z[mine], mean, inverse) / scale)
+    return out
+
+
+def test_outlier_verdict_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) < 20000")
+    docs = docs.selectExpr("doc_id", "text", "lang", "if(doc_id % 9 = 0, source, null) as source")
+    frame = docs.toPandas()
+    groups = list(zip(frame.lang, frame.source))
+    assert {len([g for g in groups if g == k]) >= 60 for k in set(groups)} == {True, False}
+    expected = plain_distances(np.array([plain_features(t) for t in frame.text]), groups, 60)
+    out = robust_outliers.quality_outliers(docs).toPandas().set_index("doc_id").loc[frame.doc_id]
+    close = np.isclose(out.distance, expected, rtol=1e-3)
+    assert close.mean() > 0.999
+    assert (out.kept.to_numpy() == (~out.base_failed.to_numpy() & (expected <= robust_outliers.CUTOFF)))[close].all()
+
+
+def test_outlier_junk_alone_in_its_group_is_rejected(spark):
+    rng = np.random.default_rng(4)
+    words = ["alpha", "beta", "gamma", "delta", "river", "stone", "house", "winter", "table", "green"]
+    prose = lambda: " ".join(rng.choice(words, 60)).capitalize() + f". {rng.integers(100)}"
+    junk = " ".join(f"#{i}$%&*|" for i in range(60))
+    rows = [(i, prose(), "en", "a") for i in range(150)] + [(900, junk, "en", "a"), (901, junk, "xx", "only"), (902, prose(), "*", "*"), (None, prose(), None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in robust_outliers.quality_outliers(docs).collect()}
+    assert not kept[900] and not kept[901] and kept[902] and kept[None]
+    assert sum(kept.values()) >= 145
+    named = docs.selectExpr("*", "1 as tg_lang", "2 as tg_text", "3 as tg_starts", "4 as tg_row", "5 as tg_own", "6 as tg_id", "7 as tg_hash")
+    out = robust_outliers.keep_quality(named)
+    assert out.columns == named.columns and out.count() == sum(kept.values())
+    out = line_chunks.drop_repeated_lines(named)
+    assert out.columns == named.columns and out.count() == named.count()
+    out = jaccard_join.one_of_each(named)
+    assert out.columns == named.columns and out.count() == 150 + 1 + 2
+    out = curriculum_mix.training_order(named)
+    assert out.columns == named.columns and out.count() > 0
+    assert cost_packing.pack(named, queries.tokenizer_file()).where("start = 0").count() == named.count()
 
 
 def test_outlier_stage_keeps_columns(odd, nothing):
@@ -227,6 +297,30 @@ def test_packing_repeated_rows_and_empty(odd, nothing):
     assert cost_packing.pack(nothing, queries.tokenizer_file()).count() == 0
 
 
+def test_packing_pads_little_and_keeps_ids(spark, documents, monkeypatch):
+    monkeypatch.setattr(cost_packing, "REPEATS", 3)
+    monkeypatch.setattr(cost_packing, "GROUP_BYTES", 60_000)
+    big = 9007199254740993
+    rows = [(None, "one two"), (big, "one two"), (big + 2, "three"), (None, None)] + [(7, "same row again")] * 500
+    more = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = documents.select("doc_id", "text").union(more)
+    out = cost_packing.pack(docs, queries.tokenizer_file())
+    assert {r.doc_id for r in out.collect()} >= {None, big, big + 2}
+    assert out.where("doc_id = 7 and start = 0 and length = doc_tokens").count() >= 450
+    assert out.where("start = 0").count() == docs.count()
+    per = out.groupBy("sequence_id").agg(F.sum("length").alias("n"))
+    groups = out.select(F.expr(f"sequence_id div {cost_packing.SEQUENCES}").alias("g")).distinct().count()
+    total = per.agg(F.sum("n").alias("n"), F.count("n").alias("c")).first()
+    assert total.c * 4096 - total.n < groups * 4096  # less than one sequence a group
+    again = cost_packing.pack(docs.repartition(5), queries.tokenizer_file())
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, again.collect()))
+
+
+def test_packing_string_ids(spark):
+    docs = spark.createDataFrame([("a", "one"), (None, "two")], "doc_id string, text string")
+    assert sorted(repr(r.doc_id) for r in cost_packing.pack(docs, queries.tokenizer_file()).collect()) == ["'a'", "None"]
+
+
 def chunk_brute(rows):
     from tallyglass.llm.words import blocks
     import pyarrow as pa

@@ -167,3 +167,7 @@ def test_embeddings_odd_rows(spark):
     got = sorted(tuple(r) for r in embedding_dedup.embedding_classes(table, tile=16).collect())
     assert got == vector_brute(rows)
     assert embedding_dedup.embedding_classes(table.limit(0)).count() == 0
+    far = [(1, [1e-170, 2e-170], 1), (2, [1e160, 2e160], 1), (3, [1.0, 2.0], 1), (None, [1.0, 2.0], 1), (5, [-1e-310, 0.0], 1), (6, [-3.0, 0.0], 1)]
+    table = spark.createDataFrame(far, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_classes(table).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), None: (3, 1), 5: (1, 5), 6: (1, 5)}
