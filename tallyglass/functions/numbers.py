@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from ..dims import UNITS
 from .text import text
 
-NUMBER = "^-?\\s*(?:\\d{1,3}(?:,\\d{3})*|\\d+)(?:\\.\\d+)?$"
-PERCENT = "^-?\\s*(?:\\d{1,3}(?:,\\d{3})*|\\d+)(?:\\.\\d+)?\\s*%$"
+WHOLE = "(?:\\d+|\\d{1,3}(?:,\\d{3})+)"
+CELL = f"(?U)^-?\\s*{WHOLE}(?:[.]\\d+)?(?:\\s*%)?$"
 
 
 def parse_cell(c) -> Column:
     """strict parse; dashes and blanks are null, percent signs and thousands commas are dropped."""
     s = F.trim(text(c))
     plain = F.regexp_replace(s, "(?U)[,%\\s]", "")
-    return F.when(s.rlike("(?U)" + NUMBER) | s.rlike("(?U)" + PERCENT), plain.cast("decimal(28,4)"))
+    return F.when(s.rlike(CELL), plain.cast("decimal(28,4)"))
 
 
 def is_percent(c) -> Column:

@@ -16,6 +16,12 @@ def edges(f: DataFrame, threshold: float = 0.85) -> DataFrame:
     b = f.where("source = 'rule'").select([F.col(c).alias(c if c == "doc_id" else f"b_{c}") for c in keep])
     p = a.join(b, "doc_id")
     lower = lambda c: F.transform(F.col(c), lambda x: F.lower(x))
+    # string similarities run in Python: only pairs that could still reach the threshold with equal strings get there
+    one = F.lit(1.0)
+    tags, amounts = jaccard(lower("a_tags"), lower("b_tags")), metric(F.col("a_amount"), F.col("b_amount"))
+    known = lambda c: F.when(F.col(f"a_{c}").isNotNull() & F.col(f"b_{c}").isNotNull(), one)
+    best = 0.4 + location(F.col("a_page"), F.col("b_page"), known("section"), known("table_name")) * 0.3 + tags * 0.2 + amounts * 0.1
+    p = p.where(best >= threshold - 1e-6)
     p = p.withColumns({
         "title_sim": sequence_ratio(F.lower("a_title"), F.lower("b_title")),
         "section_sim": sequence_ratio(F.col("a_section"), F.col("b_section")),
@@ -24,8 +30,8 @@ def edges(f: DataFrame, threshold: float = 0.85) -> DataFrame:
     score = (
         F.col("title_sim") * 0.4
         + location(F.col("a_page"), F.col("b_page"), F.col("section_sim"), F.col("table_sim")) * 0.3
-        + jaccard(lower("a_tags"), lower("b_tags")) * 0.2
-        + metric(F.col("a_amount"), F.col("b_amount")) * 0.1
+        + tags * 0.2
+        + amounts * 0.1
     )
     return p.withColumn("score", F.round(score, 6)).where(F.col("score") >= threshold)
 
@@ -34,7 +40,7 @@ def greedy_matches(e: DataFrame) -> DataFrame:
     """One-to-one matching by score, ties to the larger indexes; a document's edges are few."""
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["score", "a_idx", "b_idx"], ascending=False)
+        frame = frame.sort_values(["score", "a_idx", "b_idx", "a_finding_id", "b_finding_id"], ascending=False)
         used_a, used_b, keep = set(), set(), []
         for i, a, b in zip(frame.index, frame["a_finding_id"], frame["b_finding_id"], strict=True):
             ok = a not in used_a and b not in used_b
@@ -48,6 +54,12 @@ def greedy_matches(e: DataFrame) -> DataFrame:
     return slim.groupBy("doc_id").applyInPandas(match, slim.schema)
 
 
+def unmatched(f: DataFrame, matches: DataFrame) -> DataFrame:
+    """Findings of either source without a partner."""
+    taken = matches.select("doc_id", F.explode(F.array("a_finding_id", "b_finding_id")).alias("finding_id"))
+    return f.join(taken, ["doc_id", "finding_id"], "left_anti")
+
+
 LEVELS = {"info": 1, "low": 2, "medium": 3, "high": 4, "critical": 5}
 
 

@@ -227,11 +227,17 @@ def t30(spark, sf):
     return K.graded(C.findings(spark, sf), {"error": 10, "warn": 4, "info": 1})
 
 
-@query("t32_years_by_section", ORD + "SELECT k AS doc_id, 'cover' AS section, year, CAST(1 AS BIGINT) AS n FROM o")
+# Years stand on the cover; in prose, an amount such as 2045.33 reads like one.
+YEARS_SQL = ORD + """, p AS (SELECT k AS doc_id, 'cover' AS section, year FROM o
+UNION ALL SELECT k, CASE WHEN k % 11 <> 0 THEN 'contents' ELSE 'prose' END, CAST(left(amount, 4) AS INTEGER) FROM (SELECT k, unnest([CAST(n0 AS VARCHAR), CAST(n1 AS VARCHAR), CAST(n2 AS VARCHAR), CAST(n4 AS VARCHAR), CAST(n5 AS VARCHAR), CAST(b AS VARCHAR)]) AS amount FROM d) WHERE regexp_matches(amount, '^20[0-9]{2}[.]'))
+SELECT doc_id, section, year, count(*) AS n FROM p GROUP BY ALL"""
+
+
+@query("t32_years_by_section", YEARS_SQL)
 def t32(spark, sf):
     from ..functions.text import years
 
     p = _pages(spark, sf)
     where = F.when(F.col("page_no") == 1, "cover").when(F.col("text").contains("目录"), "contents").when(F.col("text").contains("决算表"), "table").otherwise("prose")
-    counted = p.where("page_no = 1").select("doc_id", where.alias("section"), F.explode(years("text")).alias("year"))
+    counted = p.select("doc_id", where.alias("section"), F.explode(years("text")).alias("year"))
     return counted.groupBy("doc_id", "section", "year").agg(F.count(F.lit(1)).alias("n"))

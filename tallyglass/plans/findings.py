@@ -273,29 +273,11 @@ def a8(spark, sf):
     return findings(spark, sf).groupBy("rule_id").agg(F.countDistinct("doc_id").alias("runs"), F.count_if(F.col("severity") == "error").alias("failures"), F.count(F.lit(1)).alias("findings"))
 
 
-@query("a9_rule_coverage", W + "SELECT rule_id, count(*) AS runs, count(*) FILTER (page IS NOT NULL) AS hits, CAST(count(*) FILTER (page IS NOT NULL) AS DOUBLE) / count(*) AS hit_rate, count(*) FILTER (page IS NULL AND severity = 'error') AS no_anchor FROM f GROUP BY 1")
+@query("a9_rule_coverage", W + "SELECT rule_id, count(*) AS runs, count(*) FILTER (page IS NOT NULL) AS hits, count(*) FILTER (page IS NULL) AS misses, CAST(count(*) FILTER (page IS NOT NULL) AS DOUBLE) / count(*) AS hit_rate, count(*) FILTER (page IS NULL AND severity = 'error') AS no_anchor FROM f GROUP BY 1")
 def a9(spark, sf):
     f = findings(spark, sf)
     reasons = f.where("page is null").groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
     reasons = reasons.groupBy("rule_id").agg(F.map_from_entries(F.collect_list(F.struct("severity", "n"))).alias("reasons"))
     rates = f.groupBy("rule_id").agg(F.count(F.lit(1)).alias("runs"), F.count("page").alias("hits"))
     met = rates.join(reasons, "rule_id", "left")
-    return met.select("rule_id", "runs", "hits", (F.col("hits") / F.col("runs")).alias("hit_rate"), F.coalesce(F.try_element_at("reasons", F.lit("error")), F.lit(0)).cast("long").alias("no_anchor"))
-
-
-@query("u3_merged_ids", W + f"SELECT doc_id, {ID} AS finding_id, CASE source WHEN 'ai' THEN 1 ELSE 2 END AS part, count(*) AS n FROM f GROUP BY ALL")
-def u3(spark, sf):
-    f = findings(spark, sf)
-    f = f.withColumn("finding_id", O.finding_id(f))
-    a = f.where("source = 'ai'").select("doc_id", "finding_id", F.lit(1).alias("part"))
-    b = f.where("source = 'rule'").select("doc_id", "finding_id", F.lit(2).alias("part"))
-    return a.union(b).groupBy("doc_id", "finding_id", "part").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("u4_displayed", W + f"SELECT doc_id, finding_id, max(idx) AS idx FROM (SELECT *, {ID} AS finding_id FROM f) GROUP BY ALL")
-def u4(spark, sf):
-    f = findings(spark, sf)
-    f = f.withColumn("finding_id", O.finding_id(f))
-    both = f.where("source = 'ai'").unionByName(f.where("source = 'rule'"))
-    last = F.row_number().over(Window.partitionBy("doc_id", "finding_id").orderBy(F.desc("idx")))
-    return both.withColumn("r", last).where("r = 1").select("doc_id", "finding_id", "idx")
+    return met.select("rule_id", "runs", "hits", (F.col("runs") - F.col("hits")).alias("misses"), (F.col("hits") / F.col("runs")).alias("hit_rate"), F.coalesce(F.try_element_at("reasons", F.lit("error")), F.lit(0)).cast("long").alias("no_anchor"))

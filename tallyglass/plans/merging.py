@@ -1,4 +1,4 @@
-"""Queries on two-source merging (F3-F6, J8-J13, M001-M003, A6, A10)."""
+"""Queries on two-source merging (F3-F6, J8-J13, M001-M003, A6, A10, U3, U4)."""
 
 from __future__ import annotations
 
@@ -10,10 +10,11 @@ from ..operators import findings as O
 from ..operators import merge as M
 from ..registry import query, table
 from ..sources.corpus import FINDINGS_SQL, findings
+from .findings import ID
 
 W = f"WITH {FINDINGS_SQL}"
-EDGE_SQL = W + """, a AS (SELECT * FROM f WHERE source = 'ai'), b AS (SELECT * FROM f WHERE source = 'rule'),
-j AS (SELECT a.doc_id, a.idx AS a_idx, b.idx AS b_idx, a.amount AS a_amount, b.amount AS b_amount,
+EDGE_SQL = W + f""", i AS (SELECT *, {ID} || ':' || idx || ':' || CAST(amount AS VARCHAR) AS fid FROM f), a AS (SELECT * FROM i WHERE source = 'ai'), b AS (SELECT * FROM i WHERE source = 'rule'),
+j AS (SELECT a.doc_id, a.idx AS a_idx, b.idx AS b_idx, a.amount AS a_amount, b.amount AS b_amount, a.fid AS a_fid, b.fid AS b_fid, a.severity AS a_severity, b.severity AS b_severity, a.page AS a_page, b.page AS b_page,
   CASE WHEN a.title = b.title THEN 1.0::DOUBLE ELSE 12.0::DOUBLE / 14 END AS title_sim,
   CASE WHEN a.page IS NOT NULL AND b.page IS NOT NULL THEN CASE WHEN abs(a.page - b.page) <= 1 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END END AS page_part,
   CASE WHEN a.section IS NOT NULL AND b.section IS NOT NULL THEN CASE WHEN a.section = b.section THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END END AS section_sim,
@@ -26,6 +27,21 @@ l AS (SELECT *, (CASE WHEN page_part IS NULL THEN 0.0::DOUBLE ELSE 0.5::DOUBLE E
 e AS (SELECT *, round(title_sim * 0.4::DOUBLE + (CASE WHEN weight > 0 THEN got / weight ELSE 0.0::DOUBLE END) * 0.3::DOUBLE + tag_sim * 0.2::DOUBLE + metric_sim * 0.1::DOUBLE, 6) AS score FROM l)
 """
 
+# The greedy matching edge by edge, documents side by side: g holds what is taken after each edge.
+MATCH_SQL = EDGE_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, a_idx DESC, b_idx DESC, a_fid DESC, b_fid DESC) AS r FROM e WHERE score >= 0.85),
+g AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS r, CAST([] AS VARCHAR[]) AS ua, CAST([] AS VARCHAR[]) AS ub, false AS ok FROM o
+  UNION ALL SELECT o.doc_id, o.r, CASE WHEN list_contains(g.ua, o.a_fid) OR list_contains(g.ub, o.b_fid) THEN g.ua ELSE list_append(g.ua, o.a_fid) END,
+    CASE WHEN list_contains(g.ua, o.a_fid) OR list_contains(g.ub, o.b_fid) THEN g.ub ELSE list_append(g.ub, o.b_fid) END,
+    NOT (list_contains(g.ua, o.a_fid) OR list_contains(g.ub, o.b_fid)) FROM g JOIN o ON o.doc_id = g.doc_id AND o.r = g.r + 1),
+m AS (SELECT o.* FROM o JOIN g ON o.doc_id = g.doc_id AND o.r = g.r WHERE g.ok),
+q AS (SELECT *, CASE WHEN abs(coalesce(list_position(['info', 'low', 'medium', 'high', 'critical'], a_severity), 0) - coalesce(list_position(['info', 'low', 'medium', 'high', 'critical'], b_severity), 0)) >= 2 THEN 'severity-mismatch'
+  WHEN a_amount <> 0 AND b_amount <> 0 AND abs(a_amount - b_amount) / greatest(abs(a_amount), abs(b_amount)) > 0.005 THEN 'value-mismatch'
+  WHEN a_page > 0 AND b_page > 0 AND abs(a_page - b_page) > 1 THEN 'page-mismatch' ELSE 'agreement' END AS reason FROM m),
+nm AS (SELECT doc_id, count(*) AS n_matched, count(*) FILTER (reason <> 'agreement') AS n_conflicts FROM q GROUP BY 1),
+s AS (SELECT n.doc_id, n_ai, n_rule, coalesce(n_matched, 0) AS n_matched, coalesce(n_conflicts, 0) AS n_conflicts FROM (SELECT doc_id, count(*) FILTER (source = 'ai') AS n_ai, count(*) FILTER (source = 'rule') AS n_rule FROM f GROUP BY 1) n LEFT JOIN nm USING (doc_id)),
+left_over AS (SELECT doc_id, source, fid FROM i WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = i.doc_id AND i.fid IN (m.a_fid, m.b_fid)))
+"""
+
 
 def with_ids(spark, sf):
     f = findings(spark, sf)
@@ -61,40 +77,59 @@ def f6(spark, sf):
     return d.select("doc_id", F.round(jaccard(words(F.col("text")), words(other)), 6).alias("sim"))
 
 
-@query("j9_greedy_matching")
+@query("j9_greedy_matching", MATCH_SQL + "SELECT doc_id, a_fid AS a_finding_id, b_fid AS b_finding_id, score FROM m")
 def j9(spark, sf):
     return M.greedy_matches(M.edges(with_ids(spark, sf))).select("doc_id", "a_finding_id", "b_finding_id", "score")
 
 
-@query("j11_unmatched", W + " SELECT doc_id, source, count(*) AS n FROM f WHERE (source = 'ai' AND NOT EXISTS (SELECT 1 FROM f g WHERE g.doc_id = f.doc_id AND g.source = 'rule' AND g.rule_id = f.rule_id)) OR (source = 'rule' AND NOT EXISTS (SELECT 1 FROM f g WHERE g.doc_id = f.doc_id AND g.source = 'ai' AND g.rule_id = f.rule_id)) GROUP BY ALL")
+def _judged(f):
+    return M.conflicts(M.greedy_matches(M.edges(f)))
+
+
+@query("j11_unmatched", MATCH_SQL + "SELECT doc_id, source, fid AS finding_id FROM left_over")
 def j11(spark, sf):
-    f = findings(spark, sf).select("doc_id", "rule_id", "source")
-    a, r = f.where("source = 'ai'"), f.where("source = 'rule'")
-    only = a.join(r, ["doc_id", "rule_id"], "left_anti").unionByName(r.join(a, ["doc_id", "rule_id"], "left_anti"))
-    return only.groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("n"))
+    """Findings of either source that the one-to-one matching leaves over."""
+    f = with_ids(spark, sf)
+    return M.unmatched(f, M.greedy_matches(M.edges(f))).select("doc_id", "source", "finding_id")
+
+
+@query("u3_merged_ids", MATCH_SQL + "SELECT doc_id, a_fid AS finding_id, 1 AS part FROM m UNION ALL SELECT doc_id, fid, CASE source WHEN 'ai' THEN 2 ELSE 3 END FROM left_over")
+def u3(spark, sf):
+    """Merged id list: matched ai ids, then ai-only, then rule-only."""
+    f = with_ids(spark, sf)
+    matches = M.greedy_matches(M.edges(f))
+    rest = M.unmatched(f, matches).select("doc_id", "finding_id", F.when(F.col("source") == "ai", 2).otherwise(3).alias("part"))
+    return matches.select("doc_id", F.col("a_finding_id").alias("finding_id"), F.lit(1).alias("part")).unionByName(rest)
+
+
+@query("u4_displayed", MATCH_SQL + "SELECT doc_id, finding_id, max(kind) AS kind FROM (SELECT doc_id, a_fid AS finding_id, CASE reason WHEN 'agreement' THEN 1 ELSE 2 END AS kind FROM q UNION ALL SELECT doc_id, b_fid, 2 FROM q WHERE reason <> 'agreement' UNION ALL SELECT doc_id, fid, 3 FROM left_over) GROUP BY ALL")
+def u4(spark, sf):
+    """Agreements (the ai side), both sides of conflicts, the unmatched; one row for each id, of the last kind."""
+    f = with_ids(spark, sf)
+    judged = _judged(f)
+    apart = judged.where("reason <> 'agreement'")
+    shown = judged.select("doc_id", F.col("a_finding_id").alias("finding_id"), F.when(F.col("reason") == "agreement", 1).otherwise(2).alias("kind"))
+    shown = shown.unionByName(apart.select("doc_id", F.col("b_finding_id").alias("finding_id"), F.lit(2).alias("kind")))
+    shown = shown.unionByName(M.unmatched(f, judged).select("doc_id", "finding_id", F.lit(3).alias("kind")))
+    return shown.groupBy("doc_id", "finding_id").agg(F.max("kind").alias("kind"))
 
 
-@query("m001_dual_merge")
+@query("m001_dual_merge", MATCH_SQL + "SELECT doc_id, a_fid AS a_finding_id, b_fid AS b_finding_id, reason FROM q")
 def m001(spark, sf):
-    return M.conflicts(M.greedy_matches(M.edges(with_ids(spark, sf)))).select("doc_id", "a_finding_id", "b_finding_id", "reason")
+    return _judged(with_ids(spark, sf)).select("doc_id", "a_finding_id", "b_finding_id", "reason")
 
 
-@query("a6_merge_totals")
+@query("a6_merge_totals", MATCH_SQL + "SELECT doc_id, n_ai, n_rule, n_ai + n_rule - n_matched AS n_merged, n_conflicts, n_matched - n_conflicts AS n_agreements, n_ai - n_matched AS ai_only, n_rule - n_matched AS rule_only FROM s")
 def a6(spark, sf):
     f = with_ids(spark, sf)
-    judged = M.conflicts(M.greedy_matches(M.edges(f)))
-    return M.summary(f, judged).select("doc_id", "n_ai", "n_rule", "n_merged", "n_conflicts", "n_agreements", "ai_only", "rule_only")
+    return M.summary(f, _judged(f)).select("doc_id", "n_ai", "n_rule", "n_merged", "n_conflicts", "n_agreements", "ai_only", "rule_only")
 
 
-@query("a10_agreement_rates", W + """, m AS (SELECT a.doc_id, count(*) AS n_matched, count(*) FILTER (abs(a.amount - b.amount) / greatest(a.amount, b.amount) > 0.005) AS n_conflicts FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.source = 'ai' AND b.source = 'rule' AND b.idx = a.idx - 1 AND a.severity = b.severity GROUP BY 1),
-n AS (SELECT doc_id, count(*) FILTER (source = 'ai') AS a, count(*) FILTER (source = 'rule') AS r FROM f GROUP BY 1)
-SELECT n.doc_id, CASE WHEN coalesce(n_matched, 0) > 0 THEN (n_matched - n_conflicts)::DOUBLE / n_matched ELSE 0.0::DOUBLE END AS agreement_rate, coalesce(n_conflicts, 0) > 0.3 * (a + r - coalesce(n_matched, 0)) AS alarm FROM n LEFT JOIN m USING (doc_id)""")
+@query("a10_agreement_rates", MATCH_SQL + "SELECT doc_id, CASE WHEN n_matched > 0 THEN (n_matched - n_conflicts)::DOUBLE / n_matched ELSE 0.0::DOUBLE END AS agreement_rate, n_conflicts > 0.3 * (n_ai + n_rule - n_matched) AS alarm FROM s")
 def a10(spark, sf):
-    """Rates over neighbouring findings of equal severity as the given matches."""
+    """Rates over the matched findings; the alarm when conflicts pass 30% of the merged ones."""
     f = with_ids(spark, sf)
-    a = f.where("source = 'ai'").select("doc_id", "severity", F.col("idx").alias("a_idx"), F.col("amount").alias("a_amount"), F.lit(None).cast("int").alias("a_page"), F.col("severity").alias("a_severity"))
-    b = f.where("source = 'rule'").select("doc_id", "severity", (F.col("idx") + 1).alias("a_idx"), F.col("amount").alias("b_amount"), F.lit(None).cast("int").alias("b_page"), F.col("severity").alias("b_severity"))
-    return M.summary(f, M.conflicts(a.join(b, ["doc_id", "severity", "a_idx"]))).select("doc_id", "agreement_rate", "alarm")
+    return M.summary(f, _judged(f)).select("doc_id", "agreement_rate", "alarm")
 
 
 FIRST_SQL = W + ", s AS (SELECT a.doc_id, a.idx AS a_idx, a.amount AS a_amount, min(b.idx) AS rule_idx FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.source = 'ai' AND b.source = 'rule' WHERE a.rule_id = b.rule_id AND a.title = b.title GROUP BY ALL)"

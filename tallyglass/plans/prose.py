@@ -79,9 +79,9 @@ def f16(spark, sf):
     return p.select("doc_id", F.explode(spans("text", "\\d+\\.\\d+")).alias("m")).groupBy("doc_id").agg(F.min("m.start").alias("start"), F.min_by("m.found", "m.start").alias("found"))
 
 
-@query("f20_snippets", "SELECT doc_id, CASE WHEN length(t) > 64 THEN left(t, 32) || ' … ' || right(t, 32) ELSE t END AS snippet FROM (SELECT doc_id, trim(regexp_replace(substr(text, 1, least(length(text), 72)), '\\s+', ' ', 'g'), ' ') AS t FROM documents WHERE length(text) > 50 AND regexp_full_match(left(text, 80), '[\\x20-\\x7E\\n]*'))")
+@query("f20_snippets", "SELECT doc_id, CASE WHEN length(t) > 64 THEN left(t, 32) || ' … ' || right(t, 32) ELSE t END AS snippet FROM (SELECT doc_id, trim(regexp_replace(substr(text, 1, least(length(text), 72)), '[\\x09-\\x0D\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'), ' ') AS t FROM documents WHERE text IS NOT NULL)")
 def f20(spark, sf):
-    d = table(spark, sf, "documents").where(F.length("text") > 50).where(F.substring("text", 1, 80).rlike("^[\\x20-\\x7E\\n]*$"))
+    d = table(spark, sf, "documents").where("text is not null")
     return d.select("doc_id", snippet("text", F.lit(30), F.lit(40)).alias("snippet"))
 
 

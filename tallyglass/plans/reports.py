@@ -2,30 +2,41 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..registry import query, table
 
 
-@query("a12_page_summary", """WITH p AS (SELECT o_custkey AS doc_id, o_orderkey % 4 = 0 AS ocr, CAST(o_orderkey % 10 AS DOUBLE) / 10 AS q FROM orders)
-SELECT doc_id, count(*) AS n_pages, count(*) FILTER (ocr) AS n_ocr, CAST(count(*) FILTER (ocr) AS DOUBLE) / count(*) AS ocr_ratio, count(*) FILTER (q >= 0.8) AS good, count(*) FILTER (q >= 0.5 AND q < 0.8) AS fair, count(*) FILTER (q < 0.5) AS poor FROM p GROUP BY 1""")
+@query("a12_page_summary", """WITH p AS (SELECT o_custkey AS doc_id, o_orderkey % 4 = 0 AS ocr, CAST(o_orderkey % 10 AS DOUBLE) / 10 AS q, o_orderkey % 10 AS tenths, length(o_orderpriority) AS chars FROM orders)
+SELECT doc_id, count(*) AS n_pages, CAST(sum(chars) AS BIGINT) AS n_chars, CAST(sum(tenths) AS DOUBLE) / 10 / count(*) AS mean_quality, count(*) FILTER (ocr) AS n_ocr, CAST(count(*) FILTER (ocr) AS DOUBLE) / count(*) AS ocr_ratio, count(*) FILTER (q >= 0.8) AS good, count(*) FILTER (q >= 0.5 AND q < 0.8) AS fair, count(*) FILTER (q < 0.5) AS poor FROM p GROUP BY 1""")
 def a12(spark, sf):
-    p = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), (F.col("o_orderkey") % 4 == 0).alias("ocr"), ((F.col("o_orderkey") % 10) / 10).alias("q"))
+    p = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), (F.col("o_orderkey") % 4 == 0).alias("ocr"), ((F.col("o_orderkey") % 10) / 10).alias("q"), (F.col("o_orderkey") % 10).alias("tenths"), F.length("o_orderpriority").alias("chars"))
     n = F.count(F.lit(1))
-    return p.groupBy("doc_id").agg(n.alias("n_pages"), F.count_if("ocr").alias("n_ocr"), (F.count_if("ocr") / n).alias("ocr_ratio"), F.count_if(F.col("q") >= 0.8).alias("good"), F.count_if((F.col("q") >= 0.5) & (F.col("q") < 0.8)).alias("fair"), F.count_if(F.col("q") < 0.5).alias("poor"))
+    return p.groupBy("doc_id").agg(n.alias("n_pages"), F.sum("chars").alias("n_chars"), (F.sum("tenths").cast("double") / 10 / n).alias("mean_quality"), F.count_if("ocr").alias("n_ocr"), (F.count_if("ocr") / n).alias("ocr_ratio"), F.count_if(F.col("q") >= 0.8).alias("good"), F.count_if((F.col("q") >= 0.5) & (F.col("q") < 0.8)).alias("fair"), F.count_if(F.col("q") < 0.5).alias("poor"))
 
 
 def job_stages(logs):
-    """Count, total and mean of each job's stages."""
-    return logs.groupBy("job_id", "stage").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("duration_ms").cast("decimal(18,2)")).cast("double").alias("total_ms"), (F.sum(F.col("duration_ms").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).alias("mean_ms"))
+    """Count, total and mean of each job's stages, and of the whole job its time from first to last entry,
+    entries, errors and largest value. One exchange by job: stages first, then windows over a job's few stages."""
+    stages = _stages(logs)
+    job = Window.partitionBy("job_id")
+    seconds = (F.unix_micros(F.max("to").over(job).cast("timestamp")) - F.unix_micros(F.min("from").over(job).cast("timestamp"))) / 1_000_000
+    whole = {"job_seconds": seconds, "job_entries": F.sum("n").over(job), "job_errors": F.sum(F.when(F.col("stage") == "error", F.col("n")).otherwise(0)).over(job), "job_most": F.max("most").over(job)}
+    return stages.withColumns(whole).drop("from", "to", "most")
+
+
+def _stages(logs):
+    return logs.groupBy("job_id", "stage").agg(F.min("ts").alias("from"), F.max("ts").alias("to"), F.max("duration_ms").alias("most"), F.count(F.lit(1)).alias("n"), F.sum(F.col("duration_ms").cast("decimal(18,2)")).cast("double").alias("total_ms"), (F.sum(F.col("duration_ms").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).alias("mean_ms"))
 
 
 def logs_of(events):
     return events.select(F.col("user_id").alias("job_id"), F.col("event_type").alias("stage"), F.col("value").alias("duration_ms"), "ts")
 
 
-@query("a13_job_profile", "SELECT user_id AS job_id, event_type AS stage, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_ms, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean_ms FROM events GROUP BY ALL")
+@query("a13_job_profile", """WITH j AS (SELECT user_id, CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / 1000000 AS job_seconds, count(*) AS job_entries, count(*) FILTER (event_type = 'error') AS job_errors, max(value) AS job_most FROM events GROUP BY 1)
+SELECT user_id AS job_id, event_type AS stage, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_ms, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean_ms, any_value(job_seconds) AS job_seconds, any_value(job_entries) AS job_entries, any_value(job_errors) AS job_errors, any_value(job_most) AS job_most FROM events JOIN j USING (user_id) GROUP BY ALL""")
 def a13(spark, sf):
     return job_stages(logs_of(table(spark, sf, "events")))
 
@@ -84,10 +95,15 @@ def f19(spark, sf):
     return _marked(spark, sf).select("k", X.sentence(t, F.lit("说明")).alias("sentence"))
 
 
-@query("f24_positions", "SELECT doc_id, CAST(instr(text, substr(text, 21, 30)) - 1 AS INTEGER) AS pos FROM documents WHERE length(text) >= 60 AND NOT contains(substr(text, 21, 30), chr(10)) AND length(trim(substr(text, 21, 30))) = 30")
+_MARKS = X.PUNCTUATION.replace("'", "''")
+
+
+@query("f24_positions", f"""WITH d AS (SELECT doc_id, text, substr(text, 21, 30) AS part FROM documents WHERE length(text) >= 60),
+x AS (SELECT *, replace(trim(part, ' '), chr(10), '') AS flat, regexp_replace(text, '{_MARKS}', '', 'g') AS np, regexp_replace(part, '{_MARKS}', '', 'g') AS nn FROM d)
+SELECT doc_id, CAST(CASE WHEN length(flat) >= 8 AND contains(text, flat) THEN instr(text, flat) - 1 WHEN contains(np, nn) THEN floor(CAST(instr(np, nn) - 1 AS DOUBLE) / length(np) * length(text)) ELSE 1000000000 END AS INTEGER) AS pos FROM x""")
 def f24(spark, sf):
     part = F.substring("text", 21, 30)
-    d = table(spark, sf, "documents").where(F.length("text") >= 60).where(~part.contains("\n") & (F.length(F.trim(part)) == 30))
+    d = table(spark, sf, "documents").where(F.length("text") >= 60)
     return d.select("doc_id", X.guess_position("text", part).cast("int").alias("pos"))
 
 
