@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import cut
-from .words import Block, blocks, span_hash
+from .words import Block, blocks, distinct, span_hash
 
 LENGTH = 4096
 END = 2
@@ -70,7 +70,7 @@ class WordEncoder:
         word is, and their places in the sorted arrays."""
         if len(self.keys) > CACHE_WORDS:
             self.clear()
-        words, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        words, first, which = distinct(hashes)
         at, known = self.places(words)
         new = np.flatnonzero(~known)
         if not len(new):

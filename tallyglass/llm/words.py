@@ -156,6 +156,17 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     return twice[at] == keys
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys in order, a place of each, and for every key which of them it is."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(keys) else np.zeros(0, bool)
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return ordered[first], order[first], which
+
+
 def packed(column: np.ndarray) -> bytes:
     return pa.compress(np.ascontiguousarray(column).tobytes(), codec="zstd", asbytes=True)
 
