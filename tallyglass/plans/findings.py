@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import page_is_front, page_is_table
 from ..operators import findings as O
-from ..registry import RuleBook, query, table
+from ..registry import RuleBook, query, table, shared_folder
 from ..sources.corpus import FINDINGS_SQL, MONEY, ORDERS_SQL, findings
 
 W = f"WITH {FINDINGS_SQL} "
@@ -239,8 +239,7 @@ def s13(spark, sf):
 def _written(df, kind: str):
     """Write to the session's shared folder and read back."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/spark-exports"
-    path = f"{folder.rstrip('/')}/export-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
     if kind == "json":
         df.write.partitionBy("severity").json(path)
         return spark.read.schema(df.schema).json(path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..dims import rule_dim
 from ..functions.text import clip, windows
-from ..registry import query, table
+from ..registry import query, shared_folder, table
 from ..sources import responses as R
 
 
@@ -68,8 +68,7 @@ def s8(spark, sf):
     """Events written as JSON lines with every ninth line cut short, read back without the malformed ones."""
     line = F.to_json(F.struct("event_id", F.col("event_type").alias("stage"), F.col("value").alias("duration_ms")))
     e = table(spark, sf, "events").select(F.when(F.col("event_id") % 9 == 0, F.substring(line, 1, 12)).otherwise(line).alias("value"))
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/spark-exports").rstrip("/")
-    path = f"{folder}/log-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
     e.write.text(path)
     return spark.read.schema("event_id long, stage string, duration_ms double").option("mode", "DROPMALFORMED").json(path).select("event_id", "stage", "duration_ms")
 

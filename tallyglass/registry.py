@@ -26,6 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all machines share; only on one machine is there another one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return (folder or "file:///tmp/spark-exports").rstrip("/")
+
+
 class RuleBook:
     """Named rules f(tables) -> findings. A rule that cannot be planned, or whose columns differ,
     becomes one finding of severity hint and leaves the others alone. Schemas are checked on the plan."""

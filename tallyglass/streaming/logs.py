@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..registry import shared_folder
+
 
 def overview(stream: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Count and total duration of each stage and event-time window, with a watermark for late entries."""
@@ -24,8 +26,7 @@ def repeated_words(pages: DataFrame) -> DataFrame:
 def drained(out: DataFrame, mode: str) -> DataFrame:
     """Run a stream over everything that is there and return what its sink holds, as a table in the shared folder."""
     spark: SparkSession = out.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/spark-exports").rstrip("/")
-    at = f"{folder}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}")
