@@ -17,6 +17,19 @@ NINE_TABLES = [
     ("国有资本经营预算财政拨款收入支出决算表", ["国有资本经营预算财政拨款收入支出决算表", "国有资本经营预算财政拨款支出决算表", "国有资本经营支出决算表"]),
 ]
 
+# Category and keywords of each standard table, in the same order.
+TABLE_KEYWORDS = [
+    ("comprehensive", ["收入", "支出", "决算", "总表"]),
+    ("income", ["收入", "决算"]),
+    ("expenditure", ["支出", "决算"]),
+    ("fiscal_allocation", ["财政", "拨款", "收入", "支出", "决算"]),
+    ("general_budget", ["一般", "公共", "预算", "财政", "拨款", "支出"]),
+    ("basic_expenditure", ["一般", "公共", "预算", "基本", "支出"]),
+    ("three_public", ["三公", "经费", "支出"]),
+    ("government_fund", ["政府", "基金", "预算", "收入", "支出"]),
+    ("state_capital", ["国有", "资本", "经营", "预算", "支出"]),
+]
+
 # Severity names of the four schemes and their ranks (higher is graver).
 SEVERITIES = [
     ("engine", "error", "error", 3), ("engine", "fatal", "error", 3), ("engine", "critical", "error", 3),

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..dims import UNITS
-from .text import text
+from .text import spans, text
 
 WHOLE = "(?:\\d+|\\d{1,3}(?:,\\d{3})+)"
 CELL = f"(?U)^-?\\s*{WHOLE}(?:[.]\\d+)?(?:\\s*%)?$"
@@ -32,7 +30,11 @@ def is_negative(c) -> Column:
 # Chinese digits and place values.
 DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 PLACES = {"十": 10, "百": 100, "千": 1000}
-NUMERAL = "^[零〇一二两三四五六七八九十百千万亿]+$"
+NUMERALS = "[零〇一二两三四五六七八九十百千万亿]+"
+NUMERAL = f"^{NUMERALS}$"
+# Words that make an amount negative, and units that alone are no number.
+NEGATIVE = "负|减少|下降"
+LONE_UNITS = ["千", "万", "亿"]
 
 
 def _map(values: dict) -> Column:
@@ -67,14 +69,16 @@ def numeral(c) -> Column:
 
 def parse_robust(c) -> Column:
     """F8: bracketed negatives, percent, multipliers, numerals, cleaned fallback; first tier that fits.
-    Look-alike letters are mended inside numeric tokens only."""
+    Look-alike letters are mended inside numeric tokens only. A word of decrease makes a positive value negative."""
     s = F.regexp_replace(F.trim(text(c)), "(?U)\\s*\n\\s*", "")
     numeric = s.rlike("(?U)^[-(（]?[\\dOoIlSB,.]+")
     mended = F.when(numeric & s.rlike("\\d"), F.translate(s, "OoIlSB", "001158")).otherwise(s)
     bare = F.regexp_replace(mended, "(?U)[,\\s]", "")
     inner = F.regexp_extract(bare, "^[(（](\\d+(?:\\.\\d+)?)[)）]$", 1)
     bracket = F.when(inner != "", -inner.cast("decimal(28,4)"))
-    rate = F.regexp_extract(bare, "^(-?\\d+(?:\\.\\d+)?)[%％]$", 1)
+    less = F.when(bare.rlike(NEGATIVE), F.lit(-1)).otherwise(F.lit(1))
+    bare = F.regexp_replace(bare, NEGATIVE, "")
+    rate = F.regexp_extract(bare, "^([+-]?\\d+(?:\\.\\d+)?)[%％]$", 1)
     percent = F.when(rate != "", rate.cast("decimal(28,4)"))
     factor = F.regexp_extract(bare, "^-?\\d+(?:\\.\\d+)?(千万|百万|千|万|亿)元?$", 1)
     amount = F.regexp_extract(bare, "^(-?\\d+(?:\\.\\d+)?)", 1)
@@ -83,7 +87,33 @@ def parse_robust(c) -> Column:
     plain = F.when(bare.rlike("^-?\\d+(\\.\\d+)?$"), bare.cast("decimal(28,4)"))
     cleaned = F.regexp_extract(bare, "(-?\\d+(?:\\.\\d+)?)", 1)
     fallback = F.when(cleaned != "", cleaned.cast("decimal(28,4)"))
-    return F.coalesce(bracket, percent, scaled, plain, numeral(bare).cast("decimal(28,4)"), fallback)
+    run = F.regexp_extract(bare, NUMERALS, 0)
+    spoken = F.when(~bare.rlike("\\d") & (run != "") & ~run.isin(LONE_UNITS), numeral(run).cast("decimal(28,4)"))
+    value = F.coalesce(percent, scaled, plain, spoken, fallback)
+    return F.coalesce(bracket, F.when(value > 0, (value * less).cast("decimal(28,4)")).otherwise(value))
+
+
+DIGITAL = "\\d+(?:,\\d{3})*(?:\\.\\d+)?"
+#: Written forms of a number; of two that begin together the earlier form wins.
+FORMS = [f"[(（]{DIGITAL}[)）]", f"{DIGITAL}[%％]", NUMERALS, f"[+-]?{DIGITAL}"]
+
+
+def all_numbers(c) -> Column:
+    """array of (start, form, found, value): every number of a text by position, overlapping ones left out."""
+
+    def parsed(form: int):
+        return lambda m: F.struct(m["start"].alias("start"), F.lit(form).alias("form"), m["found"].alias("found"), parse_robust(m["found"]).cast("double").alias("value"))
+
+    met = F.concat(*[F.transform(spans(c, p), parsed(i)) for i, p in enumerate(FORMS)])
+    known = F.array_sort(F.filter(met, lambda m: m["value"].isNotNull()))
+    start = F.struct(F.lit(0).alias("end"), F.expr("cast(array() as array<struct<start:int,form:int,found:string,value:double>>)").alias("out"))
+
+    def keep(acc, m):
+        free = m["start"] >= acc["end"]
+        end = F.when(free, m["start"] + F.length(m["found"])).otherwise(acc["end"])
+        return F.struct(end.alias("end"), F.when(free, F.concat(acc["out"], F.array(m))).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(known, start, keep, lambda acc: acc["out"])
 
 
 def amount_in_yuan(c) -> Column:
@@ -124,7 +154,3 @@ def close_either(a: Column, b: Column, absolute: float = 0.01, relative: float =
     """Absolute or relative."""
     a, b = a.cast("double"), b.cast("double")
     return (F.abs(a - b) <= absolute) | (F.abs(a - b) <= F.greatest(F.abs(a), F.abs(b)) * relative)
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -126,7 +126,8 @@ def section(c, start: str, stop: str) -> Column:
 
 
 def guess_position(page, needle) -> Column:
-    """exact, then normalised and proportional; 10**9 when not found."""
+    """exact, then normalised and proportional, then the longest of three parts of a long clip that is
+    found and has over 30% of it; 10**9 when not found."""
     page = text(page)
     flat = F.regexp_replace(F.trim(text(needle)), "\n", "")
     exact = F.call_function("locate", F.substring(flat, 1, 50), page)
@@ -134,7 +135,15 @@ def guess_position(page, needle) -> Column:
     near = F.call_function("locate", n_needle, n_page)
     scaled = F.floor((near - 1) / F.length(n_page) * F.length(page)).cast("int")
     long = F.length(flat) >= 8
-    return F.when(long & (exact > 0), exact - 1).when((F.length(text(needle)) >= 8) & (near > 0), scaled).otherwise(F.lit(10**9))
+    n = F.length(text(needle))
+    third = F.floor(n / 3).cast("int")
+    parts = []
+    for i in range(3):
+        part = F.trim(F.substring(text(needle), third * i + 1, third if i < 2 else n))
+        at = F.call_function("locate", F.substring(part, 1, 30), page)
+        parts.append(F.when((n > 50) & (F.length(part) >= 8) & (F.length(part) > 0.3 * n) & (at > 0), F.struct(F.length(part).alias("size"), F.lit(-i).alias("first"), (at - 1).alias("at"))))
+    best = F.array_max(F.array(*parts))["at"]
+    return F.when(long & (exact > 0), exact - 1).when((n >= 8) & (near > 0), scaled).otherwise(F.coalesce(best, F.lit(10**9)))
 
 
 TITLES = ["(?m)^\\s*(?:[一二三四五六七八九十]+[、.．])?\\s*([^\\n。]{2,40}?表)\\s*$", "(?m)第\\s*\\d+\\s*页\\s*([^\\n]{2,40}?表)", "(?m)([^\\n]{2,40}?表)\\s*[（(]续表?[）)]"]

@@ -86,17 +86,52 @@ def summary(f: DataFrame, judged: DataFrame) -> DataFrame:
     })
 
 
-def first_rule(f: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """J10 with F6: every ai finding goes to the first rule finding it resembles."""
-    keep = ["doc_id", "idx", "rule_id", "title", "section", "amount"]
+def similar_findings(f: DataFrame, threshold: float = 0.8, extra: tuple[str, ...] = ()) -> DataFrame:
+    """pairs of an ai and a rule finding of one document: .4 same rule, .4 shared words, .2 one section in the other."""
+    keep = ["doc_id", "idx", "rule_id", "title", "section", "amount", *extra]
     a = f.where("source = 'ai'").select([F.col(c).alias(c if c == "doc_id" else f"a_{c}") for c in keep])
     b = f.where("source = 'rule'").select([F.col(c).alias(c if c == "doc_id" else f"b_{c}") for c in keep])
     p = a.join(b, "doc_id")
     same = F.when(F.col("a_rule_id") == F.col("b_rule_id"), 0.4).otherwise(0.0)
     within = F.coalesce(F.col("a_section").contains(F.col("b_section")) | F.col("b_section").contains(F.col("a_section")), F.lit(False))
     sim = same + jaccard(words(F.col("a_title")), words(F.col("b_title"))) * 0.4 + F.when(within, 0.2).otherwise(0.0)
-    near = p.withColumn("sim", F.round(sim, 6)).where(F.col("sim") >= threshold)
-    return near.groupBy("doc_id", "a_idx", "a_amount").agg(F.min("b_idx").alias("rule_idx"))
+    return p.withColumn("sim", F.round(sim, 6)).where(F.col("sim") >= threshold)
+
+
+def first_rule(f: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Every ai finding goes to the first rule finding it resembles."""
+    return similar_findings(f, threshold).groupBy("doc_id", "a_idx", "a_amount").agg(F.min("b_idx").alias("rule_idx"))
+
+
+def layered_merge(f: DataFrame, threshold: float = 0.8, most: int = 50) -> DataFrame:
+    """M002: findings without a rule or a message of over five characters go; an ai finding joins the first rule
+    finding it resembles, which takes the longest of such messages when longer than its own and one step of
+    confidence (up to 3); equal rule, message and section stay once; of more than `most` in a document the
+    gravest and surest stay. All windows follow the document, so one exchange by doc_id serves them."""
+    valid = f.where((F.col("rule_id") != "") & (F.length(F.trim("message")) > 5))
+    pairs = similar_findings(valid, threshold, ("finding_id", "message"))
+    turn = F.row_number().over(Window.partitionBy("doc_id", "a_finding_id").orderBy("b_idx", "b_amount", "b_finding_id"))
+    taken = pairs.withColumn("turn", turn).where("turn = 1")
+    longest = F.max_by("a_message", F.struct(F.length("a_message"), -F.col("a_idx"), "a_message")).alias("said")
+    helped = taken.groupBy("doc_id", F.col("b_finding_id").alias("finding_id")).agg(longest, F.count(F.lit(1)).alias("n_ai"))
+    rules = valid.where("source = 'rule'").join(helped, ["doc_id", "finding_id"], "left").withColumns({
+        "message": F.when(F.length("said") > F.length("message"), F.col("said")).otherwise(F.col("message")),
+        "confidence": F.when((F.col("n_ai") > 0) & (F.col("confidence") < 3), F.col("confidence") + 1).otherwise(F.col("confidence")),
+    })
+    alone = valid.where("source = 'ai'").join(taken.select("doc_id", F.col("a_finding_id").alias("finding_id")), ["doc_id", "finding_id"], "left_anti")
+    every = rules.drop("said").unionByName(alone, allowMissingColumns=True).withColumn("n_ai", F.coalesce("n_ai", F.lit(0)).cast("long"))
+    order = [F.desc("source"), "idx", "amount", "finding_id"]  # rule findings first
+    copies = F.row_number().over(Window.partitionBy("doc_id", "rule_id", "message", "section").orderBy(*order))
+    gravity = F.when(F.col("severity") == "error", 3).when(F.col("severity") == "warn", 2).otherwise(1)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(gravity.desc(), F.desc("confidence"), *order))
+    once = every.withColumn("copy", copies).where("copy = 1")
+    return once.withColumn("place", place).where(F.col("place") <= most).drop("copy", "place")
+
+
+def enhanced(f: DataFrame, texts: DataFrame) -> DataFrame:
+    """Last step of M003: findings take the description written for them, where one is given that isn't blank."""
+    met = f.join(texts.select("finding_id", F.col("description").alias("better")), "finding_id", "left")
+    return met.withColumn("message", F.when(F.trim("better") != "", F.col("better")).otherwise(F.col("message"))).drop("better")
 
 
 def verdict(f: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -267,16 +267,41 @@ def a7(spark, sf):
     return c.select(F.coalesce("severity", F.lit("*")).alias("severity"), F.coalesce("source", F.lit("*")).alias("source"), "n")
 
 
-@query("a8_rule_statistics", W + "SELECT rule_id, count(DISTINCT doc_id) AS runs, count(*) FILTER (severity = 'error') AS failures, count(*) AS findings FROM f GROUP BY 1")
+RUNS_SQL = W + """, c AS (SELECT doc_id, rule_id, count(*) AS n FROM f GROUP BY ALL),
+r AS (SELECT e.event_id, e.user_id AS doc_id, 'V33-' || CAST(101 + e.event_id % 10 AS VARCHAR) AS rule_id, e.event_type <> 'error' AS ok, e.ts, e.value FROM events e),
+x AS (SELECT r.*, CASE WHEN ok THEN coalesce(c.n, 0) ELSE 0 END AS n FROM r LEFT JOIN c USING (doc_id, rule_id))
+"""
+
+
+def rule_runs(spark, sf):
+    """The log read as rule runs (rule by entry number, document by user, failed where the entry is an error),
+    each with the findings of its rule and document; those are counted before they meet the log."""
+    found = findings(spark, sf).groupBy("doc_id", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+    rule = F.concat(F.lit("V33-"), (F.col("event_id") % 10 + 101).cast("string"))
+    runs = table(spark, sf, "events").select("event_id", F.col("user_id").alias("doc_id"), rule.alias("rule_id"), (F.col("event_type") != "error").alias("ok"), "ts", "value")
+    return runs.join(found, ["doc_id", "rule_id"], "left").withColumn("n", F.when(F.col("ok"), F.coalesce("n", F.lit(0))).otherwise(0))
+
+
+@query("a8_rule_statistics", RUNS_SQL + "SELECT rule_id, count(*) AS runs, count(*) FILTER (n > 0) AS hits, count(*) FILTER (NOT ok) AS failures, CAST(sum(n) AS BIGINT) AS findings, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS elapsed_ms FROM x GROUP BY 1")
 def a8(spark, sf):
-    return findings(spark, sf).groupBy("rule_id").agg(F.countDistinct("doc_id").alias("runs"), F.count_if(F.col("severity") == "error").alias("failures"), F.count(F.lit(1)).alias("findings"))
+    n = F.count(F.lit(1))
+    elapsed = F.sum(F.col("value").cast("decimal(18,2)")).cast("double")
+    return rule_runs(spark, sf).groupBy("rule_id").agg(n.alias("runs"), F.count_if(F.col("n") > 0).alias("hits"), F.count_if(~F.col("ok")).alias("failures"), F.sum("n").alias("findings"), elapsed.alias("elapsed_ms"))
 
 
-@query("a9_rule_coverage", W + "SELECT rule_id, count(*) AS runs, count(*) FILTER (page IS NOT NULL) AS hits, count(*) FILTER (page IS NULL) AS misses, CAST(count(*) FILTER (page IS NOT NULL) AS DOUBLE) / count(*) AS hit_rate, count(*) FILTER (page IS NULL AND severity = 'error') AS no_anchor FROM f GROUP BY 1")
+@query("a9_rule_coverage", RUNS_SQL + """SELECT rule_id, count(*) AS runs, count(*) FILTER (ok) AS successful, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (n > 0) AS hits, count(*) FILTER (ok AND n = 0) AS misses, CAST(count(*) FILTER (n > 0) AS DOUBLE) / count(*) AS hit_rate,
+count(*) FILTER (NOT ok AND value >= 50) AS failed_slow, count(*) FILTER (NOT ok AND NOT value >= 50) AS failed_fast, epoch_us(max(ts)) AS last_run, CASE WHEN (array_agg(ok ORDER BY ts DESC, event_id DESC))[1] THEN 'success' ELSE 'failed' END AS last_status FROM x GROUP BY 1""")
 def a9(spark, sf):
-    f = findings(spark, sf)
-    reasons = f.where("page is null").groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
-    reasons = reasons.groupBy("rule_id").agg(F.map_from_entries(F.collect_list(F.struct("severity", "n"))).alias("reasons"))
-    rates = f.groupBy("rule_id").agg(F.count(F.lit(1)).alias("runs"), F.count("page").alias("hits"))
-    met = rates.join(reasons, "rule_id", "left")
-    return met.select("rule_id", "runs", "hits", (F.col("runs") - F.col("hits")).alias("misses"), (F.col("hits") / F.col("runs")).alias("hit_rate"), F.coalesce(F.try_element_at("reasons", F.lit("error")), F.lit(0)).cast("long").alias("no_anchor"))
+    """Runs, hits and misses of each rule, its failures by reason (a map of counts), its last run and how it ended."""
+    runs = rule_runs(spark, sf).withColumn("reason", F.when(~F.col("ok"), F.when(F.col("value") >= 50, "slow").otherwise("fast")))
+    parts = runs.groupBy("rule_id", "reason").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("n") > 0).alias("hits"), F.max_by(F.struct("ts", "ok"), F.struct("ts", "event_id")).alias("end"), F.max(F.struct("ts", "event_id")).alias("at")
+    )
+    reasons = F.map_from_entries(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("reason", "n")))).alias("reasons")
+    failed = F.coalesce(F.sum(F.when(F.col("reason").isNotNull(), F.col("n"))), F.lit(0)).alias("failed")
+    whole = parts.groupBy("rule_id").agg(F.sum("n").alias("runs"), failed, F.sum("hits").alias("hits"), F.max_by("end", "at").alias("end"), reasons)
+    named = lambda r: F.coalesce(F.try_element_at("reasons", F.lit(r)), F.lit(0)).cast("long").alias(f"failed_{r}")
+    ok = F.col("runs") - F.col("failed")
+    last = F.unix_micros(F.col("end.ts").cast("timestamp")).alias("last_run")
+    status = F.when(F.col("end.ok"), "success").otherwise("failed").alias("last_status")
+    return whole.select("rule_id", "runs", ok.alias("successful"), "failed", "hits", (ok - F.col("hits")).alias("misses"), (F.col("hits") / F.col("runs")).alias("hit_rate"), named("slow"), named("fast"), last, status)

@@ -140,15 +140,22 @@ def j10(spark, sf):
     return M.first_rule(findings(spark, sf))
 
 
-@query("m002_layered_merge", FIRST_SQL + """, k AS (SELECT f.doc_id, f.rule_id, f.title, f.section, min(f.idx) AS idx FROM f LEFT JOIN s ON s.doc_id = f.doc_id AND s.a_idx = f.idx AND s.a_amount = f.amount AND f.source = 'ai'
-WHERE s.doc_id IS NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx, rule_id, title, section NULLS FIRST) AS r FROM k) SELECT doc_id, rule_id, title, idx FROM r WHERE r <= 50""")
+LAYERED_SQL = W + f""", v AS (SELECT *, {ID} || ':' || idx || ':' || CAST(amount AS VARCHAR) AS fid FROM f WHERE rule_id <> '' AND length(trim(message)) > 5),
+p AS (SELECT a.doc_id, a.fid AS a_fid, a.idx AS a_idx, a.message AS said, b.fid AS b_fid, row_number() OVER (PARTITION BY a.doc_id, a.fid ORDER BY b.idx, b.amount, b.fid) AS r
+  FROM v a JOIN v b ON a.doc_id = b.doc_id AND a.source = 'ai' AND b.source = 'rule' AND a.rule_id = b.rule_id AND a.title = b.title),
+t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, b_fid ORDER BY length(said) DESC, a_idx, said DESC) AS place, count(*) OVER (PARTITION BY doc_id, b_fid) AS n FROM p WHERE r = 1),
+u AS (SELECT v.doc_id, rule_id, source, severity, title, section, idx, amount, fid, CASE WHEN length(said) > length(message) THEN said ELSE message END AS message,
+    CASE WHEN n > 0 AND confidence < 3 THEN confidence + 1 ELSE confidence END AS confidence, coalesce(n, 0) AS n_ai
+  FROM v LEFT JOIN t ON t.doc_id = v.doc_id AND t.b_fid = v.fid AND place = 1 WHERE source = 'rule'
+  UNION ALL SELECT doc_id, rule_id, source, severity, title, section, idx, amount, fid, message, confidence, 0 FROM v WHERE source = 'ai' AND NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id = v.doc_id AND p.a_fid = v.fid)),
+d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, rule_id, message, section ORDER BY source DESC, idx, amount, fid) AS copy FROM u),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE severity WHEN 'error' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END DESC, confidence DESC, source DESC, idx, amount, fid) AS place FROM d WHERE copy = 1)
+SELECT doc_id, rule_id, title, idx, message, confidence, n_ai FROM k WHERE place <= """
+
+
+@query("m002_layered_merge", LAYERED_SQL + "50")
 def m002(spark, sf):
-    f = findings(spark, sf)
-    taken = M.first_rule(f).select("doc_id", F.col("a_idx").alias("idx"), F.col("a_amount").alias("amount"), F.lit("ai").alias("source"))
-    rest = f.join(taken, ["doc_id", "idx", "amount", "source"], "left_anti")
-    kept = rest.groupBy("doc_id", "rule_id", "title", "section").agg(F.min("idx").alias("idx"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("idx", "rule_id", "title", F.col("section").asc_nulls_first()))
-    return kept.withColumn("r", rank).where("r <= 50").select("doc_id", "rule_id", "title", "idx")
+    return M.layered_merge(with_ids(spark, sf)).select("doc_id", "rule_id", "title", "idx", "message", "confidence", "n_ai")
 
 
 def _verdicts(f):
@@ -174,10 +181,23 @@ def j13(spark, sf):
     return M.newly_found(f.where("source = 'ai'"), f.where("source = 'rule'")).select("doc_id", "idx", "amount")
 
 
-@query("m003_verdict_pass", W + ", v AS (SELECT doc_id, 'kept' AS origin, idx FROM f WHERE source = 'rule' AND idx % 4 <> 1), n AS (SELECT doc_id, 'new' AS origin, idx FROM (" + NEW_SQL.removeprefix(", c AS ").join(["WITH c AS ", ""]) + ")) SELECT doc_id, origin, count(*) AS n FROM (SELECT * FROM v UNION ALL SELECT * FROM n) GROUP BY ALL")
+PASS_SQL = (
+    W
+    + """, v AS (SELECT doc_id, 'kept' AS origin, idx, amount, CASE WHEN idx % 4 = 0 AND confidence < 2 THEN 2 ELSE confidence END AS confidence, CASE WHEN idx % 4 = 2 THEN '更清楚的说明' ELSE message END AS message FROM f WHERE source = 'rule' AND idx % 4 <> 1),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx, amount) AS r FROM f WHERE source = 'ai'),
+n AS (SELECT doc_id, 'new' AS origin, idx, amount, confidence, message FROM c WHERE r <= 10 AND confidence >= 2 AND NOT EXISTS (SELECT 1 FROM f g WHERE g.source = 'rule' AND g.doc_id = c.doc_id AND g.title = c.title AND coalesce(g.section, '') = coalesce(c.section, '') AND g.idx % 4 <> 1))
+SELECT doc_id, origin, idx, amount, confidence, CASE WHEN idx % 3 = 0 THEN '补充后的完整说明' ELSE message END AS message FROM (SELECT * FROM v UNION ALL SELECT * FROM n)"""
+)
+
+
+@query("m003_verdict_pass", PASS_SQL)
 def m003(spark, sf):
+    """Verdicts on the rule findings, new findings that those kept don't have, then better descriptions for both."""
     f = with_ids(spark, sf)
     rules = f.where("source = 'rule'")
-    kept = M.verdict(rules, _verdicts(rules)).select("doc_id", F.lit("kept").alias("origin"))
-    new = M.newly_found(f.where("source = 'ai'"), rules).select("doc_id", F.lit("new").alias("origin"))
-    return kept.unionByName(new).groupBy("doc_id", "origin").agg(F.count(F.lit(1)).alias("n"))
+    columns = ["finding_id", "doc_id", "origin", "idx", "amount", "confidence", "message"]
+    kept = M.verdict(rules, _verdicts(rules))
+    new = M.newly_found(f.where("source = 'ai'"), kept)
+    both = kept.withColumn("origin", F.lit("kept")).select(*columns).unionByName(new.withColumn("origin", F.lit("new")).select(*columns))
+    texts = f.select("finding_id", F.when(F.col("idx") % 3 == 0, "补充后的完整说明").otherwise(" ").alias("description")).dropDuplicates(["finding_id"])
+    return M.enhanced(both, texts).drop("finding_id")

@@ -6,8 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..dims import UNITS
-from ..functions.numbers import amount_in_yuan, close_either, numeral, parse_robust
-from ..functions.text import spans
+from ..functions.numbers import all_numbers, amount_in_yuan, close_either, numeral, parse_robust
 from ..registry import query, table
 from ..sources.corpus import MONEY
 
@@ -15,17 +14,19 @@ PRICE = "CAST(l_extendedprice AS DECIMAL(18,2))"
 
 
 def _written(spark, sf):
-    """Amounts as people write them, by line: plain, bracketed, percent, with a unit, with look-alikes, spaced."""
+    """Amounts as people write them, by line: plain, bracketed, percent, with a unit, with look-alikes, spaced, with a
+    word of decrease."""
     price = F.col("l_extendedprice").cast(MONEY).cast("string")
-    kind = F.col("l_partkey") % 6
+    kind = F.col("l_partkey") % 8
     text = (
         F.when(kind == 0, price).when(kind == 1, F.concat(F.lit("("), price, F.lit(")"))).when(kind == 2, F.concat(price, F.lit("%")))
-        .when(kind == 3, F.concat(price, F.lit("万元"))).when(kind == 4, F.concat(F.lit("约"), price, F.lit("左右"))).otherwise(F.lit("—"))
+        .when(kind == 3, F.concat(price, F.lit("万元"))).when(kind == 4, F.concat(F.lit("约"), price, F.lit("左右"))).when(kind == 5, F.lit("—"))
+        .when(kind == 6, F.concat(F.lit("下降"), price, F.lit("%"))).otherwise(F.lit("负三百二十"))
     )
     return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("line"), F.col("l_partkey").alias("part"), text.alias("text"))
 
 
-ROBUST = f"CASE l_partkey % 6 WHEN 0 THEN CAST({PRICE} AS DOUBLE) WHEN 1 THEN -CAST({PRICE} AS DOUBLE) WHEN 2 THEN CAST({PRICE} AS DOUBLE) WHEN 3 THEN CAST({PRICE} * 10000 AS DOUBLE) WHEN 4 THEN CAST({PRICE} AS DOUBLE) END"
+ROBUST = f"CASE l_partkey % 8 WHEN 0 THEN CAST({PRICE} AS DOUBLE) WHEN 1 THEN -CAST({PRICE} AS DOUBLE) WHEN 2 THEN CAST({PRICE} AS DOUBLE) WHEN 3 THEN CAST({PRICE} * 10000 AS DOUBLE) WHEN 4 THEN CAST({PRICE} AS DOUBLE) WHEN 6 THEN -CAST({PRICE} AS DOUBLE) WHEN 7 THEN -320.0::DOUBLE END"
 
 
 @query("f8_parse_robust", f"SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INTEGER) AS line, l_partkey AS part, {ROBUST} AS value FROM lineitem")
@@ -33,7 +34,7 @@ def f8(spark, sf):
     return _written(spark, sf).select("doc_id", "line", "part", parse_robust("text").cast("double").alias("value"))
 
 
-@query("t27_parse_quality", "SELECT l_orderkey AS doc_id, CAST(count(*) FILTER (l_partkey % 6 = 5) AS DOUBLE) / count(*) AS failure_rate FROM lineitem GROUP BY 1 HAVING CAST(count(*) FILTER (l_partkey % 6 = 5) AS DOUBLE) / count(*) > 0.1")
+@query("t27_parse_quality", "SELECT l_orderkey AS doc_id, CAST(count(*) FILTER (l_partkey % 8 = 5) AS DOUBLE) / count(*) AS failure_rate FROM lineitem GROUP BY 1 HAVING CAST(count(*) FILTER (l_partkey % 8 = 5) AS DOUBLE) / count(*) > 0.1")
 def t27(spark, sf):
     x = _written(spark, sf).withColumn("bad", parse_robust("text").isNull().cast("int"))
     return x.groupBy("doc_id").agg((F.sum("bad") / F.count(F.lit(1))).alias("failure_rate")).where("failure_rate > 0.1")
@@ -49,12 +50,16 @@ def f9(spark, sf):
     return table(spark, sf, "part").where(n > 0).select(F.col("p_partkey").alias("part"), numeral(text).alias("value"))
 
 
-@query("f10_all_numbers", f"SELECT l_orderkey AS doc_id, l_linenumber, l_partkey AS part, unnest([CAST({PRICE} AS DOUBLE), CAST(l_quantity AS DOUBLE)]) AS value FROM lineitem")
+@query("f10_all_numbers", f"SELECT l_orderkey AS doc_id, l_linenumber, l_partkey AS part, unnest([1, 2, 3, 4]) AS place, unnest([CAST({PRICE} AS DOUBLE), -CAST(CAST(l_quantity AS INTEGER) AS DOUBLE), CAST(l_linenumber AS DOUBLE), 320.0::DOUBLE]) AS value FROM lineitem")
 def f10(spark, sf):
-    text = F.concat(F.lit("合计"), F.col("l_extendedprice").cast(MONEY).cast("string"), F.lit("万元，其中"), F.col("l_quantity").cast("int").cast("string"), F.lit("项"))
+    """One number of each form in every text; the unit after the first is none by itself."""
+    text = F.concat(
+        F.lit("合计"), F.col("l_extendedprice").cast(MONEY).cast("string"), F.lit("万元，调整（"), F.col("l_quantity").cast("int").cast("string"),
+        F.lit("），占"), F.col("l_linenumber").cast("string"), F.lit("%，共三百二十项"),
+    )
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", F.col("l_partkey").alias("part"), text.alias("text"))
-    m = li.select("doc_id", "l_linenumber", "part", F.explode(spans("text", "\\d+(?:\\.\\d+)?")).alias("m"))
-    return m.select("doc_id", "l_linenumber", "part", F.col("m.found").cast("double").alias("value"))
+    m = li.select("doc_id", "l_linenumber", "part", F.posexplode(all_numbers("text")).alias("i", "m"))
+    return m.select("doc_id", "l_linenumber", "part", (F.col("i") + 1).alias("place"), F.col("m.value").alias("value"))
 
 
 @query("f11_amount_units", f"SELECT l_orderkey AS doc_id, l_linenumber, l_partkey AS part, CAST({PRICE} * CASE l_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 10000 ELSE 100000000 END AS DOUBLE) AS yuan FROM lineitem")

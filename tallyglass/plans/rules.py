@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..dims import NINE_TABLES
+from ..dims import NINE_TABLES, TABLE_KEYWORDS
 from ..functions.numbers import close
 from ..functions.text import near_number, near_percent, normalize
 from ..operators import anchors as A
@@ -105,13 +105,21 @@ def c003(spark, sf):
     return h.select("doc_id", "main", (F.col("problems") == 0).alias("is_valid"), "problems")
 
 
-@query("a5_completeness", ANCHOR_SQL + """, c AS (SELECT k AS doc_id, (SELECT count(DISTINCT table_name) FROM a WHERE a.doc_id = o.k) AS n_found FROM o)
-SELECT doc_id, n_found, n_found / 9.0 >= 0.8 AS complete FROM c""")
+_CATEGORIES = ", ".join(f"({i}, '{c}')" for i, (c, _) in enumerate(TABLE_KEYWORDS))
+
+
+@query("a5_completeness", ANCHOR_SQL + f""", c(ord, category) AS (VALUES {_CATEGORIES}), h AS (SELECT DISTINCT doc_id, ord FROM a),
+w AS (SELECT o.k AS doc_id, category, h.ord IS NOT NULL AS found FROM o CROSS JOIN c LEFT JOIN h ON h.doc_id = o.k AND h.ord = c.ord)
+SELECT doc_id, coalesce(category, '*') AS category, count(*) FILTER (found) AS n_found, count(*) AS n_tables, CAST(count(*) FILTER (found) AS DOUBLE) / count(*) >= 0.8 AS complete FROM w GROUP BY GROUPING SETS ((doc_id, category), (doc_id))""")
 def a5(spark, sf):
+    """Found tables of each category and, as category *, of the document; complete from 80% on."""
     pages = _pages(spark, sf)
-    n = A.anchors(pages).groupBy("doc_id").agg(F.countDistinct("table_name").alias("n_found"))
-    docs = pages.select("doc_id").distinct().join(n, "doc_id", "left").select("doc_id", F.coalesce("n_found", F.lit(0)).cast("long").alias("n_found"))
-    return docs.withColumn("complete", F.col("n_found") / 9 >= 0.8)
+    kinds = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("category")) for i, (c, _) in enumerate(TABLE_KEYWORDS)])
+    wanted = pages.select("doc_id").distinct().select("doc_id", F.explode(kinds).alias("t")).select("doc_id", "t.ord", "t.category")
+    found = A.anchors(pages).select("doc_id", "ord", F.lit(True).alias("found")).distinct()
+    w = wanted.join(found, ["doc_id", "ord"], "left")
+    n = w.rollup("doc_id", "category").agg(F.count("found").alias("n_found"), F.count(F.lit(1)).alias("n_tables")).where("doc_id is not null")
+    return n.select("doc_id", F.coalesce("category", F.lit("*")).alias("category"), "n_found", "n_tables", (F.col("n_found") / F.col("n_tables") >= 0.8).alias("complete"))
 
 
 @query("c001_missing_or_pass", ANCHOR_SQL + f", {MISSING} SELECT k AS doc_id, CAST(count(m.table_name) AS BIGINT) AS n_missing, count(m.table_name) = 0 AS is_valid FROM o LEFT JOIN m ON m.doc_id = o.k GROUP BY ALL")
