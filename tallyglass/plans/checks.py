@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.text import near_number, near_percent
 from ..operators import anchors as A
 from ..operators import checks as K
 from ..registry import query, table
 from ..sources import corpus as C
-from .rules import ANCHOR_SQL, MISSING, VALUES_SQL, _pages, _values, off_sql
+from .rules import ANCHOR_SQL, MISSING, VALUES_SQL, _both, _pages, _values, off_sql
 
 D = lambda c: f"CAST({c} AS DOUBLE)"
 ORD = f"WITH {C.ORDERS_SQL} "
@@ -37,16 +39,22 @@ def t19(spark, sf):
     return x.where(close(F.col("gap"), F.col("moved"))).select(F.col("k").alias("doc_id"))
 
 
-@query("t02_value_pairs", ORD + f"SELECT k AS doc_id, '总计' AS item FROM d WHERE abs({D('sheet')} - {D('n0')}) > greatest(1.0, {D('sheet')} * 0.001, {D('n0')} * 0.001) UNION ALL SELECT k, '收入' FROM d WHERE abs({D('s')} - {D('n1')}) > greatest(1.0, {D('s')} * 0.001, {D('n1')} * 0.001)")
+@query("t02_value_pairs", VALUES_SQL + f"""SELECT k AS doc_id, '总计' AS item FROM (SELECT *, CASE ix WHEN 0 THEN sheet ELSE s END AS t FROM fd WHERE table_name = '收入支出决算总表') WHERE abs({D('t')} - {D('n0')}) > greatest(1.0, {D('t')} * 0.001, {D('n0')} * 0.001)
+UNION ALL SELECT k, '收入' FROM fd WHERE table_name = '收入决算表' AND ix = 1 AND abs({D('s')} - {D('n1')}) > greatest(1.0, {D('s')} * 0.001, {D('n1')} * 0.001)""")
 def t02(spark, sf):
-    d = C.disclosures(spark, sf).withColumnRenamed("k", "doc_id")
-    return K.value_pairs(d, [("总计", "sheet", "n0"), ("收入", "s", "n1")]).select("doc_id", "item")
+    """Values read from the tables' cells against the numbers that the prose names beside the same words."""
+    met, prose = _values(spark, sf, ["收入支出决算总表", "收入决算表"])
+    sheet = F.col("table_name") == "收入支出决算总表"
+    x = met.join(prose, "doc_id").where(sheet | F.col("grant").isNotNull())
+    x = x.withColumns({"n_total": near_number("prose", ["支出总计"]), "n_income": near_number("prose", ["本年收入合计"]), "t_total": F.when(sheet, F.col("total")), "t_income": F.when(~sheet, F.col("income"))})
+    return K.value_pairs(x, [("总计", "t_total", "n_total"), ("收入", "t_income", "n_income")]).select("doc_id", "item")
 
 
-@query("t03_percent_compare", ORD + f"SELECT k AS doc_id FROM d WHERE k % 10 = 9")
+@query("t03_percent_compare", VALUES_SQL + "SELECT k AS doc_id FROM fd WHERE table_name = '收入决算表' AND ix = 1 AND k % 10 = 9")
 def t03(spark, sf):
-    d = C.disclosures(spark, sf).withColumn("pct", F.col("pct").cast("double")).withColumnRenamed("k", "doc_id")
-    return K.shares(d, "odd", "s", "pct").select("doc_id")
+    """The share of two cells against the percentage in the prose."""
+    x = _both(spark, sf, "收入决算表").where("income is not null and grant is not null")
+    return K.shares(x.withColumn("stated", near_percent("prose", ["占比"])), "grant", "income", "stated").select("doc_id")
 
 
 @query("t04_reason_required", ORD + "SELECT k AS doc_id FROM o WHERE o_orderstatus IN ('F', 'O') AND left(o_orderpriority, 1) NOT IN ('1', '2')")
@@ -54,14 +62,18 @@ def t04(spark, sf):
     return K.needs_reason(C.comparisons(spark, sf), "大于预算|小于预算", "主要原因|增减原因|变动原因").select("doc_id")
 
 
-@query("t05_class_structure", VALUES_SQL + f"SELECT DISTINCT k AS doc_id FROM d WHERE k % 10 = 9 AND odd > 0")
+@query("t05_class_structure", VALUES_SQL + "SELECT DISTINCT k AS doc_id, '201' AS code FROM d WHERE k % 10 = 9 AND odd > 0")
 def t05(spark, sf):
+    """Every class that the prose gives a share: its sum in the cells over all classes' sum."""
     from ..operators import tables as T
 
     d = C.disclosures(spark, sf)
-    sums = T.class_sums(C.cells(C.disclosure_tables(d))).where("code = '201'").select("doc_id", F.col("value").alias("part"))
-    met = sums.join(d.select(F.col("k").alias("doc_id"), "s", F.col("pct").cast("double").alias("pct")), "doc_id").where("part > 0")
-    return K.shares(met, "part", "s", "pct", 2.0).select("doc_id")
+    sums = T.class_sums(C.cells(C.disclosure_tables(d))).groupBy("doc_id", "code").agg(F.sum("value").alias("part"))
+    sums = sums.withColumn("whole", F.sum("part").over(Window.partitionBy("doc_id"))).where("part > 0")
+    pattern = F.lit("(\\d{3})类占比(\\d+(?:[.]\\d+)?)%")
+    said = F.arrays_zip(F.regexp_extract_all("text", pattern, F.lit(1)).alias("code"), F.regexp_extract_all("text", pattern, F.lit(2)).alias("pct"))
+    stated = C.disclosure_pages(d).select("doc_id", F.explode(said).alias("x")).select("doc_id", "x.code", F.col("x.pct").cast("double").alias("pct"))
+    return K.shares(sums.join(stated, ["doc_id", "code"]), "part", "whole", "pct", 2.0).select("doc_id", "code")
 
 
 PARTS = "(SELECT DISTINCT l_orderkey AS doc_id, lpad(CAST(l_partkey AS VARCHAR), 7, '0') AS code, l_partkey FROM lineitem)"
@@ -146,15 +158,22 @@ def t15(spark, sf):
 
 @query("t16_entity_names", "SELECT o_custkey AS doc_id, count(DISTINCT o_orderstatus) AS n_names FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")
 def t16(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderstatus").alias("name"))
-    return K.inconsistent_names(o).select("doc_id", F.size("names").cast("long").alias("n_names"))
+    """Names that head lines of a document's pages, read from the text before the year."""
+    page = F.concat(F.lit("第一部分\n"), F.lit("单位"), F.col("o_orderstatus"), (F.year("o_orderdate") + 20).cast("string"), F.lit("年度部门决算\n正文"))
+    pages = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), page.alias("text"))
+    names = pages.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("(?m)^(\\D+)20\\d\\d年度部门决算$"), F.lit(1))).alias("name"))
+    return K.inconsistent_names(names).select("doc_id", F.size("names").cast("long").alias("n_names"))
 
 
 @query("t17_list_sum", ORD + f"SELECT k AS doc_id FROM d WHERE abs({D('s')} - {D('n1')}) > greatest(1.0, {D('s')} * 0.001, {D('n1')} * 0.001)")
 def t17(spark, sf):
-    li = C.order_sums(spark, sf).select("k", F.explode("items").alias("i")).groupBy("k").agg(F.sum("i.price").alias("listed"))
-    d = C.disclosures(spark, sf).join(li, "k").withColumnRenamed("k", "doc_id")
-    return K.value_pairs(d, [("list", "listed", "n1")]).select("doc_id")
+    """The amounts of a list in the text, added up, against the total that the prose names."""
+    listed = F.array_join(F.transform("items", lambda i: F.concat(F.lit("项目"), i["price"].cast("string"), F.lit("万元"))), "，")
+    found = F.regexp_extract_all("listing", F.lit("(\\d+(?:[.]\\d+)?)万元"), F.lit(1))
+    total = F.aggregate(found, F.lit(0).cast("decimal(28,2)"), lambda a, x: (a + x.cast("decimal(18,2)")).cast("decimal(28,2)"))
+    li = C.order_sums(spark, sf).select(F.col("k").alias("doc_id"), listed.alias("listing")).select("doc_id", total.alias("listed"))
+    prose = C.disclosure_pages(C.disclosures(spark, sf)).where(F.col("text").contains("本年收入合计")).select("doc_id", near_number("text", ["本年收入合计"]).alias("stated"))
+    return K.value_pairs(li.join(prose, "doc_id"), [("list", "listed", "stated")]).select("doc_id")
 
 
 @query("t20_layout_whitelist", ORD + "SELECT k AS doc_id FROM o WHERE k % 3 <> 0")
@@ -164,11 +183,14 @@ def t20(spark, sf):
     return K.undescribed(heads.select("doc_id"), listed, ["doc_id"])
 
 
-@query("t21_presence", ANCHOR_SQL + f", {MISSING} SELECT doc_id, table_name FROM m WHERE table_name <> '收入决算表' OR doc_id % 2 = 0")
+@query("t21_presence", ANCHOR_SQL + f", {MISSING} SELECT doc_id, table_name FROM m WHERE table_name NOT IN ('政府性基金预算财政拨款收入支出决算表', '国有资本经营预算财政拨款收入支出决算表') OR doc_id % 4 <> 0")
 def t21(spark, sf):
+    """Missing tables; the two fund tables are required only where no page says that there is no data."""
     pages = _pages(spark, sf)
     missing = A.missing_tables(pages.select("doc_id").distinct(), A.anchors(pages))
-    return missing.where("table_name <> '收入决算表' or doc_id % 2 = 0").select("doc_id", "table_name")
+    conditional = F.explode(F.array(F.lit("政府性基金预算财政拨款收入支出决算表"), F.lit("国有资本经营预算财政拨款收入支出决算表")))
+    exempt = pages.where(F.col("text").contains("本表无数据")).select("doc_id", conditional.alias("table_name"))
+    return missing.join(exempt, ["doc_id", "table_name"], "left_anti").select("doc_id", "table_name")
 
 
 @query("t22_contents_order", "SELECT o_custkey AS doc_id, o_orderkey AS title FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS line FROM orders) WHERE o_orderkey % 5 = 0")

@@ -153,12 +153,17 @@ def c006(spark, sf):
     return _pages(spark, sf).where("page_no <= 3").where(F.col("text").rlike("预算|执行|决算")).select("doc_id", "page_no")
 
 
-def _values(spark, sf):
-    """Per disclosure the labelled values of the nine tables, each from its table's first page."""
+def _values(spark, sf, names: list[str] | None = None):
+    """Per disclosure the labelled values of the nine tables, each from its table's first page; with
+    names only pages of those tables are taken apart into cells."""
     d = C.disclosures(spark, sf)
     pages = C.disclosure_pages(d)
     first = A.first_pages(A.anchors(pages)).select("doc_id", "table_name", "page_no")
-    cells = C.cells(C.disclosure_tables(d))
+    nested = C.disclosure_tables(d)
+    if names:
+        first = first.where(F.col("table_name").isin(names))
+        nested = nested.join(first.select("doc_id", "page_no").distinct(), ["doc_id", "page_no"], "left_semi")
+    cells = C.cells(nested)
     on_first = cells.join(T.largest_table(cells).select(*T.TABLE), T.TABLE)
     wanted = {
         "total": ["支出合计", "支出总计", "合计"], "year_total": ["本年支出合计", "本年支出", "本年合计"], "alloc": ["结余分配"], "carry": ["年末结转"],
@@ -173,8 +178,8 @@ def _values(spark, sf):
 
 
 def _both(spark, sf, name):
-    met, prose = _values(spark, sf)
-    return met.where(F.col("table_name") == name).join(prose, "doc_id")
+    met, prose = _values(spark, sf, [name])
+    return met.join(prose, "doc_id")
 
 
 def _differs(a, b):
@@ -193,8 +198,8 @@ def off_sql(a: str, b: str) -> str:
 
 @query("v101_sheet_identity", VALUES_SQL + f"SELECT k AS doc_id, {_D('sheet')} AS stated FROM fd WHERE table_name = '收入支出决算总表' AND ix = 0 AND " + _OFF.format(a=_D("sheet"), b=_D("s + alloc + carry")))
 def v101(spark, sf):
-    met, _ = _values(spark, sf)
-    x = met.where("table_name = '收入支出决算总表'").where("total is not null and year_total is not null and alloc is not null and carry is not null")
+    met, _ = _values(spark, sf, ["收入支出决算总表"])
+    x = met.where("total is not null and year_total is not null and alloc is not null and carry is not null")
     parts = F.col("year_total") + F.col("alloc") + F.col("carry")
     return x.where(~close(F.col("total"), parts)).select("doc_id", F.col("total").cast("double").alias("stated"))
 

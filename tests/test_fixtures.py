@@ -159,3 +159,61 @@ def test_common_subsequence(a, b):
 @pytest.mark.parametrize("a, b, expected", [("决算表", "支出决算表（续）", 100.0), ("", "x", 0.0)])
 def test_partial_ratio(a, b, expected):
     assert S.partial(a, b) == expected
+
+
+def test_words_of_decrease_and_all_numbers(spark):
+    got = column(spark, ["下降5%", "负三百二十", "减少3.5万元", "万", "-4%"], lambda v: N.parse_robust(v).cast("double"))
+    assert got == [-5, -320, -35000, None, -4]
+    rows = column(spark, ["共（12）项，占3.5%，三百万元1,234和-5", "无", None], N.all_numbers)
+    assert [(r.start, r.found, r.value) for r in rows[0]] == [(1, "（12）", -12), (8, "3.5%", 3.5), (13, "三百万", 3000000), (17, "1,234", 1234), (23, "-5", -5)]
+    assert rows[1:] == [[], []]
+
+
+def test_parts_of_a_damaged_clip_are_found(spark):
+    page = "前文" + "甲乙丙丁戊己庚辛壬癸" * 2 + "后文"
+    clip = "¤" * 20 + "甲乙丙丁戊己庚辛壬癸" * 2 + "¤" * 20
+    rows = spark.createDataFrame([(page, clip), (page, "¤" * 60)], "p string, c string")
+    assert [r[0] for r in rows.select(X.guess_position("p", F.col("c"))).collect()] == [2, 10**9]
+
+
+def test_layered_merge(spark):
+    schema = "doc_id long, idx int, source string, rule_id string, severity string, title string, message string, section string, amount double, confidence int, finding_id string"
+    rows = [
+        (1, 1, "rule", "R1", "warn", "甲 乙", "规则发现的问题", None, 1.0, 1, "a"),
+        (1, 2, "ai", "R1", "warn", "甲 乙", "模型给出的更长的说明", None, 1.0, 2, "b"),
+        (1, 3, "ai", "R1", "warn", "甲 乙", "模型说明一二三", None, 1.0, 2, "c"),
+        (1, 4, "ai", "R2", "error", "丙", "没有伙伴的发现", None, 1.0, 3, "d"),
+        (1, 5, "ai", "R2", "info", "丙", "没有伙伴的发现", None, 1.0, 3, "e"),
+        (1, 6, "ai", "R3", "error", "丁", "太短", None, 1.0, 3, "f"),
+    ]
+    f = spark.createDataFrame(rows, schema)
+    got = {r.finding_id: (r.message, r.confidence, r.n_ai) for r in M.layered_merge(f).collect()}
+    assert got == {"a": ("模型给出的更长的说明", 2, 2), "d": ("没有伙伴的发现", 3, 0)}
+    assert [r.finding_id for r in M.layered_merge(f, most=1).collect()] == ["d"]
+
+
+def test_a_late_entry_stays_out_of_a_closed_window(spark, tmp_path):
+    import time
+
+    from tallyglass.streaming.logs import drained, overview
+
+    schema = "ts timestamp, stage string, duration_ms double"
+    at = tmp_path.as_posix()
+    batches = [["2024-01-01 10:00:00", "2024-01-05 10:00:00"], ["2024-01-06 10:00:00"], ["2024-01-01 11:00:00", "2024-01-09 10:00:00"]]  # entries are late by the watermark of the batch before
+    for i, times in enumerate(batches):
+        rows = spark.createDataFrame([(t,) for t in times], "t string").select(F.to_timestamp("t").alias("ts"), F.lit("parse").alias("stage"), F.lit(1.0).alias("duration_ms"))
+        rows.coalesce(1).write.parquet(f"{at}/in/{i}")
+        time.sleep(1.1)  # files are read in the order of their times
+    logs = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in/*")
+    got = sorted((str(r.start)[:10], r.n) for r in drained(overview(logs), "append").collect())
+    assert got == [("2024-01-01", 1), ("2024-01-05", 1), ("2024-01-06", 1)]
+
+
+def test_best_and_first_tables(spark):
+    from tallyglass.plans.joins import best_tables, first_table
+
+    names = spark.createDataFrame([("部门收入决算表",), ("附支出决算表",), ("三公及经费的各项支出",), ("无关",)], "title string")
+    got = {r.title: (r.table_name, r.score) for r in best_tables(names).collect()}
+    assert got["部门收入决算表"] == ("收入决算表", 100.0) and got["附支出决算表"][0] == "支出决算表" and got["三公及经费的各项支出"][1] == 80.0
+    assert "无关" not in got
+    assert [r[0] for r in names.select(first_table("title")).collect()] == ["收入决算表", "支出决算表", "一般公共预算财政拨款“三公”经费支出决算表", None]
