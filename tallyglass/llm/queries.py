@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attention_lm, byte_cnn, cost_packing, curriculum_mix, embedding_dedup, html_layout, jaccard_join, line_chunks, radix_dedup, robust_outliers
+from . import attention_lm, byte_cnn, cost_packing, curriculum_mix, embedding_dedup, html_layout, jaccard_join, line_chunks, merkle_manifest, piece_codec, radix_dedup, robust_outliers, vector_codes
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -57,5 +57,17 @@ def op10_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost_packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_cnn, op2_attention_lm, op3_pca_tiles, op4_radix_windows, op5_line_chunks, op6_robust_outliers, op7_html_layout, op8_ngram_jaccard, op9_curriculum_mix, op10_cost_packing)}
-ORACLES = {"op9_curriculum_mix": curriculum_mix.ORACLE_SQL}
+def op11_adaptive_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.proof_report(table(spark, sf_dir, "documents"))
+
+
+def op13_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.codec_report(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_cnn, op2_attention_lm, op3_pca_tiles, op4_radix_windows, op5_line_chunks, op6_robust_outliers, op7_html_layout, op8_ngram_jaccard, op9_curriculum_mix, op10_cost_packing, op11_adaptive_bounds, op12_merkle_descent, op13_piece_agenda)}
+ORACLES = {"op9_curriculum_mix": curriculum_mix.ORACLE_SQL, "op12_merkle_descent": merkle_manifest.oracle_sql()}
