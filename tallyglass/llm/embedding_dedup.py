@@ -15,7 +15,8 @@ for each block in reach of its own, which is why blocks are large and tiles are
 
 Defined results: null label, null or zero vector, null or non-finite components: no links, own component
 (other vectors link at any length, from subnormal to the largest);
-vectors of different length are not compared; repeated rows are separate vectors (a repeated vec_id is
+vectors of different length are not compared; a null vec_id links like any other, and the component of vectors
+without any id is null (other ids up to 2**62); repeated rows are separate vectors (a repeated vec_id is
 one node of components); an empty table gives no rows; other columns are ignored.
 """
 
@@ -151,7 +152,11 @@ def embedding_classes(vectors: DataFrame, threshold: float = THRESHOLD, tile: in
     bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fit = F.coalesce(F.col("label").isNotNull() & ~bad & F.exists("e", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("ok", fit)
-    classes = rows.where("ok").groupBy("label", "e").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"))
+    top = rows.agg(F.max("vec_id")).first()[0]
+    top = -1 if top is None else top
+    # vectors that have no id at all are numbered behind all ids, once, in the table that is written next
+    numbered = F.coalesce(F.col("id"), F.lit(top) + 1 + F.monotonically_increasing_id())
+    classes = rows.where("ok").groupBy("label", "e").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")).withColumn("id", numbered)
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,5 +221,5 @@ def embedding_classes(vectors: DataFrame, threshold: float = THRESHOLD, tile: in
 
     every = rows.mapInArrow(raw, f"vec_id long, label {label}, vector binary")
     out = every.join(known, ["label", "vector"], "left")
-    component = F.coalesce("component", "vec_id")
+    component = F.when(F.coalesce(F.col("component") <= top, F.lit(True)), F.coalesce("component", "vec_id"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tallyglass.llm.words import Block, span_hash
 from tallyglass.llm import cost_packing, curriculum_mix, jaccard_join, line_chunks, queries, robust_outliers
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -321,77 +322,87 @@ def test_packing_string_ids(spark):
     assert sorted(repr(r.doc_id) for r in cost_packing.pack(docs, queries.tokenizer_file()).collect()) == ["'a'", "None"]
 
 
-def chunk_brute(rows):
-    from tallyglass.llm.words import blocks
-    import pyarrow as pa
-
-    found = []
-    for doc_id, text in sorted(rows):
-        raw = (text or "").encode()
-        for block in blocks(pa.array([text or ""], pa.string())):
-            _, a, b, n, _ = line_chunks.block_chunks(block)
-            found += [(doc_id, int(i), int(j), int(k), raw[int(i) : int(j)]) for i, j, k in zip(a, b, n)]
-    first, removed = {}, defaultdict(int)
-    for doc_id, i, _, n, body in found:
-        if n > 1:
-            if body in first:
-                removed[doc_id] += n
-            else:
-                first[body] = (doc_id, i)
-    return removed
+def lines_of(text):
+    """(start, end) in bytes of every line of a text."""
+    out, at = [], 0
+    for line in (text or "").encode().split(b"\n"):
+        out.append((at, at + len(line)))
+        at += len(line) + 1
+    return out if out[-1][0] < len((text or "").encode()) else out[:-1]
 
 
-@pytest.mark.parametrize("which", ["documents", "odd"])
-def test_line_chunks_equal_brute_force(which, request):
-    docs = request.getfixturevalue(which).dropDuplicates(["doc_id"])
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    removed = chunk_brute(rows)
-    out = line_chunks.line_report(docs).toPandas()
-    assert len(out) == len(rows)
-    assert {r.doc_id: r.n_removed_lines for r in out.itertuples() if r.n_removed_lines} == dict(removed)
+def bounds_of(raw, lines, level):
+    """First lines of the chunks of a level, gap by gap."""
+    from tallyglass.llm.words import mix, ngram_hash
+
+    seed, behind = level
+    keys = [span_hash(Block(0, np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).prefix_hash(), np.array([a]), np.array([b]))[0] for a, b in lines]
+    firsts = {0}
+    for i in range(len(lines) - 1):
+        if int(mix(ngram_hash(np.array(keys[i : i + 2]), 2) + np.uint64(seed))[0]) % line_chunks.DIVISOR == 0:
+            firsts.add(i + behind)
+    firsts = sorted(f for f in firsts if f < len(lines))
+    return sorted({k for f, stop in zip(firsts, [*firsts[1:], len(lines)]) for k in range(f, stop, line_chunks.MAX_LINES)})
 
 
-def run_brute(rows):
-    """What is left when every later copy of a run of two or more lines goes, with the number of lines gone."""
+def chunk_brute(rows):
+    """What is left when later copies of chunks go, and how many lines went."""
     seen, left = {}, {}
-    for doc_id, text in sorted(rows, key=lambda r: r[0]):
-        lines = (text or "").split("\n")
-        if lines[-1] == "":
-            lines.pop()
-        gone = set()
-        for i, pair in enumerate(zip(lines, lines[1:])):
-            first = seen.setdefault(pair, (doc_id, i))
-            if first == (doc_id, i - 1):
-                gone.add(i + 1)
-            elif first != (doc_id, i):
-                gone |= {i, i + 1}
-        whole = [x + "\n" for x in lines]
-        if whole and not (text or "").endswith("\n"):
-            whole[-1] = lines[-1]
-        left[doc_id] = (len(gone), "".join(x for i, x in enumerate(whole) if i not in gone))
-    return left
+    every = []
+    for doc_id, text in rows:
+        raw, lines, spans = (text or "").encode(), lines_of(text), set()
+        for level in line_chunks.LEVELS if lines else []:
+            firsts = bounds_of(raw, lines, level)
+            spans |= {(f, stop - 1) for f, stop in zip(firsts, [*firsts[1:], len(lines)]) if stop - f > 1}
+        every += [(doc_id, lines[f][0], lines[n][1], raw[lines[f][0] : lines[n][1]]) for f, n in spans]
+        left[doc_id] = (raw, lines, set())
+    for doc_id, a, b, body in sorted(every):
+        first = seen.setdefault(body, (doc_id, a, b))
+        if first != (doc_id, a, b):
+            a = max(a, first[2]) if first[0] == doc_id else a
+            left[doc_id][2].update(x for x, _ in left[doc_id][1] if a <= x < b)
+    out = {}
+    for doc_id, (raw, lines, gone) in left.items():
+        edges = [x for x, _ in lines] + [len(raw)]
+        out[doc_id] = (len(gone), b"".join(raw[a:b] for a, b in zip(edges, edges[1:]) if a not in gone))
+    return out
 
 
 @pytest.mark.parametrize("which", ["documents", "odd"])
-def test_line_runs_equal_brute_force(which, request):
+def test_line_chunks_equal_brute_force(which, request):
     docs = request.getfixturevalue(which).dropDuplicates(["doc_id"])
-    expected = run_brute([(r.doc_id, r.text) for r in docs.collect()])
-    out = line_chunks.line_report(docs, runs=True).toPandas()
+    expected = chunk_brute([(r.doc_id, r.text) for r in docs.collect()])
+    out = line_chunks.line_report(docs).toPandas()
     got = {r.doc_id: (r.n_removed_lines, r.kept_sha256) for r in out.itertuples()}
-    assert got == {d: (n, hashlib.sha256(t.encode()).hexdigest()) for d, (n, t) in expected.items()}
-
-
-@pytest.mark.parametrize("size", [2, 3, 4, 8, 20])
-def test_line_runs_find_planted_passages_whole(size, spark):
-    passage = [f"passage {size} line {i}" for i in range(size)]
-    rows = [(d, "\n".join([f"own {d} {i}" for i in range(5 + d)] + passage + [f"end {d} {i}" for i in range(9)])) for d in range(8)]
-    rows.append((8, "x\nx\nx\nx\ny"))
+    assert got == {d: (n, hashlib.sha256(t).hexdigest()) for d, (n, t) in expected.items()}
+
+
+@pytest.mark.parametrize("size,least", [(4, 0.5), (8, 0.85), (20, 1.0)])
+def test_line_chunks_find_planted_passages(size, least, spark):
+    """Passages at other places in every document: the later copies' lines go, most of short passages, all of long ones."""
+    rows, planted = [], set()
+    for k in range(30):
+        passage = [f"passage {size} {k} line {i}" for i in range(size)]
+        planted |= set(passage)
+        rows += [(d, "\n".join([f"own {d} {i}" for i in range(1 + d % 7)] + passage + [f"end {d} {i}" for i in range(d % 5)])) for d in (2 * k, 2 * k + 1)]
+    rows.append((99, "x\nx\nx\nx\ny"))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = line_chunks.line_report(docs, runs=True).toPandas().set_index("doc_id").n_removed_lines
-    assert out.sort_index().tolist() == [0] + [size] * 7 + [2]
-    kept = {r.doc_id: r.text for r in line_chunks.drop_repeated_lines(docs).collect()}
-    assert [passage[0] in kept[d] or passage[-1] in kept[d] for d in range(8)] == [True] + [False] * 7
-    assert kept[8] == "x\nx\ny"
+    kept = {r.doc_id: (r.text or "").split("\n") for r in line_chunks.drop_repeated_lines(docs).collect()}
+    assert all(planted & set(kept[2 * k]) == {x for x in planted if x.startswith(f"passage {size} {k} ")} for k in range(30))
+    stayed = sum(len(planted & set(kept.get(2 * k + 1, []))) for k in range(30))
+    assert 1 - stayed / (30 * size) >= least
+    assert all([x for x in kept[d] if x and x not in planted] == [x for x in t.split("\n") if x not in planted] for d, t in rows if d in kept and d < 99)
+
+
+def test_line_chunk_bounds_come_from_content():
+    """The same lines behind other ones are cut at the same places, and not everywhere."""
+    rng = np.random.default_rng(2)
+    body, before = rng.integers(0, 2**63, 400).astype(np.uint64), rng.integers(0, 2**63, 5).astype(np.uint64)
+    for level in line_chunks.LEVELS:
+        alone = line_chunks.chunk_bounds(body, np.zeros(400, np.int64), level)
+        later = line_chunks.chunk_bounds(np.concatenate([before, body]), np.zeros(405, np.int64), level) - 5
+        assert set(alone[alone > 20]) == set(later[later > 20])
+        assert 100 < len(alone) < 300
 
 
 def test_line_chunks_survive_shift(odd):

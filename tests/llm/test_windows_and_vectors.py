@@ -171,3 +171,13 @@ def test_embeddings_odd_rows(spark):
     table = spark.createDataFrame(far, "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_classes(table).collect()}
     assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), None: (3, 1), 5: (1, 5), 6: (1, 5)}
+
+
+def test_embedding_links_beside_a_null_id(spark):
+    """A null vec_id beside ids above 2**53: no id is rounded, and the null one links and bridges."""
+    big = 2**53
+    rows = [(big + 1, [1.0, 0.0], 1), (big + 2, [0.98, 0.2], 1), (big + 3, [0.0, 1.0], 2), (big + 5, [0.05, 1.0], 2), (None, [0.9, 0.44], 1), (big + 7, [0.8, 0.6], 1), (None, [-1.0, 0.0], 1), (None, None, 1)]
+    got = embedding_dedup.embedding_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    got = sorted((tuple(r) for r in got.select("vec_id", "n_links", "component_id", "kept").collect()), key=repr)
+    want = [(big + 1, 1, big + 1, True), (big + 2, 2, big + 1, False), (big + 3, 1, big + 3, True), (big + 5, 1, big + 3, False), (None, 2, big + 1, None), (big + 7, 1, big + 1, False), (None, 0, None, None), (None, 0, None, None)]
+    assert got == sorted(want, key=repr)
