@@ -27,57 +27,73 @@ def is_negative(c) -> Column:
     return F.trim(text(c)).startswith("-")
 
 
-# Chinese digits and place values.
-DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
-PLACES = {"十": 10, "百": 100, "千": 1000}
-NUMERALS = "[零〇一二两三四五六七八九十百千万亿]+"
+# Chinese digits and place values, common and formal.
+DIGITS = {"零": 0, "〇": 0, "○": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
+DIGITS |= {"壹": 1, "贰": 2, "叁": 3, "肆": 4, "伍": 5, "陆": 6, "柒": 7, "捌": 8, "玖": 9}
+PLACES = {"十": 10, "百": 100, "千": 1000, "拾": 10, "佰": 100, "仟": 1000}
+#: Section words, greatest first, each with its other form.
+SECTIONS = [("兆", "兆", 10**12), ("亿", "億", 10**8), ("万", "萬", 10**4)]
+NUMERALS = "[" + "".join([*DIGITS, *PLACES, *dict.fromkeys(c for a, b, _ in SECTIONS for c in (a, b))]) + "]+"
 NUMERAL = f"^{NUMERALS}$"
 # Words that make an amount negative, and units that alone are no number.
 NEGATIVE = "负|减少|下降"
-LONE_UNITS = ["千", "万", "亿"]
+LONE_UNITS = ["千", "万", "亿", "仟", "萬", "億", "兆"]
 
 
 def _map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
-def small_numeral(c) -> Column:
-    """A numeral below ten thousand: a pending digit meets its place."""
-    digits, places = _map(DIGITS), _map(PLACES)
-    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("digit"))
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
 
-    def step(acc, x):
-        place = places[x]
-        lone = F.when((acc["digit"] == 0), F.lit(1)).otherwise(acc["digit"])
-        return F.when(
-            place.isNotNull(), F.struct((acc["total"] + lone * place).alias("total"), F.lit(0).alias("digit"))
-        ).otherwise(F.struct(acc["total"].alias("total"), F.coalesce(digits[x], F.lit(0)).alias("digit")))
 
-    chars = F.filter(F.split(c, ""), lambda x: x != "")
-    return F.aggregate(chars, start, step, lambda acc: acc["total"] + acc["digit"])
+def numeral(c) -> Column:
+    """Chinese numeral to integer: a digit waits for its place, places add up to a section, a section word
+    multiplies all that is smaller than it (三千万亿 is 3000 * 10**12). Beyond 64 bits: null."""
+    chars = F.filter(F.split(F.translate(c, "".join(b for _, b, _ in SECTIONS), "".join(a for a, _, _ in SECTIONS)), ""), lambda x: x != "")
+    digits, places, sections = _map(DIGITS), _map(PLACES), _map({a: n for a, _, n in SECTIONS})
+    zero = F.lit(0).cast("long")
+    state = lambda total, part, digit: F.struct(total.cast("long").alias("total"), part.cast("long").alias("part"), digit.cast("long").alias("digit"))
 
+    def step(acc, x):
+        lone = F.when(acc["digit"] == 0, 1).otherwise(acc["digit"])
+        size = sections[x]
+        smaller = acc["total"] % (size * 10_000)
+        given = smaller + acc["part"] + acc["digit"]
+        scaled = F.try_multiply(F.when(given == 0, F.lit(1).cast("long")).otherwise(given), size)
+        return (
+            F.when(places[x].isNotNull(), state(acc["total"], acc["part"] + lone * places[x], zero))
+            .when(size.isNotNull(), state(F.try_add(acc["total"] - smaller, scaled), zero, zero))
+            .otherwise(state(acc["total"], acc["part"], F.coalesce(digits[x], zero)))
+        )
 
-def numeral(c) -> Column:
-    """Chinese numeral to integer, by sections of 亿 and 万."""
-    yi = F.when(c.contains("亿"), F.substring_index(c, "亿", 1))
-    below = F.when(c.contains("亿"), F.substring_index(c, "亿", -1)).otherwise(c)
-    wan = F.when(below.contains("万"), F.substring_index(below, "万", 1))
-    rest = F.when(below.contains("万"), F.substring_index(below, "万", -1)).otherwise(below)
-    part = lambda x: F.coalesce(small_numeral(x), F.lit(0)).cast("long")
-    return F.when(c.rlike(NUMERAL), part(yi) * 100_000_000 + part(wan) * 10_000 + part(rest))
+    value = F.aggregate(chars, state(zero, zero, zero), step, lambda acc: acc["total"] + acc["part"] + acc["digit"])
+    return F.when(c.rlike(NUMERAL), value)
 
 
 def parse_robust(c) -> Column:
     """F8: bracketed negatives, percent, multipliers, numerals, cleaned fallback; first tier that fits.
     Look-alike letters are mended inside numeric tokens only. A word of decrease makes a positive value negative."""
-    s = F.regexp_replace(F.trim(text(c)), "(?U)\\s*\n\\s*", "")
-    numeric = s.rlike("(?U)^[-(（]?[\\dOoIlSB,.]+")
-    mended = F.when(numeric & s.rlike("\\d"), F.translate(s, "OoIlSB", "001158")).otherwise(s)
-    bare = F.regexp_replace(mended, "(?U)[,\\s]", "")
-    inner = F.regexp_extract(bare, "^[(（](\\d+(?:\\.\\d+)?)[)）]$", 1)
-    bracket = F.when(inner != "", -inner.cast("decimal(28,4)"))
-    less = F.when(bare.rlike(NEGATIVE), F.lit(-1)).otherwise(F.lit(1))
-    bare = F.regexp_replace(bare, NEGATIVE, "")
+    joined = F.regexp_replace(F.trim(text(c)), "(?U)\\s*\n\\s*", "")
+
+    def mended(s):
+        numeric = s.rlike("(?U)^[-(（]?[\\dOoIlSB,.]+") & s.rlike("\\d")
+        return F.regexp_replace(F.when(numeric, F.translate(s, "OoIlSB", "001158")).otherwise(s), "(?U)[,\\s]", "")
+
+    def signed(whole):
+        inner = F.regexp_extract(whole, "^[(（](\\d+(?:\\.\\d+)?)[)）]$", 1)
+        bracket = F.when(inner != "", -inner.cast("decimal(28,4)"))
+        less = F.when(whole.rlike(NEGATIVE), F.lit(-1)).otherwise(F.lit(1))
+        value = let(F.regexp_replace(whole, NEGATIVE, ""), unsigned)
+        return F.coalesce(bracket, let(value, lambda v: F.when(v > 0, (v * less).cast("decimal(28,4)")).otherwise(v)))
+
+    return let(let(joined, mended), signed)
+
+
+def unsigned(bare) -> Column:
+    """The tiers of parse_robust after brackets, on a text without commas and blanks."""
     rate = F.regexp_extract(bare, "^([+-]?\\d+(?:\\.\\d+)?)[%％]$", 1)
     percent = F.when(rate != "", rate.cast("decimal(28,4)"))
     factor = F.regexp_extract(bare, "^-?\\d+(?:\\.\\d+)?(千万|百万|千|万|亿)元?$", 1)
@@ -89,8 +105,7 @@ def parse_robust(c) -> Column:
     fallback = F.when(cleaned != "", cleaned.cast("decimal(28,4)"))
     run = F.regexp_extract(bare, NUMERALS, 0)
     spoken = F.when(~bare.rlike("\\d") & (run != "") & ~run.isin(LONE_UNITS), numeral(run).cast("decimal(28,4)"))
-    value = F.coalesce(percent, scaled, plain, spoken, fallback)
-    return F.coalesce(bracket, F.when(value > 0, (value * less).cast("decimal(28,4)")).otherwise(value))
+    return F.coalesce(plain, percent, scaled, spoken, fallback)
 
 
 DIGITAL = "\\d+(?:,\\d{3})*(?:\\.\\d+)?"

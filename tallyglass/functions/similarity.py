@@ -50,8 +50,42 @@ def partial(a: str, b: str) -> float:
         return 0.0
     if a in b:
         return 100.0
-    spans = [b[max(0, i) : i + len(a)] for i in range(1 - len(a), len(b))]
-    return max(indel(a, s) for s in spans if s)
+    return max(indel(a, b[max(0, i) : i + len(a)]) for i in range(1 - len(a), len(b)))
+
+
+def blocks_of(alias: str, least: float) -> tuple[int, list[tuple[int, str]]]:
+    """How many characters may stay unmatched at a partial ratio of `least`, and (offset, block) of one block more:
+    one of the blocks stands unchanged in every window that reaches the ratio."""
+    m = len(alias)
+    unmatched = int(2 * m * (1 - least / 100) + 1e-9)
+    n = min(unmatched + 1, m)
+    size = m // n
+    return unmatched, [(i * m // n, alias[i * m // n : i * m // n + size]) for i in range(n)]
+
+
+@lru_cache(maxsize=100_000)
+def mention(text: str, alias: str, least: float) -> float:
+    """The partial ratio of alias and text where it reaches `least`, else 0; only windows of the longer one around
+    blocks of the shorter are compared."""
+    if len(alias) > len(text):
+        alias, text = text, alias
+    if not alias or alias in text:
+        return 100.0 if alias else 0.0
+    unmatched, blocks = blocks_of(alias, least)
+    m, starts = len(alias), set()
+    for offset, block in blocks:
+        at = text.find(block)
+        while at >= 0:
+            starts.update(range(at - offset - unmatched, at - offset + unmatched + 1))
+            at = text.find(block, at + 1)
+    windows = [text[max(0, i) : i + m] for i in starts if -m < i < len(text)]
+    best = max((indel(alias, w) for w in windows), default=0.0)
+    return best if best >= least else 0.0
+
+
+@F.pandas_udf(T.DoubleType())
+def mention_score(text: pd.Series, alias: pd.Series, least: pd.Series) -> pd.Series:
+    return pd.Series([mention(*x) for x in zip(text, alias, least, strict=True)], dtype="float64")
 
 
 def token_sort(a: str, b: str) -> float:

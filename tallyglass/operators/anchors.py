@@ -2,18 +2,56 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..dims import NINE_TABLES
+from ..functions.similarity import mention
+from ..functions.text import PUNCTUATION, normalize, page_is_front, page_is_table
+
+# Least partial ratio of a page with a table's name and with an alias.
+NAME_RATIO, ALIAS_RATIO = 92.0, 95.0
+#: Per table: its name and other aliases as pages are compared with them.
+FLAT_NAMES = [list(dict.fromkeys(re.sub(PUNCTUATION, "", x) for x in [name, *aliases])) for name, aliases in NINE_TABLES]
+
+
+@lru_cache(maxsize=10_000)
+def tables_like(flat: str) -> list[int]:
+    """Tables of which a page holds the name or an alias, to the letter or nearly."""
+    found = []
+    for i, names in enumerate(FLAT_NAMES if flat else []):
+        if any(n in flat for n in names) or any(mention(flat, n, ALIAS_RATIO if j else NAME_RATIO) for j, n in enumerate(names)):
+            found.append(i)
+    return found
+
 
-from ..dims import NINE_TABLES, table_dim
-from ..functions.text import normalize, page_is_front, page_is_table
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def near_tables(flat: pd.Series) -> pd.Series:
+    return flat.map(tables_like)
+
+
+def page_tables(pages: DataFrame) -> DataFrame:
+    """(doc_id, page_no, ords): the tables whose name or alias a table page's normalised text holds, or nearly does. The
+    fixed nine tables are compared inside the page's task, without a join; works on streams too."""
+    on = ~page_is_front("text") & page_is_table("text")
+    return pages.select("doc_id", "page_no", near_tables(F.when(on, normalize("text")).otherwise("")).alias("ords"))
+
+
+def named(hits: DataFrame) -> DataFrame:
+    """(doc_id, table_name, ord, page_no) of hits (doc_id, page_no, ords)."""
+    names = F.array(*[F.lit(n) for n, _ in NINE_TABLES])
+    hit = hits.select("doc_id", "page_no", F.explode("ords").alias("ord"))
+    return hit.select("doc_id", names[F.col("ord")].alias("table_name"), "ord", "page_no")
 
 
 def anchors(pages: DataFrame) -> DataFrame:
-    """(doc_id, table_name, ord, page_no) for table pages whose normalised text holds a name or alias."""
-    dim = F.broadcast(table_dim(pages.sparkSession).select("table_name", "ord", normalize("alias").alias("alias_n")))
-    p = pages.where(~page_is_front("text") & page_is_table("text")).select("doc_id", "page_no", normalize("text").alias("flat"))
-    return p.join(dim, F.expr("contains(flat, alias_n)")).select("doc_id", "table_name", "ord", "page_no").distinct()
+    """(doc_id, table_name, ord, page_no) for table pages that hold a table's name or alias, or nearly do."""
+    return named(page_tables(pages.where(~page_is_front("text") & page_is_table("text")))).distinct()
 
 
 def first_pages(found: DataFrame) -> DataFrame:
@@ -27,6 +65,17 @@ def missing_tables(docs: DataFrame, found: DataFrame) -> DataFrame:
     return wanted.join(found.select("doc_id", "table_name").distinct(), ["doc_id", "table_name"], "left_anti")
 
 
+def nine_tables(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """V002: (doc_id, message, severity) for documents (doc_id, n_pages) with anchors found: missing, repeated and
+    displaced tables."""
+    missing = missing_tables(docs, found).join(docs, "doc_id").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
+    severity = F.when(F.col("n_pages") < 8, "info").when(F.col("n") <= 2, "warn").otherwise("error")
+    a = missing.select("doc_id", F.concat(F.lit("缺失表："), "table_name").alias("message"), severity.alias("severity"))
+    b = first_pages(found).where("n_pages > 1").select("doc_id", F.concat(F.lit("表出现多次："), "table_name").alias("message"), F.lit("warn").alias("severity"))
+    c = out_of_order(found).select("doc_id", F.lit("顺序异常").alias("message"), F.lit("warn").alias("severity"))
+    return a.unionByName(b).unionByName(c)
+
+
 def out_of_order(found: DataFrame) -> DataFrame:
     """Documents with three tables or more whose first pages break the expected order."""
     by_page = Window.partitionBy("doc_id").orderBy("page_no", "ord")

@@ -42,6 +42,82 @@ def undescribed(items: DataFrame, mentions: DataFrame, keys: list[str]) -> DataF
     return items.join(mentions, keys, "left_anti")
 
 
+def undescribed_codes(codes: DataFrame, mentions: DataFrame, levels: tuple[int, ...] = (3, 5, 7)) -> DataFrame:
+    """Codes (doc_id, code) of a table that prose leaves out. A code is described where it is named, and one of a
+    higher level also where all codes below it are; levels go from items up."""
+    keyed = codes.distinct().join(mentions.distinct().withColumn("named", F.lit(True)), ["doc_id", "code"], "left").withColumn("named", F.coalesce("named", F.lit(False)))
+    out, below = [], None
+    for n in reversed(levels):
+        here = keyed.where(F.length("code") == n)
+        if below is not None:
+            children = below.groupBy("doc_id", F.left("code", F.lit(n)).alias("code")).agg(F.bool_and("named").alias("all_below"))
+            here = here.join(children, ["doc_id", "code"], "left").withColumn("named", F.col("named") | F.coalesce("all_below", F.lit(False))).drop("all_below")
+        out.append(here)
+        below = here
+    return reduce(DataFrame.unionByName, out).where("not named").select("doc_id", "code")
+
+
+def contents_entries(pages: DataFrame) -> DataFrame:
+    """(doc_id, line, title, toc_page) of the tables that contents pages list: a title, dots or blanks, a page."""
+    listed = pages.where(F.col("text").rlike("(?m)^\\s*目\\s*录\\s*$")).select("doc_id", "page_no", F.posexplode(F.split("text", "\n")).alias("at", "entry"))
+    form = "(?U)^\\s*(.{2,50}?表)[\\s.…·]*(\\d+)\\s*$"
+    found = listed.where(F.col("entry").rlike(form))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "at"))
+    return found.select("doc_id", place.alias("line"), F.regexp_extract("entry", form, 1).alias("title"), F.regexp_extract("entry", form, 2).cast("int").alias("toc_page"))
+
+
+def body_titles(pages: DataFrame) -> DataFrame:
+    """(doc_id, title, page_no) of pages whose first line is a table's title; of equal ones the first page."""
+    head = F.trim(F.substring_index("text", "\n", 1))
+    found = pages.select("doc_id", "page_no", head.alias("title")).where(F.col("title").rlike("^.{2,50}表$"))
+    return found.groupBy("doc_id", "title").agg(F.min("page_no").alias("page_no"))
+
+
+def longest_rise(values: Column) -> Column:
+    """Of an array of different numbers, the places (from 0) of a longest rising subsequence, the earliest one.
+    First the longest rise from each place on, from the right; then places are taken from the left."""
+    at = F.arrays_zip(values.alias("v"), F.sequence(F.lit(0), F.size(values) - 1).alias("i"))
+    state = "array<struct<v:int,i:int,n:int>>"
+
+    def longer(acc, x):
+        n = F.coalesce(F.array_max(F.transform(F.filter(acc, lambda y: y["v"] > x["v"]), lambda y: y["n"])), F.lit(0)) + 1
+        return F.concat(F.array(F.struct(x["v"].cast("int").alias("v"), x["i"].cast("int").alias("i"), n.cast("int").alias("n"))), acc)
+
+    sized = F.aggregate(F.reverse(at), F.expr(f"cast(array() as {state})"), longer)
+    start = F.struct(F.array_max(F.transform(sized, lambda y: y["n"])).alias("left"), F.lit(-(2**31)).alias("v"), F.expr("cast(array() as array<int>)").alias("kept"))
+
+    def take(acc, y):
+        on = (y["n"] == acc["left"]) & (y["v"] > acc["v"])
+        return F.when(on, F.struct((acc["left"] - 1).alias("left"), y["v"].alias("v"), F.concat(acc["kept"], F.array(y["i"])).alias("kept"))).otherwise(acc)
+
+    return F.aggregate(sized, start, take, lambda acc: acc["kept"])
+
+
+def contents_alignment(entries: DataFrame, titles: DataFrame, reach: int = 3) -> DataFrame:
+    """Titles of only one side, titles whose page is off by more than `reach`, and titles out of the order of
+    the contents: those outside the longest rising run of pages. A document's contents are one short array."""
+    met = entries.join(titles, ["doc_id", "title"], "full_outer")
+    problem = F.when(F.col("page_no").isNull(), "not_in_body").when(F.col("toc_page").isNull(), "not_in_contents").when(F.abs(F.col("page_no") - F.col("toc_page")) > reach, "wrong_page")
+    single = met.withColumn("problem", problem).where("problem is not null").select("doc_id", "title", "problem")
+    both = met.where("page_no is not null and toc_page is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", "page_no", "title"))).alias("c"))
+    kept = both.select("doc_id", "c", longest_rise(F.col("c.page_no")).alias("kept"))
+    moved = kept.select("doc_id", "kept", F.posexplode("c").alias("i", "x")).where(~F.array_contains("kept", F.col("i")))
+    return single.unionByName(moved.select("doc_id", "x.title", F.lit("out_of_order").alias("problem")))
+
+
+def layouts(tables: DataFrame, covers: DataFrame, whitelist: DataFrame) -> DataFrame:
+    """Each table's header signature (sorted cells without blanks, hashed), its document's region as the cover
+    names it, and whether a whitelisted layout (region, columns) of that region is part of the header."""
+    clean = F.transform(F.filter(F.transform(F.col("tables")[0][0], lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "(?U)\\s", "")), lambda c: c != ""), lambda c: c)
+    heads = tables.select("doc_id", "page_no", F.array_sort(F.array_distinct(clean)).alias("header"))
+    listed = F.broadcast(whitelist.withColumnRenamed("region", "listed_region"))
+    named = covers.join(F.broadcast(whitelist.select("region").distinct()), F.expr("contains(text, region)"), "left").groupBy("doc_id").agg(F.min("region").alias("region"))
+    met = heads.join(named, "doc_id", "left").join(listed, F.col("region") == F.col("listed_region"), "left")
+    fits = F.coalesce(F.size(F.array_except("columns", "header")) == 0, F.lit(False))
+    out = met.groupBy("doc_id", "page_no", "region", "header").agg(F.bool_or(fits).alias("whitelisted"))
+    return out.select("doc_id", "page_no", "region", F.md5(F.array_join("header", "|").cast("binary")).alias("signature"), "whitelisted")
+
+
 def near_section(anchors: DataFrame, titles: DataFrame, reach: int = 3) -> DataFrame:
     """Tables without an explanation title within so many pages."""
     met = anchors.join(titles.withColumnRenamed("page_no", "title_page"), ["doc_id", "table_name"], "left")

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import jaccard, location, metric, sequence_ratio, words
+from ..registry import written
 
 
 def edges(f: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """J8 with F5: pairs of an ai and a rule finding of one document at or above the threshold."""
+    """J8 with F5: pairs of an ai and a rule finding of one document at or above the threshold. Without a common
+    tag a pair reaches .8 at most, so above that the join is by document and tag (a pair counts at its first one)."""
     keep = ["doc_id", "idx", "title", "section", "table_name", "page", "tags", "amount", "severity", "finding_id"]
     a = f.where("source = 'ai'").select([F.col(c).alias(c if c == "doc_id" else f"a_{c}") for c in keep])
     b = f.where("source = 'rule'").select([F.col(c).alias(c if c == "doc_id" else f"b_{c}") for c in keep])
-    p = a.join(b, "doc_id")
     lower = lambda c: F.transform(F.col(c), lambda x: F.lower(x))
+    if threshold > 0.8:
+        by_tag = lambda f, c: f.withColumn("tag", F.explode(F.array_distinct(lower(c))))
+        p = by_tag(a, "a_tags").join(by_tag(b, "b_tags"), ["doc_id", "tag"])
+        p = p.where(F.col("tag") == F.array_min(F.array_intersect(lower("a_tags"), lower("b_tags")))).drop("tag")
+    else:
+        p = a.join(b, "doc_id")
     # string similarities run in Python: only pairs that could still reach the threshold with equal strings get there
     one = F.lit(1.0)
     tags, amounts = jaccard(lower("a_tags"), lower("b_tags")), metric(F.col("a_amount"), F.col("b_amount"))
@@ -37,21 +45,22 @@ def edges(f: DataFrame, threshold: float = 0.85) -> DataFrame:
 
 
 def greedy_matches(e: DataFrame) -> DataFrame:
-    """One-to-one matching by score, ties to the larger indexes; a document's edges are few."""
-
-    def match(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["score", "a_idx", "b_idx", "a_finding_id", "b_finding_id"], ascending=False)
-        used_a, used_b, keep = set(), set(), []
-        for i, a, b in zip(frame.index, frame["a_finding_id"], frame["b_finding_id"], strict=True):
-            ok = a not in used_a and b not in used_b
-            keep.append(ok)
-            if ok:
-                used_a.add(a)
-                used_b.add(b)
-        return frame[keep]
-
-    slim = e.select("doc_id", "a_idx", "b_idx", "a_finding_id", "b_finding_id", "a_severity", "b_severity", "a_page", "b_page", "a_amount", "b_amount", "score")
-    return slim.groupBy("doc_id").applyInPandas(match, slim.schema)
+    """One-to-one matching by score, ties to the larger indexes. Round by round every edge that is the best of
+    both its ends is taken and the other edges of these ends go, which takes what going through all edges in order
+    takes. A round is windows over one exchange by document, written, so that the next starts from a table; there
+    are as many rounds as the longest chain of edges that wait for one another, a few where scores are mixed."""
+    order = ["score", "a_idx", "b_idx", "a_finding_id", "b_finding_id"]
+    left = e.select("doc_id", "a_idx", "b_idx", "a_finding_id", "b_finding_id", "a_severity", "b_severity", "a_page", "b_page", "a_amount", "b_amount", "score").repartition("doc_id")
+    best = [F.row_number().over(Window.partitionBy("doc_id", c).orderBy(*map(F.desc, order))) == 1 for c in ("a_finding_id", "b_finding_id")]
+    ends = [F.max("taken").over(Window.partitionBy("doc_id", c)) for c in ("a_finding_id", "b_finding_id")]
+    taken = []
+    while True:
+        turn = written(left.withColumn("taken", best[0] & best[1]).withColumn("gone", ends[0] | ends[1]).where("taken or not gone"))
+        taken.append(turn.where("taken").drop("taken", "gone"))
+        left = turn.where("not gone").drop("taken", "gone")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, taken)
+        left = left.repartition("doc_id")
 
 
 def unmatched(f: DataFrame, matches: DataFrame) -> DataFrame:
@@ -87,11 +96,12 @@ def summary(f: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def similar_findings(f: DataFrame, threshold: float = 0.8, extra: tuple[str, ...] = ()) -> DataFrame:
-    """pairs of an ai and a rule finding of one document: .4 same rule, .4 shared words, .2 one section in the other."""
+    """pairs of an ai and a rule finding of one document: .4 same rule, .4 shared words, .2 one section in the other.
+    Above .6 only findings of one rule can meet, which the join uses."""
     keep = ["doc_id", "idx", "rule_id", "title", "section", "amount", *extra]
     a = f.where("source = 'ai'").select([F.col(c).alias(c if c == "doc_id" else f"a_{c}") for c in keep])
     b = f.where("source = 'rule'").select([F.col(c).alias(c if c == "doc_id" else f"b_{c}") for c in keep])
-    p = a.join(b, "doc_id")
+    p = a.join(b, (a["doc_id"] == b["doc_id"]) & (F.col("a_rule_id") == F.col("b_rule_id")) if threshold > 0.6 else a["doc_id"] == b["doc_id"]).drop(b["doc_id"])
     same = F.when(F.col("a_rule_id") == F.col("b_rule_id"), 0.4).otherwise(0.0)
     within = F.coalesce(F.col("a_section").contains(F.col("b_section")) | F.col("b_section").contains(F.col("a_section")), F.lit(False))
     sim = same + jaccard(words(F.col("a_title")), words(F.col("b_title"))) * 0.4 + F.when(within, 0.2).otherwise(0.0)

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..dims import NINE_TABLES
+from ..functions.numbers import dynamic_tolerance
 from ..functions.text import near_number, near_percent
 from ..operators import anchors as A
 from ..operators import checks as K
+from ..operators import prose as P
 from ..registry import query, table
 from ..sources import corpus as C
+from ..sources import detailed as X
 from .rules import ANCHOR_SQL, MISSING, VALUES_SQL, _both, _pages, _values, off_sql
 
 D = lambda c: f"CAST({c} AS DOUBLE)"
@@ -76,25 +80,39 @@ def t05(spark, sf):
     return K.shares(sums.join(stated, ["doc_id", "code"]), "part", "whole", "pct", 2.0).select("doc_id", "code")
 
 
-PARTS = "(SELECT DISTINCT l_orderkey AS doc_id, lpad(CAST(l_partkey AS VARCHAR), 7, '0') AS code, l_partkey FROM lineitem)"
+CODES_SQL = """WITH li AS (SELECT DISTINCT l_orderkey AS doc_id, lpad(CAST(l_partkey AS VARCHAR), 7, '0') AS code, l_partkey AS p FROM lineitem),
+i AS (SELECT doc_id, code, p % 5 <> 0 AS ok, p FROM li),
+s AS (SELECT doc_id, left(code, 5) AS code, bool_and(ok) OR any_value(p // 100) % 3 = 0 AS ok FROM i GROUP BY 1, 2),
+c AS (SELECT doc_id, left(code, 3) AS code, bool_and(ok) OR doc_id % 2 = 0 AS ok FROM s GROUP BY 1, 2)
+SELECT doc_id, code FROM (SELECT doc_id, code, ok FROM i UNION ALL SELECT * FROM s UNION ALL SELECT * FROM c) WHERE NOT ok"""
 
 
-@query("t06_class_details", f"SELECT doc_id, code FROM {PARTS} WHERE l_partkey % 5 = 0")
+@query("t06_class_details", CODES_SQL)
 def t06(spark, sf):
-    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lpad(F.col("l_partkey").cast("string"), 7, "0").alias("code"), "l_partkey").distinct()
-    prose = li.where("l_partkey % 5 <> 0").groupBy("doc_id").agg(F.array_join(F.collect_list(F.concat(F.lit("科目"), "code")), "，").alias("text"))
-    mentions = prose.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("科目(\\d{3,7})"), F.lit(1))).alias("code"))
-    return K.undescribed(li.select("doc_id", "code"), mentions, ["doc_id", "code"])
+    """Codes of three levels read from the cells, mentions read from the prose."""
+    cells = C.cells(X.coded_tables(spark, sf)).where(F.col("text").rlike("^(?:\\d{3}|\\d{5}|\\d{7})$") & (F.col("col_ix") == 1))
+    mentions = X.coded_prose(spark, sf).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("科目(\\d{7}|\\d{5}|\\d{3})(?!\\d)"), F.lit(1))).alias("code"))
+    return K.undescribed_codes(cells.select("doc_id", F.col("text").alias("code")), mentions)
 
 
-@query("t07_aligned_comparisons", ORD + "SELECT k AS doc_id, CASE o_orderstatus WHEN 'F' THEN '大于' WHEN 'O' THEN '小于' ELSE '持平' END AS stated FROM o")
-def t07(spark, sf):
-    from ..operators import prose as P
+ITEMS_SQL = """WITH x AS (SELECT l_orderkey AS doc_id, lpad(CAST(l_partkey AS VARCHAR), 7, '0') AS code, l_linenumber % 4 <> 3 AS has_pair, CAST(l_extendedprice AS DECIMAL(18,2)) AS b,
+  CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)) * (CASE l_linenumber % 3 WHEN 0 THEN 1.00 WHEN 1 THEN 1.10 ELSE 0.90 END), 2) AS DECIMAL(18,2)) AS a, CASE l_returnflag WHEN 'A' THEN '大于' WHEN 'N' THEN '小于' ELSE '持平' END AS stated FROM lineitem),
+y AS (SELECT *, CAST(greatest(a, b) AS DOUBLE) AS top FROM x), z AS (SELECT *, CASE WHEN top < 100 THEN 1.0 WHEN top < 10000 THEN greatest(1.0, top * 0.005) ELSE greatest(1.0, top * 0.003) END AS tol FROM y)
+SELECT doc_id, code, CASE WHEN has_pair THEN CAST(b AS DOUBLE) END AS planned, CASE WHEN has_pair THEN stated END AS stated,
+  CASE WHEN has_pair THEN CASE WHEN CAST(a AS DOUBLE) > CAST(b AS DOUBLE) + tol THEN '大于' WHEN CAST(a AS DOUBLE) < CAST(b AS DOUBLE) - tol THEN '小于' ELSE '持平' END END AS computed FROM z"""
+
 
-    pairs = P.accepted(P.candidates(P.sections(C.comparisons(spark, sf))))
-    code = C.order_sums(spark, sf).select(F.col("k").alias("doc_id"), F.lit("2010101").alias("code"))
-    stated = F.when(F.col("phrase").contains("持平"), "持平").when(F.col("phrase").contains("大于"), "大于").otherwise("小于")
-    return pairs.join(code, "doc_id").select("doc_id", stated.alias("stated"))
+@query("t07_aligned_comparisons", ITEMS_SQL)
+def t07(spark, sf):
+    """Every item of a section with what its own paragraph states of budget and final amount, and what they are."""
+    secs = P.sections(X.item_pages(spark, sf))
+    pairs = P.accepted(P.candidates(secs)).select("doc_id", "start", "planned", "spent", "phrase")
+    items = P.by_item(secs, pairs)
+    b, a = F.col("planned").cast("double"), F.col("spent").cast("double")
+    tol = dynamic_tolerance(a, b)
+    computed = F.when(a > b + tol, "大于").when(a < b - tol, "小于").when(a.isNotNull(), "持平")
+    stated = F.when(F.col("phrase").contains("持平"), "持平").when(F.col("phrase").contains("大于"), "大于").when(F.col("phrase").isNotNull(), "小于")
+    return items.select("doc_id", "code", b.alias("planned"), stated.alias("stated"), computed.alias("computed"))
 
 
 @query("t08_explained_items", "SELECT o_orderkey AS doc_id, item FROM orders, (VALUES ('收入', 2), ('支出', 3)) t(item, m) WHERE o_orderkey % m = 0")
@@ -176,11 +194,17 @@ def t17(spark, sf):
     return K.value_pairs(li.join(prose, "doc_id"), [("list", "listed", "stated")]).select("doc_id")
 
 
-@query("t20_layout_whitelist", ORD + "SELECT k AS doc_id FROM o WHERE k % 3 <> 0")
+# The layout of income tables that these regions use.
+WHITELIST = [(region, ["科目编码", "财政拨款收入", "事业收入", "其他收入"]) for region in ("上海市", "中央部门")]
+
+
+@query("t20_layout_whitelist", ORD + """, r AS (SELECT k, ['上海市', '中央部门', '江苏省', '浙江省'][CAST(k // 3 % 4 AS INTEGER) + 1] AS region FROM o)
+SELECT k AS doc_id, CASE WHEN region IN ('上海市', '中央部门') THEN region END AS region, k % 3 < 2 AND region IN ('上海市', '中央部门') AS whitelisted FROM r""")
 def t20(spark, sf):
-    heads = C.order_sums(spark, sf).select(F.col("k").alias("doc_id"), F.when(F.col("k") % 3 == 0, F.array(F.lit("科目"), F.lit("上年数"))).otherwise(F.array(F.lit("科目"))).alias("header"))
-    listed = heads.where(F.array_contains("header", "上年数")).select("doc_id")
-    return K.undescribed(heads.select("doc_id"), listed, ["doc_id"])
+    """Headers read from cells, regions from covers; layouts that their region lists are no template faults."""
+    covers, tables = X.layout_books(spark, sf)
+    listed = spark.createDataFrame(WHITELIST, "region string, columns array<string>")
+    return K.layouts(tables, covers, listed).select("doc_id", "region", "whitelisted")
 
 
 @query("t21_presence", ANCHOR_SQL + f", {MISSING} SELECT doc_id, table_name FROM m WHERE table_name NOT IN ('政府性基金预算财政拨款收入支出决算表', '国有资本经营预算财政拨款收入支出决算表') OR doc_id % 4 <> 0")
@@ -193,15 +217,18 @@ def t21(spark, sf):
     return missing.join(exempt, ["doc_id", "table_name"], "left_anti").select("doc_id", "table_name")
 
 
-@query("t22_contents_order", "SELECT o_custkey AS doc_id, o_orderkey AS title FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS line FROM orders) WHERE o_orderkey % 5 = 0")
-def t22(spark, sf):
-    from pyspark.sql import Window
+CONTENTS_SQL = ORD + """, t(i, title) AS (VALUES """ + ", ".join(f"({i}, '{n}')" for i, (n, _) in enumerate(NINE_TABLES)) + """),
+x AS (SELECT k, i, title, (k + i) % 29 <> 0 AS listed, (k + i) % 17 <> 0 AS there, CASE WHEN k % 19 = 0 AND i IN (2, 3) THEN 8 - i ELSE 3 + i END AS page_no,
+  3 + i + CASE WHEN i = 4 AND k % 13 = 0 THEN 5 WHEN k % 7 = 0 THEN 1 ELSE 0 END AS toc_page FROM o, t)
+SELECT k AS doc_id, title, CASE WHEN NOT there THEN 'not_in_body' WHEN NOT listed THEN 'not_in_contents' ELSE 'wrong_page' END AS problem FROM x WHERE (listed OR there) AND (NOT there OR NOT listed OR abs(page_no - toc_page) > 3)
+UNION ALL SELECT k, title, 'out_of_order' FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM x WHERE k % 19 = 0 AND i IN (2, 3) AND listed AND there) WHERE n = 2 AND i = 3"""
 
-    line = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("title"), line.alias("line"))
-    toc = o.withColumn("toc_page", F.col("line") * 10)
-    body = o.select("doc_id", "title", (F.col("line") * 10 + F.when(F.col("title") % 5 == 0, 4).otherwise(0)).alias("page_no"))
-    return K.order_breaks(toc, body).select("doc_id", "title")
+
+@query("t22_contents_order", CONTENTS_SQL)
+def t22(spark, sf):
+    """Titles and pages read from the contents page, titles read from the pages, both sequences aligned."""
+    pages = X.contents_pages(spark, sf)
+    return K.contents_alignment(K.contents_entries(pages), K.body_titles(pages))
 
 
 @query("t23_repeated_titles", "SELECT doc_id, title, page_no FROM (SELECT *, lag(page_no) OVER (PARTITION BY doc_id, title ORDER BY page_no) AS b FROM (SELECT DISTINCT l_orderkey AS doc_id, l_partkey % 3 AS title, l_linenumber * 2 AS page_no FROM lineitem)) WHERE page_no - b <= 4")

@@ -40,14 +40,25 @@ def t27(spark, sf):
     return x.groupBy("doc_id").agg((F.sum("bad") / F.count(F.lit(1))).alias("failure_rate")).where("failure_rate > 0.1")
 
 
-@query("f9_numerals", "SELECT p_partkey AS part, CAST(p_partkey % 10000 AS BIGINT) AS value FROM part WHERE p_partkey % 10000 > 0")
+#: Numbers to be written out: small ones, and others up to the hundreds of 兆.
+SPOKEN = "CASE WHEN p_partkey % 5 = 0 THEN p_partkey % 10000 ELSE (p_partkey * 98765432101) % 100000000000000 END"
+
+
+def spoken(n, formal):
+    """n in Chinese: four digits a section, formal characters where asked for."""
+    part = lambda v, unit: F.when(v > 0, F.concat(F.substring(F.lit("零一二三四五六七八九"), (v + 1).cast("int"), F.lit(1)), F.lit(unit))).otherwise(F.lit(""))
+    section = lambda g: F.concat(part(F.floor(g / 1000), "千"), part(F.floor(g / 100) % 10, "百"), part(F.floor(g / 10) % 10, "十"), part(g % 10, ""))
+    groups = [F.expr(f"({n} div {10**p}) % 10000") for p in (12, 8, 4, 0)]
+    words = [F.when(g > 0, F.concat(F.when(g < 1000, F.lit("零")).otherwise(F.lit("")), section(g), F.lit(unit))).otherwise(F.lit("")) for g, unit in zip(groups, ["兆", "亿", "万", ""], strict=True)]
+    said = F.regexp_replace(F.concat(*words), "^零", "")
+    return F.when(formal, F.translate(said, "零一二三四五六七八九十百千万亿", "○壹贰叁肆伍陆柒捌玖拾佰仟萬億")).otherwise(said)
+
+
+@query("f9_numerals", f"SELECT p_partkey AS part, CAST({SPOKEN} AS BIGINT) AS value FROM part WHERE {SPOKEN} > 0")
 def f9(spark, sf):
-    n = F.col("p_partkey") % 10000
-    digit = lambda x: F.substring(F.lit("零一二三四五六七八九"), (x % 10 + 1).cast("int"), F.lit(1))
-    q, b, s, g = F.floor(n / 1000), F.floor(n / 100) % 10, F.floor(n / 10) % 10, n % 10
-    part = lambda v, unit: F.when(v > 0, F.concat(digit(v), F.lit(unit))).otherwise(F.lit(""))
-    text = F.concat(part(q, "千"), part(b, "百"), part(s, "十"), F.when(g > 0, digit(g)).otherwise(F.lit("")))
-    return table(spark, sf, "part").where(n > 0).select(F.col("p_partkey").alias("part"), numeral(text).alias("value"))
+    """Numbers written in common and (odd keys) in formal characters, read back."""
+    p = table(spark, sf, "part").withColumn("n", F.expr(SPOKEN)).where("n > 0")
+    return p.select(F.col("p_partkey").alias("part"), numeral(spoken("n", F.col("p_partkey") % 2 == 1)).alias("value"))
 
 
 @query("f10_all_numbers", f"SELECT l_orderkey AS doc_id, l_linenumber, l_partkey AS part, unnest([1, 2, 3, 4]) AS place, unnest([CAST({PRICE} AS DOUBLE), -CAST(CAST(l_quantity AS INTEGER) AS DOUBLE), CAST(l_linenumber AS DOUBLE), 320.0::DOUBLE]) AS value FROM lineitem")

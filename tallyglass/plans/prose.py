@@ -8,6 +8,8 @@ from ..functions.text import near_number, near_percent, snippet, spans
 from ..operators import prose as P
 from ..registry import query, table
 from ..sources import corpus as C
+from ..sources import detailed as X
+from ..sources import responses as R
 
 D = lambda c: f"CAST({c} AS DOUBLE)"
 PAIR_SQL = f"""WITH {C.ORDERS_SQL}, q AS (SELECT k AS doc_id, {D('budget')} AS b, {D('s')} AS a, CASE o_orderstatus WHEN 'F' THEN '大于' WHEN 'O' THEN '小于' ELSE '持平' END AS stated,
@@ -32,11 +34,22 @@ def v110b(spark, sf):
     return loose.select("doc_id", F.col("spent").cast("double"), F.col("planned").cast("double"), (F.col("reason") != "").alias("has_reason"))
 
 
-@query("u2_three_rounds", PAIR_SQL + "SELECT doc_id, CAST(2 AS BIGINT) AS n_found, CAST(1 AS BIGINT) AS n_kept FROM w")
+U2_SQL = PAIR_SQL + """SELECT k AS doc_id, CAST(2 + CASE WHEN k % 3 <> 2 AND k % 4 <> 1 THEN 1 ELSE 0 END + CASE WHEN k % 4 <> 0 THEN 1 ELSE 0 END AS BIGINT) AS n_found,
+CAST(1 + CASE WHEN k % 3 <> 2 AND k % 4 <> 1 THEN 1 ELSE 0 END AS BIGINT) AS n_kept, CASE WHEN k % 3 <> 2 AND k % 4 <> 1 THEN CAST(odd AS DOUBLE) END AS model_planned FROM o"""
+
+
+@query("u2_three_rounds", U2_SQL)
 def u2(spark, sf):
-    c = P.candidates(P.sections(C.comparisons(spark, sf)))
-    found = c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_found"))
-    kept = P.accepted(c).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_kept"))
+    """Three rounds of rules and a fourth of pairs that a model gave for windows of the section; the model's pairs
+    are shifted to the section and stay where no pair of the rules overlaps them."""
+    pages, answers = X.model_pairs(spark, sf)
+    secs = P.sections(pages)
+    rules = P.candidates(secs)
+    model = P.from_model(secs, R.pairs(answers, ("doc_id", "window_start")))
+    found = rules.select("doc_id").union(model.select("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_found"))
+    kept = P.accepted(rules)
+    every = kept.select("doc_id", "found_by", "planned").unionByName(P.beyond_rules(kept, model).select("doc_id", "found_by", "planned"))
+    kept = every.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_kept"), F.max(F.when(F.col("found_by") == "model", F.col("planned").cast("double"))).alias("model_planned"))
     return found.join(kept, "doc_id")
 
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from ..registry import query
-from ..streaming.logs import drained, overview, repeated_words
+from ..registry import query, shared_folder
+from ..sources import corpus as C
+from ..streaming.arrivals import held, row_findings, run
+from ..streaming.logs import drained, overview
+from .rules import V002_SQL
 
 
 def _stream(spark, sf, name):
@@ -23,8 +29,27 @@ def x1(spark, sf):
     return drained(overview(logs), "append").select("start", "stage", "n", F.col("total_ms").cast("double").alias("total_ms"))
 
 
-@query("x2_arriving_pages", "SELECT doc_id, '增加增加' AS found FROM documents WHERE doc_id % 6 = 0")
+LATE = "(k + 2 * i) % 41 = 0"
+EARLY_SQL = V002_SQL.replace("WHERE (k + i) % 17 <> 0)", f"WHERE (k + i) % 17 <> 0 AND NOT ({LATE}))")
+X2_SQL = f"""WITH final AS ({V002_SQL}), early AS ({EARLY_SQL})
+SELECT doc_id, message, 'open' AS state FROM final
+UNION ALL SELECT doc_id, message, 'withdrawn' FROM early e WHERE NOT EXISTS (SELECT 1 FROM final f WHERE f.doc_id = e.doc_id AND f.message = e.message)
+UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 31 = 0 THEN '负数' ELSE '百分比越界' END, 'row' FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AND (o_orderkey % 31 = 0 OR o_orderkey % 37 = 0)"""
+
+
+@query("x2_arriving_pages", X2_SQL)
 def x2(spark, sf):
-    mark = F.when(F.col("doc_id") % 6 == 0, F.lit("比预算增加增加5万元")).otherwise(F.lit("比预算增加5万元"))
-    pages = _stream(spark, sf, "documents").select("doc_id", F.lit(1).alias("page_no"), F.concat(F.coalesce("text", F.lit("")), mark).alias("text"))
-    return drained(repeated_words(pages), "append").select("doc_id", "found")
+    """Pages arrive in two runs, some tables' pages only in the second: row rules once for every page, the nine tables
+    judged again for documents that get pages, which withdraws what they no longer lack."""
+    d = C.disclosures(spark, sf)
+    k = F.col("doc_id")
+    odd = F.when(k % 31 == 0, "-5.00").when(k % 37 == 0, "120%").otherwise("7.00")
+    tables = F.when(F.col("page_no") == 1, F.array(F.array(F.array(F.lit("项目"), F.lit("金额")), F.array(F.lit("合计"), odd))))
+    late = reduce(lambda a, b: a | b, [(F.col("page_no") == F.when(k % 19 == 0, 3 + {2: 3, 3: 2}.get(i, i)).otherwise(3 + i)) & ((k + 2 * i) % 41 == 0) for i in range(9)])
+    pages = C.disclosure_pages(d).withColumns({"tables": tables, "late": late})
+    at = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+    for turn in (False, True):
+        pages.where(F.col("late") == turn).drop("late").write.mode("append").parquet(f"{at}/in")
+        run(spark.readStream.schema(pages.drop("late").schema).parquet(f"{at}/in"), at)
+    rows = row_findings(spark, at).select("doc_id", "message", F.lit("row").alias("state"))
+    return held(spark, at).unionByName(rows)

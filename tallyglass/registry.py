@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,14 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or "file:///tmp/spark-exports").rstrip("/")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write a DataFrame to the shared folder and read it back: what follows starts from a table."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tallyglass-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class RuleBook:
     """Named rules f(tables) -> findings. A rule that cannot be planned, or whose columns differ,
     becomes one finding of severity hint and leaves the others alone. Schemas are checked on the plan."""

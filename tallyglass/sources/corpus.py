@@ -91,7 +91,7 @@ def table_page(i: int) -> Column:
 
 
 def disclosure_pages(d: DataFrame) -> DataFrame:
-    """Twelve pages for each disclosure: cover, prose, nine tables, end."""
+    """Twelve pages for each disclosure: cover, prose, nine tables (the title of some with one wrong letter), end."""
     s = lambda c: F.col(c).cast("string")
     prose = F.concat(
         F.when(F.col("k") % 11 != 0, F.lit("目录\n")).otherwise(F.lit("")),
@@ -103,7 +103,8 @@ def disclosure_pages(d: DataFrame) -> DataFrame:
     pages = [F.struct(F.lit(1).alias("page_no"), F.concat(s("year"), F.lit("年度部门决算")).alias("text")), F.struct(F.lit(2).alias("page_no"), prose.alias("text"))]
     for i, (name, _) in enumerate(NINE_TABLES):
         unit = F.when(F.lit(i == 4) & (F.col("k") % 13 == 0), F.lit("元")).otherwise(F.lit("万元"))
-        body = F.when((F.col("k") + i) % 17 == 0, F.lit("附注")).otherwise(F.concat(F.lit(name), F.lit("\n单位："), unit))
+        damaged = F.when(F.lit(i >= 4) & ((F.col("k") + i) % 23 == 0), F.lit(name[:2] + "甲" + name[3:])).otherwise(F.lit(name))  # a letter misread
+        body = F.when((F.col("k") + i) % 17 == 0, F.lit("附注")).otherwise(F.concat(damaged, F.lit("\n单位："), unit))
         pages.append(F.struct(table_page(i).alias("page_no"), body.alias("text")))
     pages.append(F.struct(F.lit(12).alias("page_no"), F.lit("完").alias("text")))
     return d.select(F.col("k").alias("doc_id"), F.explode(F.array(*pages)).alias("p")).select("doc_id", "p.page_no", "p.text")
@@ -160,6 +161,25 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def item_name(part) -> Column:
+    """Two words of eight Chinese characters that belong to a part."""
+    letters = F.decode(F.unhex(F.regexp_replace(F.md5(part.cast("string").cast("binary")), "(..)", "4E$1")), "UTF-16BE")
+    return F.concat(F.substring(letters, 1, 8), F.lit(" "), F.substring(letters, 9, 8))
+
+
+def named_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Texts (doc_id, text) of orders that name their parts, by line whole, with other blanks inside, with a wrong letter
+    or with one missing; and the names (item_id, alias) of all parts."""
+    name = item_name(F.col("l_partkey"))
+    head, tail = F.substring(name, 1, 3), F.substring(name, 5, 13)
+    kind = F.col("l_linenumber") % 4
+    written = F.when(kind == 0, name).when(kind == 1, F.replace(name, F.lit(" "), F.lit("\t "))).when(kind == 2, F.concat(head, F.lit("?"), tail)).otherwise(F.concat(head, tail))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.struct("l_linenumber", F.concat(F.lit("购置"), written, F.lit("一批")).alias("s")).alias("l"))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["s"]), "；")
+    texts = lines.groupBy("doc_id").agg(F.concat(said, F.lit("。")).alias("text"))
+    return texts, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), item_name(F.col("p_partkey")).alias("alias"))
+
+
 FINDINGS_SQL = """f AS (
 SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INTEGER) AS idx,
   CASE WHEN l_linenumber % 2 = 0 THEN 'ai' ELSE 'rule' END AS source,

@@ -39,16 +39,16 @@ def accept(rows: DataFrame, rules: DataFrame) -> DataFrame:
     return met.withColumn("accepted", F.coalesce(ok, F.lit(False))).drop("known")
 
 
-def pairs(responses: DataFrame) -> DataFrame:
+def pairs(responses: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The object between the first { and the last }; hits without their spans go, a bad reason is blanked."""
     body = F.regexp_extract(F.coalesce("response", F.lit("")), "(?s)(\\{.*\\})", 1)
-    p = responses.select("doc_id", F.explode(F.from_json(body, PAIR)["pairs"]).alias("p"))
+    p = responses.select(*keys, F.explode(F.from_json(body, PAIR)["pairs"]).alias("p"))
     spans = ["budget_span", "final_span", "stmt_span"]
     good = F.lit(True)
     for s in spans:
         good = good & (F.coalesce(F.size(F.col(f"p.{s}")), F.lit(0)) == 2)
     whole = F.size("p.reason_span") == 2
-    return p.where(good).select("doc_id", "p.budget_text", "p.final_text", "p.stmt_text", F.when(whole, F.col("p.reason_text")).alias("reason_text"), F.col("p.stmt_span")[0].alias("start"))
+    return p.where(good).select(*keys, "p.budget_text", "p.final_text", "p.stmt_text", F.when(whole, F.col("p.reason_text")).alias("reason_text"), F.col("p.stmt_span")[0].alias("start"))
 
 
 def located(findings: DataFrame, responses: DataFrame) -> DataFrame:

@@ -38,6 +38,9 @@ def test_robust_numbers(spark):
 def test_numerals(spark):
     got = column(spark, ["十", "二十一", "三千五百万", "一亿零三百", "两千零五", "x"], N.numeral)
     assert got == [10, 21, 35000000, 100000300, 2005, None]
+    got = column(spark, ["壹万贰千叁百肆拾伍", "叁仟伍佰萬", "二○二四", "一兆零五", "三千万亿", "壹億○伍", "九千亿兆", None], N.numeral)
+    assert got == [12345, 35000000, 4, 10**12 + 5, 3 * 10**15, 100000005, None, None]
+    assert column(spark, ["人民币壹万贰千叁百肆拾伍元整", "减少伍佰"], lambda v: N.parse_robust(v).cast("double")) == [12345, -500]
 
 
 def test_units(spark):
@@ -217,3 +220,66 @@ def test_best_and_first_tables(spark):
     assert got["部门收入决算表"] == ("收入决算表", 100.0) and got["附支出决算表"][0] == "支出决算表" and got["三公及经费的各项支出"][1] == 80.0
     assert "无关" not in got
     assert [r[0] for r in names.select(first_table("title")).collect()] == ["收入决算表", "支出决算表", "一般公共预算财政拨款“三公”经费支出决算表", None]
+
+
+def test_near_mentions_against_brute_force():
+    """Windows around blocks find what all windows find, for every threshold."""
+    import random
+
+    draw = random.Random(5)
+    for _ in range(3000):
+        letters = "abcdef"[: draw.randint(2, 6)]
+        text = "".join(draw.choice(letters) for _ in range(draw.randint(1, 40)))
+        alias = "".join(draw.choice(letters) for _ in range(draw.randint(1, 14)))
+        least = draw.choice([70.0, 80.0, 85.0, 92.0, 95.0])
+        best = S.partial(alias, text)
+        assert S.mention(text, alias, least) == (best if best >= least else 0.0)
+
+
+def test_containment_joins_against_nested_loops(spark):
+    """Every alias length class, shared beginnings, repeated and empty strings, null ids."""
+    import random
+
+    from tallyglass.operators import containment as J
+
+    draw = random.Random(9)
+    text = lambda n: "".join(draw.choice("ab 部门决算") for _ in range(n))
+    docs = [(i, text(draw.choice([0, 1, 5, 20, 60, 200]))) for i in range(120)] + [(None, "部门决算表"), (7, None)]
+    names = [(i, t[a : a + n]) for i, n in enumerate([1, 2, 3, 5, 6, 8, 11, 12, 20, 24, 30, 70] * 8) for t in [draw.choice(docs)[1] or ""] for a in [draw.randint(0, max(0, len(t) - n))]]
+    names += [(900 + i, "部门决算" + text(20)) for i in range(20)] + [(990, ""), (991, None)]
+    d, a = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(names, "item_id long, alias string")
+    every = [(i, t, j, n) for i, t in docs for j, n in names if t and n]
+    assert {tuple(r) for r in J.contained(d, a).collect()} == {(i, j) for i, t, j, n in every if n in t}
+    assert {tuple(r) for r in J.contained_either(d, a).collect()} == {(i, j) for i, t, j, n in every if n in t or t in n}
+    for least in (80.0, 92.0):
+        best = {}
+        for i, t, j, n in every:
+            if len(t) >= len(n) and (s := S.partial(n, t)) >= least:
+                best[i, j] = max(s, best.get((i, j), 0))
+        assert {(r.doc_id, r.item_id): r.score for r in J.near_mentions(d, a.withColumn("least", F.lit(least))).collect()} == best
+
+
+def test_a_title_with_a_wrong_letter_is_an_anchor(spark):
+    from tallyglass.operators import anchors as A
+
+    wrong = "政府性基金预算财政拔款收入支出决算表\n单位：万元"
+    pages = spark.createDataFrame([(1, 4, wrong), (2, 4, wrong.replace("收入", "")), (3, 1, "收人决算表\n单位：万元"), (4, 2, "目录\n" + wrong)], "doc_id long, page_no int, text string")
+    assert {(r.doc_id, r.ord) for r in A.anchors(pages).collect()} == {(1, 7), (1, 2), (2, 2)}
+
+
+def test_matching_takes_what_one_pass_takes(spark):
+    """Rounds of locally best edges equal the greedy pass, on long chains and on many ties."""
+    import random
+
+    draw = random.Random(3)
+    rows = [(1, i, i, f"a{i}", f"b{i}", float(2 * i)) for i in range(12)] + [(1, i + 1, i, f"a{i + 1}", f"b{i}", float(2 * i + 1)) for i in range(12)]
+    for doc in range(2, 30):
+        rows += [(doc, a, b, f"a{a}", f"b{b}", draw.choice([0.85, 0.9, 1.0])) for a in range(6) for b in range(6) if draw.random() < 0.6]
+    e = spark.createDataFrame(rows, "doc_id long, a_idx int, b_idx int, a_finding_id string, b_finding_id string, score double")
+    e = e.withColumns({c: F.lit(None).cast("string") for c in ("a_severity", "b_severity")} | {c: F.lit(None).cast("double") for c in ("a_page", "b_page", "a_amount", "b_amount")})
+    want, used = set(), set()
+    for doc, a, b, x, y, score in sorted(rows, key=lambda r: (r[0], -r[5], -r[1], -r[2])):
+        if (doc, x) not in used and (doc, y) not in used:
+            used |= {(doc, x), (doc, y)}
+            want.add((doc, a, b, score))
+    assert {(r.doc_id, r.a_idx, r.b_idx, r.score) for r in M.greedy_matches(e).collect()} == want
