@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 
 # The nine standard tables in their expected order, with aliases.
@@ -47,9 +49,34 @@ WORDING = [
 # How many yuan a unit is.
 UNITS = [("元", 1), ("千元", 1_000), ("万元", 10_000), ("万", 10_000), ("百万元", 1_000_000), ("千万元", 10_000_000), ("亿元", 100_000_000), ("亿", 100_000_000)]
 
+# Fixed value: what messages of parse noise say.
 NOISE = "表出现多次|页码异常|格式错误|解析失败"
 
 
+class Template(NamedTuple):
+    key: str
+    name: str
+    aliases: list[str]
+    anchors: list[str]
+
+
+_TABLES = [name for name, _ in NINE_TABLES]
+# The two templates with names and aliases; the others are variants of ours that share anchors with them.
+TEMPLATES = [
+    Template("dept_decision_template_v1", "附件2：部门决算模板", ["部门决算模板", "附件2", "部门模板", "部门决算", "部门决算公开"], _TABLES),
+    Template("unit_decision_template_district_v1", "附件2-2：单位决算公开模板（区级）", ["单位决算公开模板", "附件2-2", "单位模板", "单位决算", "单位决算公开"], _TABLES[:6]),
+    Template("dept_short", "部门决算简表", ["部门简表"], _TABLES[:3]),
+    Template("unit_short", "单位决算简表", ["单位简表"], _TABLES[3:5]),
+    Template("fund", "政府性基金专表", ["基金专表"], _TABLES[7:8]),
+    Template("state_capital", "国有资本经营专表", ["国资专表"], _TABLES[8:]),
+]
+
+# What a department's and a unit's book must hold, each table by name or alias, each section by title.
+SECTION_TITLES = ["收入支出决算总体情况说明", "收入决算情况说明", "支出决算情况说明", "财政拨款收入支出决算总体情况说明", "其他重要事项的情况说明"]
+REQUIRED = [(dept, "table", list(dict.fromkeys([name, *aliases]))) for dept in (True, False) for name, aliases in (NINE_TABLES if dept else NINE_TABLES[:6])]
+REQUIRED += [(dept, "title", [title]) for dept in (True, False) for title in (SECTION_TITLES if dept else SECTION_TITLES[:3])]
+
+
 def table_dim(spark: SparkSession) -> DataFrame:
     """One row per standard table and alias."""
     rows = [(name, i, alias) for i, (name, aliases) in enumerate(NINE_TABLES) for alias in dict.fromkeys([name, *aliases])]

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import close
+from ..functions.numbers import close, parse_cell
 
 
 def identity(values: DataFrame, left: list[tuple[str, int]], right: str, absolute: float = 1.0, relative: float = 0.005) -> DataFrame:
@@ -118,6 +118,12 @@ def layouts(tables: DataFrame, covers: DataFrame, whitelist: DataFrame) -> DataF
     return out.select("doc_id", "page_no", "region", F.md5(F.array_join("header", "|").cast("binary")).alias("signature"), "whitelisted")
 
 
+def unit_coverage(units: DataFrame, disclosed: DataFrame, exempt: DataFrame) -> DataFrame:
+    """Every unit of the map as covered, exempt or uncovered."""
+    met = units.join(disclosed.withColumn("c", F.lit(True)), "unit", "left").join(exempt.withColumn("x", F.lit(True)), "unit", "left")
+    return met.select("unit", F.when(F.col("c"), "covered").when(F.col("x"), "exempt").otherwise("uncovered").alias("status"))
+
+
 def near_section(anchors: DataFrame, titles: DataFrame, reach: int = 3) -> DataFrame:
     """Tables without an explanation title within so many pages."""
     met = anchors.join(titles.withColumnRenamed("page_no", "title_page"), ["doc_id", "table_name"], "left")
@@ -142,6 +148,52 @@ def inconsistent_names(names: DataFrame) -> DataFrame:
     return names.groupBy("doc_id").agg(F.collect_set("name").alias("names")).where(F.size("names") > 1)
 
 
+def one_to_one(items: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(doc_id, item, side) of items that only the table or only the prose of a document has."""
+    a, b = items.distinct().withColumn("in_table", F.lit(True)), mentions.distinct().withColumn("in_text", F.lit(True))
+    met = a.join(b, ["doc_id", "item"], "full_outer").where("in_table is null or in_text is null")
+    return met.select("doc_id", "item", F.when(F.col("in_text").isNull(), "table_only").otherwise("text_only").alias("side"))
+
+
+def mentioned(texts: DataFrame, names: list[str]) -> DataFrame:
+    """(doc_id, item): which of the names a text holds."""
+    found = F.array_compact(F.array(*[F.when(F.col("text").contains(n), F.lit(n)) for n in names]))
+    return texts.select("doc_id", F.explode(found).alias("item"))
+
+
+def part_sums(cells: DataFrame, texts: DataFrame, parts: list[str], change: str) -> DataFrame:
+    """(doc_id, problem) of tables (project, last year, this year): a part without a row, a total that is not the
+    sum of its parts (where all are there), a total that changed while the prose says nothing of it."""
+    labels = cells.where("col_ix = 1").select("doc_id", "page_no", "table_ix", "row_ix", F.col("text").alias("label"))
+    value = lambda i: F.max(F.when(F.col("col_ix") == i, parse_cell("text")))
+    rows = cells.groupBy("doc_id", "page_no", "table_ix", "row_ix").agg(value(2).alias("before"), value(3).alias("now")).join(labels, ["doc_id", "page_no", "table_ix", "row_ix"])
+    of = lambda n, c: F.max(F.when(F.col("label") == n, F.col(c)))
+    wide = rows.groupBy("doc_id").agg(*[of(p, "now").alias(f"p{i}") for i, p in enumerate(parts)], of("合计", "now").alias("total"), of("合计", "before").alias("total_before"))
+    silent = texts.select("doc_id", (~F.col("text").rlike(change)).alias("silent"))
+    every = [F.col(f"p{i}") for i in range(len(parts))]
+    off = ~close(reduce(lambda a, b: a + b, every), F.col("total"))
+    problems = [F.when(c.isNull(), F.lit(f"缺少{p}")) for c, p in zip(every, parts, strict=True)]
+    problems += [F.when(off, F.lit("分项之和不等于合计")), F.when(~close(F.col("total"), F.col("total_before")) & F.col("silent"), F.lit("变动未说明"))]
+    found = wide.join(silent, "doc_id").select("doc_id", F.explode(F.array_compact(F.array(*problems))).alias("problem"))
+    return found
+
+
+def stated_figures(pages: DataFrame, figures: dict[str, str]) -> DataFrame:
+    """(doc_id, item, value): every amount that stands behind one of a figure's words."""
+    parts = [pages.select("doc_id", F.lit(name).alias("item"), F.explode(F.regexp_extract_all("text", F.lit(f"(?:{words})\\s*[：:]?\\s*(\\d[\\d,]*(?:[.]\\d+)?)"), F.lit(1))).alias("v")) for name, words in figures.items()]
+    return reduce(DataFrame.unionByName, parts).select("doc_id", "item", F.regexp_replace("v", ",", "").cast("double").alias("value"))
+
+
+def carried(values: DataFrame, texts: DataFrame, words: str) -> DataFrame:
+    """Documents whose expenditure exceeds the grant by what carry-overs fell, with a sentence that says so and
+    whether the prose has one already. values: doc_id, spent, grant, opening, closing."""
+    gap, moved = F.col("spent") - F.col("grant"), F.col("opening") - F.col("closing")
+    money = lambda c: c.cast("decimal(18,2)").cast("string")
+    said = F.concat(F.lit("支出决算合计与财政拨款支出合计相差"), money(gap), F.lit("万元，即年初结转"), money(F.col("opening")), F.lit("万元与年末结转"), money(F.col("closing")), F.lit("万元之差。"))
+    met = values.where(close(gap, moved)).join(texts.groupBy("doc_id").agg(F.bool_or(F.col("text").rlike(words)).alias("explained")), "doc_id")
+    return met.select("doc_id", said.alias("explanation"), "explained")
+
+
 def spread(values: DataFrame, points: float) -> DataFrame:
     """A figure given by several sources that differ."""
     g = values.groupBy("doc_id", "item").agg(F.max("value").alias("hi"), F.min("value").alias("lo"), F.count(F.lit(1)).alias("n"))

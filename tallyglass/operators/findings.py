@@ -24,6 +24,14 @@ def search(f: DataFrame, words: str, severity: str | None = None, source: str |
     return f.where(F.col("source") == source) if source else f
 
 
+def only_rule(payloads: DataFrame, rule: str) -> DataFrame:
+    """Payloads (doc_id, ai_findings, rule_findings) with one rule's findings left and no ai findings."""
+    return payloads.withColumns({
+        "rule_findings": F.filter("rule_findings", lambda x: x["rule_id"] == rule),
+        "ai_findings": F.filter("ai_findings", lambda x: F.lit(False)),
+    })
+
+
 def without_budget(f: DataFrame, columns: list[str]) -> DataFrame:
     """P5: findings that mention budgets in any of the columns or tags go."""
     hit = F.exists("tags", lambda t: t.contains("预算"))

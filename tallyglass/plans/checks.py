@@ -33,14 +33,16 @@ def t18(spark, sf):
     return K.identity(d, [("odd", 1), ("rest", 1)], "stated").select("doc_id", "severity")
 
 
-@query("t19_carry_over", ORD + "SELECT k AS doc_id FROM d WHERE k % 6 = 0")
+@query("t19_carry_over", ORD + """, g AS (SELECT k, s, odd, CAST(s - odd AS DECIMAL(18,2)) AS gap FROM o), h AS (SELECT *, CASE WHEN k % 6 = 0 THEN gap + 50 ELSE gap * 2 + 60 END AS opening FROM g)
+SELECT k AS doc_id, '支出决算合计与财政拨款支出合计相差' || CAST(gap AS VARCHAR) || '万元，即年初结转' || CAST(CAST(opening AS DECIMAL(18,2)) AS VARCHAR) || '万元与年末结转50.00万元之差。' AS explanation, k % 4 = 0 AS explained
+FROM h WHERE abs(CAST(gap AS DOUBLE) - CAST(opening - 50 AS DOUBLE)) <= greatest(1.0, CAST(gap AS DOUBLE) * 0.001, CAST(opening - 50 AS DOUBLE) * 0.001)""")
 def t19(spark, sf):
-    """Expenditure minus grant against opening minus closing: equal ones need an explanation text."""
-    opening = F.when(F.col("k") % 6 == 0, F.col("rest")).otherwise(F.col("rest") * 2 + 10)
-    x = C.disclosures(spark, sf).withColumns({"gap": F.col("s") - F.col("odd"), "moved": opening})
-    from ..functions.numbers import close
+    """Values from cells; where the differences agree, the sentence that explains them, and whether prose has one."""
+    from ..operators import tables as T
 
-    return x.where(close(F.col("gap"), F.col("moved"))).select(F.col("k").alias("doc_id"))
+    tables, prose = X.carry_books(spark, sf)
+    labels = {"spent": ["支出决算合计"], "grant": ["财政拨款支出合计"], "opening": ["年初结转"], "closing": ["年末结转"]}
+    return K.carried(T.row_values(C.cells(tables), labels), prose, "结转.*形成|结转差异")
 
 
 @query("t02_value_pairs", VALUES_SQL + f"""SELECT k AS doc_id, '总计' AS item FROM (SELECT *, CASE ix WHEN 0 THEN sheet ELSE s END AS t FROM fd WHERE table_name = '收入支出决算总表') WHERE abs({D('t')} - {D('n0')}) > greatest(1.0, {D('t')} * 0.001, {D('n0')} * 0.001)
@@ -115,16 +117,20 @@ def t07(spark, sf):
     return items.select("doc_id", "code", b.alias("planned"), stated.alias("stated"), computed.alias("computed"))
 
 
-@query("t08_explained_items", "SELECT o_orderkey AS doc_id, item FROM orders, (VALUES ('收入', 2), ('支出', 3)) t(item, m) WHERE o_orderkey % m = 0")
+ITEMS = ", ".join(f"({i}, '{x}')" for i, x in enumerate(X.BASIC_ITEMS))
+
+
+@query("t08_explained_items", ORD + f"SELECT k AS doc_id, item, CASE WHEN k % (i + 3) = 0 THEN 'table_only' ELSE 'text_only' END AS side FROM o, (VALUES {ITEMS}) t(i, item) WHERE (k // (2 ** i)::BIGINT % 2 = 0) = (k % (i + 3) = 0)")
 def t08(spark, sf):
-    items = F.array(F.struct(F.lit("收入").alias("item"), F.lit(2).alias("m")), F.struct(F.lit("支出").alias("item"), F.lit(3).alias("m")))
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.explode(items).alias("i")).select("doc_id", "i.item", "i.m")
-    return K.undescribed(o.select("doc_id", "item"), o.where("doc_id % m <> 0").select("doc_id", "item"), ["doc_id", "item"])
+    """Items read from the table's cells against items that the prose names."""
+    tables, prose = X.basic_books(spark, sf)
+    labels = C.cells(tables).where((F.col("col_ix") == 1) & F.col("text").isin(X.BASIC_ITEMS))
+    return K.one_to_one(labels.select("doc_id", F.col("text").alias("item")), K.mentioned(prose, X.BASIC_ITEMS))
 
 
 @query("t09_empty_statement", ORD + "SELECT k AS doc_id FROM o WHERE k % 4 <> 0")
 def t09(spark, sf):
-    return K.needs_reason(_pages(spark, sf).where("page_no = 2"), "总体情况", "空表|无相关收支|不存在|无此项|无数据").select("doc_id")
+    return K.needs_reason(_pages(spark, sf), "总体情况", "空表|无相关收支|不存在|无此项|无数据").select("doc_id")
 
 
 @query("t10_explanation_section", ANCHOR_SQL + "SELECT doc_id, table_name, page_no FROM a WHERE page_no > 5 AND ord = 6")
@@ -237,16 +243,27 @@ def t23(spark, sf):
     return K.repeated_titles(t).select("doc_id", "title", "page_no")
 
 
-@query("t24_three_public_parts", ORD + f"SELECT k AS doc_id FROM d WHERE k % 7 = 0 AND abs({D('s + alloc + carry')} - {D('sheet')}) > greatest(1.0, {D('s + alloc + carry')} * 0.005, {D('sheet')} * 0.005)")
+_PARTS = ", ".join(f"({i}, '{x}')" for i, x in enumerate(X.PUBLIC_PARTS))
+PUBLIC_SQL = ORD + f""", a AS (SELECT k, CASE WHEN k % 5 = 0 THEN 0 ELSE budget END + CASE WHEN k % 5 = 1 THEN 0 ELSE s END + CASE WHEN k % 5 = 2 THEN 0 ELSE odd END AS parts FROM o),
+b AS (SELECT *, round(parts * CASE WHEN k % 7 = 0 THEN 1.05 ELSE 1.00 END, 2) AS total FROM a)
+SELECT k AS doc_id, '缺少' || item AS problem FROM o JOIN (VALUES {_PARTS}) t(i, item) ON k % 5 = i
+UNION ALL SELECT k, '分项之和不等于合计' FROM b WHERE k % 5 > 2 AND abs({D('parts')} - {D('total')}) > greatest(1.0, {D('parts')} * 0.001, {D('total')} * 0.001)
+UNION ALL SELECT k, '变动未说明' FROM b WHERE k % 3 <> 0 AND k % 4 = 0 AND 100.0 > greatest(1.0, {D('total')} * 0.001, {D('total + 100')} * 0.001)"""
+
+
+@query("t24_three_public_parts", PUBLIC_SQL)
 def t24(spark, sf):
-    d = C.disclosures(spark, sf).withColumnRenamed("k", "doc_id")
-    return K.identity(d, [("odd", 1), ("rest", 1), ("alloc", 1), ("carry", 1)], "sheet").where("severity = 'error'").select("doc_id")
+    """Parts and total read from cells by their labels, the change against last year looked for in the prose."""
+    tables, prose = X.public_books(spark, sf)
+    return K.part_sums(C.cells(tables), prose, X.PUBLIC_PARTS, "较上年|同比|增加|减少|变动")
 
 
-@query("t25_source_spread", "SELECT l_orderkey AS doc_id, CAST(max(l_quantity) - min(l_quantity) AS DOUBLE) AS spread FROM lineitem GROUP BY 1 HAVING count(*) >= 2 AND max(l_quantity) - min(l_quantity) > 20")
+@query("t25_source_spread", """WITH p AS (SELECT l_orderkey AS doc_id, ['三公经费', '机关运行经费', '政府采购'][CAST(l_linenumber % 6 // 2 AS INTEGER) + 1] AS item, CAST(l_orderkey % 1000 + 1000 + CASE WHEN l_partkey % 5 = 0 THEN 7 ELSE 0 END AS DOUBLE) + 0.5 AS value FROM lineitem)
+SELECT doc_id, item, max(value) - min(value) AS spread FROM p GROUP BY 1, 2 HAVING count(*) >= 2 AND max(value) - min(value) > 1""")
 def t25(spark, sf):
-    v = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit("三公").alias("item"), F.col("l_quantity").cast("double").alias("value"))
-    return K.spread(v, 20).select("doc_id", (F.col("hi") - F.col("lo")).alias("spread"))
+    """Figures that several pages give, each found by its own words, where they differ."""
+    v = K.stated_figures(X.figure_pages(spark, sf), X.FIGURES)
+    return K.spread(v, 1).select("doc_id", "item", (F.col("hi") - F.col("lo")).alias("spread"))
 
 
 @query("t26_numbering_style", "SELECT l_orderkey AS doc_id, max(n) / sum(n) AS share FROM (SELECT l_orderkey, l_returnflag, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY ALL) GROUP BY 1 HAVING sum(n) >= 3")
@@ -263,12 +280,16 @@ def t28(spark, sf):
     return K.late(li.join(o, "doc_id")).select("doc_id", "line", "part", "days")
 
 
-@query("t29_affiliated_units", "SELECT c_custkey AS unit FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND c_custkey % 10 <> 0")
+@query("t29_affiliated_units", """WITH c AS (SELECT DISTINCT o_custkey AS unit FROM orders WHERE o_orderstatus = 'P')
+SELECT c_custkey AS unit, CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.unit = c_custkey) THEN 'covered' WHEN c_custkey % 10 = 0 THEN 'exempt' ELSE 'uncovered' END AS status FROM customer""")
 def t29(spark, sf):
+    """The map of units against the units that prose names as disclosed and as exempt."""
     units = table(spark, sf, "customer").select(F.col("c_custkey").alias("unit"))
-    covered = table(spark, sf, "orders").select(F.col("o_custkey").alias("unit"))
-    exempt = units.where("unit % 10 = 0")
-    return K.undescribed(K.undescribed(units, covered, ["unit"]), exempt, ["unit"])
+    text = F.concat(F.lit("公开单位：单位"), F.col("o_custkey").cast("string"), F.lit("；"))
+    disclosed = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(text.alias("text"))
+    exempt = units.where("unit % 10 = 0").select(F.concat(F.lit("不予公开单位：单位"), F.col("unit").cast("string"), F.lit("；")).alias("text"))
+    named = lambda t, mark: t.select(F.explode(F.regexp_extract_all("text", F.lit(f"(?m)^{mark}：单位(\\d+)；"), F.lit(1))).alias("unit")).select(F.col("unit").cast("long").alias("unit")).distinct()
+    return K.unit_coverage(units, named(disclosed, "公开单位"), named(exempt, "不予公开单位"))
 
 
 @query("t30_grades", f"WITH {C.FINDINGS_SQL}, g AS (SELECT doc_id, CAST(greatest(100 - sum(CASE severity WHEN 'error' THEN 10 WHEN 'warn' THEN 4 ELSE 1 END), 0) AS BIGINT) AS score FROM f GROUP BY 1) SELECT doc_id, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' ELSE 'D' END AS grade FROM g")

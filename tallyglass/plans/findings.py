@@ -54,6 +54,15 @@ def p6(spark, sf):
     return findings(spark, sf).where("rule_id = 'V33-110' and source = 'rule'").select("doc_id", "idx")
 
 
+@query("p6b_compare_payload", W + "SELECT doc_id, CAST(0 AS BIGINT) AS n_ai, count(*) FILTER (rule_id = 'V33-110' AND source = 'rule') AS n_rule, count(*) FILTER (source = 'ai') AS n_ai_before FROM f GROUP BY 1")
+def p6b(spark, sf):
+    """Payloads reduced to one rule: its findings stay, the ai list is emptied, documents stay."""
+    lists = findings(spark, sf).groupBy("doc_id").agg(*[F.collect_list(F.when(F.col("source") == s, F.struct("idx", "rule_id"))).alias(f"{s}_findings") for s in ("ai", "rule")])
+    kept = O.only_rule(lists, "V33-110")
+    before = lists.select("doc_id", F.size("ai_findings").cast("long").alias("n_ai_before"))
+    return kept.select("doc_id", F.size("ai_findings").cast("long").alias("n_ai"), F.size("rule_findings").cast("long").alias("n_rule")).join(before, "doc_id")
+
+
 @query("p7_active_rules", W + "SELECT doc_id, idx, rule_id FROM f WHERE rule_id IN ('V33-101', 'V33-105')")
 def p7(spark, sf):
     chosen = spark.createDataFrame([("V33-101",), ("V33-105",)], "rule_id string")
@@ -167,16 +176,20 @@ def k1(spark, sf):
     return f.groupBy("doc_id", "rank").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("rank"), "doc_id")
 
 
-@query("k2_capped", W + f"SELECT doc_id, rank, confidence, count(*) AS n FROM (SELECT *, {RANK} AS rank, row_number() OVER (PARTITION BY doc_id ORDER BY {RANK} DESC, confidence DESC, idx) AS r FROM f) WHERE r <= 3 GROUP BY ALL")
+#: Documents with hundreds of findings each.
+BY_SUPPLIER = W.replace("l_orderkey AS doc_id", "l_suppkey AS doc_id")
+
+
+@query("k2_capped", BY_SUPPLIER + f"SELECT doc_id, rank, confidence, count(*) AS n FROM (SELECT *, {RANK} AS rank, row_number() OVER (PARTITION BY doc_id ORDER BY {RANK} DESC, confidence DESC, idx) AS r FROM f) WHERE r <= 50 GROUP BY ALL")
 def k2(spark, sf):
-    f = O.capped(O.with_severity(findings(spark, sf), "engine"), 3)
+    f = O.capped(O.with_severity(findings(spark, sf, "l_suppkey"), "engine"), 50)
     return f.groupBy("doc_id", "rank", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("k3_evidence_texts", W + "SELECT doc_id, message FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY message) AS r FROM (SELECT DISTINCT doc_id, left(message, 100) AS message FROM f WHERE length(message) > 10)) WHERE r <= 4")
+@query("k3_evidence_texts", BY_SUPPLIER + "SELECT doc_id, message FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY message) AS r FROM (SELECT DISTINCT doc_id, left(message, 100) AS message FROM f WHERE length(message) > 10)) WHERE r <= 20")
 def k3(spark, sf):
-    m = findings(spark, sf).where(F.length("message") > 10).select("doc_id", F.substring("message", 1, 100).alias("message")).distinct()
-    return m.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("message"))).where("r <= 4").drop("r")
+    m = findings(spark, sf, "l_suppkey").where(F.length("message") > 10).select("doc_id", F.substring("message", 1, 100).alias("message")).distinct()
+    return m.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("message"))).where("r <= 20").drop("r")
 
 
 @query("k5_priority", W + f"SELECT doc_id, idx, CAST({RANK} AS DOUBLE) * confidence * (1 + 0.1 * coalesce(page, 0)) AS score FROM f")

@@ -77,6 +77,30 @@ def f6(spark, sf):
     return d.select("doc_id", F.round(jaccard(words(F.col("text")), words(other)), 6).alias("sim"))
 
 
+#: A name of two words against one of three written forms of it, and the four ratios worked out by hand.
+RATIO_SQL = W + """, v(form, same, ratio, partial, token_sort, token_set) AS (VALUES
+  (0, true, 100.0::DOUBLE, 100.0::DOUBLE, 100.0::DOUBLE, 100.0::DOUBLE), (0, false, 1400.0::DOUBLE / 16, 1400.0::DOUBLE / 16, 1400.0::DOUBLE / 16, 1400.0::DOUBLE / 16),
+  (1, true, 50.0::DOUBLE, 800.0::DOUBLE / 12, 100.0::DOUBLE, 100.0::DOUBLE), (1, false, 50.0::DOUBLE, 800.0::DOUBLE / 12, 1400.0::DOUBLE / 16, 1400.0::DOUBLE / 16),
+  (2, true, 1600.0::DOUBLE / 24, 100.0::DOUBLE, 1600.0::DOUBLE / 24, 100.0::DOUBLE), (2, false, 1400.0::DOUBLE / 24, 1400.0::DOUBLE / 16, 1400.0::DOUBLE / 24, 1400.0::DOUBLE / 19))
+SELECT doc_id, idx, ratio, partial, token_sort, token_set FROM f JOIN v ON v.form = idx % 3 AND v.same = (u % 7 = 3)"""
+
+
+@query("f3b_four_ratios", RATIO_SQL)
+def f3b(spark, sf):
+    """All four ratios of names with words in order, turned round, and among others."""
+    n = F.regexp_extract("title", "第(\\d)项", 1)
+    name = F.concat(F.lit("第"), n, F.lit("项"))
+    form = F.when(F.col("idx") % 3 == 0, F.concat(name, F.lit(" 预算差异"))).when(F.col("idx") % 3 == 1, F.concat(F.lit("预算差异 "), name)).otherwise(F.concat(F.lit("附注 "), name, F.lit(" 预算差异 预算差异")))
+    return findings(spark, sf).withColumn("z", fuzzy(form, F.lit("第3项 预算差异"))).select("doc_id", "idx", "z.*")
+
+
+@query("f6b_similar_findings", W + """, p AS (SELECT a.doc_id, a.idx AS a_idx, b.idx AS b_idx, round(CASE WHEN a.rule_id = b.rule_id THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN a.title = b.title THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END
+  + CASE WHEN a.section = b.section THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END, 6) AS sim FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.source = 'ai' AND b.source = 'rule') SELECT * FROM p WHERE sim >= 0.4""")
+def f6b(spark, sf):
+    """Pairs of findings by all three terms: rule, shared words, one section in the other."""
+    return M.similar_findings(findings(spark, sf), 0.4).select("doc_id", "a_idx", "b_idx", "sim")
+
+
 @query("j9_greedy_matching", MATCH_SQL + "SELECT doc_id, a_fid AS a_finding_id, b_fid AS b_finding_id, score FROM m")
 def j9(spark, sf):
     return M.greedy_matches(M.edges(with_ids(spark, sf))).select("doc_id", "a_finding_id", "b_finding_id", "score")

@@ -68,9 +68,17 @@ def j18(spark, sf):
     return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("reason") != "").alias("n_reasons"))
 
 
-@query("j17_near_starts", f"WITH {C.ORDERS_SQL} SELECT k AS doc_id, CAST(0 AS BIGINT) AS later_rounds FROM o")
+@query("j17_near_starts", f"WITH {C.ORDERS_SQL} SELECT k AS doc_id, CAST(CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS later_rounds FROM o")
 def j17(spark, sf):
-    kept = P.accepted(P.candidates(P.sections(_twice(spark, sf))).where("round < 2"))
+    """A pair in the usual order, then one the other way round: right behind it (dropped, as it starts too near), for
+    every third after more text (kept), or none."""
+    s = lambda c: F.col(c).cast("string")
+    usual = F.concat(F.lit("年初预算"), s("n"), F.lit("，决算"), s("line"), F.lit("，决算大于预算。"))
+    turned = F.concat(F.lit("决算"), s("k9"), F.lit("，年初预算"), s("n"), F.lit("，决算大于预算。"))
+    filler = F.when(F.col("k") % 3 == 0, F.repeat(F.lit("各项工作按计划开展。"), 8)).otherwise("")
+    d = C.order_sums(spark, sf).withColumns({"line": F.size("items"), "k9": F.col("k") % 9 + 2})
+    text = F.concat(F.lit("三、一般公共预算财政拨款支出决算情况\n其中："), usual, filler, F.when(F.col("k") % 3 != 2, turned).otherwise(""))
+    kept = P.accepted(P.candidates(P.sections(d.select(F.col("k").alias("doc_id"), F.lit(1).alias("page_no"), text.alias("text")))))
     return kept.groupBy("doc_id").agg(F.count_if(F.col("round") > 0).alias("later_rounds"))
 
 
@@ -82,7 +90,7 @@ def w8(spark, sf):
 
 @query("f15_near_values", f"WITH {C.ORDERS_SQL} SELECT k AS doc_id, {D('n1')} AS income, {D('n2')} AS fiscal_grant, CAST(CAST(pct AS DECIMAL(8,2)) AS DOUBLE) AS share FROM d")
 def f15(spark, sf):
-    p = C.disclosure_pages(C.disclosures(spark, sf)).where("page_no = 2")
+    p = C.disclosure_pages(C.disclosures(spark, sf)).where(F.col("text").contains("本年收入合计"))
     return p.select("doc_id", near_number("text", ["本年收入合计"]).alias("income"), near_number("text", ["财政拨款收入"]).alias("fiscal_grant"), near_percent("text", ["占比"]).alias("share"))
 
 
@@ -98,10 +106,19 @@ def f20(spark, sf):
     return d.select("doc_id", snippet("text", F.lit(30), F.lit(40)).alias("snippet"))
 
 
-@query("f23_sections", PAIR_SQL + "SELECT doc_id, true AS found FROM w")
+SECTION_SQL = f"""WITH {C.ORDERS_SQL} SELECT k AS doc_id, CAST(length('三、一般公共预算财政拨款支出决算情况') + 1 + length(CAST(s AS VARCHAR))
+  + CASE k % 3 WHEN 0 THEN 1 WHEN 1 THEN 10 + length(CAST(budget AS VARCHAR)) ELSE 8 + length(CAST(budget AS VARCHAR)) END AS INTEGER) AS n_chars FROM o WHERE k % 5 <> 0"""
+
+
+@query("f23_sections", SECTION_SQL)
 def f23(spark, sf):
-    pages = C.comparisons(spark, sf).withColumn("text", F.concat(F.lit("目录\n"), "text", F.lit("\n（四）其他\n尾")))
-    return P.sections(pages).select("doc_id", (F.col("sec").startswith("（三）") & ~F.col("sec").contains("（四）")).alias("found"))
+    """Sections between their heading and the next one, or the end where none follows; no section without a heading."""
+    k = F.col("k")
+    s = lambda c: F.col(c).cast("string")
+    body = F.concat(F.lit("\n"), s("s"), F.when(k % 3 == 0, F.lit("\n四、其他\n")).when(k % 3 == 1, F.concat(F.lit("\n“（四）其他”\n"), s("budget"), F.lit("\n（六）尾"))).otherwise(F.concat(F.lit("\n在（四）其他\n"), s("budget"))))
+    head = F.when(k % 5 == 0, F.lit("目录")).otherwise(F.lit("三、一般公共预算财政拨款支出决算情况"))
+    pages = C.order_sums(spark, sf).select(k.alias("doc_id"), F.lit(1).alias("page_no"), F.concat(head, body).alias("text"))
+    return P.sections(pages).select("doc_id", F.length("sec").alias("n_chars"))
 
 
 @query("w14_page_positions", f"""WITH {C.ORDERS_SQL}, t AS (SELECT k AS doc_id, length(CAST(year AS VARCHAR)) + length('年度部门决算') + 1 AS p2 FROM o)

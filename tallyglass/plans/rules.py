@@ -142,8 +142,7 @@ SELECT k AS doc_id, t AS table_name FROM o, w WHERE NOT EXISTS (SELECT 1 FROM pa
 def c005(spark, sf):
     """A table is found where its name is contained in a page; the rest is missing."""
     wanted = ["收入决算表", "支出决算表", "财政拨款收入支出决算总表"]
-    p = _pages(spark, sf).where("page_no > 2")
-    g = p.groupBy("doc_id").agg(*[F.bool_or(normalize("text").contains(w)).alias(f"h{i}") for i, w in enumerate(wanted)])
+    g = _pages(spark, sf).groupBy("doc_id").agg(*[F.bool_or(normalize("text").contains(w)).alias(f"h{i}") for i, w in enumerate(wanted)])
     missing = F.array(*[F.when(~F.col(f"h{i}"), F.lit(w)) for i, w in enumerate(wanted)])
     return g.select("doc_id", F.explode(F.filter(missing, lambda x: x.isNotNull())).alias("table_name"))
 

@@ -138,9 +138,10 @@ def comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("k").alias("doc_id"), F.lit(1).alias("page_no"), text.alias("text"))
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of two sources, one for each lineitem: document = order, even lines from ai, odd from rule."""
-    k, n, p, u = (F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+def findings(spark: SparkSession, sf_dir: str, by: str = "l_orderkey") -> DataFrame:
+    """Findings of two sources, one for each lineitem: document = order (or what `by` names), even lines from ai,
+    odd from rule."""
+    k, n, p, u = (F.col(c) for c in (by, "l_linenumber", "l_partkey", "l_suppkey"))
     noise = F.when(p % 23 == 0, F.lit("表出现多次：")).when(p % 29 == 0, F.lit("页码异常 ")).otherwise(F.lit(""))
     return table(spark, sf_dir, "lineitem").select(
         k.alias("doc_id"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..dims import NINE_TABLES
+from ..dims import NINE_TABLES, SECTION_TITLES
 from ..registry import table
 from .corpus import MONEY, order_sums, table_page
 
@@ -111,3 +111,84 @@ def model_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     free_hit = F.when(F.col("doc_id") % 4 != 1, hit("odd", "rest", free))
     answer = F.concat(F.lit("found: "), F.to_json(F.struct(F.array_compact(F.array(usual_hit, free_hit)).alias("pairs"))))
     return d.select("doc_id", "page_no", "text"), w.select("doc_id", "window_start", answer.alias("response"))
+
+
+# Covers by kind of book.
+COVERS = ["附件2：某某部门 决算公开", "附件2-2：某某单位决算公开", "某某部门及下属单位决算公开", "2024年度决算公开", "年度报告"]
+
+
+def books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole books (doc_id, file_name, text) of orders: a cover of five kinds, some of the tables' titles (of every
+    seventh at most one), some of the sections' titles."""
+    k = F.col("o_orderkey")
+    cover = F.element_at(F.array(*map(F.lit, COVERS)), (k % 5 + 1).cast("int"))
+    there = lambda i: ((F.floor(k / 5) + i) % 3 == 0) & ((k % 7 != 0) | F.lit(i == 7))
+    tables = [F.when(there(i), F.lit(name)) for i, (name, _) in enumerate(NINE_TABLES)]
+    titles = [F.when((k + i) % 4 != 0, F.lit(t)) for i, t in enumerate(SECTION_TITLES)]
+    text = F.concat_ws("\n", cover, *tables, *titles)
+    name = F.concat(k.cast("string"), F.when(k % 2 == 0, F.lit("部门.pdf")).otherwise(F.lit("附件.pdf")))
+    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), name.alias("file_name"), text.alias("text"))
+
+
+_covers = "[" + ", ".join(f"'{c}'" for c in COVERS) + "]"
+_tables = ", ".join(f"CASE WHEN (k // 5 + {i}) % 3 = 0 AND (k % 7 <> 0 OR {str(i == 7).lower()}) THEN '{n}' END" for i, (n, _) in enumerate(NINE_TABLES))
+_titles = ", ".join(f"CASE WHEN (k + {i}) % 4 <> 0 THEN '{t}' END" for i, t in enumerate(SECTION_TITLES))
+BOOKS_SQL = f"""books AS (SELECT k AS doc_id, k || CASE WHEN k % 2 = 0 THEN '部门.pdf' ELSE '附件.pdf' END AS file_name, concat_ws(chr(10), {_covers}[CAST(k % 5 AS INTEGER) + 1], {_tables}, {_titles}) AS text FROM (SELECT o_orderkey AS k FROM orders))"""
+
+# Items of basic expenditure that prose and table must both have, and the parts of the three public expenses.
+BASIC_ITEMS = ["工资福利支出", "公用经费", "对个人和家庭的补助", "资本性支出"]
+PUBLIC_PARTS = ["因公出国（境）费", "公务用车购置及运行费", "公务接待费"]
+
+
+def basic_books(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Tables and prose on items of basic expenditure; either side leaves some out by key."""
+    d = order_sums(spark, sf_dir)
+    k = F.col("k")
+    rows = [F.when(F.floor(k / 2**i) % 2 == 0, F.array(F.lit(x), F.col("s").cast("string"))) for i, x in enumerate(BASIC_ITEMS)]
+    body = F.concat(F.array(F.array(F.lit("项目"), F.lit("金额"))), F.array_compact(F.array(*rows)))
+    said = F.array_join(F.array_compact(F.array(*[F.when(k % (i + 3) != 0, F.concat(F.lit(x), F.lit("主要用于日常工作"))) for i, x in enumerate(BASIC_ITEMS)])), "；")
+    return d.select(k.alias("doc_id"), F.lit(8).alias("page_no"), F.array(body).alias("tables")), d.select(k.alias("doc_id"), F.concat(F.lit("其中："), said, F.lit("。")).alias("text"))
+
+
+def public_books(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Tables of the three public expenses (last year, this year) with a part missing or a total that is off, and
+    prose that mostly says how they changed."""
+    d = order_sums(spark, sf_dir)
+    k = F.col("k")
+    money = lambda c: c.cast(MONEY).cast("string")
+    part = [F.col("budget"), F.col("s"), F.col("odd")]
+    missing = [k % 5 == i for i in range(3)]
+    now = [F.when(m, F.lit(0).cast(MONEY)).otherwise(p) for p, m in zip(part, missing, strict=True)]
+    total = (now[0] + now[1] + now[2]) * F.when(k % 7 == 0, F.lit("1.05").cast("decimal(3,2)")).otherwise(F.lit("1.00").cast("decimal(3,2)"))
+    before = F.when(k % 3 == 0, F.round(total, 2)).otherwise(F.round(total, 2) + 100)
+    rows = [F.when(~m, F.array(F.lit(x), F.lit("1.00"), money(p))) for x, m, p in zip(PUBLIC_PARTS, missing, part, strict=True)]
+    head, last = F.array(F.lit("项目"), F.lit("上年数"), F.lit("本年数")), F.array(F.lit("合计"), money(before), money(F.round(total, 2)))
+    body = F.concat(F.array(head), F.array_compact(F.array(*rows)), F.array(last))
+    prose = F.when(k % 4 != 0, F.lit("三公经费较上年有所变动。")).otherwise(F.lit("三公经费按标准执行。"))
+    return d.select(k.alias("doc_id"), F.lit(9).alias("page_no"), F.array(body).alias("tables")), d.select(k.alias("doc_id"), prose.alias("text"))
+
+
+def carry_books(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Tables with expenditure, grant and both carry-overs, which agree for every sixth key; prose that explains the
+    difference for every fourth."""
+    d = order_sums(spark, sf_dir)
+    k = F.col("k")
+    gap = F.col("s") - F.col("odd")
+    opening = F.when(k % 6 == 0, gap + 50).otherwise(gap * 2 + 60)
+    row = lambda name, v: F.array(F.lit(name), v.cast(MONEY).cast("string"))
+    body = F.array(F.array(F.lit("项目"), F.lit("决算数")), row("支出决算合计", F.col("s")), row("财政拨款支出合计", F.col("odd")), row("年初结转和结余", opening), row("年末结转和结余", F.lit(50)))
+    prose = F.when(k % 4 == 0, F.lit("两表金额之差由年初结转与年末结转形成。")).otherwise(F.lit("其他情况。"))
+    return d.select(k.alias("doc_id"), F.lit(6).alias("page_no"), F.array(body).alias("tables")), d.select(k.alias("doc_id"), prose.alias("text"))
+
+
+# Figures that several places of a book give, and the words that name each.
+FIGURES = {"三公经费": "三公经费|三公", "机关运行经费": "机关运行经费|日常公用经费", "政府采购": "政府采购金额|采购预算|采购支出"}
+
+
+def figure_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that each name one figure in one of its words, with an amount that some pages give otherwise."""
+    words = [w for v in FIGURES.values() for w in (v.split("|")[0], v.split("|")[-1])]
+    word = F.element_at(F.array(*map(F.lit, words)), (F.col("l_linenumber") % 6 + 1).cast("int"))
+    amount = (F.col("l_orderkey") % 1000 + 1000 + F.when(F.col("l_partkey") % 5 == 0, 7).otherwise(0)).cast("string")
+    text = F.concat(F.lit("说明："), word, F.when(F.col("l_partkey") % 2 == 0, F.lit("：")).otherwise(F.lit("")), F.concat(F.left(amount, F.lit(1)), F.lit(","), F.substring(amount, 2, 3)), F.lit(".50万元。"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_no"), text.alias("text"))
