@@ -48,7 +48,9 @@ FEW_ROWS = 400_000
 FINGERPRINT_BITS = 44
 #: A posting of more documents is met in tiles of this many by this many.
 POSTING_BLOCK = 1 << 14
-PAIRS_TOGETHER = 2_000_000
+PAIRS_TOGETHER = 500_000
+#: Hashes and index entries that a task holds before it packs them by bucket.
+HASH_LOT, ENTRY_LOT = 1_000_000, 500_000
 
 
 def shingle_sets(block: Block, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +130,7 @@ def _frequencies(texts: DataFrame, buckets: int) -> DataFrame:
                 grams, _ = shingle_sets(block)
                 if len(grams):
                     held.append(grams >> np.uint64(64 - FINGERPRINT_BITS))
-                if sum(map(len, held)) > 4_000_000:
+                if sum(map(len, held)) > HASH_LOT:
                     yield flush()
         if held:
             yield flush()
@@ -200,7 +202,7 @@ def _index(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: i
                     m = len(chosen)
                     need = max(1, need - (length - m))
                     held.append((chosen, np.full(m, all_ids[block.first + i], np.int64), np.full(m, size, np.int32), np.full(m, need, np.uint8)))
-                if sum(len(h[0]) for h in held) > 1_000_000:
+                if sum(len(h[0]) for h in held) > ENTRY_LOT:
                     yield flush()
         if held:
             yield flush()
