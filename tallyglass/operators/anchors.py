@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..dims import NINE_TABLES
 from ..functions.similarity import mention
 from ..functions.text import PUNCTUATION, normalize, page_is_front, page_is_table
+from ..registry import written
 
 # Least partial ratio of a page with a table's name and with an alias.
 NAME_RATIO, ALIAS_RATIO = 92.0, 95.0
@@ -54,6 +55,27 @@ def anchors(pages: DataFrame) -> DataFrame:
     return named(page_tables(pages.where(~page_is_front("text") & page_is_table("text")))).distinct()
 
 
+#: Rows of a range in which texts follow one another.
+RANGE_ROWS = 50_000
+
+
+def with_next_head(texts: DataFrame, group: str, order: str, lines: int = 3) -> DataFrame:
+    """Texts with `searched`, the text and the first lines of the next one of its group. Only heads are ordered:
+    ranges of rows, a window inside each, and the first head of a group's next range for its last row, so that no
+    group is one task. `order` tells the texts of the table apart."""
+    head = F.array_join(F.slice(F.split("text", "\n"), 1, lines), "\n")
+    slim = texts.select(group, order, head.alias("head"))
+    parts = max(1, -(-slim.count() // RANGE_ROWS))
+    placed = written(slim.repartitionByRange(parts, group, order).withColumn("part", F.spark_partition_id()))
+    near = F.lead("head").over(Window.partitionBy("part", group).orderBy(order))
+    first = placed.groupBy(group, "part").agg(F.min_by("head", order).alias("first"))
+    later = first.select(F.col(group).alias("g"), F.col("part").alias("p"), F.lead("first").over(Window.partitionBy(group).orderBy("part")).alias("follows"))
+    met = placed.withColumn("near", near).join(later, F.col(group).eqNullSafe(F.col("g")) & (F.col("part") == F.col("p")))
+    heads = met.select(F.col(order).alias("o"), F.coalesce("near", "follows").alias("next_head"))
+    joined = texts.join(heads, F.col(order) == F.col("o")).drop("o")
+    return joined.withColumn("searched", F.concat(F.col("text"), F.coalesce(F.concat(F.lit("\n"), F.col("next_head")), F.lit("")))).drop("next_head")
+
+
 def first_pages(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "table_name", "ord").agg(F.min("page_no").alias("page_no"), F.count(F.lit(1)).alias("n_pages"))
 

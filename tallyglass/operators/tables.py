@@ -26,9 +26,10 @@ def with_head(cells: DataFrame) -> DataFrame:
 
 
 def totals(cells: DataFrame) -> DataFrame:
-    """V005: total cells that differ from the sum of their leaf rows beyond the dynamic tolerance."""
+    """V005: total cells that differ from the sum of their leaf rows beyond the dynamic tolerance. Cells are dealt by
+    table once; the windows by row, column and table and the sums all find them there."""
     whole = Window.partitionBy(*TABLE)
-    c = with_head(parsed(cells)).withColumn("head", F.coalesce("head", F.lit("")))
+    c = with_head(parsed(cells.repartition(*TABLE))).withColumn("head", F.coalesce("head", F.lit("")))
     is_total = F.trim("head").isin("合计", "总计")
     c = c.withColumns({
         "total_row": F.min(F.when((F.col("col_ix") == 1) & is_total, F.col("row_ix"))).over(whole),
@@ -92,7 +93,7 @@ def row_value(cells: DataFrame, keys: list[str], prefer: list[str] | None = None
 
 def row_values(cells: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
     """W4 for several labels at once: one pass over the cells, a column for each name."""
-    c = parsed(cells).withColumn("head", F.first(F.when(F.col("col_ix") == 1, F.col("text")), ignorenulls=True).over(Window.partitionBy(*TABLE, "row_ix").orderBy("col_ix")))
+    c = parsed(cells.repartition(*TABLE)).withColumn("head", F.first(F.when(F.col("col_ix") == 1, F.col("text")), ignorenulls=True).over(Window.partitionBy(*TABLE, "row_ix").orderBy("col_ix")))
     whole = Window.partitionBy(*TABLE)
     rows = {}
     for name, keys in wanted.items():

@@ -9,12 +9,13 @@ from ..dims import NINE_TABLES
 from ..functions.numbers import dynamic_tolerance
 from ..functions.text import near_number, near_percent
 from ..operators import anchors as A
+from ..operators import audit as U
 from ..operators import checks as K
 from ..operators import prose as P
 from ..registry import query, table
 from ..sources import corpus as C
 from ..sources import detailed as X
-from .rules import ANCHOR_SQL, MISSING, VALUES_SQL, _both, _pages, _values, off_sql
+from .rules import ANCHOR_SQL, MISSING, VALUES_SQL, _book, _pages
 
 D = lambda c: f"CAST({c} AS DOUBLE)"
 ORD = f"WITH {C.ORDERS_SQL} "
@@ -49,7 +50,8 @@ def t19(spark, sf):
 UNION ALL SELECT k, '收入' FROM fd WHERE table_name = '收入决算表' AND ix = 1 AND abs({D('s')} - {D('n1')}) > greatest(1.0, {D('s')} * 0.001, {D('n1')} * 0.001)""")
 def t02(spark, sf):
     """Values read from the tables' cells against the numbers that the prose names beside the same words."""
-    met, prose = _values(spark, sf, ["收入支出决算总表", "收入决算表"])
+    pages, tables = _book(spark, sf)
+    met, prose = U.values(pages, tables, ["收入支出决算总表", "收入决算表"]), U.prose(pages, ["支出总计", "本年收入合计"])
     sheet = F.col("table_name") == "收入支出决算总表"
     x = met.join(prose, "doc_id").where(sheet | F.col("grant").isNotNull())
     x = x.withColumns({"n_total": near_number("prose", ["支出总计"]), "n_income": near_number("prose", ["本年收入合计"]), "t_total": F.when(sheet, F.col("total")), "t_income": F.when(~sheet, F.col("income"))})
@@ -59,7 +61,7 @@ def t02(spark, sf):
 @query("t03_percent_compare", VALUES_SQL + "SELECT k AS doc_id FROM fd WHERE table_name = '收入决算表' AND ix = 1 AND k % 10 = 9")
 def t03(spark, sf):
     """The share of two cells against the percentage in the prose."""
-    x = _both(spark, sf, "收入决算表").where("income is not null and grant is not null")
+    x = U.compared(*_book(spark, sf), "收入决算表", ["占比"]).where("income is not null and grant is not null")
     return K.shares(x.withColumn("stated", near_percent("prose", ["占比"])), "grant", "income", "stated").select("doc_id")
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..dims import NINE_TABLES, TABLE_KEYWORDS
 from ..functions.numbers import close
-from ..functions.text import near_number, near_percent, normalize
+from ..functions.text import near_number, normalize
 from ..operators import anchors as A
+from ..operators import audit as U
 from ..operators import tables as T
 from ..registry import query, written
 from ..sources import corpus as C
@@ -68,10 +69,7 @@ def v002(spark, sf):
 @query("v001_cover_year_unit", f"""WITH {C.ORDERS_SQL}, u AS (SELECT k, (SELECT count(*) FROM range(9) r(i) WHERE (k + i) % 17 <> 0) AS n, (k % 13 = 0 AND (k + 4) % 17 <> 0) AS mixed FROM o)
 SELECT k AS doc_id, '金额单位混用' AS message FROM u WHERE mixed AND n > 1""")
 def v001(spark, sf):
-    v = C.corpus_view(_pages(spark, sf))
-    d = v.groupBy("doc_id").agg(F.countDistinct("unit").alias("n_units"), F.max(F.when(F.col("page_no") <= 3, F.size("years"))).alias("n_years"))
-    rows = F.array(F.when(F.col("n_years") == 0, F.lit("未能识别年度")), F.when(F.col("n_units") == 0, F.lit("未识别到金额单位")), F.when(F.col("n_units") > 1, F.lit("金额单位混用")))
-    return d.select("doc_id", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("message"))
+    return U.cover_year_unit(_pages(spark, sf))
 
 
 @query("a1_majority", """SELECT l_orderkey AS doc_id, l_returnflag AS value FROM (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY count(*) DESC, min(l_linenumber), l_returnflag) AS r FROM lineitem GROUP BY 1, 2) WHERE r = 1""")
@@ -152,37 +150,10 @@ def c006(spark, sf):
     return _pages(spark, sf).where("page_no <= 3").where(F.col("text").rlike("预算|执行|决算")).select("doc_id", "page_no")
 
 
-def _values(spark, sf, names: list[str] | None = None):
-    """Per disclosure the labelled values of the nine tables, each from its table's first page; with
-    names only pages of those tables are taken apart into cells."""
+def _book(spark, sf):
+    """Pages and nested tables of the derived books."""
     d = C.disclosures(spark, sf)
-    pages = C.disclosure_pages(d)
-    first = A.first_pages(A.anchors(pages)).select("doc_id", "table_name", "page_no")
-    nested = C.disclosure_tables(d)
-    if names:
-        first = first.where(F.col("table_name").isin(names))
-        nested = nested.join(first.select("doc_id", "page_no").distinct(), ["doc_id", "page_no"], "left_semi")
-    cells = C.cells(nested)
-    on_first = cells.join(T.largest_table(cells).select(*T.TABLE), T.TABLE)
-    wanted = {
-        "total": ["支出合计", "支出总计", "合计"], "year_total": ["本年支出合计", "本年支出", "本年合计"], "alloc": ["结余分配"], "carry": ["年末结转"],
-        "income": ["本年收入合计", "本年合计", "合计"], "grant": ["财政拨款收入"], "basic": ["基本支出"], "project": ["项目支出"],
-        "staff": ["人员经费合计"], "public": ["公用经费合计"], "planned": ["合计预算数", "预算合计", "预算数"], "spent": ["合计决算数", "决算合计", "决算数"],
-    }
-    values = T.row_values(on_first, wanted)
-    met = first.join(values, ["doc_id", "page_no"])
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]), "\n")
-    prose = pages.groupBy("doc_id").agg(text.alias("prose"))
-    return met, prose
-
-
-def _both(spark, sf, name):
-    met, prose = _values(spark, sf, [name])
-    return met.join(prose, "doc_id")
-
-
-def _differs(a, b):
-    return (F.coalesce(b, F.lit(0.0)) != 0) & ~close(a, b)
+    return C.disclosure_pages(d), C.disclosure_tables(d)
 
 
 _OFF = "abs({a} - {b}) > greatest(1.0, abs({a}) * 0.001, abs({b}) * 0.001)"
@@ -197,30 +168,18 @@ def off_sql(a: str, b: str) -> str:
 
 @query("v101_sheet_identity", VALUES_SQL + f"SELECT k AS doc_id, {_D('sheet')} AS stated FROM fd WHERE table_name = '收入支出决算总表' AND ix = 0 AND " + _OFF.format(a=_D("sheet"), b=_D("s + alloc + carry")))
 def v101(spark, sf):
-    met, _ = _values(spark, sf, ["收入支出决算总表"])
-    x = met.where("total is not null and year_total is not null and alloc is not null and carry is not null")
-    parts = F.col("year_total") + F.col("alloc") + F.col("carry")
-    return x.where(~close(F.col("total"), parts)).select("doc_id", F.col("total").cast("double").alias("stated"))
+    return U.sheet_identity(*_book(spark, sf))
 
 
 @query("v102_sheet_vs_text", VALUES_SQL + f"SELECT k AS doc_id, {_D('t')} AS in_table, {_D('n0')} AS in_text FROM (SELECT *, CASE ix WHEN 0 THEN sheet ELSE s END AS t FROM fd WHERE table_name = '收入支出决算总表') WHERE " + _OFF.format(a=_D("t"), b=_D("n0")))
 def v102(spark, sf):
-    x = _both(spark, sf, "收入支出决算总表")
-    near = F.substring("prose", F.call_function("locate", F.lit("总体情况"), F.col("prose")), F.lit(100))
-    number = F.regexp_extract(near, "(\\d+(?:,\\d{3})*(?:\\.\\d+)?)", 1)
-    x = x.where(F.col("prose").contains("总体情况")).withColumn("n", F.when(number != "", number.cast("double")))
-    return x.where(F.col("total").isNotNull() & F.col("n").isNotNull()).where(~close(F.col("total"), F.col("n"))).select("doc_id", F.col("total").cast("double").alias("in_table"), F.col("n").alias("in_text"))
+    return U.sheet_vs_text(*_book(spark, sf))
 
 
 @query("v103_income_vs_text", VALUES_SQL + f"""SELECT k AS doc_id, item FROM (SELECT *, unnest([CASE WHEN {off_sql('s', 'n1')} THEN '收入合计' END, CASE WHEN {off_sql('odd', 'n2')} THEN '财政拨款收入' END,
 CASE WHEN abs(round({_D('odd')} / {_D('s')} * 100, 2) - CAST(CAST(pct AS DECIMAL(8,2)) AS DOUBLE)) > 1.0 THEN '占比' END]) AS item FROM fd WHERE table_name = '收入决算表' AND ix = 1) WHERE item IS NOT NULL""")
 def v103(spark, sf):
-    x = _both(spark, sf, "收入决算表").where("income is not null and grant is not null")
-    total, grant = near_number("prose", ["收入决算情况说明", "本年收入合计", "合计"]), near_number("prose", ["财政拨款收入"])
-    share = near_percent("prose", ["财政拨款收入", "占比", "比重"])
-    off = F.abs(F.round(F.col("grant") / F.col("income") * 100, 2).cast("double") - share) > 1.0
-    items = F.array(F.when(_differs(F.col("income"), total), F.lit("收入合计")), F.when(_differs(F.col("grant"), grant), F.lit("财政拨款收入")), F.when(off, F.lit("占比")))
-    return x.select("doc_id", F.explode(F.filter(items, lambda i: i.isNotNull())).alias("item"))
+    return U.income_vs_text(*_book(spark, sf))
 
 
 @query("v104_expense_vs_text", VALUES_SQL + f"""SELECT k AS doc_id, item FROM (SELECT *, unnest([CASE WHEN {off_sql('s', 'n1')} THEN '本年支出合计' END, CASE WHEN {off_sql('odd', 'n4')} THEN '基本支出' END, CASE WHEN {off_sql('rest', 'n5')} THEN '项目支出' END,
@@ -228,65 +187,43 @@ CASE WHEN abs(round({_D('odd')} / {_D('s')} * 100, 2) - CAST(CAST(pct AS DECIMAL
 CASE WHEN abs(round({_D('rest')} / {_D('s')} * 100, 2) - CAST(CAST(pct AS DECIMAL(8,2)) AS DOUBLE)) > 1.0 THEN '项目支出占比' END]) AS item
 FROM fd WHERE table_name = '支出决算表' AND ix = 2) WHERE item IS NOT NULL""")
 def v104(spark, sf):
-    x = _both(spark, sf, "支出决算表").where("year_total is not null and basic is not null and project is not null")
-    said = [("本年支出合计", "year_total", ["支出决算情况说明", "本年支出合计", "合计"]), ("基本支出", "basic", ["基本支出"]), ("项目支出", "project", ["项目支出"])]
-    sums = [F.when(_differs(F.col(c), near_number("prose", keys)), F.lit(name)) for name, c, keys in said]
-    share = lambda c: F.round(F.col(c) / F.col("year_total") * 100, 2).cast("double")
-    off = [F.when(F.abs(share(c) - near_percent("prose", [name, "占比", "比重"])) > 1.0, F.lit(name + "占比")) for name, c, _ in said[1:]]
-    items = F.array(*sums, *off)
-    return x.select("doc_id", F.explode(F.filter(items, lambda i: i.isNotNull())).alias("item"))
+    return U.expense_vs_text(*_book(spark, sf))
 
 
 @query("v105_grant_total_vs_text", VALUES_SQL + f"SELECT k AS doc_id, {_D('s')} AS in_table, {_D('n0')} AS in_text FROM fd WHERE table_name = '财政拨款收入支出决算总表' AND {off_sql('s', 'n0')}")
 def v105(spark, sf):
-    x = _both(spark, sf, "财政拨款收入支出决算总表").withColumn("n", near_number("prose", ["财政拨款收入支出决算总体情况说明", "总计", "合计"]))
-    return x.where(_differs(F.col("total"), F.col("n"))).select("doc_id", F.col("total").cast("double").alias("in_table"), F.col("n").alias("in_text"))
+    return U.grant_total_vs_text(*_book(spark, sf))
 
 
 @query("v106_general_budget", VALUES_SQL + f"SELECT k AS doc_id, '合计' AS item FROM fd WHERE table_name = '一般公共预算财政拨款支出决算表' AND ix = 4 AND " + _OFF.format(a=_D("s"), b=_D("n0")) + f"""
 UNION ALL SELECT k, '201' FROM fd WHERE table_name = '一般公共预算财政拨款支出决算表' AND ix = 4 AND abs({_D('odd')} / {_D('s')} * 100 - CAST(CAST(pct AS DECIMAL(8,2)) AS DOUBLE)) > 2.0 AND odd > 0""")
 def v106(spark, sf):
-    name = "一般公共预算财政拨款支出决算表"
-    x = _both(spark, sf, name)
-    n = near_number("prose", ["总体情况说明", "总体情况"])
-    a = x.where(n.isNotNull() & ~close(F.col("total"), n)).select("doc_id", F.lit("合计").alias("item"))
-    sums = T.class_sums(C.cells(C.disclosure_tables(C.disclosures(spark, sf)))).select("doc_id", "page_no", "code", F.col("value").alias("part"))
-    y = x.join(sums, ["doc_id", "page_no"]).where("part > 0")
-    pattern = F.concat(F.lit("(?s)(?:"), F.col("code"), F.lit("|结构情况)[^0-9]*?(-?\\d+(?:\\.\\d+)?)\\s*%"))
-    said = F.regexp_extract_all(F.col("prose"), pattern, F.lit(1))
-    said = F.when(F.size(said) > 0, said[0].cast("double"))
-    share = F.col("part").cast("double") / F.col("total").cast("double") * 100
-    b = y.where(said.isNotNull() & (F.abs(share - said) > 2.0)).select("doc_id", F.col("code").alias("item"))
-    return a.unionByName(b)
+    return U.general_budget(*_book(spark, sf))
 
 
 @query("v107_basic_expense", VALUES_SQL + f"SELECT k AS doc_id FROM fd WHERE table_name = '一般公共预算财政拨款基本支出决算表' AND ix = 5 AND {off_sql('s', 'n1')}")
 def v107(spark, sf):
-    x = _both(spark, sf, "一般公共预算财政拨款基本支出决算表").where("staff is not null and public is not null")
-    n = near_number("prose", ["一般公共预算财政拨款基本支出决算情况说明", "基本支出", "合计"])
-    return x.where(_differs(F.col("staff") + F.col("public"), n)).select("doc_id")
+    return U.basic_expense(*_book(spark, sf))
 
 
 @query("v108_three_public", VALUES_SQL + f"""SELECT k AS doc_id, item FROM (SELECT *, unnest([CASE WHEN {off_sql('budget', 'b')} THEN '预算' END, CASE WHEN {off_sql('s', 'n0')} THEN '决算' END]) AS item
 FROM fd WHERE table_name = '一般公共预算财政拨款“三公”经费支出决算表') WHERE item IS NOT NULL""")
 def v108(spark, sf):
-    x = _both(spark, sf, "一般公共预算财政拨款“三公”经费支出决算表")
-    planned, spent = near_number("prose", ["三公", "年初预算", "预算"]), near_number("prose", ["三公", "支出决算", "决算"])
-    items = F.array(F.when(_differs(F.col("planned"), planned), F.lit("预算")), F.when(_differs(F.col("spent"), spent), F.lit("决算")))
-    return x.select("doc_id", F.explode(F.filter(items, lambda i: i.isNotNull())).alias("item"))
+    return U.three_public(*_book(spark, sf))
 
 
 @query("v109_empty_tables", VALUES_SQL + """SELECT k AS doc_id, table_name FROM fd WHERE k % 4 <> 0 AND (table_name = '政府性基金预算财政拨款收入支出决算表' OR (table_name = '国有资本经营预算财政拨款收入支出决算表' AND k % 2 = 0))""")
 def v109(spark, sf):
-    names = ["政府性基金预算财政拨款收入支出决算表", "国有资本经营预算财政拨款收入支出决算表"]
-    d = C.disclosures(spark, sf)
-    pages = C.disclosure_pages(d)
-    first = A.first_pages(A.anchors(pages)).where(F.col("table_name").isin(names)).select("doc_id", "table_name", "page_no")
-    cells = T.parsed(C.cells(C.disclosure_tables(d))).where("col_ix > 1")
-    peak = cells.groupBy("doc_id", "page_no").agg(F.max(F.abs("value")).alias("peak"))
-    said = pages.groupBy("doc_id").agg(F.bool_or(F.col("text").rlike("空表|无相关收支|不存在|无此项|本表无数据|无数据")).alias("said"))
-    x = first.join(peak, ["doc_id", "page_no"]).join(said, "doc_id")
-    return x.where("coalesce(peak, 0) < 1e-9 and not said").select("doc_id", "table_name")
+    return U.empty_tables(*_book(spark, sf))
+
+
+@query("audit_findings", VALUES_SQL + f", {MISSING}, {BROKEN}, e AS (SELECT k, table_name, ix, s, sheet, alloc, carry FROM fd)"
+    + f"""SELECT k AS doc_id, 'V33-101' AS rule_id, 'error' AS severity FROM e WHERE table_name = '收入支出决算总表' AND ix = 0 AND """ + _OFF.format(a=_D("sheet"), b=_D("s + alloc + carry"))
+    + """ UNION ALL SELECT doc_id, 'V33-002', CASE WHEN count(*) OVER (PARTITION BY doc_id) <= 2 THEN 'warn' ELSE 'error' END FROM m
+UNION ALL SELECT doc_id, 'V33-002', 'warn' FROM br""")
+def audit_findings(spark, sf):
+    """The rule book over a whole corpus, here with two of its rules."""
+    return U.audit(*_book(spark, sf), only=["V33-002", "V33-101"]).select("doc_id", "rule_id", "severity")
 
 
 @query("j6_anchor_cells", VALUES_SQL + "SELECT k AS doc_id, table_name, page_no, CAST(2 * [5, 3, 4, 2, 4, 3, 3, 2, 2][CAST(ix AS INTEGER) + 1] AS BIGINT) AS n_cells FROM fd")
@@ -303,7 +240,7 @@ def j6(spark, sf):
 FROM fd WHERE table_name = '收入决算表' AND ix = 1) WHERE abs(in_table - in_text) > greatest(1.0, in_table * 0.001, in_text * 0.001)""")
 def j7(spark, sf):
     """Table values and prose values joined by document and item, outside the tolerance."""
-    x = _both(spark, sf, "收入决算表")
+    x = U.compared(*_book(spark, sf), "收入决算表", ["本年收入合计", "财政拨款收入"])
     item = lambda name, value: F.struct(F.lit(name).alias("item"), value.cast("double").alias("value"))
     in_table = x.select("doc_id", F.explode(F.array(item("收入", F.col("income")), item("拨款", F.col("grant")))).alias("t")).select("doc_id", "t.item", F.col("t.value").alias("in_table"))
     in_text = x.select("doc_id", F.explode(F.array(item("收入", near_number("prose", ["本年收入合计"])), item("拨款", near_number("prose", ["财政拨款收入"])))).alias("t")).select("doc_id", "t.item", F.col("t.value").alias("in_text"))

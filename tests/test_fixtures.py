@@ -283,3 +283,57 @@ def test_matching_takes_what_one_pass_takes(spark):
             used |= {(doc, x), (doc, y)}
             want.add((doc, a, b, score))
     assert {(r.doc_id, r.a_idx, r.b_idx, r.score) for r in M.greedy_matches(e).collect()} == want
+
+
+NINE = ["收入支出决算总表", "收入决算表", "支出决算表", "财政拨款收入支出决算总表", "一般公共预算财政拨款支出决算表", "一般公共预算财政拨款基本支出决算表", "一般公共预算财政拨款“三公”经费支出决算表", "政府性基金预算财政拨款收入支出决算表", "国有资本经营预算财政拨款收入支出决算表"]
+#: Figures of a book in order; every sample changes some.
+FIGURES = {"total": 110, "year": 100, "alloc": 4, "carry": 6, "grant": 80, "basic": 70, "project": 30, "said_total": 110, "fund": "0", "said_fund": "本表无数据。"}
+
+
+def sample_book(doc, absent=(), **changed):
+    f = FIGURES | changed
+    rows = [
+        [["支出合计", f["total"]], ["本年支出合计", f["year"]], ["结余分配", f["alloc"]], ["年末结转和结余", f["carry"]]], [["本年收入合计", f["year"]], ["财政拨款收入", f["grant"]]],
+        [["本年支出合计", f["year"]], ["基本支出", f["basic"]], ["项目支出", f["project"]]], [["支出合计", f["said_total"]]], [["2010101", f["basic"]], ["2080501", f["project"]], ["合计", f["year"]]],
+        [["人员经费合计", 50], ["公用经费合计", 20]], [["合计预算数", 9], ["合计决算数", 8]], [["合计", f["fund"]]], [["合计", "0"]],
+    ]
+    text = f"总体情况说明：支出总计{f['said_total']}万元。\n收入决算情况说明：本年收入合计{f['year']}万元，财政拨款收入{f['grant']}万元。{f['said_fund']}"
+    pages = [(doc, 1, "2024年度部门决算"), (doc, 2, text)] + [(doc, 3 + i, f"{n}\n单位：万元") for i, n in enumerate(NINE) if n not in absent] + [(doc, 20 + i, "附件") for i in range(3)]
+    tables = [(doc, 3 + i, [[["项目", "决算数"]] + [[a, str(b)] for a, b in r]]) for i, (n, r) in enumerate(zip(NINE, rows)) if n not in absent]
+    return pages, tables
+
+
+def test_manifest_of_samples(spark):
+    """Good samples stay silent, each bad one triggers its rule as often as the manifest asks."""
+    from tallyglass.operators.audit import audit
+
+    manifest = [  # sample, rules that must be silent, least hits of rules that must speak
+        (1, sample_book(1), ["V33-001", "V33-002", "V33-101", "V33-102", "V33-103", "V33-109"], {}),
+        (2, sample_book(2, year=90, basic=60, total=100, said_total=100), ["V33-002", "V33-101", "V33-102"], {}),
+        (3, sample_book(3, total=150, said_total=150), ["V33-002", "V33-102"], {"V33-101": 1}),
+        (4, sample_book(4, said_total=130), ["V33-002", "V33-101"], {"V33-102": 1}),
+        (5, sample_book(5, absent=NINE[1:3]), ["V33-101"], {"V33-002": 2}),
+        (6, sample_book(6, said_fund=""), ["V33-002"], {"V33-109": 1}),
+    ]
+    pages = spark.createDataFrame([p for _, (p, _), _, _ in manifest for p in p], "doc_id long, page_no int, text string")
+    tables = spark.createDataFrame([t for _, (_, t), _, _ in manifest for t in t], "doc_id long, page_no int, tables array<array<array<string>>>")
+    found = defaultdict(list)
+    for r in audit(pages, tables).collect():
+        found[r.doc_id, r.rule_id].append(r.message)
+    assert not [k for k in found if k[0] is None]  # every rule could be planned
+    for doc, _, silent, speaks in manifest:
+        assert {r: found[doc, r] for r in silent if found[doc, r]} == {}
+        for rule, least in speaks.items():
+            assert len(found[doc, rule]) >= least, (doc, rule)
+    assert {m for m in found[5, "V33-002"] if m.startswith("缺失表")} == {"缺失表：收入决算表"}
+
+
+def test_next_heads_cross_ranges(spark, monkeypatch):
+    from tallyglass.operators import anchors as A
+
+    monkeypatch.setattr(A, "RANGE_ROWS", 7)
+    rows = [(i * 10, f"t{i}\na\nb\nc\nd", None if i % 3 == 0 else f"s{i % 2}") for i in range(60)]
+    got = {r.doc_id: r.searched for r in A.with_next_head(spark.createDataFrame(rows, "doc_id long, text string, source string"), "source", "doc_id").collect()}
+    for d, t, s in rows:
+        later = [x for e, x, z in rows if z == s and e > d]
+        assert got[d] == t + ("\n" + "\n".join(later[0].split("\n")[:3]) if later else "")
