@@ -337,3 +337,44 @@ def test_next_heads_cross_ranges(spark, monkeypatch):
     for d, t, s in rows:
         later = [x for e, x, z in rows if z == s and e > d]
         assert got[d] == t + ("\n" + "\n".join(later[0].split("\n")[:3]) if later else "")
+
+
+def test_longest_rise_is_longest_and_rising(spark):
+    import random
+
+    from tallyglass.operators.checks import longest_rise
+
+    draw = random.Random(8)
+    rows = [(i, draw.sample(range(40), draw.randint(1, 9))) for i in range(60)]
+    for r in spark.createDataFrame(rows, "i int, v array<int>").select("v", longest_rise(F.col("v")).alias("kept")).collect():
+        best = [1] * len(r.v)
+        for j in range(len(r.v)):
+            best[j] = 1 + max([best[i] for i in range(j) if r.v[i] < r.v[j]], default=0)
+        taken = [r.v[i] for i in r.kept]
+        assert taken == sorted(taken) and len(taken) == max(best) and r.kept == sorted(set(r.kept))
+
+
+def test_codes_of_three_levels(spark):
+    from tallyglass.operators.checks import undescribed_codes
+
+    codes = spark.createDataFrame([(1, c) for c in ("201", "20101", "2010101", "2010102", "20102", "2010201", "208", "20805")], "doc_id long, code string")
+    said = spark.createDataFrame([(1, "2010101"), (1, "2010102"), (1, "20102"), (1, "999")], "doc_id long, code string")
+    assert {r.code for r in undescribed_codes(codes, said).collect()} == {"2010201", "208", "20805"}
+
+
+def test_arriving_pages_withdraw_what_they_mend(spark, tmp_path):
+    from tallyglass.streaming.arrivals import held, row_findings, run
+
+    name, cell = "收入决算表\n单位：万元", [[["项目", "金额"], ["合计", "-1"]]]
+    schema = "doc_id long, page_no int, text string, tables array<array<array<string>>>"
+    at = f"file://{tmp_path}"
+    spark.createDataFrame([(1, 1, "2024年度", cell), (2, 1, name, None)], schema).write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{at}/in")
+    run(stream, at)
+    before = {(r.doc_id, r.message, r.state) for r in held(spark, at).collect()}
+    assert (1, "缺失表：收入决算表", "open") in before and (2, "缺失表：收入决算表", "open") not in before
+    spark.createDataFrame([(1, 2, name, None)], schema).write.mode("append").parquet(f"{at}/in")
+    run(stream, at)
+    after = {(r.doc_id, r.message, r.state) for r in held(spark, at).collect()}
+    assert after == before - {(1, "缺失表：收入决算表", "open")} | {(1, "缺失表：收入决算表", "withdrawn")}
+    assert [(r.doc_id, r.message) for r in row_findings(spark, at).collect()] == [(1, "负数")]
