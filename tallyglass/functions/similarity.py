@@ -54,12 +54,12 @@ def partial(a: str, b: str) -> float:
 
 
 def blocks_of(alias: str, least: float) -> tuple[int, list[tuple[int, str]]]:
-    """How many characters may stay unmatched at a partial ratio of `least`, and (offset, block) of one block more:
-    one of the blocks stands unchanged in every window that reaches the ratio."""
+    """How many characters may stay unmatched at a partial ratio of `least`, and (offset, block) of more blocks than
+    that: all but so many blocks stand unchanged in every window that reaches the ratio."""
     m = len(alias)
-    unmatched = int(2 * m * (1 - least / 100) + 1e-9)
-    n = min(unmatched + 1, m)
-    size = m // n
+    unmatched = min(int(2 * m * (1 - least / 100) + 1e-9), m - 1)
+    size = m // (unmatched + 1)
+    n = m // size
     return unmatched, [(i * m // n, alias[i * m // n : i * m // n + size]) for i in range(n)]
 
 
