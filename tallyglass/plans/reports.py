@@ -98,13 +98,14 @@ def f19(spark, sf):
 _MARKS = X.PUNCTUATION.replace("'", "''")
 
 
-@query("f24_positions", f"""WITH d AS (SELECT doc_id, text, substr(text, 21, 30) AS part FROM documents WHERE length(text) >= 60),
-x AS (SELECT *, replace(trim(part, ' '), chr(10), '') AS flat, regexp_replace(text, '{_MARKS}', '', 'g') AS np, regexp_replace(part, '{_MARKS}', '', 'g') AS nn, trim(substr(text, 21, 20), ' ') AS s2, trim(substr(text, 41, 20), ' ') AS s3 FROM d)
-SELECT doc_id, CAST(CASE WHEN length(flat) >= 8 AND contains(text, flat) THEN instr(text, flat) - 1 WHEN contains(np, nn) THEN floor(CAST(instr(np, nn) - 1 AS DOUBLE) / length(np) * length(text)) ELSE 1000000000 END AS INTEGER) AS pos,
-CAST(CASE WHEN length(s2) > 18 AND length(s2) >= length(s3) THEN instr(text, s2) - 1 WHEN length(s3) > 18 THEN instr(text, s3) - 1 WHEN length(s2) > 18 THEN instr(text, s2) - 1 ELSE 1000000000 END AS INTEGER) AS part_pos FROM x""")
+@query("f24_positions", f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, substr(coalesce(text, ''), 21, 30) AS part, least(greatest(length(coalesce(text, '')), 20), 60) AS n FROM documents),
+x AS (SELECT *, replace(trim(part, ' '), chr(10), '') AS flat, regexp_replace(text, '{_MARKS}', '', 'g') AS np, regexp_replace(part, '{_MARKS}', '', 'g') AS nn,
+  CASE WHEN n = 60 THEN trim(substr(text, 21, 20), ' ') ELSE '' END AS s2, CASE WHEN n > 50 THEN trim(substr(text, 1 + 2 * (n // 3), n - 2 * (n // 3)), ' ') ELSE '' END AS s3 FROM d)
+SELECT doc_id, CAST(CASE WHEN length(flat) >= 8 AND contains(text, flat) THEN instr(text, flat) - 1 WHEN length(part) >= 8 AND contains(np, nn) THEN floor(CAST(instr(np, nn) - 1 AS DOUBLE) / length(np) * length(text)) ELSE 1000000000 END AS INTEGER) AS pos,
+CAST(CASE WHEN length(s2) > 0.3 * n AND length(s2) >= length(s3) THEN instr(text, s2) - 1 WHEN length(s3) > 0.3 * n THEN instr(text, s3) - 1 WHEN length(s2) > 0.3 * n THEN instr(text, s2) - 1 ELSE 1000000000 END AS INTEGER) AS part_pos FROM x""")
 def f24(spark, sf):
     part = F.substring("text", 21, 30)
-    d = table(spark, sf, "documents").where(F.length("text") >= 60)
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     damaged = F.concat(F.lit("¤" * 20), F.substring("text", 21, 40))  # only its parts can be found
     return d.select("doc_id", X.guess_position("text", part).cast("int").alias("pos"), X.guess_position("text", damaged).cast("int").alias("part_pos"))
 

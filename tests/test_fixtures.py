@@ -79,6 +79,8 @@ def test_budget_against_final(spark):
     assert comparison(spark, say("100", "200", "大于")) == [("no_reason", "error")]
     assert comparison(spark, say("100", "200", "大于", "主要原因：补。")) == []
     assert comparison(spark, say("100", "200", "小于", "同比增长。主要原因：补。")) == []
+    assert comparison(spark, say("1,200", "1,100.5", "大于", "主要原因：补。")) == [("mismatch", "error")]
+    assert comparison(spark, say("1,2,3", "200", "大于")) == []
     assert comparison(spark, "没有这一节") == []
 
 
