@@ -4,13 +4,13 @@ A text's UTF-8 bytes are cut into overlapping chunks that cover all of it. Each
 learned filters run over the chunk and their best response in it is kept (max pooling). A document is the
 maximum and the mean of its chunks' vectors, and a small dense layer combines them into one probability.
 
-Training runs on the driver over at most `SAMPLE` labelled documents of each class (those of least id hash,
-none longer than `SAMPLE_BYTES`), with the class sizes of all labelled documents put back into the bias.
-Scoring is one map over all rows; long texts are scored in pieces of a fixed number of chunks, so memory
-stays bounded.
+Training runs on the driver over at most `sample` labelled documents of each class (those of least id hash
+among texts of at most `sample_bytes`), with the class sizes of all labelled documents put back into the bias.
+Scoring is one map over all rows; chunks are cut out in pieces of a fixed number, so that beside a text only
+its pooled vectors (one of 192 bytes for 192 bytes of text) are held.
 
 Defined results: null text counts as empty; an empty text is one chunk of padding; repeated rows score
-alike; without labels of both classes every score is the known share of label 1 (0.5 without any); an
+alike; an id with several labels has the least, one with several texts teaches the least; without labels of both classes every score is the known share of label 1 (0.5 without any); an
 empty table gives no rows; other columns are ignored.
 """
 
@@ -33,17 +33,25 @@ PIECE = 512
 PREDICT = 0.3
 
 
-def chunked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All chunks of the documents (padded with byte 0) and the number of chunks of each."""
+def places(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of all chunks of the documents, ends of their documents, and the number of chunks of each document."""
     sizes = np.diff(offsets)
     counts = np.maximum(1, -(-(sizes - (CHUNK - STRIDE)) // STRIDE))
-    owner = np.repeat(np.arange(len(sizes)), counts)
     step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    starts = offsets[owner] + step * STRIDE
+    return np.repeat(offsets[:-1], counts) + step * STRIDE, np.repeat(offsets[1:], counts), counts
+
+
+def cut_out(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The chunks at the given places, padded with byte 0 behind their documents."""
     at = starts[:, None] + np.arange(CHUNK)
-    inside = at < offsets[owner + 1][:, None]
-    padded = np.append(data, np.uint8(0))
-    return padded[np.where(inside, at, len(data))], counts
+    chunks = np.take(data, np.minimum(at, len(data) - 1)) if len(data) else np.zeros(at.shape, np.uint8)
+    return np.where(at < ends[:, None], chunks, np.uint8(0))
+
+
+def chunked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All chunks of the documents and the number of chunks of each."""
+    starts, ends, counts = places(offsets)
+    return cut_out(data, starts, ends), counts
 
 
 class ByteNet:
@@ -79,8 +87,9 @@ class ByteNet:
         return 1 / (1 + np.exp(-z))
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        chunks, counts = chunked(data, offsets)
-        pooled = np.concatenate([self.pool(chunks[i : i + PIECE]) for i in range(0, len(chunks), PIECE)])
+        starts, ends, counts = places(offsets)
+        pieces = (slice(i, i + PIECE) for i in range(0, len(starts), PIECE))
+        pooled = np.concatenate([self.pool(cut_out(data, starts[p], ends[p])) for p in pieces])
         bounds = np.cumsum(counts) - counts
         top = np.maximum.reduceat(pooled, bounds, axis=0)
         mean = np.add.reduceat(pooled, bounds, axis=0) / counts[:, None].astype(np.float32)
@@ -149,9 +158,10 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ByteNet:
-    """A network fitted to a bounded sample of the labelled documents that aren't held out."""
-    known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "quality").dropDuplicates(["doc_id"])
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> ByteNet:
+    """A network fitted to a bounded sample of the labelled documents that aren't held out: at most `sample` of each
+    class, drawn among texts of at most `sample_bytes`."""
+    known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sizes = {r.quality: r["count"] for r in known.groupBy("quality").count().collect()}
     net = ByteNet()
     if len(sizes) < 2:
@@ -160,10 +170,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ByteNet:
         net.shift = float(np.log(share / (1 - share)))
         return net
     order = F.xxhash64(F.lit(1), "doc_id")
-    picked = [known.where(F.col("quality") == q).orderBy(order, "doc_id").limit(sample) for q in (0, 1)]
-    drawn = picked[0].union(picked[1])
-    fits = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
-    rows = fits.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).toArrow()
+    fits = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes).where(~held_out(F.col("doc_id")))
+    able = known.join(fits.select("doc_id"), "doc_id", "left_semi")
+    picked = [able.where(F.col("quality") == q).orderBy(order, "doc_id").limit(sample) for q in (0, 1)]
+    drawn = picked[0].union(picked[1])  # 2 * sample rows at most
+    texts = fits.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
+    rows = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toArrow()
     if not rows.num_rows:
         return net
     ids = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
@@ -175,9 +187,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ByteNet:
     return net
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs."""
-    net = train(docs, labels, sample)
+    net = train(docs, labels, sample, sample_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
