@@ -104,7 +104,7 @@ def test_lm_score_equals_plain_scores(documents, monkeypatch):
 
     monkeypatch.setattr(attention_lm, "STEPS", 6)
     got, fit = {}, attention_lm.fit
-    monkeypatch.setattr(attention_lm, "fit", lambda pieces, slots, w: got.update(slots=slots, w=fit(pieces, slots, w)) or got["w"])
+    monkeypatch.setattr(attention_lm, "fit", lambda pieces, slots, *more: got.update(slots=slots, w=fit(pieces, slots, *more)) or got["w"])
     out = attention_lm.text_scores(documents, LM_FILE).toPandas().set_index("doc_id").score
     w, slots = attention_net.views(got["w"]), got["slots"]
     tokenizer = Tokenizer.from_file(LM_FILE)
@@ -146,6 +146,21 @@ def test_lm_keeps_null_and_string_ids(spark, monkeypatch):
     assert sorted((r.doc_id or "-", r.n_tokens) for r in out.collect()) == [("-", 1), ("-", 4), ("a", 3), ("b", 2), ("b", 2)]
 
 
+def test_lm_scores_alike_however_the_table_is_split(documents, monkeypatch):
+    monkeypatch.setattr(attention_lm, "STEPS", 2)
+    out = [attention_lm.text_scores(d, LM_FILE).toPandas().sort_values("doc_id") for d in (documents.coalesce(1), documents.repartition(7, "text"))]
+    assert (out[0].doc_id.to_numpy() == out[1].doc_id.to_numpy()).all()
+    assert np.allclose(out[0].score, out[1].score, rtol=1e-3)
+
+
+@pytest.mark.parametrize("width", [1, 64, 65, 4100])
+def test_sums_in_levels(width, spark):
+    rows = [(int(b), 3, attention_lm.packed(np.array([1, b, 2 * b], np.int64))) for b in np.linspace(0, width - 1, 40).astype(int)]
+    parts = spark.createDataFrame(rows, "bucket long, n long, a binary")
+    total = sum(r[0] for r in rows)
+    assert attention_lm._summed(parts, np.int64, width).tolist() == [40, total, 2 * total]
+
+
 def small_net(seed=0):
     rng = np.random.default_rng(seed)
     w = attention_net.views(attention_net.start_weights(rng.integers(1, 100, attention_net.SLOTS), 3.0, 2.0))
@@ -228,6 +243,53 @@ def test_cnn_learns_quality_on_held_out_documents(spark):
     assert ((out.score >= 0.3) == (out.predicted == 1)).all()
 
 
+def plain_cnn(net, raw):
+    """A text's score, chunk by chunk and place by place, in double precision."""
+    w = {k: v.astype(float) for k, v in net.w.items()}
+    begins = range(0, max(1, len(raw) - (byte_cnn.CHUNK - byte_cnn.STRIDE)), byte_cnn.STRIDE)
+    pooled = []
+    for b in begins:
+        chunk = raw[b : b + byte_cnn.CHUNK].ljust(byte_cnn.CHUNK, b"\0")
+        places = range(0, byte_cnn.CHUNK - byte_cnn.FILTER + 1, byte_cnn.HOP)
+        best = np.max([np.concatenate([w["bytes"][c] for c in chunk[p : p + byte_cnn.FILTER]]) @ w["filters"] for p in places], axis=0)
+        pooled.append(np.maximum(best + w["filter_bias"], 0))
+    both = np.concatenate([np.max(pooled, axis=0), np.mean(pooled, axis=0)])
+    z = np.maximum(both @ w["dense"] + w["dense_bias"], 0) @ w["out"] + w["out_bias"]
+    return 1 / (1 + math.exp(-(z[0] + net.shift)))
+
+
+def test_cnn_scores_equal_plain_scores(spark, sf, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    kept, train = [], byte_cnn.train
+    monkeypatch.setattr(byte_cnn, "train", lambda *a: kept.append(train(*a)) or kept[-1])
+    out = byte_cnn.quality_scores(docs, labels).toPandas().set_index("doc_id").score
+    texts = docs.select("doc_id", "text").toPandas().set_index("doc_id").text
+    for doc_id, text in list(texts.items())[:60]:
+        assert out[doc_id] == pytest.approx(plain_cnn(kept[0], (text or "").encode()), abs=1e-4)
+
+
+def test_cnn_of_a_text_of_many_megabytes():
+    net = byte_cnn.ByteNet(3)
+    raw = np.random.default_rng(1).integers(1, 255, 12_000_001).astype(np.uint8)
+    whole = net.score(raw, np.array([0, len(raw)]))[0]
+    marked = raw.copy()
+    marked[-40:] = np.frombuffer(b"the very end of the text decides as well", np.uint8)
+    assert 0 <= whole <= 1 and net.score(marked, np.array([0, len(raw)]))[0] != whole
+
+
+def test_cnn_sample_is_full_and_does_not_depend_on_order(spark, monkeypatch):
+    rows = [(i, ("good text " if i % 2 else "bad stuff ") * (1 if i % 5 else 5000)) for i in range(200)]
+    rows += [(7, "another text of the same id"), (None, "text without an id"), (None, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(7, 0), (9, 1)], "doc_id long, quality int")
+    met = []
+    monkeypatch.setattr(byte_cnn.ByteNet, "fit", lambda self, texts, y: met.append((texts, y.tolist())))
+    for n in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n, "text")
+        assert byte_cnn.quality_scores(docs, labels.repartition(n), 20, 1000).count() == len(rows)
+    assert met[0] == met[1]
+    assert sum(met[0][1]) == 20 and len(met[0][1]) == 40 and max(map(len, met[0][0])) <= 1000
+
+
 def test_cnn_odd_rows(spark, odd, nothing):
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
     out = byte_cnn.quality_scores(odd, labels).toPandas()
