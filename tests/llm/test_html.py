@@ -55,6 +55,22 @@ def test_all_visible_words_survive(spark, sf):
         assert "".join(words) == "".join(w for w in reader.words if w not in ("-", "---")), r.page_id
 
 
+def test_counts_of_the_given_pages(spark, sf):
+    """Items, rows of tables and lines, counted in the source by patterns and in the text line by line."""
+    import re
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    source = {r.page_id: r.html for r in pages.collect()}
+    full = lambda body: bool(re.sub(r"<[^>]*>|\s", "", body))
+    for r in visible_text(pages).collect():
+        html = re.sub(r"(?s)<(script|style|head)\b.*?</\1>|<!--.*?-->", "", source[r.page_id])
+        shown = [x for x in r.text.split("\n") if x.strip()]
+        assert r.n_chars == len(r.text)
+        assert r.n_lines == len(shown), r.page_id
+        assert r.n_items == sum(map(full, re.findall(r"(?s)<li\b[^>]*>(.*?)(?=<li\b|</[uo]l>)", html))), r.page_id
+        assert r.n_rows == sum(map(full, re.findall(r"(?s)<tr\b[^>]*>(.*?)(?=<tr\b|</table>)", html))), r.page_id
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (2, "", "x"), (3, "<div>" * 5000 + "deep", "x"), (None, "<p>a", "x")]
     out = visible_text(spark.createDataFrame(rows, "page_id long, html string, text string"))

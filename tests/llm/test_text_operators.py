@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyglass.llm.words import Block, span_hash
-from tallyglass.llm import cost_packing, curriculum_mix, jaccard_join, line_chunks, queries, robust_outliers
+from tallyglass.llm import cost_packing, curriculum_mix, jaccard_join, line_chunks, queries, robust_outliers, shared
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -414,3 +414,62 @@ def test_line_chunks_survive_shift(odd):
 
 def test_line_chunks_empty(nothing):
     assert line_chunks.line_report(nothing).count() == 0
+
+
+def test_mix_null_ids(spark):
+    rows = [(None, "one two three", "a"), (None, "four", "a"), (None, None, "a"), (None, "five six", None), (3, "seven", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = curriculum_mix.mix_report(docs).toPandas()
+    db = duckdb.connect()
+    db.register("documents", docs.toArrow())
+    plain = ["size", "source_size", "target", "taken"]
+    same(got[plain], db.sql(curriculum_mix.ORACLE_SQL).df()[plain])
+    assert got.doc_id.isna().sum() == 4
+
+
+def test_pipeline_rows_equal_brute_force(spark, sf, documents):
+    """Every stage on what the one before kept, row by row."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name, docs: shared.cut(stages[name](spark, docs, sf))
+    texts = lambda df: {r.doc_id: r.text or "" for r in df.collect()}
+
+    frame = documents.toPandas()
+    assert frame.doc_id.is_unique
+    far = plain_distances(np.array([plain_features(t) for t in frame.text]), list(zip(frame.lang, frame.source)), 60)
+    counts = [base_counts(t) for t in frame.text]
+    failed = np.array([c[0] < 20 or 100 * c[4] > 30 * c[0] for c in counts])
+    clear = np.abs(far - robust_outliers.CUTOFF) > 0.01
+    stays = ~failed & (far <= robust_outliers.CUTOFF)
+    docs = run("quality_rules", documents)
+    kept = texts(docs)
+    assert all((d in kept) == s for d, s, c in zip(frame.doc_id, stays, clear) if c or not s)
+    before = texts(documents)
+    assert kept == {d: before[d] for d in kept} and 0 < len(kept) < len(before)
+
+    expected = {d: t.decode() for d, (_, t) in chunk_brute(sorted(kept.items())).items()}
+    expected = {d: t for d, t in expected.items() if t or not kept[d]}  # what is left without a line goes
+    docs = run("line_dedup", docs)
+    assert texts(docs) == expected
+
+    classes = jaccard_classes(sorted(expected.items()))
+    docs = run("ngram_jaccard_join", docs)
+    first = {c for _, _, c in classes}
+    left = texts(docs)
+    assert left == {d: expected[d] for d in first}
+
+    db = duckdb.connect()
+    db.register("documents", docs.select("doc_id", "text", "source").toArrow())
+    plan = db.sql(curriculum_mix.ORACLE_SQL).df()
+    docs = run("source_mixing", docs)
+    times = docs.groupBy("doc_id").count().toPandas().set_index("doc_id")["count"].to_dict()
+    assert times == {int(d): int(t // n) for d, t, n in zip(plan.doc_id, plan.taken, plan["size"]) if t > 0}
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_file())
+    out = run("packing", docs).toPandas()
+    assert (out.groupby("sequence_id").length.sum() <= 4096).all()
+    tokens = {d: len(tokenizer.encode(left[d], add_special_tokens=False).ids) + 1 for d in times}
+    assert out.groupby("doc_id").length.sum().to_dict() == {d: n * tokens[d] for d, n in times.items()}
+    assert (out.doc_tokens == out.doc_id.map(tokens)).all()
