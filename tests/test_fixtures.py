@@ -107,6 +107,19 @@ def test_snapshots(spark):
     assert out == {1: [5], 2: []}
 
 
+def test_contents_meet_pages_without_a_join(spark):
+    """Titles listed twice, on one side only, and moved; the plan holds no join that could be broadcast."""
+    from tallyglass.operators import checks as K
+
+    entries = [(1, 1, "甲表", 3), (1, 2, "乙表", 4), (1, 3, "丙表", 5), (1, 4, "乙表", 40), (2, 1, "甲表", 3)]
+    titles = [(1, "甲表", 3), (1, "乙表", 6), (1, "丙表", 5), (1, "丁表", 9), (3, "甲表", 1)]
+    df = K.contents_alignment(spark.createDataFrame(entries, "doc_id long, line int, title string, toc_page int"), spark.createDataFrame(titles, "doc_id long, title string, page_no int"))
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.doc_id, r.title, r.problem) for r in df.collect())
+    want = [(1, "丁表", "not_in_contents"), (1, "乙表", "wrong_page"), (1, "乙表", "out_of_order"), (2, "甲表", "not_in_body"), (3, "甲表", "not_in_contents")]
+    assert got == sorted(want)
+
+
 def test_greedy_matching_is_the_ordered_greedy(spark, sf):
     from tallyglass.sources.corpus import findings
 
