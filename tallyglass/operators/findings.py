@@ -131,10 +131,11 @@ def report_lines(f: DataFrame) -> DataFrame:
 
 
 def upsert(snapshots: DataFrame) -> DataFrame:
-    """Last value of each (doc, key): an empty list never replaces a full one, an explicit null does."""
+    """Last value of each (doc, key): an empty list never replaces a full one, an explicit null does. Of snapshots
+    with equal seq a null comes last, and the greater of two full lists stays."""
     last_null = F.max(F.when(F.col("value").isNull(), F.col("seq"))).over(Window.partitionBy("doc_id", "key"))
-    s = snapshots.withColumn("null_at", F.coalesce(last_null, F.lit(-1)))
-    after = s.where(F.col("seq") >= F.col("null_at"))
-    full = F.col("value").isNotNull() & (F.size("value") > 0)
-    kept = F.coalesce(F.max_by(F.when(full, F.col("value")), F.when(full, F.col("seq"))), F.max_by("value", "seq"))
+    s = snapshots.withColumn("null_at", last_null)
+    after = s.where("null_at is null or seq >= null_at")
+    full = F.col("value").isNotNull() & (F.size("value") > 0) & (F.col("null_at").isNull() | (F.col("seq") > F.col("null_at")))
+    kept = F.coalesce(F.max_by(F.when(full, F.col("value")), F.when(full, F.struct("seq", "value"))), F.max_by("value", F.struct("seq", F.col("value").isNull())))
     return after.groupBy("doc_id", "key").agg(kept.alias("value"))

@@ -241,7 +241,7 @@ SNAP = "SELECT l_orderkey AS doc_id, l_linenumber * 1000000 + l_partkey AS seq,
 
 
 @query("s13_snapshot_upsert", f"""WITH s AS ({SNAP}), n AS (SELECT *, coalesce(max(CASE WHEN value IS NULL THEN seq END) OVER (PARTITION BY doc_id), -1) AS z FROM s), a AS (SELECT * FROM n WHERE seq > z)
-SELECT s.doc_id, (SELECT CAST(max_by(value[1], seq) AS BIGINT) FROM a WHERE a.doc_id = s.doc_id AND len(value) > 0) AS value FROM s GROUP BY 1""")
+SELECT s.doc_id, (SELECT CAST(max_by(value[1], [seq, value[1]]) AS BIGINT) FROM a WHERE a.doc_id = s.doc_id AND len(value) > 0) AS value FROM s GROUP BY 1""")
 def s13(spark, sf):
     part = F.col("l_partkey")
     value = F.when(part % 7 == 0, None).when(part % 3 == 0, F.expr("cast(array() as array<bigint>)")).otherwise(F.array(part))

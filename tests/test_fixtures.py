@@ -138,6 +138,18 @@ def test_ordinals_of_documents_with_many_findings(spark, tmp_path):
     assert got == want and (21, "二十一") in got and (123, "123") in got
 
 
+def test_snapshots_of_equal_rank(spark, tmp_path):
+    """Parts beyond a million give snapshots of two lines the same place: a null comes last, else the greater value."""
+    rows = [line(1, 1, 1_000_001), line(1, 2, 1), line(2, 1, 1_000_010), line(2, 2, 10), line(3, 1, 1_000_006), line(3, 2, 6), line(4, 1, 1_000_027), line(4, 2, 28), line(4, 2, 27)]
+    rows += [line(5, 1, 1_000_013), line(5, 2, 14), line(5, 1, 1_000_014)]
+    for order in (rows, rows[::-1]):
+        got, want = against_sql(spark, tmp_path, "s13_snapshot_upsert", lineitem=(LINES, order))
+        assert got == want
+    snaps = [(1, "a", 5, [1]), (1, "a", 5, None), (2, "a", 5, [1]), (2, "a", 5, [3]), (2, "a", 5, [2]), (3, "a", -7, [4])]
+    out = {r.doc_id: r.value for r in O.upsert(spark.createDataFrame(snaps, "doc_id long, key string, seq long, value array<int>")).collect()}
+    assert out == {1: None, 2: [3], 3: [4]}
+
+
 def test_contents_meet_pages_without_a_join(spark):
     """Titles listed twice, on one side only, and moved; the plan holds no join that could be broadcast."""
     from tallyglass.operators import checks as K
