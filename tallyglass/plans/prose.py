@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import near_number, near_percent, snippet, spans
 from ..operators import prose as P
-from ..registry import query, table
+from ..registry import query, table, written
 from ..sources import corpus as C
 from ..sources import detailed as X
 from ..sources import responses as R
@@ -22,14 +22,14 @@ w AS (SELECT *, CASE WHEN a > b + tol THEN '大于' WHEN a < b - tol THEN '小
 @query("v110_budget_vs_final", PAIR_SQL + """SELECT doc_id, stated, computed, 'mismatch' AS kind, 'error' AS severity FROM w WHERE stated <> computed
 UNION ALL SELECT doc_id, stated, computed, 'wording', 'warn' FROM w WHERE loose UNION ALL SELECT doc_id, stated, computed, 'no_reason', 'error' FROM w WHERE stated IN ('大于', '小于') AND NOT has_reason""")
 def v110(spark, sf):
-    pairs = P.accepted(P.candidates(P.sections(C.comparisons(spark, sf))))
+    pairs = P.accepted_pairs(P.sections(C.comparisons(spark, sf)))
     return P.verdicts(pairs).select("doc_id", "stated", "computed", "kind", "severity")
 
 
 @query("v110b_fallback_compare", PAIR_SQL + "SELECT doc_id, a AS spent, b AS planned, has_reason FROM w WHERE stated = computed AND NOT loose AND (stated = '持平' OR has_reason)")
 def v110b(spark, sf):
     pages = C.comparisons(spark, sf)
-    done = P.verdicts(P.accepted(P.candidates(P.sections(pages)))).select("doc_id").distinct()
+    done = P.verdicts(P.accepted_pairs(P.sections(pages))).select("doc_id").distinct()
     loose = P.loose_pairs(pages).join(done, "doc_id", "left_anti")
     return loose.select("doc_id", F.col("spent").cast("double"), F.col("planned").cast("double"), (F.col("reason") != "").alias("has_reason"))
 
@@ -43,14 +43,15 @@ def u2(spark, sf):
     """Three rounds of rules and a fourth of pairs that a model gave for windows of the section; the model's pairs
     are shifted to the section and stay where no pair of the rules overlaps them."""
     pages, answers = X.model_pairs(spark, sf)
-    secs = P.sections(pages)
-    rules = P.candidates(secs)
-    model = P.from_model(secs, R.pairs(answers, ("doc_id", "window_start")))
-    found = rules.select("doc_id").union(model.select("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_found"))
-    kept = P.accepted(rules)
-    every = kept.select("doc_id", "found_by", "planned").unionByName(P.beyond_rules(kept, model).select("doc_id", "found_by", "planned"))
-    kept = every.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_kept"), F.max(F.when(F.col("found_by") == "model", F.col("planned").cast("double"))).alias("model_planned"))
-    return found.join(kept, "doc_id")
+    read = P.matched(P.sections(pages)).select("doc_id", "from_page", F.size("items").alias("n_rules"), P.folded("items").alias("kept"))
+    secs = written(read.select("doc_id", "from_page", F.lit(None).cast("string").alias("sec"), "n_rules", F.transform("kept", lambda p: F.struct(p["start"].alias("start"), p["found"].alias("found"))).alias("kept")))
+    model = written(P.from_model(secs, R.pairs(answers, ("doc_id", "window_start"))).select("doc_id", "start", "found", "planned"))
+    kept = secs.select("doc_id", F.explode("kept").alias("p")).select("doc_id", "p.*")
+    beyond = P.beyond_rules(kept, model).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_beyond"), F.max(F.col("planned").cast("double")).alias("model_planned"))
+    found = model.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_model"))
+    met = secs.select("doc_id", "n_rules", F.size("kept").alias("n_accepted")).join(found, "doc_id", "left").join(beyond, "doc_id", "left")
+    n = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).cast("long")
+    return met.select("doc_id", n("n_rules", "n_model").alias("n_found"), n("n_accepted", "n_beyond").alias("n_kept"), "model_planned").where("n_found > 0 and n_kept > 0")
 
 
 def _twice(spark, sf):
@@ -78,13 +79,13 @@ def j17(spark, sf):
     filler = F.when(F.col("k") % 3 == 0, F.repeat(F.lit("各项工作按计划开展。"), 8)).otherwise("")
     d = C.order_sums(spark, sf).withColumns({"line": F.size("items"), "k9": F.col("k") % 9 + 2})
     text = F.concat(F.lit("三、一般公共预算财政拨款支出决算情况\n其中："), usual, filler, F.when(F.col("k") % 3 != 2, turned).otherwise(""))
-    kept = P.accepted(P.candidates(P.sections(d.select(F.col("k").alias("doc_id"), F.lit(1).alias("page_no"), text.alias("text")))))
+    kept = P.accepted_pairs(P.sections(d.select(F.col("k").alias("doc_id"), F.lit(1).alias("page_no"), text.alias("text"))))
     return kept.groupBy("doc_id").agg(F.count_if(F.col("round") > 0).alias("later_rounds"))
 
 
 @query("w8_ordered_fold", PAIR_SQL + "SELECT doc_id, a AS spent, b AS planned, 'regex' AS found_by FROM w")
 def w8(spark, sf):
-    kept = P.accepted(P.candidates(P.sections(C.comparisons(spark, sf))))
+    kept = P.accepted_pairs(P.sections(C.comparisons(spark, sf)))
     return kept.select("doc_id", F.col("spent").cast("double"), F.col("planned").cast("double"), "found_by")
 
 

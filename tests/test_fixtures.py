@@ -163,6 +163,18 @@ def test_contents_meet_pages_without_a_join(spark):
     assert got == sorted(want)
 
 
+def test_sections_are_read_once(spark):
+    """All rounds read a section where it stands: no union of rounds, no grouping of their rows; the same pairs."""
+    text = "三、一般公共预算财政拨款支出决算情况\n其中：年初预算10万元，决算12万元，决算大于预算。决算9，年初预算为7，决算大于预算。主要原因：增。\n四、其他"
+    pages = spark.createDataFrame([(1, 1, text), (2, 1, text.replace("增", "减少")), (3, 1, "四、其他"), (4, 1, None)], "doc_id long, page_no int, text string")
+    df = P.accepted_pairs(P.sections(pages))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Aggregate [") <= 1
+    rows = P.accepted(P.candidates(P.sections(pages)))
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, rows.collect())) and df.count() > 0
+    assert [r.sec for r in P.sections(pages).where("doc_id = 1").collect()] == [text[: text.index("四、其他")]]
+
+
 def test_greedy_matching_is_the_ordered_greedy(spark, sf):
     from tallyglass.sources.corpus import findings
 
