@@ -175,6 +175,31 @@ def test_sections_are_read_once(spark):
     assert [r.sec for r in P.sections(pages).where("doc_id = 1").collect()] == [text[: text.index("四、其他")]]
 
 
+def test_pages_are_compared_once(spark, sf):
+    """No filter on the tables found has every page compared again; first pages come from one grouping."""
+    from tallyglass.operators import anchors as A
+
+    pages = spark.createDataFrame([(1, 3, "收入决算表\n单位：万元"), (1, 5, "收入决算表\n单位：万元"), (1, 5, "收入决算表\n单位：万元"), (2, 1, "目录"), (2, 2, None)], "doc_id long, page_no int, text string")
+    plan = A.anchors(pages)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert sorted((r.doc_id, r.table_name, r.page_no) for r in A.anchors(pages).where("ord = 1").collect()) == [(1, "收入决算表", 3), (1, "收入决算表", 5)]
+    first = A.first_anchors(pages, ["收入决算表"]).collect()
+    assert [(r.doc_id, r.table_name, r.ord, r.page_no) for r in first] == [(1, "收入决算表", 1, 3)]
+
+
+def test_nested_tables_give_what_cells_give(spark):
+    from tallyglass.sources.corpus import cells
+
+    a = [["编码", "额"], ["2010101", "5", "12%"], ["201", "x", "7.5"], [" 2080501", "1,000", None], ["合计", "9"], [], None, [None, "3"], ["30401"]]
+    b = [["编码"], ["2010102", "1", "2", "3"], ["x", "1", "1", "1"]]
+    rows = [(1, 1, [a, b]), (1, 2, [b, None, a]), (2, 1, [b, b]), (2, 2, []), (3, 1, None), (3, 2, [None, []])]
+    nested = spark.createDataFrame(rows, "doc_id long, page_no int, tables array<array<array<string>>>")
+    assert sorted(map(tuple, T.nested_class_sums(nested).collect())) == sorted(map(tuple, T.class_sums(cells(nested)).collect()))
+    largest = cells(nested).join(T.largest_table(cells(nested)).select(*T.TABLE), T.TABLE)
+    key = lambda r: (r.doc_id, r.page_no, r.table_ix, r.row_ix, r.col_ix, r.text)
+    assert sorted(map(key, cells(T.only_largest(nested)).collect())) == sorted(map(key, largest.collect()))
+
+
 def test_greedy_matching_is_the_ordered_greedy(spark, sf):
     from tallyglass.sources.corpus import findings
 
