@@ -354,6 +354,33 @@ def test_containment_joins_against_nested_loops(spark):
         assert {(r.doc_id, r.item_id): r.score for r in J.near_mentions(d, a.withColumn("least", F.lit(least))).collect()} == best
 
 
+def test_near_pairs_lose_nothing_and_bring_little(spark):
+    """Names with letters left out, put in or exchanged, at a text's ends too; names of two words that only share pairs of
+    letters don't meet."""
+    import random
+
+    from tallyglass.operators import containment as J
+
+    draw = random.Random(21)
+    word = lambda n: "".join(chr(0x4E00 + draw.randrange(256)) for _ in range(n))
+    names = [(i, f"{word(8)} {word(8)}") for i in range(300)]
+
+    def worn(x):
+        x = list(x)
+        for _ in range(draw.randint(0, 7)):
+            at = draw.randrange(len(x))
+            x[at : at + 1] = draw.choice([[], [x[at], "?"], ["!"]])
+        return "".join(x)
+
+    docs = [(i, draw.choice(["", word(3)]) + worn(names[i][1]) + draw.choice(["", "一批；" + worn(names[-i][1])])) for i in range(300)]
+    d, a = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(names, "item_id long, alias string")
+    for least in (80.0, 85.0):
+        best = {(i, j): s for i, t in docs for j, n in names if len(set(t) & set(n)) > 8 and len(t) >= len(n) and (s := S.partial(n, t)) >= least}
+        a_least = a.withColumn("least", F.lit(least))
+        assert {(r.doc_id, r.item_id): r.score for r in J.near_mentions(d, a_least).collect()} == best
+        assert len(best) <= J.near_pairs(d, a_least).count() < 1200  # 90,000 pairs
+
+
 def test_a_title_with_a_wrong_letter_is_an_anchor(spark):
     from tallyglass.operators import anchors as A
 
