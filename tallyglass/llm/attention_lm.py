@@ -8,7 +8,7 @@ Training is data-parallel and reads every context window of every training docum
 (long ones in pieces) are dealt by row number and place to rounds and to shards whose number follows the
 corpus; in its round every shard takes optimizer steps from the shared weights until it has read all its
 windows, `STEPS` at least, and the results are averaged by Spark in two levels; the driver holds one set of
-weights. Texts too few to fill one round are read in each round.
+weights. This holds for tables of every size.
 
 Scoring is one map over the encoded rows, which carry their doc_id from the one pass on: overlapping windows
 score every id once with batched masked attention. The base score looks words up in the `HEAD` most frequent
@@ -188,7 +188,7 @@ def _summed(parts: DataFrame, kind, width: int) -> np.ndarray | None:
 DEALT = "row long, key long, place long, n long, a binary"
 
 
-def dealt(gathered: DataFrame, shards: int, apart: bool) -> DataFrame:
+def dealt(gathered: DataFrame, shards: int, apart: bool = True) -> DataFrame:
     """All symbols of the training documents, once: row, key (hash of id and symbols), place (piece of a long
     document), n, a, and the shard and turn (round; null for every round unless apart) that learn them. Key and place
     decide both, so a table learns alike however it is split."""
@@ -246,7 +246,6 @@ def text_scores(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
     buckets = max(1, -(-total // BUCKET_BYTES))
     shards = max(1, -(-total // (3 * net.SCORED * SHARD_WINDOWS)))
-    apart = total > len(ROUNDS) * 3 * net.SCORED * STEPS * BATCH
     gathered = cut(gather(rows.withColumn("row", F.monotonically_increasing_id()), tokenizer_path, buckets))
     counts = cut(word_counts(gathered))
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -266,7 +265,7 @@ def text_scores(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         rare.append(float(symbols[mine].sum()))
         inner[mine] = np.log10((symbols[mine] + INNER) / (symbols[mine] + INNER).sum())
     w = net.start_weights(symbols[ranked[: net.SLOTS]], *rare)
-    w = net.tables(net.views(fit(dealt(gathered, shards, apart), slots, w, shards)))
+    w = net.tables(net.views(fit(dealt(gathered, shards), slots, w, shards)))
     shared = spark.sparkContext.broadcast((head_keys[order], top.column("c").to_numpy()[order], slots, inner, w))
     end_count = counts.where(F.col("h") == int(np.int64(END_WORD.view(np.int64)))).first()
     end_known = int(end_count is not None)

@@ -43,6 +43,16 @@ def test_lm_empty(nothing):
     assert attention_lm.text_scores(nothing, LM_FILE).count() == 0
 
 
+def test_lm_learns_small_tables_as_large_ones(documents, monkeypatch):
+    """Each piece of a table of any size is learned in one of the rounds."""
+    dealt, met = attention_lm.dealt, []
+    monkeypatch.setattr(attention_lm, "STEPS", 1)
+    monkeypatch.setattr(attention_lm, "dealt", lambda *a: met.append(dealt(*a)) or met[0])
+    attention_lm.text_scores(documents, LM_FILE)
+    turns = met[0].toPandas().turn
+    assert turns.notna().all() and turns.nunique() == len(attention_lm.ROUNDS)
+
+
 @pytest.mark.parametrize("apart", [False, True])
 def test_lm_learns_every_training_symbol(apart, documents, monkeypatch):
     monkeypatch.setattr(attention_lm, "STEPS", 1)
