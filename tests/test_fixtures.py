@@ -381,6 +381,24 @@ def test_near_pairs_lose_nothing_and_bring_little(spark):
         assert len(best) <= J.near_pairs(d, a_least).count() < 1200  # 90,000 pairs
 
 
+def test_values_are_read_where_they_stand(spark):
+    """Labelled values of nested tables are those of their cells: first row with a label, its last plain number."""
+    from tallyglass.operators import tables as T
+    from tallyglass.sources.corpus import cells
+
+    wanted = {"total": ["合计", "总计"], "basic": ["基本支出"], "none": ["没有"]}
+    first = [["项目", "决算数"], None, [], [" 本年合计 ", "1,000.50", "12%", " 7 ", "说明", None], ["合计", "9"], ["基本支出", "-", None], ["基本支出", "5"]]
+    second = [["总计"], ["总计", "3"], ["基本支出合计", "4%", "-2.5"]]
+    rows = [(1, 1, [first, second]), (1, 2, [[["其他", "8"]], None, second]), (2, 1, None), (3, 1, [])]
+    nested = spark.createDataFrame(rows, "doc_id long, page_no int, tables array<array<array<string>>>")
+    order = ["doc_id", "page_no", "table_ix"]
+    read = lambda df: [tuple(r) for r in df.where("coalesce(total, basic) is not null").select(*order, *wanted).orderBy(*order).collect()]
+    got = T.nested_row_values(nested, wanted)
+    assert read(got) == read(T.row_values(cells(nested), wanted)) and got.count() == 3
+    assert [str(r.total) for r in got.orderBy(*order).collect()] == ["7.0000", "None", "None"]
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_title_with_a_wrong_letter_is_an_anchor(spark):
     from tallyglass.operators import anchors as A
 
