@@ -10,9 +10,11 @@
    as the pair's own overlap needs beyond the longer of the two suffixes.
 4. Postings with two or more documents give first one candidate for each document: the posting's lowest
    id. Verified links already join most near copies. Then every remaining pair of documents in different
-   components that shares enough prefix shingles is verified. Pairs inside one component add nothing to
+   components that shares enough prefix shingles is a candidate. Pairs inside one component add nothing to
    the result, so groups of thousands of near copies never meet all against all.
-5. Verification recomputes both shingle sets from the whole texts.
+5. Verification recomputes both shingle sets from the whole texts. The remaining candidates stay packed lists,
+   one for each document and block of partners; a tile (block, block) gets each text that its lists name once,
+   and tries a pair only while its tile has not joined the two.
 
 Defined results: lower-cased A-Z; fewer words than n: the whole sequence is the one shingle; null, empty
 or blank text: empty set, linked with nothing; repeated rows and equal sets share a component; an id with
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +51,10 @@ FEW_ROWS = 400_000
 FINGERPRINT_BITS = 44
 #: A posting of more documents is met in tiles of this many by this many.
 POSTING_BLOCK = 1 << 14
+#: Shingles of the documents that share a block of candidates, and how many are compared at a time.
+BLOCK_SHINGLES, TOGETHER = 1 << 19, 1 << 18
+#: Bytes of texts that a task holds before it verifies the tiles that are whole.
+TILE_BYTES = 8 << 20
 PAIRS_TOGETHER = 500_000
 #: Hashes and index entries that a task holds before it packs them by bucket.
 HASH_LOT, ENTRY_LOT = 1_000_000, 500_000
@@ -232,8 +239,12 @@ def _postings(index: DataFrame, percent: int) -> DataFrame:
     return index.groupBy("bucket").applyInPandas(gather, "fp long, id long, size int, need int, low long, low_size int")
 
 
-def _cross_pairs(entries: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """Pairs of one posting's documents from different components, where enough postings are shared.
+CROSS = "x long, y long, id long, n long, bs binary"
+
+
+def _cross_pairs(entries: DataFrame, percent: int, buckets: int, parts: int) -> DataFrame:
+    """Pairs of one posting's documents from different components, where enough postings are shared: for each
+    document (id) and tile (x, y) of two among `parts` blocks one packed list (bs) of n partners.
     A bucket of postings hands on one packed list of partners for each document. Long postings are dealt in
     tiles (block, block), so that no task meets one alone."""
 
@@ -269,17 +280,23 @@ def _cross_pairs(entries: DataFrame, percent: int, buckets: int) -> DataFrame:
         b, shared, asked = (np.concatenate([unpacked(d, n, np.int64) for d, n in zip(frame[c], frame["n"], strict=True)]) for c in ("bs", "shared", "asked"))
         a, b, shared, asked = _tallied(a, b, shared, asked)
         enough = shared >= asked
-        return pd.DataFrame({"a": a[enough], "b": b[enough]})
+        a, b = a[enough], b[enough]
+        of_a, of_b = ((mix(c.view(np.uint64)) % np.uint64(parts)).astype(np.int64) for c in (a, b))
+        order = np.lexsort((b, of_b, a))
+        a, b, of_a, of_b = a[order], b[order], of_a[order], of_b[order]
+        edges = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (of_b[1:] != of_b[:-1]), [True]))) if len(a) else np.zeros(1, np.int64)
+        rows = [(int(min(of_a[lo], of_b[lo])), int(max(of_a[lo], of_b[lo])), int(a[lo]), hi - lo, packed(b[lo:hi])) for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        return pd.DataFrame(rows, columns=["x", "y", "id", "n", "bs"])
 
     mixed = entries.groupBy("fp").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("rows")).where("c0 <> c1")
-    parts = F.ceil(F.col("rows") / POSTING_BLOCK).cast("long")
-    left = entries.join(mixed.select("fp", parts.alias("parts")), "fp").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    tiles = F.ceil(F.col("rows") / POSTING_BLOCK).cast("long")
+    left = entries.join(mixed.select("fp", tiles.alias("parts")), "fp").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     left = left.withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")})
     left = left.withColumn("bucket", F.pmod(F.xxhash64("fp", "x", "y"), F.lit(buckets)))
     lists = left.groupBy("bucket").applyInPandas(meet, "a long, n long, bs binary, shared binary, asked binary")
     dealt = lists.withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInPandas(settle, "a long, b long")
+    return dealt.groupBy("bucket").applyInPandas(settle, CROSS)
 
 
 def _tallied(a: np.ndarray, b: np.ndarray, shared: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -320,6 +337,82 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _new_links(table: pa.Table, percent: int) -> tuple[list[int], list[int]]:
+    """Links among the pairs that whole tiles list, enough to join all that these pairs link. Rows of `table`: lists
+    (id, n, bs) and texts (id, text) of all documents that the lists name."""
+    given = table.filter(pc.is_valid(table.column("text")))
+    ids, first = np.unique(given.column("id").to_numpy(), return_index=True)
+    sets, sizes = [], []
+    for block in blocks(given.column("text").take(pa.array(first))):
+        grams, offsets = shingle_sets(block)
+        sets.append(grams)
+        sizes.append(np.diff(offsets))
+    lists = table.filter(pc.is_valid(table.column("bs")))
+    if not lists.num_rows:
+        return [], []
+    grams, size = np.concatenate(sets), np.concatenate(sizes)
+    start = np.cumsum(size) - size
+    joined = np.arange(len(ids))
+    left, right = [], []
+    for a, n, bs in zip(lists.column("id").to_pylist(), lists.column("n").to_pylist(), lists.column("bs").to_pylist(), strict=True):
+        i = int(np.searchsorted(ids, a))
+        mine = grams[start[i] : start[i] + size[i]]
+        others = np.searchsorted(ids, unpacked(bs, n, np.int64))
+        while len(others := others[joined[others] != joined[i]]):
+            some = others[: max(1, int(np.searchsorted(np.cumsum(size[others]), TOGETHER)))]
+            others = others[len(some) :]
+            edges = np.cumsum(size[some]) - size[some]
+            theirs = grams[np.repeat(start[some] - edges, size[some]) + np.arange(size[some].sum())]
+            at = np.searchsorted(mine, theirs)
+            at[at == len(mine)] = 0
+            both = np.add.reduceat((mine[at] == theirs).astype(np.int64), edges)
+            for j in some[100 * both >= percent * (size[i] + size[some] - both)].tolist():
+                if joined[j] != joined[i]:
+                    left.append(a)
+                    right.append(int(ids[j]))
+                    joined[joined == joined[j]] = joined[i]
+    return left, right
+
+
+def verify_lists(lists: DataFrame, texts: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """Verified pairs (a, b) out of `_cross_pairs`, enough to join all that its pairs link."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, own, n = (batch.column(c).to_numpy() for c in ("x", "y", "id", "n"))
+            partners = [unpacked(d, m, np.int64) for d, m in zip(batch.column("bs").to_pylist(), n.tolist(), strict=True)]
+            tile = np.stack([np.append(x, np.repeat(x, n)), np.append(y, np.repeat(y, n)), np.concatenate([own, *partners])])
+            tile = tile[:, np.lexsort(tile[::-1])]
+            if tile.shape[1]:
+                tile = tile[:, np.concatenate(([True], (tile[:, 1:] != tile[:, :-1]).any(axis=0)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in tile], names=["x", "y", "id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(table: pa.Table) -> pa.RecordBatch:
+            a, b = _new_links(table, percent)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        held: list[pa.Table] = []
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            if sum(t.nbytes for t in held) > TILE_BYTES:
+                table = pa.concat_tables(held)
+                x, y = (table.column(c).to_numpy() for c in ("x", "y"))
+                begun = int(np.argmax((x == x[-1]) & (y == y[-1])))
+                if begun:  # the last tile may go on
+                    yield links(table.slice(0, begun))
+                held = [table.slice(begun)]
+        if held:
+            yield links(pa.concat_tables(held))
+
+    dealt = lists.repartition(buckets, "x", "y")
+    wanted = dealt.mapInArrow(named, "x long, y long, id long").distinct()
+    nothing = lambda kind: F.lit(None).cast(kind)
+    given = wanted.join(texts, "id").select("x", "y", "id", nothing("long").alias("n"), nothing("binary").alias("bs"), "text")
+    rows = lists.withColumn("text", nothing("string")).unionByName(given)
+    return rows.repartition(buckets, "x", "y").sortWithinPartitions("x", "y").mapInArrow(run, "a long, b long")
+
+
 SET = ["k1", "k2", "n"]
 
 
@@ -358,8 +451,8 @@ def _links(texts: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     links = cut(verify(stars, wanted, percent))
     comp = components(links, "a", "b")
     placed = entries.join(comp, entries.id == comp.node, "left").select("fp", "id", "size", "need", F.coalesce("component", "id").alias("comp"))
-    more = verify(_cross_pairs(placed, percent, 4 * buckets), wanted, percent)
-    return links.union(cut(more))
+    lists = cut(_cross_pairs(placed, percent, 4 * buckets, max(1, -(-total.s // BLOCK_SHINGLES))))
+    return links.union(cut(verify_lists(lists, wanted, percent, buckets)))
 
 
 def _classed(sets: DataFrame, links: DataFrame | None) -> DataFrame:

@@ -78,6 +78,34 @@ def test_jaccard_join_long_postings_in_tiles(spark, monkeypatch):
     assert got == jaccard_classes(rows)
 
 
+@pytest.mark.parametrize("block", [1 << 19, 4_000])
+def test_jaccard_join_cross_pairs_stay_packed(spark, monkeypatch, block):
+    """Copies of one text, many too far apart to link: all pairs are candidates, but rows follow the documents."""
+    made = []
+
+    def counting(*args):
+        out = shared.cut(cross(*args))
+        made.append(out.count())
+        return out
+
+    cross = jaccard_join._cross_pairs
+    monkeypatch.setattr(jaccard_join, "_cross_pairs", counting)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", block, raising=False)
+    monkeypatch.setattr(jaccard_join, "TOGETHER", 1_000, raising=False)
+    monkeypatch.setattr(jaccard_join, "TILE_BYTES", 20_000, raising=False)
+    rng = np.random.default_rng(3)
+    base, rows = [f"t{i}" for i in range(120)], []
+    for i in range(200):
+        words = list(base)
+        at = int(rng.integers(0, 80))
+        words[at : at + 4 + i % 20] = [f"u{i}_{k}" for k in range(4 + i % 20)]
+        rows.append((i, " ".join(words)))
+    got = sorted(tuple(r) for r in jaccard_join.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == jaccard_classes(rows)
+    assert len({c for _, _, c in got}) > 20
+    assert made and 0 < made[0] <= 200 * -(-200 * 116 // block)
+
+
 def test_one_of_each(odd):
     kept = jaccard_join.one_of_each(odd)
     assert kept.columns == odd.columns
