@@ -518,3 +518,24 @@ def test_arriving_pages_withdraw_what_they_mend(spark, tmp_path):
     after = {(r.doc_id, r.message, r.state) for r in held(spark, at).collect()}
     assert after == before - {(1, "缺失表：收入决算表", "open")} | {(1, "缺失表：收入决算表", "withdrawn")}
     assert [(r.doc_id, r.message) for r in row_findings(spark, at).collect()] == [(1, "负数")]
+
+
+def test_class_shares_deal_each_document_once(spark, sf):
+    from tallyglass.operators import checks
+    from tallyglass.plans.checks import t05
+
+    a = [["编码", "额"], ["2010101", "5", "12%"], ["201", "x", "7.5"], [" 2080501", "1,000", None], ["合计", "9"], [], None, [None, "3"], ["30401"]]
+    rows = [(1, 1, "201类占比50%，208类占比98.8%", [a, None]), (1, 2, None, [a, []]), (2, 1, "201类占比9%，201类占比100%", [a]), (3, 1, "201类占比1%", None)]
+    pages = spark.createDataFrame(rows, "doc_id long, page_no int, text string, tables array<array<array<string>>>")
+    flat = pages.select("doc_id", "page_no", F.explode(T.class_rows("tables")).alias("x")).groupBy("doc_id", "page_no", "x.code").agg(F.sum("x.value").alias("value"))
+    sums = T.nested_class_sums(pages).groupBy("doc_id", "page_no", "code").agg(F.sum("value").alias("value"))
+    assert sorted(map(tuple, flat.collect())) == sorted(map(tuple, sums.collect()))
+    found = checks.class_shares(pages.select("doc_id", T.class_rows("tables").alias("rows"), "text")).collect()
+    assert sorted(map(tuple, found)) == [(1, "201"), (2, "201"), (2, "201")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = t05(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 2  # lines and orders, each once
