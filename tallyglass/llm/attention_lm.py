@@ -40,6 +40,7 @@ END = 50_256
 SHARD_WINDOWS = 1 << 18
 ROUNDS = [0.04, 0.025, 0.015, 0.0075]
 STEPS, BATCH = 128, 512
+SCORE_WINDOWS = 4096
 #: Symbols of a longer training document are learned in pieces of this many (whole windows).
 PIECE = 2048 * net.SCORED
 #: Added to the count of every symbol without a slot.
@@ -255,16 +256,18 @@ def text_scores(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     order = np.argsort(head_keys)
     symbols = _summed(gathered.where("kind = 1").select("bucket", "n", "a"), np.int64, spread(buckets))
     symbols = np.zeros(SYMBOLS, np.int64) if symbols is None else symbols
-    ranked = np.argsort(-symbols, kind="stable")
     opens = np.arange(SYMBOLS) >= IDS
     slots = np.where(opens, net.RARE, net.RARE_INSIDE)
-    slots[ranked[: net.SLOTS]] = np.arange(net.SLOTS)
+    own = net.seats(symbols, opens)
+    slots[own] = net.TAKEN
     inner, rare = np.zeros(SYMBOLS), []
     for kind in (net.RARE, net.RARE_INSIDE):
         mine = slots == kind
         rare.append(float(symbols[mine].sum()))
         inner[mine] = np.log10((symbols[mine] + INNER) / (symbols[mine] + INNER).sum())
-    w = net.start_weights(symbols[ranked[: net.SLOTS]], *rare)
+    filled = np.full(net.SLOTS, -1, np.int64)
+    filled[net.TAKEN] = symbols[own]
+    w = net.start_weights(filled, *rare)
     w = net.tables(net.views(fit(dealt(gathered, shards), slots, w, shards)))
     shared = spark.sparkContext.broadcast((head_keys[order], top.column("c").to_numpy()[order], slots, inner, w))
     end_count = counts.where(F.col("h") == int(np.int64(END_WORD.view(np.int64)))).first()
@@ -316,8 +319,8 @@ def text_scores(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 ids, offsets = decoded(batch.column("a").slice(block.first, block.n), mine), np.concatenate(([0], np.cumsum(mine)))
                 x, y, live, doc = net.windows(slots[ids], offsets)
                 score = np.add.reduceat(inner[ids], offsets[:-1])
-                for i in range(0, len(x), 1024):
-                    some = slice(i, i + 1024)
+                for i in range(0, len(x), SCORE_WINDOWS):
+                    some = slice(i, i + SCORE_WINDOWS)
                     got = net.log10_probabilities(w, x[some], y[some])
                     got *= live[some]
                     score += np.bincount(doc[some], got.sum(axis=1, dtype=np.float64), block.n)

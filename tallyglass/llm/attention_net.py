@@ -2,12 +2,14 @@
 
 A window holds `CONTEXT` ids that are only read and `SCORED` ids that are predicted, so overlapping windows
 score every id once. One masked attention head, a dense layer, and a two-level output: the class of the
-next symbol, then the symbol within its class. Symbols are numbered by corpus frequency; `SLOTS` of them
-have a place of their own, all others share two classes, one for symbols that open a word and one for
-those inside, whose inner distributions come from counts.
-
-All weights lie in one flat array. Keys, values and queries are read from tables (embedding times
-projection), worked out once for each set of weights. Big arrays are kept and filled again.
+next symbol, then the symbol within its class. The most frequent symbols have slots; `SIZES` says how many of them each class holds,
+few where they are frequent, so that most symbols are told from few others. A class has room for
+`MEMBERS` slots; slots left empty have probability 0 and are not worked out. All other symbols share two
+classes, one for symbols that open a word and one for those inside, whose inner distributions come from counts.
+
+All weights lie in one flat array. What attention multiplies is read from a table (embedding times projections),
+worked out once for each set of weights; the way back adds up by symbol first and passes the projections then.
+Big arrays are kept and filled again.
 """
 
 from __future__ import annotations
@@ -16,8 +18,13 @@ import numpy as np
 
 CONTEXT, SCORED = 8, 24
 WINDOW = CONTEXT + SCORED
-CLASSES, MEMBERS = 32, 64
+#: Different symbols of each class, most frequent first.
+SIZES = [16] * 4 + [32] * 4 + [64] * 4 + [128] * 12 + [64]
+CLASSES, MEMBERS = len(SIZES), 128
 SLOTS = CLASSES * MEMBERS
+#: Slots that symbols take, class by class; the others stay empty.
+TAKEN = np.concatenate([c * MEMBERS + np.arange(m) for c, m in enumerate(SIZES)])
+EMPTY = np.float32(-1e9)
 RARE, RARE_INSIDE, START = SLOTS, SLOTS + 1, SLOTS + 2
 WIDTH, HIDDEN = 16, 32
 SHAPES = {
@@ -40,6 +47,8 @@ GROUP = np.append(np.arange(SLOTS) // MEMBERS, [CLASSES, CLASSES + 1]).astype(np
 SCALE = np.float32(1 / np.sqrt(WIDTH))
 #: Windows that go through the network together when scoring, so that their arrays stay in the cache.
 TOGETHER = 128
+#: Targets of a class that are scored together.
+ROWS = 4096
 
 _kept: dict[tuple, np.ndarray] = {}
 
@@ -63,36 +72,60 @@ def views(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def seats(counts: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """The symbols that take the slots `TAKEN`. A class takes the most frequent ones left of one kind (opening a word or
+    inside), that of the most frequent symbol left, so that the class says the kind; what the kind lacks the other fills."""
+    ranked = np.argsort(-counts, kind="stable")
+    left = [ranked[opens[ranked]], ranked[~opens[ranked]]]
+    out = []
+    for size in SIZES:
+        heads = [counts[k[0]] if len(k) else -1 for k in left]
+        for kind in (0, 1) if heads[0] >= heads[1] else (1, 0):
+            out.append(left[kind][:size])
+            left[kind] = left[kind][size:]
+            size -= len(out[-1])
+    return np.concatenate(out)
+
+
 def start_weights(counts: np.ndarray, rare: float, rare_inside: float, seed: int = 0) -> np.ndarray:
-    """Random weights whose output biases give the corpus frequencies of slots and of the rare classes."""
+    """Random weights whose output biases give the corpus frequencies of slots (counts; below 0: empty) and of the rare classes."""
     rng = np.random.default_rng(seed)
     flat = np.zeros(sum(int(np.prod(s)) for s in SHAPES.values()), np.float32)
     w = views(flat)
     for name, spread in (("in", 0.3), ("place", 0.3), ("k", 0.3), ("v", 0.2), ("q", 0.3), ("o", 0.2), ("up", 0.2), ("down", 0.1), ("class", 0.05), ("member", 0.05)):
         w[name][:] = rng.normal(0, spread, SHAPES[name])
-    filled = np.zeros(SLOTS)
-    filled[: len(counts)] = counts
-    filled += 0.5
-    by_class = filled.reshape(CLASSES, MEMBERS)
+    by_class = np.where(counts < 0, 0, counts + 0.5).reshape(CLASSES, MEMBERS)
     w["class_bias"][:] = np.log(np.append(by_class.sum(1), [rare + 0.5, rare_inside + 0.5]))
-    w["member_bias"][:] = np.log(by_class / by_class.sum(1, keepdims=True))
+    share = by_class / by_class.sum(1, keepdims=True)
+    w["member_bias"][:] = np.where(share > 0, np.log(np.maximum(share, 1e-300)), EMPTY)
     return flat
 
 
+def _sizes(w: dict) -> list[int]:
+    """How many slots of each class are taken; empty ones stand behind them."""
+    return (w["member_bias"] > EMPTY / 2).sum(axis=1).tolist()
+
+
+def _projection(w: dict) -> np.ndarray:
+    """What turns a vector into the one queries' vectors are multiplied with, and into its value as attention adds it."""
+    return np.concatenate([w["k"] @ w["q"].T * w["in"].dtype.type(SCALE), w["v"] @ w["o"]], axis=1)
+
+
 def tables(w: dict) -> dict:
-    """w with keys, values, scaled queries and plain vectors of every symbol and place."""
+    """w with keys and values (side by side) and plain vectors of every symbol and place."""
     out = dict(w)
-    for name, m in (("k", w["k"]), ("v", w["v"]), ("q", w["q"] * w["q"].dtype.type(SCALE))):
-        out[f"{name}_table"], out[f"{name}_place"] = w["in"] @ m, w["place"] @ m
+    m = _projection(w)
+    out["kv_table"], out["kv_place"] = w["in"] @ m, w["place"] @ m
     out["x_table"], out["x_place"] = w["in"], w["place"]
-    longest = lambda name: float(sum(np.sqrt(np.square(out[f"{name}_{c}"]).sum(axis=1).max()) for c in ("table", "place")))
-    out["steep"] = longest("k") * longest("q") > 60  # only then a product can be too large for exp
+    longest = lambda name: float(sum(np.sqrt(np.square(out[f"{name}_{c}"][:, :WIDTH]).sum(axis=1).max()) for c in ("table", "place")))
+    out["steep"] = longest("kv") * longest("x") > 60  # only then a product can be too large for exp
     return out
 
 
 def _read(t: dict, name: str, ids: np.ndarray) -> np.ndarray:
-    out = _room(name, (*ids.shape, WIDTH), t["in"].dtype)
-    np.take(t[f"{name}_table"], ids, axis=0, out=out, mode="clip")
+    table = t[f"{name}_table"]
+    out = _room(name, (*ids.shape, table.shape[1]), table.dtype)
+    np.take(table, ids, axis=0, out=out, mode="clip")
     out += t[f"{name}_place"][-ids.shape[1] :]
     return out
 
@@ -100,32 +133,31 @@ def _read(t: dict, name: str, ids: np.ndarray) -> np.ndarray:
 def _states(t: dict, ids: np.ndarray, z: np.ndarray) -> tuple:
     """Fills z with the last states (windows * SCORED rows); what the way back needs."""
     kind, n = t["in"].dtype, len(ids)
-    late = np.ascontiguousarray(ids[:, CONTEXT:])
-    k, v, q, x = _read(t, "k", ids), _read(t, "v", ids), _read(t, "q", late), _read(t, "x", late)
+    kv, x = _read(t, "kv", ids), _read(t, "x", ids[:, CONTEXT:])
     e = _room("e", (n, SCORED, WINDOW), kind)
-    np.matmul(q, k.transpose(0, 2, 1), out=e)
+    np.matmul(x, kv[:, :, :WIDTH].transpose(0, 2, 1), out=e)
     if t["steep"]:
         np.minimum(e, kind.type(60), out=e)
     e += MASK
     np.exp(e, out=e)
     total = np.matmul(e, np.ones(WINDOW, kind), out=_room("total", (n, SCORED), kind))
-    c = np.matmul(e, v, out=_room("c", (n, SCORED, WIDTH), kind))
+    c = np.matmul(e, kv[:, :, WIDTH:], out=_room("c", (n, SCORED, WIDTH), kind))
     c /= total[:, :, None]
-    h = np.matmul(c.reshape(-1, WIDTH), t["o"], out=_room("h", (n * SCORED, WIDTH), kind))
-    h += x.reshape(-1, WIDTH)
+    h = np.add(c, x, out=_room("h", x.shape, kind)).reshape(-1, WIDTH)
     g = np.matmul(h, t["up"], out=_room("g", (n * SCORED, HIDDEN), kind))
     g += t["up_bias"]
     np.maximum(g, 0, out=g)
     np.matmul(g, t["down"], out=z)
     z += h
-    return k, v, q, e, total, c, h, g
+    return kv, x, e, total, c, h, g
 
 
-def _ordered(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The class of every target, their order by class, and where each class starts in it."""
+def _ordered(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[slice]]:
+    """The order of the targets by class, the targets in it, and where each class (the rare ones too) stands in it."""
     group = np.take(GROUP, y)
     order = np.argsort(group, kind="stable")
-    return group, order, np.searchsorted(group[order], np.arange(CLASSES + 1))
+    bounds = np.concatenate(([0], np.cumsum(np.bincount(group, minlength=CLASSES + 2)))).tolist()
+    return order, np.take(y, order), [slice(i, j) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def _exp(logits: np.ndarray, steep: bool) -> np.ndarray:
@@ -155,24 +187,40 @@ def log10_probabilities(t: dict, ids: np.ndarray, targets: np.ndarray) -> np.nda
     for i in range(0, len(ids), TOGETHER):
         part = ids[i : i + TOGETHER]
         _states(t, part, z[i * SCORED : (i + len(part)) * SCORED])
-    y, steep = targets.ravel(), _steep(t, z)
-    group, order, bounds = _ordered(y)
-    logits = np.matmul(z, t["class"], out=_room("classes", (len(y), CLASSES + 2), kind))
-    logits += t["class_bias"]
-    out = _picked(logits, group)
-    out -= np.log(_exp(logits, steep))
-    sorted_z = np.take(z, order, axis=0, out=_room("sorted", z.shape, kind), mode="clip")
-    member = np.take(y, order) % MEMBERS
-    inner = np.zeros(len(y), kind)
-    for c in range(CLASSES):
-        r = slice(bounds[c], bounds[c + 1])
-        if r.stop > r.start:
-            logits = np.matmul(sorted_z[r], t["member"][c], out=_room("members", (r.stop - r.start, MEMBERS), kind))
-            logits += t["member_bias"][c]
-            inner[r] = _picked(logits, member[r])
-            inner[r] -= np.log(_exp(logits, steep))
-    out[order] += inner
-    return (out * kind.type(1 / np.log(10))).reshape(targets.shape)
+    steep, sizes = _steep(t, z), _sizes(t)
+    order, y, runs = _ordered(targets.ravel())
+    z = np.take(z, order, axis=0, out=_room("sorted", z.shape, kind), mode="clip")
+    member = y % MEMBERS
+    got = np.empty(len(y), kind)
+    for c, r in enumerate(runs):
+        for i in range(r.start, r.stop, ROWS):
+            part = slice(i, min(i + ROWS, r.stop))
+            m = part.stop - i
+            logits = np.matmul(z[part], t["class"], out=_room("classes", (m, CLASSES + 2), kind))
+            logits += t["class_bias"]
+            some = logits[:, c].copy()
+            some -= np.log(_exp(logits, steep))
+            if c < CLASSES:
+                logits = np.matmul(z[part], t["member"][c, :, : sizes[c]], out=_room("members", (m, sizes[c]), kind))
+                logits += t["member_bias"][c, : sizes[c]]
+                some += _picked(logits, member[part])
+                some -= np.log(_exp(logits, steep))
+            got[part] = some
+    got *= kind.type(1 / np.log(10))
+    out = np.empty(len(y), kind)
+    out[order] = got
+    return out.reshape(targets.shape)
+
+
+def _by_symbol(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols that occur, ascending, and the sums of their rows."""
+    flat = ids.astype(np.uint16).ravel()
+    order = np.argsort(flat, kind="stable")
+    at = flat[order]
+    edges = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    rows = np.take(rows, order, axis=0, out=_room("by_symbol", rows.shape, rows.dtype), mode="clip")
+    pairs = rows.view(np.result_type(rows.dtype, np.complex64))  # two numbers are added in one step
+    return at[edges].astype(np.int64), np.add.reduceat(pairs, edges, axis=0).view(rows.dtype)
 
 
 def gradients(w: dict, ids: np.ndarray, targets: np.ndarray, live: np.ndarray, out: dict | None = None, measure: bool = True) -> tuple[dict, float]:
@@ -181,44 +229,46 @@ def gradients(w: dict, ids: np.ndarray, targets: np.ndarray, live: np.ndarray, o
     kind, n = w["in"].dtype, len(ids)
     out = {k: np.empty_like(v) for k, v in w.items()} if out is None else out
     z = _room("z", (n * SCORED, WIDTH), kind)
-    k, v, q, e, total, c, h, g = _states(t, ids, z)
-    y, on, steep = targets.ravel(), live.ravel(), _steep(w, z)
+    kv, x, e, total, c, h, g = _states(t, ids, z)
+    steep, sizes = _steep(w, z), _sizes(w)
+    order, y, runs = _ordered(targets.ravel())
+    on = np.take(live.ravel(), order)
     share = kind.type(1 / max(1, on.sum()))
-    group, order, bounds = _ordered(y)
+    weight = on * share
 
+    z = np.take(z, order, axis=0, out=_room("sorted", z.shape, kind), mode="clip")
     p = np.matmul(z, w["class"], out=_room("classes", (len(y), CLASSES + 2), kind))
     p += w["class_bias"]
-    weight = on * share
-    picked = _picked(p, group) if measure else 0
+    picked = np.concatenate([p[r, i] for i, r in enumerate(runs)]) if measure else 0
     total_p = _exp(p, steep)
-    loss = -float((picked - np.log(total_p)) @ on) if measure else 0.0
+    loss = -float((picked - np.log(total_p)) @ weight) if measure else 0.0
     p *= (weight / total_p)[:, None]
-    p.ravel()[np.arange(0, p.size, p.shape[1]) + group] -= weight
+    for i, r in enumerate(runs):
+        p[r, i] -= weight[r]
     np.matmul(z.T, p, out=out["class"])
     np.matmul(np.ones(len(y), kind), p, out=out["class_bias"])
     dz = np.matmul(p, w["class"].T, out=_room("dz", z.shape, kind))
 
-    member = np.take(y, order) % MEMBERS
-    sorted_z = np.take(z, order, axis=0, out=_room("sorted", z.shape, kind), mode="clip")
-    weight = weight[order]
-    back = _room("back", z.shape, kind)
-    for i in range(CLASSES):
-        r = slice(bounds[i], bounds[i + 1])
-        m = r.stop - r.start
+    member = y % MEMBERS
+    out["member"][:], out["member_bias"][:] = 0, 0
+    for i, r in enumerate(runs[:CLASSES]):
+        m, size = r.stop - r.start, sizes[i]
         if not m:
-            out["member"][i], out["member_bias"][i] = 0, 0
             continue
-        p = np.matmul(sorted_z[r], w["member"][i], out=_room("members", (m, MEMBERS), kind))
-        p += w["member_bias"][i]
+        inner = w["member"][i, :, :size]
+        p = np.matmul(z[r], inner, out=_room("members", (m, size), kind))
+        p += w["member_bias"][i, :size]
         picked = _picked(p, member[r]) if measure else 0
         total_p = _exp(p, steep)
-        loss -= float((picked - np.log(total_p)) @ weight[r]) / float(share) if measure else 0.0
+        loss -= float((picked - np.log(total_p)) @ weight[r]) if measure else 0.0
         p *= (weight[r] / total_p)[:, None]
-        p.ravel()[np.arange(0, p.size, MEMBERS) + member[r]] -= weight[r]
-        np.matmul(sorted_z[r].T, p, out=out["member"][i])
-        np.matmul(np.ones(m, kind), p, out=out["member_bias"][i])
-        np.matmul(p, w["member"][i].T, out=back[r])
-    dz[order[: bounds[CLASSES]]] += back[: bounds[CLASSES]]
+        p.ravel()[np.arange(0, p.size, size) + member[r]] -= weight[r]
+        np.matmul(z[r].T, p, out=out["member"][i, :, :size])
+        np.matmul(np.ones(m, kind), p, out=out["member_bias"][i, :size])
+        dz[r] += np.matmul(p, inner.T, out=_room("back", (m, WIDTH), kind))
+    place_of = np.empty(len(y), np.int64)
+    place_of[order] = np.arange(len(y))
+    dz = np.take(dz, place_of, axis=0, out=z, mode="clip")
 
     np.matmul(g.T, dz, out=out["down"])
     dg = np.matmul(dz, w["down"].T, out=_room("dg", g.shape, kind))
@@ -227,36 +277,29 @@ def gradients(w: dict, ids: np.ndarray, targets: np.ndarray, live: np.ndarray, o
     np.matmul(np.ones(len(dg), kind), dg, out=out["up_bias"])
     dh = np.matmul(dg, w["up"].T, out=_room("dh", h.shape, kind))
     dh += dz
-    np.matmul(c.reshape(-1, WIDTH).T, dh, out=out["o"])
-    dc = np.matmul(dh, w["o"].T, out=_room("dc", h.shape, kind)).reshape(c.shape)
-    dc /= total[:, :, None]
-    de = np.matmul(dc, v.transpose(0, 2, 1), out=_room("de", e.shape, kind))
+    dh = dh.reshape(c.shape)
+    dc = np.divide(dh, total[:, :, None], out=_room("dc", c.shape, kind))
+    de = np.matmul(dc, kv[:, :, WIDTH:].transpose(0, 2, 1), out=_room("de", e.shape, kind))
     de -= np.einsum("nsd,nsd->ns", dc, c)[:, :, None]
     de *= e
-    rows = lambda x: x.reshape(-1, WIDTH)
-    dk = rows(np.matmul(de.transpose(0, 2, 1), q, out=_room("dk", k.shape, kind)))
-    dv = rows(np.matmul(e.transpose(0, 2, 1), dc, out=_room("dv", v.shape, kind)))
-    dq = rows(np.matmul(de, k, out=_room("dq", q.shape, kind)))
-    dq *= kind.type(SCALE)
-    x = _read(t, "x", ids)
-    np.matmul(rows(x).T, dk, out=out["k"])
-    np.matmul(rows(x).T, dv, out=out["v"])
-    late = _room("late", q.shape, kind)
-    late[:] = x[:, CONTEXT:]
-    np.matmul(rows(late).T, dq, out=out["q"])
-    d = np.matmul(dk, w["k"].T, out=_room("d", rows(x).shape, kind))
-    d += np.matmul(dv, w["v"].T, out=dk)
-    dh += np.matmul(dq, w["q"].T, out=rows(late))
-    d = d.reshape(x.shape)
-    d[:, CONTEXT:] += dh.reshape(q.shape)
-    np.sum(d, axis=0, out=out["place"])
-    flat = ids.ravel().astype(np.uint16)
-    order = np.argsort(flat, kind="stable")
-    at = flat[order]
-    edges = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    dkv = _room("dkv", kv.shape, kind)
+    np.matmul(de.transpose(0, 2, 1), x, out=dkv[:, :, :WIDTH])
+    np.matmul(e.transpose(0, 2, 1), dc, out=dkv[:, :, WIDTH:])
+    dh += np.matmul(de, kv[:, :, :WIDTH], out=dc)
+
+    symbols, kv_sums = _by_symbol(dkv.reshape(-1, 2 * WIDTH), ids)
+    scored, x_sums = _by_symbol(dh.reshape(-1, WIDTH), ids[:, CONTEXT:])
+    kv_places, m = dkv.sum(axis=0), _projection(w)
     out["in"][:] = 0
-    out["in"][at[edges]] = np.add.reduceat(np.take(rows(d), order, axis=0, out=rows(x), mode="clip"), edges, axis=0)
-    return out, loss * float(share)
+    out["in"][symbols] = kv_sums @ m.T
+    out["in"][scored] += x_sums
+    np.matmul(kv_places, m.T, out=out["place"])
+    out["place"][CONTEXT:] += dh.sum(axis=0)
+    both = w["in"][symbols].T @ kv_sums + w["place"].T @ kv_places
+    for_keys, for_values = both[:, :WIDTH] * kind.type(SCALE), both[:, WIDTH:]
+    out["k"][:], out["q"][:] = for_keys @ w["q"], for_keys.T @ w["k"]
+    out["v"][:], out["o"][:] = for_values @ w["o"].T, w["v"].T @ for_values
+    return out, loss
 
 
 def train(flat: np.ndarray, ids: np.ndarray, targets: np.ndarray, live: np.ndarray, steps: int, batch: int, rate: float, seed: int) -> tuple[np.ndarray, float]:

@@ -330,3 +330,34 @@ def test_pipeline_stages(spark, sf, documents):
         assert docs.columns == documents.columns, name
     out = corpus_pipeline.run(spark, sf).toPandas()
     assert 0 < len(out) and (out.groupby("sequence_id").length.sum() <= 4096).all()
+
+
+def test_lm_tells_frequent_symbols_from_few_others():
+    """A symbol's class and its neighbours there are at most 80 alternatives on average (98 with classes of one size)."""
+    counts = 1e6 / np.arange(1, 4001) ** 1.1
+    opens = np.arange(4000) % 3 > 0
+    seats = attention_net.seats(counts, opens)
+    assert len(seats) == len(set(seats)) == len(attention_net.TAKEN) == 2048
+    groups = np.split(seats, np.cumsum(attention_net.SIZES)[:-1])
+    assert all(opens[g].all() or not opens[g].any() for g in groups)
+    assert attention_net.CLASSES + 2 + sum(counts[g].sum() * len(g) for g in groups) / counts[seats].sum() < 80
+    few = attention_net.seats(np.ones(2100), np.arange(2100) < 30)
+    assert len(set(few)) == 2048 and (few < 30).sum() == 30
+
+
+def test_empty_slots_have_no_probability_and_stay_empty():
+    counts = np.full(attention_net.SLOTS, -1)
+    counts[attention_net.TAKEN] = 3
+    flat = attention_net.start_weights(counts, 3.0, 2.0)
+    rng = np.random.default_rng(0)
+    some = np.append(attention_net.TAKEN, [attention_net.RARE, attention_net.RARE_INSIDE])
+    ids, y = rng.choice(some, (40, attention_net.WINDOW)), rng.choice(some, (40, attention_net.SCORED))
+    flat, _ = attention_net.train(flat, ids, y, np.ones(y.shape, bool), 5, 20, 0.02, 0)
+    w = attention_net.views(flat)
+    empty = np.setdiff1d(np.arange(attention_net.SLOTS), attention_net.TAKEN)
+    assert (w["member_bias"].ravel()[empty] == attention_net.EMPTY).all()
+    total, t, one = 0.0, attention_net.tables(w), y[:1].copy()
+    for target in some:
+        one[:, 0] = target
+        total += 10 ** float(attention_net.log10_probabilities(t, ids[:1], one)[0, 0])
+    assert total == pytest.approx(1, abs=1e-3)
