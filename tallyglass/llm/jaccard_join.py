@@ -11,7 +11,8 @@
 4. Postings with two or more documents give first one candidate for each document: the posting's lowest
    id. Verified links already join most near copies. Then every remaining pair of documents in different
    components that shares enough prefix shingles is a candidate. Pairs inside one component add nothing to
-   the result, so groups of thousands of near copies never meet all against all.
+   the result, so groups of thousands of near copies never meet all against all. Postings of one group lie together,
+   and their pairs are counted lot by lot.
 5. Verification recomputes both shingle sets from the whole texts. The remaining candidates stay packed lists,
    one for each document and block of partners; a tile (block, block) gets each text that its lists name once,
    and tries a pair only while its tile has not joined the two.
@@ -49,10 +50,13 @@ BUCKET_SHINGLES = 1 << 20
 #: Tables of up to this many short rows are broadcast.
 FEW_ROWS = 400_000
 FINGERPRINT_BITS = 44
-#: A posting of more documents is met in tiles of this many by this many.
-POSTING_BLOCK = 1 << 14
+#: A posting of more documents is met in tiles of this many by this many, a group of postings in blocks of so many entries
+#: at most; one of more than GROUP_LEAST is cut into up to GROUP_PARTS smaller blocks, so that no task meets it alone.
+POSTING_BLOCK, GROUP_ENTRIES, GROUP_LEAST, GROUP_PARTS = 1 << 12, 1 << 17, 1 << 13, 16
 #: Shingles of the documents that share a block of candidates, and how many are compared at a time.
 BLOCK_SHINGLES, TOGETHER = 1 << 19, 1 << 18
+#: Pairs of texts whose sets a task holds at a time.
+TEXTS_TOGETHER = 512
 #: Bytes of texts that a task holds before it verifies the tiles that are whole.
 TILE_BYTES = 8 << 20
 PAIRS_TOGETHER = 500_000
@@ -245,75 +249,94 @@ CROSS = "x long, y long, id long, n long, bs binary"
 def _cross_pairs(entries: DataFrame, percent: int, buckets: int, parts: int) -> DataFrame:
     """Pairs of one posting's documents from different components, where enough postings are shared: for each
     document (id) and tile (x, y) of two among `parts` blocks one packed list (bs) of n partners.
-    A bucket of postings hands on one packed list of partners for each document. Long postings are dealt in
-    tiles (block, block), so that no task meets one alone."""
+    Postings go by their lowest component, so that those of one group of copies lie together and its pairs are counted
+    where they meet; groups of many entries and long postings are dealt in tiles (block, block). A task counts
+    `PAIRS_TOGETHER` at a time, document by document, and hands on packed lists. The blocks of `parts` hold documents
+    whose postings have the same lowest component, as far as they are few enough."""
 
     def meet(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["fp", "x", "y", "comp", "size", "id"], kind="stable")
-        fp, x, y, part, ids, comp, size, need = (frame[c].to_numpy().astype(np.int64) for c in ("fp", "x", "y", "part", "id", "comp", "size", "need"))
+        frame = frame.sort_values(["c0", "x", "y", "fp", "comp", "id"], kind="stable")
+        c0, x, y, fp, part, ids, comp, size, need, home = (frame[c].to_numpy().astype(np.int64) for c in ("c0", "x", "y", "fp", "part", "id", "comp", "size", "need", "home"))
         rest = -(-size * percent // 100) - need  # shingles behind the prefix
-        tile = np.concatenate(([True], (fp[1:] != fp[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
-        ends = np.append(np.flatnonzero(tile)[1:], len(fp))[np.cumsum(tile) - 1]
-        block = tile | np.concatenate(([True], comp[1:] != comp[:-1]))
+        tile = np.concatenate(([True], (c0[1:] != c0[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+        posting = tile | np.concatenate(([True], fp[1:] != fp[:-1]))
+        ends = np.append(np.flatnonzero(posting)[1:], len(fp))[np.cumsum(posting) - 1]
+        block = posting | np.concatenate(([True], comp[1:] != comp[:-1]))
         after = np.append(np.flatnonzero(block)[1:], len(fp))[np.cumsum(block) - 1]
-        partners = ends - after  # a row meets the rows of its tile behind its own component
-        out, lo = [np.zeros((4, 0), np.int64)], 0
-        sums = np.cumsum(partners)
-        while lo < len(fp):
+        partners = ends - after  # a row meets the rows of its posting behind its own component
+        tile = np.cumsum(tile)
+        order = np.lexsort((ids, tile))  # a document's rows of a tile together
+        order = order[partners[order] > 0]
+        own = np.zeros(len(fp), np.int64)
+        own[order] = np.cumsum(np.concatenate(([True], (tile[order[1:]] != tile[order[:-1]]) | (ids[order[1:]] != ids[order[:-1]])))[: len(order)])
+        known, doc = np.unique(ids, return_inverse=True)
+        rows, lo = [], 0
+        sums = np.cumsum(partners[order])
+        while lo < len(order):
             hi = max(lo + 1, int(np.searchsorted(sums, (sums[lo - 1] if lo else 0) + PAIRS_TOGETHER, side="right")))
-            count = partners[lo:hi]
-            i = np.repeat(np.arange(lo, hi), count)
+            count = partners[order[lo:hi]]
+            i = np.repeat(order[lo:hi], count)
             j = after[i] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             lo = hi
             like = (size[i] * percent <= 100 * size[j]) & (size[j] * percent <= 100 * size[i]) & ((x[i] == y[i]) | (part[i] != part[j]))
             i, j = i[like], j[like]
+            pair = own[i] * len(known) + doc[j]
+            sort = np.argsort(pair, kind="stable")
+            first = np.flatnonzero(_changes(pair[sort]))
+            shared = np.diff(np.append(first, len(pair)))
+            i, j = i[sort][first], j[sort][first]
             overlap = -(-(size[i] + size[j]) * percent // (100 + percent))
             asked = np.maximum(np.minimum(need[i], need[j]), overlap - np.maximum(rest[i], rest[j]))
-            out.append(np.stack(_tallied(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.ones(len(i), np.int64), asked)))
-        a, b, shared, asked = _tallied(*np.concatenate(out, axis=1))
-        edges = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1], [True]))) if len(a) else np.zeros(1, np.int64)
-        rows = [(int(a[lo]), hi - lo, packed(b[lo:hi]), packed(shared[lo:hi]), packed(asked[lo:hi])) for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-        return pd.DataFrame(rows, columns=["a", "n", "bs", "shared", "asked"])
+            edges = np.append(np.flatnonzero(_changes(own[i])), len(i)).tolist()
+            rows += [(int(ids[i[s]]), int(home[i[s]]), e - s, packed(ids[j[s:e]]), packed(home[j[s:e]]), packed(shared[s:e]), packed(asked[s:e])) for s, e in zip(edges[:-1], edges[1:], strict=True)]
+        return pd.DataFrame(rows, columns=["a", "of_a", "n", "bs", "of_bs", "shared", "asked"])
 
     def settle(key, frame: pd.DataFrame) -> pd.DataFrame:
-        a = np.repeat(frame["a"].to_numpy(), frame["n"].to_numpy())
-        b, shared, asked = (np.concatenate([unpacked(d, n, np.int64) for d, n in zip(frame[c], frame["n"], strict=True)]) for c in ("bs", "shared", "asked"))
-        a, b, shared, asked = _tallied(a, b, shared, asked)
-        enough = shared >= asked
-        a, b = a[enough], b[enough]
-        of_a, of_b = ((mix(c.view(np.uint64)) % np.uint64(parts)).astype(np.int64) for c in (a, b))
+        a, of_a = (np.repeat(frame[c].to_numpy(), frame["n"].to_numpy()) for c in ("a", "of_a"))
+        b, of_b, shared, asked = (np.concatenate([unpacked(d, n, np.int64) for d, n in zip(frame[c], frame["n"], strict=True)]) for c in ("bs", "of_bs", "shared", "asked"))
         order = np.lexsort((b, of_b, a))
-        a, b, of_a, of_b = a[order], b[order], of_a[order], of_b[order]
-        edges = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (of_b[1:] != of_b[:-1]), [True]))) if len(a) else np.zeros(1, np.int64)
-        rows = [(int(min(of_a[lo], of_b[lo])), int(max(of_a[lo], of_b[lo])), int(a[lo]), hi - lo, packed(b[lo:hi])) for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        a, of_a, b, of_b, shared, asked = (c[order] for c in (a, of_a, b, of_b, shared, asked))
+        first = np.flatnonzero(_changes(a) | _changes(b))
+        enough = first[np.add.reduceat(shared, first) >= asked[first]]
+        a, of_a, b, of_b = (c[enough] for c in (a, of_a, b, of_b))
+        edges = np.append(np.flatnonzero(_changes(a) | _changes(of_b)), len(a)).tolist()
+        rows = [(int(min(of_a[lo], of_b[lo])), int(max(of_a[lo], of_b[lo])), int(a[lo]), hi - lo, packed(b[lo:hi])) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
         return pd.DataFrame(rows, columns=["x", "y", "id", "n", "bs"])
 
+    some = lambda c: F.coalesce(c, F.lit(1).cast("long"))
     mixed = entries.groupBy("fp").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("rows")).where("c0 <> c1")
-    tiles = F.ceil(F.col("rows") / POSTING_BLOCK).cast("long")
-    left = entries.join(mixed.select("fp", tiles.alias("parts")), "fp").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    mixed = cut(mixed.select("fp", "c0", "rows"))
+    spread = F.least(F.sum("rows") / GROUP_LEAST, F.lit(GROUP_PARTS).cast("double"))
+    tiles = F.ceil(F.greatest(F.sum("rows") / GROUP_ENTRIES, F.max("rows") / POSTING_BLOCK, spread)).cast("long")
+    wide = cut(mixed.groupBy("c0").agg(tiles.alias("parts"), F.sum("rows").alias("rows")).where("parts > 1"))
+    met = cut(entries.join(mixed.select("fp", "c0"), "fp"))
+    homes = met.groupBy("id").agg(F.min("c0").alias("c0"), F.min("size").alias("size"))
+    heavy = cut(homes.groupBy("c0").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("long").alias("subs")).where("subs > 1"))
+    sub = F.pmod(F.xxhash64("id"), some(F.col("subs")))
+    homes = homes.join(F.broadcast(heavy), "c0", "left").select("id", F.pmod(F.xxhash64("c0", sub), F.lit(parts).cast("long")).alias("home"))
+    left = met.join(homes, "id").join(F.broadcast(wide), "c0", "left").withColumn("parts", some(F.col("parts")))
+    left = left.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     left = left.withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")})
-    left = left.withColumn("bucket", F.pmod(F.xxhash64("fp", "x", "y"), F.lit(buckets)))
-    lists = left.groupBy("bucket").applyInPandas(meet, "a long, n long, bs binary, shared binary, asked binary")
-    dealt = lists.withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInPandas(settle, CROSS)
+    dealt = buckets + (wide.agg(F.sum(F.col("rows") * F.col("parts"))).first()[0] or 0) // GROUP_ENTRIES
+    left = left.withColumn("bucket", F.pmod(F.xxhash64("c0", "x", "y"), F.lit(dealt)))
+    left = left.select("bucket", "c0", "x", "y", "fp", "part", "id", "comp", "size", "need", "home")
+    lists = cut(left.groupBy("bucket").applyInPandas(meet, "a long, of_a long, n long, bs binary, of_bs binary, shared binary, asked binary"))
+    pairs = lists.agg(F.sum("n")).first()[0] or 0
+    again = lists.withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(max(buckets, -(-pairs // PAIRS_TOGETHER)))))
+    return again.groupBy("bucket").applyInPandas(settle, CROSS)
 
 
-def _tallied(a: np.ndarray, b: np.ndarray, shared: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct pairs with their shared postings added up."""
-    order = np.lexsort((b, a))
-    a, b, shared, asked = a[order], b[order], shared[order], asked[order]
-    if not len(a):
-        return a, b, shared, asked
-    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-    return a[first], b[first], np.add.reduceat(shared, first), np.maximum.reduceat(asked, first)
+def _changes(c: np.ndarray) -> np.ndarray:
+    """Where a column's runs of equal values begin."""
+    return np.concatenate(([True], c[1:] != c[:-1])) if len(c) else np.zeros(0, bool)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, TEXTS_TOGETHER) for whole in batches for at in range(0, whole.num_rows, TEXTS_TOGETHER)):
             sides = []
             for name in ("ta", "tb"):
                 sets = []

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -106,6 +107,27 @@ def test_jaccard_join_cross_pairs_stay_packed(spark, monkeypatch, block):
     assert made and 0 < made[0] <= 200 * -(-200 * 116 // block)
 
 
+def test_jaccard_join_long_posting_is_counted_in_lots(spark, monkeypatch):
+    """A task that meets postings of many components holds one lot of their pairs, and hands on few pairs twice."""
+    steps, n = {}, 1500
+    grouped = type(spark.range(1).groupBy("id"))
+    apply = grouped.applyInPandas
+    monkeypatch.setattr(grouped, "applyInPandas", lambda self, f, schema: apply(self, steps.setdefault(f.__name__, f), schema))
+    monkeypatch.setattr(jaccard_join, "PAIRS_TOGETHER", 50_000)
+    entries = spark.createDataFrame([(fp, i, 100, 8, i) for fp in (1, 2) for i in range(4)], "fp long, id long, size int, need int, comp long")
+    assert jaccard_join._cross_pairs(entries, 75, 4, 1).count() == 0  # eight must be shared
+    ids = np.tile(np.arange(n), 2)
+    frame = pd.DataFrame({"c0": 0, "x": 0, "y": 0, "fp": np.repeat([1, 2], n), "part": 0, "id": ids, "comp": ids, "size": 100, "need": 8, "home": 0})
+    tracemalloc.start()
+    try:
+        out = steps["meet"]((0,), frame)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n * (n - 1) // 2 <= out["n"].sum() < 1.1 * n * (n - 1) / 2
+    assert peak < 32 << 20
+
+
 def test_one_of_each(odd):
     kept = jaccard_join.one_of_each(odd)
     assert kept.columns == odd.columns
