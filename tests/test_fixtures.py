@@ -3,6 +3,7 @@
 import difflib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -494,6 +495,24 @@ def test_longest_rise_is_longest_and_rising(spark):
         assert taken == sorted(taken) and len(taken) == max(best) and r.kept == sorted(set(r.kept))
 
 
+def test_seed_map_lets_few_others_through(spark, monkeypatch):
+    """Eleven bits of the map for every seed, as where it can't grow: all seeds pass and less than a hundredth of others."""
+    from tallyglass.operators import containment as J
+
+    monkeypatch.setattr(J, "BITS", (1 << 16, 1 << 16))
+    name = lambda i: "".join(chr(0x4E00 + int(c)) for c in np.random.default_rng(i).integers(0, 3000, 10))
+    dim = spark.createDataFrame([(i, name(i), 80.0) for i in range(200)], "item_id long, alias string, least double")
+    docs = lambda of: spark.createDataFrame([(i, name(i)) for i in of], "doc_id long, text string")
+    own = J._part_seeds(dim).cache()
+    bitmap = J._bitmap(own, n := own.count())
+    assert len(bitmap) * 8 == 1 << 16 and n > 4000
+    wanted = sorted({(k, t) for _, k, e in J.parts_of(10, 80.0) for t in range(e + 1)})
+    assert J._window_seeds(docs(range(200)), wanted, bitmap).select("doc_id").distinct().count() == 200
+    every = np.full(len(bitmap), 255, np.uint8)
+    others = docs(range(1000, 1400))
+    assert J._window_seeds(others, wanted, bitmap).count() < J._window_seeds(others, wanted, every).count() / 100
+
+
 def test_codes_of_three_levels(spark):
     from tallyglass.operators.checks import undescribed_codes
 
